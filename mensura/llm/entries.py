@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, quality_rules, simhash
+from . import bpe, chat, exact_dedup, mixing, quality_rules, simhash
 
-MODULES = [simhash, mixing, quality_rules, exact_dedup]
+MODULES = [simhash, bpe, mixing, chat, quality_rules, exact_dedup]
 
 
 def queries() -> dict:
