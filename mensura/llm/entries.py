@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, exact_dedup, html_text, license_scan, mixing, quality_rules, simhash
+from . import bpe, chat, exact_dedup, html_text, license_scan, lm, mixing, quality_rules, simhash
 
-MODULES = [simhash, bpe, html_text, mixing, chat, quality_rules, exact_dedup, license_scan]
+MODULES = [simhash, bpe, html_text, mixing, chat, quality_rules, lm, exact_dedup, license_scan]
 
 
 def queries() -> dict:
