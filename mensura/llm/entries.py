@@ -8,7 +8,7 @@ MODULES = [simhash, bpe, html_text, mixing, chat, quality_rules, pii, lm, exact_
 
 
 def queries() -> dict:
-    found = {}
+    found = {"pipeline": pipeline}
     for module in MODULES:
         found.update(module.QUERIES)
     return found
@@ -19,3 +19,9 @@ def oracle_sql() -> dict[str, str]:
     for module in MODULES:
         found.update(module.SQL)
     return found
+
+
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
