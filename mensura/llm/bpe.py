@@ -25,9 +25,10 @@ from pyspark.sql import functions as F
 
 from .common import beside
 
-MOST_WORDS = 200_000  # in a worker's map, which then starts afresh
+MOST_WORDS = 500_000  # in a worker's map
 LONGEST_KEPT = 64
-_NONE = 1 << 62
+_NO_PAIR = 1 << 40  # above any rank times a text's length
+_NONE = 1 << 80
 #: Unicode's White_Space, which the vocabulary's patterns call \s.
 _SPACES = "\t-\r\x20\x85\xa0  -     　"
 _WHITE = re.compile(f"[{_SPACES}]+")
@@ -66,52 +67,84 @@ class SegmentTree:
     """Minimum over n leaves, the root at 1."""
 
     def __init__(self, leaves: list[int]):
-        self.size = size = 1 << max(0, len(leaves) - 1).bit_length()
-        self.nodes = nodes = [_NONE] * (2 * size)
-        nodes[size : size + len(leaves)] = leaves
+        self.size = size = 1 << (len(leaves) - 1).bit_length()
+        self.nodes = nodes = [_NONE] * size + leaves + [_NONE] * (size - len(leaves))
         for i in range(size - 1, 0, -1):
             a, b = nodes[2 * i], nodes[2 * i + 1]
             nodes[i] = a if a < b else b
 
-    def put(self, leaf: int, value: int) -> None:
-        nodes, i = self.nodes, self.size + leaf
-        nodes[i] = value
-        while i > 1:
-            other, i = nodes[i ^ 1], i >> 1
-            value = value if value < other else other
-            if nodes[i] == value:
-                return
-            nodes[i] = value
-
-
-def merge(symbols: list[int], ranks: dict[tuple[int, int], tuple[int, int]]) -> list[int]:
-    """Merges the leftmost pair of the lowest rank until there is none. ranks: (left, right) -> (rank, merged)."""
-    n = len(symbols)
+    def update(self, a: int, b: int, c: int) -> None:
+        """Mend the paths above three leaves a <= b <= c, together where they meet."""
+        nodes = self.nodes
+        a, b, c = a + self.size >> 1, b + self.size >> 1, c + self.size >> 1
+        while a:
+            x, y = nodes[2 * a], nodes[2 * a + 1]
+            nodes[a] = x if x < y else y
+            if b != a:
+                x, y = nodes[2 * b], nodes[2 * b + 1]
+                nodes[b] = x if x < y else y
+            if c != b:
+                x, y = nodes[2 * c], nodes[2 * c + 1]
+                nodes[c] = x if x < y else y
+            a, b, c = a >> 1, b >> 1, c >> 1
+
+
+def pair_key(left: int, right: int) -> int:
+    return left << 20 | right
+
+
+def merge(symbols: list[int], ranks: dict[int, int], merged: list[int]) -> list[int]:
+    """Merges the leftmost pair of the lowest rank until there is none. ranks: pair_key -> rank; merged: the symbol by rank."""
+    n, get = len(symbols), ranks.get
     if n < 2:
         return symbols
-    get, ids = ranks.get, list(symbols)
-    leaf = lambda i, j: f[0] * n + i if (f := get((ids[i], ids[j]))) else _NONE
-    tree = SegmentTree([leaf(i, i + 1) for i in range(n - 1)])
+    leaves = [get(a << 20 | b, _NO_PAIR) * n + i for i, (a, b) in enumerate(zip(symbols, symbols[1:], strict=False))]
+    if min(leaves) >= _NO_PAIR:
+        return symbols
+    ids, tree = list(symbols), SegmentTree(leaves)
+    nodes, size, update = tree.nodes, tree.size, tree.update
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    while (top := tree.nodes[1]) < _NONE:
-        i = top % n
+    while (top := nodes[1]) < _NO_PAIR:
+        rank, i = divmod(top, n)
         j = after[i]
-        k = after[j]
-        ids[i] = get((ids[i], ids[j]))[1]
+        after[i] = k = after[j]
+        ids[i] = now = merged[rank]
         ids[j] = -1
-        after[i] = k
-        if j < n - 1:
-            tree.put(j, _NONE)
         if k < n:
             before[k] = i
-            tree.put(i, leaf(i, k))
+            nodes[size + j] = _NONE
+            nodes[size + i] = get(now << 20 | ids[k], _NO_PAIR) * n + i
         else:
-            tree.put(i, _NONE)
+            nodes[size + i] = _NONE
+            j = i
         if (h := before[i]) >= 0:
-            tree.put(h, leaf(h, i))
+            nodes[size + h] = get(ids[h] << 20 | now, _NO_PAIR) * n + h
+        else:
+            h = i
+        update(h, i, j)
     return [x for x in ids if x >= 0]
 
 
+class Recent(dict):
+    """A map of bounded size: when full, it keeps what was used since the last time it was full."""
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.most, self.old = most // 2, {}
+
+    def find(self, key):
+        """A value that has left the map itself but is still remembered."""
+        if (found := self.old.get(key)) is not None:
+            self.keep(key, found)
+        return found
+
+    def keep(self, key, value) -> None:
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+
+
 def _byte_letters() -> list[str]:
     """The printable letter for each byte in byte-level vocabularies: itself where printable in Latin-1, else 256 onwards."""
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -129,7 +162,8 @@ class Codec:
         self.vocab: dict[str, int] = model["vocab"]
         self.suffix: str = model["end_of_word_suffix"] or ""
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
-        self.ranks = {(self.vocab[a], self.vocab[b]): (r, self.vocab[a + b]) for r, (a, b) in enumerate(pairs)}
+        self.ranks = {pair_key(self.vocab[a], self.vocab[b]): r for r, (a, b) in enumerate(pairs)}
+        self.merged = [self.vocab[a + b] for a, b in pairs]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.token = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
         longest = sorted(map(re.escape, self.special), key=len, reverse=True)
@@ -137,35 +171,35 @@ class Codec:
         steps = spec["pre_tokenizer"]["pretokenizers"]
         self.pattern = _pattern(next(s["pattern"]["Regex"] for s in steps if s["type"] == "Split"))
         letters = _byte_letters()
-        self.inner = [self.vocab.get(x) for x in letters]
-        self.last = [self.vocab.get(x + self.suffix) for x in letters]
-        self.pieces: dict[str, tuple[int, ...]] = {}
-        self.words: dict[str, tuple[int, str, str]] = {}
-
-    def piece(self, piece: str) -> tuple[int, ...]:
-        """Ids of a piece that the pattern has cut out."""
-        if (found := self.pieces.get(piece)) is not None:
+        self.inner = [self.vocab[x] for x in letters]
+        self.last = [self.vocab[x + self.suffix] for x in letters]
+        self.pieces, self.words = Recent(MOST_WORDS), Recent(MOST_WORDS)
+
+    def piece(self, piece: str) -> tuple[int, str, str]:
+        """Tokens, their ids and their strings, both joined by spaces, of a piece that the pattern has cut out."""
+        if (found := self.pieces.get(piece) or self.pieces.find(piece)) is not None:
             return found
         raw = piece.encode("utf-8", "surrogatepass")
-        symbols = [self.inner[b] for b in raw[:-1]] + [self.last[raw[-1]]]
-        found = tuple(merge([s for s in symbols if s is not None], self.ranks))
+        symbols = [*map(self.inner.__getitem__, raw[:-1]), self.last[raw[-1]]]
+        ids = merge(symbols, self.ranks, self.merged)
+        found = len(ids), " ".join(map(str, ids)), " ".join(map(self.token.__getitem__, ids))
         if len(piece) <= LONGEST_KEPT:
-            if len(self.pieces) >= MOST_WORDS:
-                self.pieces.clear()
-            self.pieces[piece] = found
+            self.pieces.keep(piece, found)
         return found
 
     def word(self, word: str) -> tuple[int, str, str]:
-        """Tokens, their ids and their strings, both joined by spaces, of a word between white space."""
-        if (found := self.words.get(word)) is not None:
+        """The same of a word between white space."""
+        if (found := self.words.get(word) or self.words.find(word)) is not None:
             return found
-        plain = lower(unicodedata.normalize("NFC", word))
-        ids = [i for p in self.pattern.findall(plain) for i in self.piece(p)]
-        found = len(ids), " ".join(map(str, ids)), " ".join(map(self.token.__getitem__, ids))
+        plain = word.lower() if word.isascii() else lower(unicodedata.normalize("NFC", word))
+        pieces = self.pattern.findall(plain)
+        if len(pieces) == 1:
+            found = self.piece(pieces[0])
+        else:
+            each = [self.piece(p) for p in pieces]
+            found = sum([x[0] for x in each]), " ".join([x[1] for x in each]), " ".join([x[2] for x in each])
         if len(word) <= LONGEST_KEPT:
-            if len(self.words) >= MOST_WORDS:
-                self.words.clear()
-            self.words[word] = found
+            self.words.keep(word, found)
         return found
 
     def parts(self, text: str) -> Iterator[tuple[int, str, str]]:

@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from mensura.llm.bpe import SegmentTree, bpe, codec, merge, op2_bpe, word_bpe_path
+from mensura.llm.bpe import Recent, SegmentTree, bpe, codec, merge, op2_bpe, pair_key, word_bpe_path
 
 LIB = Tokenizer.from_file(word_bpe_path())
 LIB.no_padding()
@@ -36,6 +36,21 @@ def test_any_text(text):
     assert codec(word_bpe_path()).encode(text) == want(text)[0]
 
 
+def merged_by_rank(ranks):
+    out = [0] * 16
+    for r, m in ranks.values():
+        out[r] = m
+    return out
+
+
+def test_recent():
+    m = Recent(4)
+    for i in range(6):
+        m.keep(i, str(i))
+        assert (m.get(0) or m.find(0)) == "0"
+    assert len(m) + len(m.old) <= 4
+
+
 @given(st.lists(st.integers(0, 3), max_size=40), st.permutations(range(16)))
 @settings(max_examples=200, deadline=None)
 def test_merge_order(symbols, order):
@@ -44,15 +59,19 @@ def test_merge_order(symbols, order):
     while found := min(((ranks[p][0], i) for i, p in enumerate(zip(plain, plain[1:], strict=False)) if p in ranks), default=None):
         i = found[1]
         plain[i : i + 2] = [ranks[plain[i], plain[i + 1]][1]]
-    assert merge(symbols, ranks) == plain
-
-
-def test_tree():
-    t = SegmentTree([5, 3, 9])
-    t.put(1, 7)
-    assert t.nodes[1] == 5
-    t.put(0, 8)
-    assert t.nodes[1] == 7
+    keys = {pair_key(*p): r for p, (r, _) in ranks.items()}
+    assert merge(symbols, keys, merged_by_rank(ranks)) == plain
+
+
+@given(st.lists(st.integers(0, 99), min_size=3, max_size=30), st.data())
+def test_tree(leaves, data):
+    t = SegmentTree(leaves)
+    for _ in range(5):
+        a, b, c = sorted(data.draw(st.lists(st.integers(0, len(leaves) - 1), min_size=3, max_size=3)))
+        for x in (a, b, c):
+            leaves[x] = t.nodes[t.size + x] = data.draw(st.integers(0, 99))
+        t.update(a, b, c)
+        assert t.nodes[1] == min(leaves)
 
 
 def test_query(spark):
