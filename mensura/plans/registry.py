@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-GROUPS: list[str] = []
+GROUPS: list[str] = ["verdict_queries", "measure_queries"]
 
 
 def _merged(attribute: str) -> dict:
