@@ -8,6 +8,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SUBSCRIPTS, PLAIN = "₀₁₂₃₄₅₆₇₈₉ₓ", "0123456789x"
 #: Cells that say nothing, and the patterns of the three criteria.
@@ -22,7 +23,7 @@ def normalise_text(c: Column) -> Column:
     return F.lower(F.translate(c, SUBSCRIPTS, PLAIN))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def normalise_text_full(c: pd.Series) -> pd.Series:
     """NFKC, which no built-in function offers, by Arrow batches."""
     return c.str.normalize("NFKC").str.lower()
