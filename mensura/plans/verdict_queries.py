@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from mensura.functions import rules as R
 from mensura.plans import fixtures as X
 
-ROW = W.partitionBy("source_file").orderBy("electrode_id")
+
+def row_place():
+    """Position of an electrode within its file, from 0; files have no order of their own, so the key is required."""
+    return F.row_number().over(W.partitionBy("source_file").orderBy("electrode_id")) - 1
 
 
 def judged(spark, d):
@@ -16,7 +19,7 @@ def judged(spark, d):
 
 
 def indexed(spark, d):
-    return judged(spark, d).withColumn("row_index", F.row_number().over(ROW) - 1)
+    return judged(spark, d).withColumn("row_index", row_place())
 
 
 def verdict_counts(spark, d):
@@ -43,7 +46,7 @@ def passed_preview(spark, d):
 def rejoin_source(spark, d):
     """Outputs joined back to their source rows by (file, row index)."""
     out = indexed(spark, d).select("source_file", "row_index", "overall")
-    src = X.electrodes(spark, d).select("source_file", "electrode_id", (F.row_number().over(ROW) - 1).alias("row_index"))
+    src = X.electrodes(spark, d).select("source_file", "electrode_id", row_place().alias("row_index"))
     return src.join(out, ["source_file", "row_index"]).select("electrode_id", "overall")
 
 
