@@ -54,7 +54,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Tokens of each document, with the digests of its ids and of the decoded text."""
-    return bpe(docs.select("doc_id", "source", "text"), word_bpe_path, with_ids=True).select("doc_id", "source", "n_tokens", "token_ids", "ids_sha256", "decoded_sha256")
+    return bpe(docs.select("doc_id", "source", "text"), word_bpe_path, with_ids=True, most_words=100_000).select("doc_id", "source", "n_tokens", "token_ids", "ids_sha256", "decoded_sha256")
 
 
 STAGES = [("quality rules", quality), ("exact dedup", exact), ("simhash near-dedup", near), ("mixing", mix), ("bpe", encode)]

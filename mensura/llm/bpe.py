@@ -19,6 +19,7 @@ import unicodedata
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,6 +28,7 @@ from .common import beside
 
 MOST_WORDS = 500_000  # in a worker's map
 LONGEST_KEPT = 64
+CHARS_OUT = 2_000_000  # characters of text whose ids a worker holds at once
 _NO_PAIR = 1 << 40  # above any rank times a text's length
 _NONE = 1 << 80
 #: Unicode's White_Space, which the vocabulary's patterns call \s.
@@ -155,7 +157,7 @@ def _byte_letters() -> list[str]:
 class Codec:
     """A vocabulary with its normaliser (NFC, lower case), its splitting pattern, byte letters and word ends."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most_words: int = MOST_WORDS):
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         model = spec["model"]
@@ -173,7 +175,7 @@ class Codec:
         letters = _byte_letters()
         self.inner = [self.vocab[x] for x in letters]
         self.last = [self.vocab[x + self.suffix] for x in letters]
-        self.pieces, self.words = Recent(MOST_WORDS), Recent(MOST_WORDS)
+        self.pieces, self.words = Recent(most_words), Recent(most_words)
 
     def piece(self, piece: str) -> tuple[int, str, str]:
         """Tokens, their ids and their strings, both joined by spaces, of a piece that the pattern has cut out."""
@@ -225,14 +227,15 @@ class Codec:
 
 
 @lru_cache(maxsize=4)
-def codec(path: str) -> Codec:
-    return Codec(path)
+def codec(path: str, most_words: int = MOST_WORDS) -> Codec:
+    return Codec(path, most_words)
 
 
-def bpe(docs: DataFrame, path: str | Callable[[], str], text: str = "text", with_ids: bool = False, with_text: bool = False) -> DataFrame:
+def bpe(docs: DataFrame, path: str | Callable[[], str], text: str = "text", with_ids: bool = False, with_text: bool = False, most_words: int = MOST_WORDS) -> DataFrame:
     """docs with n_tokens, ids_sha256 and decoded_sha256; on request token_ids (array) and decoded (the decoded text).
 
-    path: of the vocabulary on the workers, or a function that gives it there.
+    path: of the vocabulary on the workers, or a function that gives it there. most_words: in a worker's map of words met,
+    some 350 bytes each; it bounds memory and changes no result.
     """
     new = {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"}
     new |= {"token_ids": "array<int>"} if with_ids else {}
@@ -242,20 +245,25 @@ def bpe(docs: DataFrame, path: str | Callable[[], str], text: str = "text", with
     schema = beside(ready, {k: F.lit(None).cast(v) for k, v in new.items()}).drop("__text").schema
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        c = codec(path() if callable(path) else path)
-        for b in batches:
-            out: dict[str, list] = {k: [] for k in new}
-            for t in b.pop("__text"):
-                parts = list(c.parts(t or ""))
-                ids, decoded = " ".join([p[1] for p in parts]), " ".join([p[2] for p in parts])
-                out["n_tokens"].append(sum(p[0] for p in parts))
-                out["ids_sha256"].append(hashlib.sha256(ids.encode()).hexdigest())
-                out["decoded_sha256"].append(hashlib.sha256(decoded.encode("utf-8", "surrogatepass")).hexdigest())
-                if with_ids:
-                    out["token_ids"].append([int(i) for i in ids.split(" ")] if ids else [])
-                if with_text:
-                    out["decoded"].append(decoded)
-            yield b.assign(**out)
+        c = codec(path() if callable(path) else path, most_words)
+        for batch in batches:
+            ends = batch["__text"].str.len().fillna(0).cumsum() // CHARS_OUT
+            for _, b in batch.groupby(ends.to_numpy(), sort=False):  # pieces of bounded size, so that ids never pile up
+                yield encoded(c, b)
+
+    def encoded(c: Codec, b: pd.DataFrame) -> pd.DataFrame:
+        out: dict[str, list] = {k: [] for k in new}
+        for t in b["__text"]:
+            parts = list(c.parts(t or ""))
+            ids, decoded = " ".join([p[1] for p in parts]), " ".join([p[2] for p in parts])
+            out["n_tokens"].append(sum([p[0] for p in parts]))
+            out["ids_sha256"].append(hashlib.sha256(ids.encode()).hexdigest())
+            out["decoded_sha256"].append(hashlib.sha256(decoded.encode("utf-8", "surrogatepass")).hexdigest())
+            if with_ids:
+                out["token_ids"].append(np.fromstring(ids, np.int32, sep=" "))
+            if with_text:
+                out["decoded"].append(decoded)
+        return b.drop(columns="__text").assign(**out)
 
     return ready.mapInPandas(run, schema)
 
