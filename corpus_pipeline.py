@@ -21,7 +21,8 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows of docs whose doc_id is in ids; rows repeated whole are kept once."""
-    kept = docs.join(ids.select(F.col("doc_id").alias("id")), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
+    # merged at every size: left to itself, the join would broadcast the ids of a small input only
+    kept = docs.join(ids.select(F.col("doc_id").alias("id")).hint("merge"), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
     repeated = not ids.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
     return kept.dropDuplicates() if repeated else kept
 
@@ -48,7 +49,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     taken = mix_sources(docs)
     times = taken.select(F.col("doc_id").alias("id"), (F.col("epochs") + (2 * F.col("more") >= F.greatest("size", F.lit(1))).cast("int")).cast("int").alias("times"))
     times = cut(times.groupBy("id").agg(F.max("times").alias("times")).where("times > 0"), "mix-times")
-    rows = docs.join(times, F.col("doc_id").eqNullSafe(F.col("id")))
+    rows = docs.join(times.hint("merge"), F.col("doc_id").eqNullSafe(F.col("id")))
     return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*COLUMNS)
 
 
