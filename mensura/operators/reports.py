@@ -110,3 +110,22 @@ def min_coverage_features(df: DataFrame, cols: Sequence[str], least: int) -> lis
 def drop_uninformative(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     row = df.agg(*(F.count_distinct(c).alias(c) for c in cols)).first()
     return df.drop(*(c for c in cols if row[c] <= 1))
+
+
+def schema_summary(df: DataFrame, top: int | None = 20) -> DataFrame:
+    """Type, filled, percent missing and distinct of every column; most missing first."""
+    types = F.create_map(*(F.lit(v) for pair in df.dtypes for v in pair))
+    out = column_audit(df, df.columns).select("column", F.element_at(types, F.col("column")).alias("dtype"), "filled", "missing_pct", "n_distinct").orderBy(F.desc("missing_pct"), "column")
+    return out if top is None else out.limit(top)
+
+
+def feature_coverage(df: DataFrame, cols: Sequence[str], target: str | None = None) -> DataFrame:
+    """Filled, percent filled and distinct per feature, over labelled rows only where a target is given; fullest first."""
+    rows = df if target is None else df.where(F.col(target).isNotNull())
+    out = column_audit(rows, cols)
+    return out.select("column", "filled", F.round(100 - F.col("missing_pct"), 1).alias("pct"), "n_distinct").orderBy(F.desc("pct"), "column")
+
+
+def target_subset(df: DataFrame, target: str, features: Sequence[str], group: str = "source_file") -> DataFrame:
+    """Labelled rows: the features, the target and the group."""
+    return df.where(F.col(target).isNotNull()).select(group, *features, target)

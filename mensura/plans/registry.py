@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-GROUPS: list[str] = ["verdict_queries", "measure_queries", "record_queries", "report_queries", "bookkeeping_queries", "split_queries"]
+GROUPS: list[str] = ["verdict_queries", "measure_queries", "record_queries", "report_queries", "bookkeeping_queries", "split_queries", "source_queries", "model_queries"]
 
 
 def _merged(attribute: str) -> dict:
