@@ -6,8 +6,8 @@ rows alone in (length, prefix hash); only the rest are grouped by the full hash.
 same scan (a digest beside the text costs less than moving the text to meet the survivors, and the result
 carries the digest of every row).
 
-Hot groups: every grouping is a partial aggregate, and group facts return to the rows by equi joins that
-adaptive execution may split, so a group that holds a third of all rows never lands in one task.
+Hot groups: rows carry a salt. A key is aggregated by salt first, and its facts return to the rows by a join on key
+and salt, so the rows of a group that holds a third of them all are dealt over SALTS parts and never meet in one task.
 
 Defined results: null counts as empty, and all texts without a word are one group; ties in length go to the
 smallest id; a null id stays behind any other; repeated rows of one id share its verdict; extra columns are ignored.
@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from .common import cut, text_of
 
 PREFIX = 64  # characters under the prefix hash
+SALTS = 64  # parts that the rows of one key are dealt over
 
 
 def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -36,16 +37,22 @@ def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     )
 
 
+def _shared(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """For each key with several rows, a row for each of its salts: size of the whole group and the row that comes first in it."""
+    first = F.struct((-F.col("n_code")).alias("n"), F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"))
+    parts = rows.groupBy(*keys, "salt").agg(F.count(F.lit(1)).alias("part"), F.min(first).alias("part_first"))
+    whole = parts.groupBy(*keys).agg(F.sum("part").alias("size"), F.min("part_first").alias("first")).where("size > 1")
+    return parts.select(*keys, "salt").join(whole, keys)
+
+
 def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256."""
-    rows = cut(signatures(docs, doc_id, text), "exact")
+    salted = signatures(docs, doc_id, text).withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+    rows = cut(salted, "exact")  # the salt is fixed once it is written
     left = rows
     for level in (["n_bare"], ["n_bare", "prefix"]):
-        shared = left.groupBy(*level).agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-        left = left.join(shared, level, "left_semi")
-    first = F.min(F.struct((-F.col("n_code")).alias("n"), F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id")))
-    groups = left.groupBy("sha").agg(first.alias("first"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    out = rows.join(groups, "sha", "left")
+        left = left.join(_shared(left, level), [*level, "salt"], "left_semi")
+    out = rows.join(_shared(left, ["sha"]), ["sha", "salt"], "left")
     keep = F.when(F.col("size").isNull(), F.col("doc_id")).otherwise(F.col("first.id"))
     return out.select(
         "doc_id",
