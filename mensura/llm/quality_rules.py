@@ -67,7 +67,6 @@ def repeat_words(words: Column) -> Column:
 def metrics(text: Column) -> dict[str, Column]:
     """The metrics of a text that is not null, as one struct of words and lines read once each."""
     words = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
-    stops = F.array(*(F.lit(w) for w in STOP_WORDS))
     by_words = _let(
         words,
         lambda w: F.struct(
@@ -76,7 +75,6 @@ def metrics(text: Column) -> dict[str, Column]:
             F.size(F.filter(w, lambda x: F.lower(F.regexp_replace(x, r"[^\p{L}]+", "")).isin(*STOP_WORDS))).alias("stop"),
         ),
     )
-    del stops
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(WORD))
     by_lines = _let(lines, lambda x: F.struct(F.size(x).alias("n"), (F.size(x) - F.size(F.array_distinct(x))).alias("dup")))
     return {
