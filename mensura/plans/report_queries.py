@@ -103,7 +103,23 @@ def paper_slice(spark, d):
     return X.electrodes(spark, d).join(F.broadcast(papers), "source_file", "left_semi").select("source_file", "electrode_id", "role")  # one row
 
 
-QUERIES = {f.__name__: f for f in (coverage, column_audit, confidence_breakdown, confidence_filter, rows_per_group, electrodes_per_paper, group_size_stats, oversized, value_counts, target_summary, target_coverage, condition_subset, usable_counts, conversion_audit, contrast, dedupe, upper_median, distinct_papers, union_tables, paper_slice)}
+def informative(spark, d):
+    rows = X.electrodes(spark, d).select("electrode_id", *COLS, F.lit("same").alias("constant"), F.lit(None).cast("string").alias("missing"))
+    return P.drop_uninformative(rows, [*COLS, "constant", "missing"])
+
+
+def covered_features(spark, d):
+    rows = X.electrodes(spark, d).select("electrode_id", *COLS, F.lit(None).cast("string").alias("missing"))
+    return rows.select("electrode_id", *P.min_coverage_features(rows, [*COLS, "missing"], 10))
+
+
+def first_record(spark, d):
+    """The first electrode of every paper."""
+    first = F.min(F.struct("electrode_id", "electrode_label", "role")).alias("first")
+    return X.electrodes(spark, d).groupBy("source_file").agg(first).select("source_file", "first.*")
+
+
+QUERIES = {f.__name__: f for f in (coverage, column_audit, confidence_breakdown, confidence_filter, rows_per_group, electrodes_per_paper, group_size_stats, oversized, value_counts, target_summary, target_coverage, condition_subset, usable_counts, conversion_audit, contrast, dedupe, upper_median, distinct_papers, union_tables, paper_slice, informative, covered_features, first_record)}
 
 _CSM = f"cs AS (SELECT *, {_strict(('scan_rate', 'current_density', 'gravimetric_capacitance'))} FROM m)"
 _CSE = f"ce AS (SELECT *, {_strict(('interlayer_spacing', 'flake_size'))} FROM e)"
@@ -137,5 +153,8 @@ SQL = {
     "upper_median": _sql("SELECT n AS upper_median FROM (SELECT n, row_number() OVER (ORDER BY n) AS r, count(*) OVER () AS c FROM (SELECT count(*) AS n FROM e GROUP BY source_file)) WHERE r = c // 2 + 1"),
     "distinct_papers": _sql("SELECT count(DISTINCT doi) AS dois, count(DISTINCT source_file) AS papers FROM e"),
     "union_tables": _sql("SELECT role, test_type, count(*) AS n FROM (SELECT role, NULL AS test_type FROM e UNION ALL SELECT NULL, test_type FROM m) GROUP BY ALL"),
+    "informative": _sql("SELECT electrode_id, " + ", ".join(COLS) + " FROM e"),
+    "covered_features": _sql("SELECT electrode_id, " + ", ".join(COLS) + " FROM e"),
+    "first_record": _sql("SELECT source_file, electrode_id, electrode_label, role FROM (SELECT *, row_number() OVER (PARTITION BY source_file ORDER BY electrode_id) AS k FROM e) WHERE k = 1"),
     "paper_slice": _sql("SELECT source_file, electrode_id, role FROM e WHERE source_file = (SELECT source_file FROM e ORDER BY md5(source_file || ':42') LIMIT 1)"),
 }
