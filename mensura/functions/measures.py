@@ -64,6 +64,7 @@ LENIENT = {
     "ssa": ("ssa_m2_g", ((r"", 1.0),)),
     "scan_rate": ("scan_rate_mV_s", ((r"mv/s|mvs-1", 1.0), (r"v/s|vs-1", 1000.0))),
     "gravimetric_capacitance": ("capacitance_F_g", ((r"f/g|fg-1", 1.0),)),
+    "volumetric_capacitance": ("volumetric_capacitance_F_cm3", ((r"", 1.0),)),
     "areal_capacitance": ("areal_capacitance_mF_cm2", ((r"^mf", 1.0), (r"^f", 1000.0))),
 }
 CURRENT = (("current_density_A_g", r"a/g|ag-1"), ("current_density_mA_cm2", r"ma/cm2|macm-2"), ("current_density_A_cm3", r"a/cm3|acm-3"))

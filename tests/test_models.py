@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mensura.operators import regression as G
+from mensura.plans import model_queries as Q
 from mensura.plans.session import scratch
 from mensura.sources.models import load_model, save_model
 from mensura.sources.tables import require_columns, union_files
@@ -54,3 +55,29 @@ def test_columns(spark):
         require_columns(one, ["p", "r", "s"])
     assert sorted(map(tuple, union_files([one, two]).collect())) == [("a", ""), ("b", "")]
     assert G.split_dtypes(spark.range(1).select("id", F.lit("x").alias("t"))) == (["id"], ["t"])
+
+
+def test_queries_ask_for_the_whole_job(spark, monkeypatch):
+    """Every setting that the registered queries hand on; one tree is grown instead."""
+    sf, folds, fits, whole = "/root/testdata/sf0.001", [], [], G.gbt_pipeline
+
+    def oof(df, numeric, categorical, y, k, **settings):
+        folds.append((y, k, df.select("fold").distinct().count(), settings))
+        return df.withColumns({"predicted": F.col(y) / 2, "median_baseline": F.lit(1.0), "absolute_error": F.lit(1.0)})
+
+    def fit(df, numeric, categorical, y, preset="strict", **settings):
+        fits.append({**G.PRESETS[preset], **settings})
+        return whole(df, numeric, categorical, y, preset=preset, **{**settings, "maxIter": 1})
+
+    monkeypatch.setattr(G, "oof_predict", oof)
+    monkeypatch.setattr(G, "gbt_pipeline", fit)
+    got = {r.target: r for r in Q.gbt_by_target(spark, sf).collect()}
+    assert got.keys() == {"capacitance_F_g", "volumetric_capacitance_F_cm3", "areal_capacitance_mF_cm2"} and all(r.n for r in got.values())
+    assert [(y, k, n) for y, k, n, _ in folds] == [("capacitance_F_g", 5, 5), ("volumetric_capacitance_F_cm3", 5, 5), ("areal_capacitance_mF_cm2", 4, 4)]
+    assert all({**G.PRESETS[s["preset"]], **s}["maxIter"] == 400 for *_, s in folds)
+    folds.clear()
+    assert Q.gbt_holdout(spark, sf).count() == 3
+    assert len(folds) == 20 and all(k == 5 and all(s[name] in G.GRID[name] for name in G.GRID) for _, k, _, s in folds)
+    assert len({tuple(s[name] for name in G.GRID) for *_, s in folds}) == 20
+    Q.gbt_importance(spark, sf)
+    assert [f["maxIter"] for f in fits[::2]] == [400, 400] and fits[1]["maxIter"] in G.GRID["maxIter"]
