@@ -1,13 +1,19 @@
 """License scans: MinHash bands over overlapping text windows retrieve templates, exact shingle containment verifies them.
 
-Templates are a small table of notices, given as a parameter and thus bounded; they go to every task. By number of
-shingles they fall into classes of powers of two. For the class of 2 ** c, a text is covered by windows of 2 ** (c + 1)
-shingles at steps of 2 ** c, so any run of words as long as a template lies wholly within one window. A window retrieves
-the templates with which it shares a band (one least hash) of BANDS: where a window holds 0.8 of a template the Jaccard
-similarity is 0.18 at least, and a band agrees with that chance, so a match is missed with a chance below 4e-6.
-A band can agree only where the text has a template's least shingle, which a table look-up over the whole text tells
-first. What is retrieved is then verified on the words themselves: the share of the template's distinct shingles that the
-window contains must reach CONTAINMENT.
+Templates are a table of notices and of whole license texts (the files in licenses/), given as a parameter and thus bounded;
+they go to every task. By number of shingles they fall into classes of powers of two. For the class of step = 2 ** c, a text
+is covered by windows of 3 * step shingles at steps of step, so any run of 2 * step + 1 shingles, which is twice a
+template's length, lies wholly within one window. A window retrieves the templates with which it shares a band (one least
+hash) of BANDS: where a window holds 0.8 of a template the Jaccard similarity is 0.129 at least, and a band agrees with that
+chance, so a match is missed with a chance below 4e-6. A band can agree only where the text has a template's least shingle,
+which a table look-up over the whole text tells first. What is retrieved is then verified on the words themselves, in the
+window grown by a step at both ends: a match is a run of at most 2 * step shingles with the most of the template's distinct
+shingles, the shortest of equals; their share must reach CONTAINMENT, and where the template gives its license's version,
+a shingle with the version must be among them. Further runs of a template are sought beside the first.
+
+Of overlapping matches of two licenses the one of the higher containment stays, then the one with more shingles; but one
+with at most half the shingles of the other is a part of the other, and a name with a version or variant (LGPL-3.0) goes
+before the bare one (LGPL).
 
 Words are lower-cased runs without ASCII punctuation. Defined results: null and empty texts and those of under 5 words have
 no license; a text is scanned whole; repeated rows are scanned each; extra columns are ignored.
@@ -15,8 +21,10 @@ no license; a text is scanned whole; repeated rows are scanned each; extra colum
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import lru_cache
+from importlib.resources import files
 
 import numpy as np
 import pandas as pd
@@ -26,7 +34,7 @@ from pyspark.sql import functions as F
 
 SHINGLE = 5
 CONTAINMENT = 0.8
-BANDS = 64
+BANDS = 96
 
 #: Fixed values: (license, notice), as published with each license.
 TEMPLATES = (
@@ -49,7 +57,75 @@ TEMPLATES = (
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    ("MIT", "Distributed under the MIT License."),
+    ("MIT", "Available under the MIT License."),
+    ("MIT", "Published under the MIT License."),
+    ("MIT", "Provided under the MIT License."),
+    ("MIT", "Covered by the MIT License."),
+    ("MIT", "under the terms of the MIT License"),
+    ("MIT", "licensed under the MIT (Expat) License"),
+    ("Apache-2.0", "under the Apache License, Version 2.0"),
+    ("Apache-2.0", "under the Apache License 2.0"),
+    ("Apache-2.0", "under the Apache 2.0 License"),
+    ("Apache-2.0", "under the terms of the Apache License, Version 2.0"),
+    ("GPL-1.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 1, or (at your option) any later version."),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation."),
+    ("GPL-2.0", "under the GNU General Public License, version 2"),
+    ("GPL-2.0", "under version 2 of the GNU General Public License"),
+    ("GPL-2.0", "under the terms of the GNU General Public License, version 2"),
+    ("GPL-2.0", "under the GNU General Public License v2.0"),
+    ("GPL-2.0", "under the GNU General Public License v2"),
+    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License version 3 as published by the Free Software Foundation."),
+    ("GPL-3.0", "under the GNU General Public License, version 3"),
+    ("GPL-3.0", "under version 3 of the GNU General Public License"),
+    ("GPL-3.0", "under the terms of the GNU General Public License, version 3"),
+    ("GPL-3.0", "under the GNU General Public License v3.0"),
+    ("GPL-3.0", "under the GNU General Public License v3"),
+    ("LGPL-2.0", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Library General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("LGPL-2.1", "under the GNU Lesser General Public License, version 2.1"),
+    ("LGPL-2.1", "under the GNU Lesser General Public License v2.1"),
+    ("LGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("LGPL-3.0", "under the GNU Lesser General Public License, version 3"),
+    ("LGPL-3.0", "under the GNU Lesser General Public License v3.0"),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("AGPL-3.0", "under the GNU Affero General Public License, version 3"),
+    ("AGPL-3.0", "under the GNU Affero General Public License v3.0"),
+    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."),
+    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."),
+    ("BSD-2-Clause", "under the BSD 2-Clause License"),
+    ("BSD-2-Clause", "under the Simplified BSD License"),
+    ("BSD-3-Clause", "under the BSD 3-Clause License"),
+    ("BSD-3-Clause", "under the New BSD License"),
+    ("BSD", "Licensed under the BSD License."),
+    ("BSD", "Released under the BSD License."),
+    ("BSD", "Distributed under the BSD License."),
+    ("BSD", "governed by a BSD-style license"),
+    ("0BSD", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted."),
+    ("ISC", "Licensed under the ISC License."),
+    ("ISC", "Released under the ISC License."),
+    ("ISC", "Distributed under the ISC License."),
+    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions"),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0."),
+    ("EPL-1.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0 which accompanies this distribution"),
+    ("EPL-1.0", "under the Eclipse Public License, Version 1.0"),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at"),
+    ("EPL-2.0", "under the Eclipse Public License, Version 2.0"),
+    ("MPL-1.1", "The contents of this file are subject to the Mozilla Public License Version 1.1 (the License); you may not use this file except in compliance with the License."),
+    ("MPL-2.0", "under the Mozilla Public License, Version 2.0"),
+    ("MPL-2.0", "under the Mozilla Public License 2.0"),
+    ("CC0-1.0", "under the CC0 1.0 Universal Public Domain Dedication"),
+    ("CC0-1.0", "Licensed under CC0 1.0."),
+    ("CC0-1.0", "has waived all copyright and related or neighboring rights to this work"),
+    *(
+        (f"CC-{code}-{version}", text)
+        for code, words in (("BY", "Attribution"), ("BY-SA", "Attribution-ShareAlike"), ("BY-NC", "Attribution-NonCommercial"), ("BY-ND", "Attribution-NoDerivatives"), ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"), ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives"))
+        for version, form in (("2.0", "Generic"), ("3.0", "Unported"), ("4.0", "International"))
+        for text in (f"under a Creative Commons {words} {version} {form} License", f"under the Creative Commons {words} {version} License", f"under CC {code} {version}")
+    ),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    *((f.name.removesuffix(".txt"), f.read_text("utf-8")) for f in sorted(files(__package__).joinpath("licenses").iterdir(), key=lambda f: f.name)),
 )
 
 _TABLE = bytes(32 if chr(b) in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~" else b for b in range(256))
@@ -71,6 +147,18 @@ def shingle_hashes(words: list[bytes]) -> np.ndarray:
     return out
 
 
+def _with_version(name: str, shingles: set[tuple[bytes, ...]]) -> set[tuple[bytes, ...]]:
+    """The shingles of a template that give the version in its license's name, as fully as any does; none if none does."""
+    version = re.search(r"-([0-9]+)\.([0-9]+)", name)
+    if not version:
+        return set()
+    major, minor = version[1].encode(), version[2].encode()
+    for said in ((major, minor), (b"v" + major, minor), (b"version", major), (b"v" + major,)):
+        if held := {s for s in shingles if any(s[i : i + len(said)] == said for i in range(SHINGLE))}:
+            return held
+    return set()
+
+
 class Bank:
     """The templates with their bands."""
 
@@ -80,58 +168,78 @@ class Bank:
         self.odd = rng.integers(0, 2**63, BANDS, np.uint64) * np.uint64(2) + np.uint64(1)
         self.shift = rng.integers(0, 2**63, BANDS, np.uint64)
         self.shingles: list[set[tuple[bytes, ...]]] = []
+        self.versions: list[set[tuple[bytes, ...]]] = []
+        self.steps: list[int] = []
         self.bands: dict[int, list[dict[int, list[int]]]] = {}
-        seen = []
-        for at, (_, text) in enumerate(templates):
+        self.holders: dict[int, set[tuple[int, int]]] = {}  # least shingle -> its classes and bands
+        for at, (name, text) in enumerate(templates):
             words = words_of(text)
             if len(words) < SHINGLE:
                 raise ValueError(f"a template of under {SHINGLE} words: {text!r}")
             hashes = shingle_hashes(words)
             self.shingles.append({tuple(words[i : i + SHINGLE]) for i in range(len(hashes))})
-            tables = self.bands.setdefault(max(0, len(hashes) - 1).bit_length(), [{} for _ in range(BANDS)])
+            self.versions.append(_with_version(name, self.shingles[-1]))
+            c = max(0, len(hashes) - 1).bit_length()
+            self.steps.append(1 << c)
+            tables = self.bands.setdefault(c, [{} for _ in range(BANDS)])
             for k in range(BANDS):
                 values = hashes * self.odd[k] + self.shift[k]
-                seen.append(hashes[values.argmin()])
+                self.holders.setdefault(int(hashes[values.argmin()]), set()).add((c, k))
                 tables[k].setdefault(int(values.min()), []).append(at)
-        self.leasts = np.unique(np.array(seen, np.uint64))
+        self.leasts = np.sort(np.fromiter(self.holders, np.uint64, len(self.holders)))
         self.quick = np.zeros(1 << 16, bool)
         self.quick[self.leasts >> np.uint64(48)] = True
 
-    def candidates(self, hashes: np.ndarray) -> set[tuple[int, int, int]]:
-        """(first shingle, one past the last, template) of windows that share a band with a template."""
+    def candidates(self, hashes: np.ndarray, held: set[tuple[int, int]]) -> set[tuple[int, int, int]]:
+        """(first shingle, one past the last, template) of windows that share one of the bands with a template."""
         found: set[tuple[int, int, int]] = set()
-        for c, tables in self.bands.items():
-            step = 1 << c
-            heads = np.arange(0, max(1, len(hashes) - step), step)
-            for k, table in enumerate(tables):
-                blocks = np.minimum.reduceat(hashes * self.odd[k] + self.shift[k], np.arange(0, len(hashes), step))
-                least = np.minimum(blocks, np.append(blocks[1:], blocks[-1]))[: len(heads)]
-                for w in np.flatnonzero(np.isin(least, np.fromiter(table, np.uint64, len(table)))):
-                    found.update((int(heads[w]), min(int(heads[w]) + 2 * step, len(hashes)), t) for t in table[int(least[w])])
+        for c, k in held:
+            step, table = 1 << c, self.bands[c][k]
+            heads = np.arange(0, max(1, len(hashes) - 2 * step), step)
+            blocks = np.minimum.reduceat(hashes * self.odd[k] + self.shift[k], np.arange(0, len(hashes), step))
+            least = np.minimum(np.minimum(blocks, np.append(blocks[1:], blocks[-1])), np.append(blocks[2:], blocks[-2:])[: len(blocks)])[: len(heads)]
+            for w in np.flatnonzero(np.isin(least, np.fromiter(table, np.uint64, len(table)))):
+                found.update((int(heads[w]), min(int(heads[w]) + 3 * step, len(hashes)), t) for t in table[int(least[w])])
         return found
 
     def scan(self, text: str | None) -> list[tuple[str, int, int, float]]:
         """(license, first word, one past the last, containment) of each verified match; overlaps of one license are one."""
         words = words_of(text)
         hashes = shingle_hashes(words)
-        if not len(hashes) or not self.quick[hashes >> np.uint64(48)].any():
+        if not len(hashes):
             return []
-        if not np.isin(hashes[self.quick[hashes >> np.uint64(48)]], self.leasts).any():
+        near = hashes[self.quick[hashes >> np.uint64(48)]]
+        near = near[self.leasts[np.minimum(np.searchsorted(self.leasts, near), len(self.leasts) - 1)] == near]
+        if not len(near):
             return []
-        return self.verify(words, self.candidates(hashes))
+        # a band agrees only where the template's least shingle stands in the text
+        windows = self.candidates(hashes, set().union(*(self.holders[int(h)] for h in np.unique(near))))
+        return self.verify(words, windows) if windows else []
 
     def verify(self, words: list[bytes], windows: set[tuple[int, int, int]]) -> list[tuple[str, int, int, float]]:
+        n = len(words) - SHINGLE + 1
+        by_template: dict[int, list[list[int]]] = {}
+        for t, a, b in sorted((t, max(0, a - self.steps[t]), min(n, b + self.steps[t])) for a, b, t in windows):
+            parts = by_template.setdefault(t, [])
+            if parts and a <= parts[-1][1]:
+                parts[-1][1] = max(b, parts[-1][1])
+            else:
+                parts.append([a, b])
+        where: dict[tuple[bytes, ...], list[int]] = {}
+        for i in range(n):
+            where.setdefault(tuple(words[i : i + SHINGLE]), []).append(i)
+        found = []
+        for t, parts in by_template.items():
+            places = sorted((i, s) for s in self.shingles[t] if s in where for i in where[s])
+            for a, b in parts:
+                found += ((*run, t) for run in self.runs([p for p in places if a <= p[0] < b], t))
         spans: dict[str, list[tuple[int, int, float]]] = {}
-        for a, b, t in windows:
-            wanted = self.shingles[t]
-            at = [(i, s) for i in range(a, b) if (s := tuple(words[i : i + SHINGLE])) in wanted]
-            share = len({s for _, s in at}) / len(wanted)
-            if share >= CONTAINMENT:
-                spans.setdefault(self.names[t], []).append((at[0][0], at[-1][0] + SHINGLE, share))
+        for a, b, k, t in self.chosen(found):
+            spans.setdefault(self.names[t], []).append((a, b, k / len(self.shingles[t])))
         out = []
-        for name, found in spans.items():
+        for name, own in spans.items():
             merged: list[list] = []
-            for a, b, share in sorted(found):
+            for a, b, share in sorted(own):
                 if merged and a < merged[-1][1]:
                     merged[-1][1:] = [max(b, merged[-1][1]), max(share, merged[-1][2])]
                 else:
@@ -139,6 +247,42 @@ class Bank:
             out += [(name, a, b, share) for a, b, share in merged]
         return sorted(out, key=lambda x: (x[1], x[0]))
 
+    def runs(self, places: list[tuple[int, tuple[bytes, ...]]], t: int) -> list[tuple[int, int, int]]:
+        """Disjoint runs that hold enough of a template, the fullest first: (first word, one past the last, distinct shingles)."""
+        least, most, version = CONTAINMENT * len(self.shingles[t]), 2 * self.steps[t], self.versions[t]
+        out, todo = [], [places]
+        while todo:
+            part = todo.pop()
+            if len(part) < least:
+                continue
+            held: dict[tuple[bytes, ...], int] = {}
+            best, left = None, 0
+            for right, (i, s) in enumerate(part):
+                held[s] = held.get(s, 0) + 1
+                while i - part[left][0] > most or held[part[left][1]] > 1:
+                    held[part[left][1]] -= 1
+                    if not held[part[left][1]]:
+                        del held[part[left][1]]
+                    left += 1
+                rank = (len(held), part[left][0] - i)
+                if len(held) >= least and (best is None or rank > best[0]) and (not version or not version.isdisjoint(held)):
+                    best = (rank, left, right)
+            if best:
+                (k, _), left, right = best
+                out.append((part[left][0], part[right][0] + SHINGLE, k))
+                todo += [part[:left], part[right + 1 :]]
+        return out
+
+    def chosen(self, found: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
+        """Of overlapping matches of two licenses the one that is nearer to its template, or of which the other is a part."""
+        kept: list[tuple[int, int, int, int]] = []
+        for m in sorted(found, key=lambda m: (-m[2] / len(self.shingles[m[3]]), -m[2], m[0], m[3])):
+            rivals = [k for k in kept if m[0] < k[1] and k[0] < m[1] and self.names[k[3]] != self.names[m[3]]]
+            wins = lambda k: self.names[m[3]].startswith(f"{self.names[k[3]]}-") or 2 * k[2] <= m[2] and not self.names[k[3]].startswith(f"{self.names[m[3]]}-")  # noqa: B023, E731
+            if all(map(wins, rivals)):
+                kept = [k for k in kept if k not in rivals] + [m]
+        return kept
+
 
 @lru_cache(maxsize=4)
 def bank(templates: tuple[tuple[str, str], ...]) -> Bank:

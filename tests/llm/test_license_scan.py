@@ -45,3 +45,35 @@ def test_corners(spark):
     got = sorted((r["doc_id"] or 0, [m["license"] for m in r["matches"]]) for r in license_scan(df).collect())
     assert got == [(0, ["MIT"]), (1, []), (2, []), (2, []), (4, ["CC-BY-NC-4.0"])]
     assert license_scan(df.limit(0)).count() == 0
+
+
+GNU = "This program is free software{} you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by the Free Software Foundation{} either version {} of the License, or (at your option) any later version."
+
+
+def test_neighbours_keep_their_names():
+    """Notices that are no templates: with a word changed, with a program's name, short ones in other words."""
+    notices = {
+        "GPL-2.0": GNU.format(";", "", ";", 2).replace("This program", "Ouenha"),
+        "GPL-3.0": GNU.format(":", "", ",", 3).replace("This program", "Ouenha"),
+        "LGPL-3.0": GNU.format(":", "Lesser ", ",", 3).replace("This program", "Ouenha"),
+        "AGPL-3.0": GNU.format(":", "Affero ", ",", 3).replace("This program", "Ouenha"),
+        "LGPL-2.1": GNU.format(";", "Lesser ", ";", 2.1).replace("This program", "This library"),
+        "MIT": "The code is distributed under the MIT License, see the file.",
+        "Apache-2.0": "Made available to all under the Apache License, Version 2.0, as is.",
+        "CC-BY-3.0": "The figures are under a Creative Commons Attribution 3.0 Unported License.",
+        "EPL-2.0": "Offered under the Eclipse Public License, Version 2.0, to all.",
+    }
+    for name, text in notices.items():
+        assert {n for n, *_ in BANK.scan(f"One two three. {text} Four five six.")} == {name}
+    both = BANK.scan(f"{notices['GPL-2.0']} {notices['AGPL-3.0']}")
+    assert [n for n, *_ in both] == ["GPL-2.0", "AGPL-3.0"] and both[0][2] <= both[1][1]
+    assert BANK.scan(GNU.format(";", "", ";", 9)) == []  # no such version
+
+
+def test_whole_texts():
+    whole = {name: text for name, text in TEMPLATES if len(text.split()) > 900}
+    assert {"GPL-2.0", "GPL-3.0", "LGPL-2.0", "LGPL-2.1", "LGPL-3.0", "Apache-2.0", "MPL-2.0", "CC0-1.0"} <= whole.keys()
+    for name, text in whole.items():
+        words = text.split()
+        words[::150] = ["changed"] * len(words[::150])
+        assert [n for n, *_ in BANK.scan(" ".join(words))] == [name]
