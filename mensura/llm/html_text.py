@@ -7,7 +7,7 @@ the ambiguous blocks inherit the label of their nearest decided neighbours withi
 there is none). Blocks of an article with no decided neighbour are its text.
 
 Defined results: a null or empty page, and one without a good block, has the empty text; a page of any length is read
-whole; tags that are never closed end with what they stand in; repeated rows are read each; extra columns are ignored.
+whole; tags that are never closed end with what they stand in, but those of RAW with the page; formulas are text; repeated rows are read each; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,8 +34,11 @@ STOP_WORDS = frozenset(
 #: Fixed values of the HTML standard.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe template svg math xmp noembed noframes object canvas select audio video".split())
-BOILERPLATE = frozenset("nav footer aside form menu dialog button fieldset head".split())
+RAW = frozenset("script style textarea title xmp".split())  # their content is no markup, up to the end tag or the end of the page
+FOREIGN = frozenset(("svg", "math"))  # '/>' closes them
+#: What stands in these is not shown, or only where they fail.
+UNSEEN = frozenset("annotation annotation-xml noscript iframe template svg noembed noframes object canvas select audio video".split())
+BOILERPLATE = UNSEEN | frozenset("nav footer aside form menu dialog button fieldset head".split())
 SCOPES = frozenset(("article", "main"))
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 #: Words in a class or an id that mark what is not the article.
@@ -47,6 +50,7 @@ MARKS = frozenset(
 _WRAPS = frozenset(("html", "body", "article", "main"))
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z/][^>]*\Z""", re.DOTALL)
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_CLOSED = re.compile(r"""(?:^|[\s"'])/\s*$""")
 _EDGE = re.compile(r"^\W+|\W+$")
 _P_ENDS = BLOCKS - {"body", "html", "head", "title", "option", "optgroup", "li", "td", "th", "tr", "dd", "dt", "caption", "tbody", "thead", "tfoot"}
 
@@ -86,26 +90,31 @@ def blocks_of(page: str) -> list[Block]:
     text: list[str] = []
     linked: list[str] = []
     stack: list[tuple[str, bool, int]] = []  # tag, whether its content is bad, number of its article or 0
-    scopes = links = 0
+    scopes = links = unseen = 0
 
     def flush() -> None:
         if text:
             whole = " ".join(_html.unescape("".join(text)).split())
             if whole:
-                _, bad, scope = stack[-1] if stack else ("", False, 0)
+                # the text stands before what is not shown
+                top = next(i for i, s in enumerate(stack) if s[0] in UNSEEN) if unseen else len(stack)
+                _, bad, scope = stack[top - 1] if top else ("", False, 0)
                 n = len(" ".join(_html.unescape("".join(linked)).split())) if linked else 0
                 found.append(Block(whole, n, bad, scope))
             text.clear()
             linked.clear()
 
     def say(piece: str) -> None:
+        if unseen:
+            return
         text.append(piece)
         if links:
             linked.append(piece)
 
     def pop(at: int) -> None:
-        nonlocal links
+        nonlocal links, unseen
         links -= sum(tag == "a" for tag, _, _ in stack[at:])
+        unseen -= sum(tag in UNSEEN for tag, _, _ in stack[at:])
         del stack[at:]
 
     at = 0
@@ -121,23 +130,30 @@ def blocks_of(page: str) -> list[Block]:
         if not tag:
             continue
         if m[1] or m[4]:
-            if tag in BLOCKS:
+            if tag in BLOCKS and not unseen:
                 flush()
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == tag:
+                    if unseen and tag in BLOCKS and any(t in UNSEEN for t, _, _ in stack[i:]):
+                        flush()
                     pop(i)
                     break
                 if stack[i][0] in SCOPES and tag not in _WRAPS:
                     break
             continue
+        closed = (tag in FOREIGN or tag in UNSEEN or any(t in FOREIGN for t, _, _ in stack)) and _CLOSED.search(m[3] or m[6] or "")
+        if closed:
+            if tag in FOREIGN or tag in UNSEEN:
+                say(" ")
+            continue
         if tag in RAW:
-            if tag in BLOCKS:
+            if tag in BLOCKS and not unseen:
                 flush()
             end = re.compile(rf"</{tag}\s*/?>", re.IGNORECASE).search(page, at)
             at = end.end() if end else len(page)
             text.append(" ")
             continue
-        if tag in BLOCKS:
+        if tag in BLOCKS and not unseen:
             flush()
             if tag in _P_ENDS and any(t == "p" for t, _, _ in stack[-6:]):
                 pop(max(i for i, s in enumerate(stack) if s[0] == "p"))
@@ -154,6 +170,9 @@ def blocks_of(page: str) -> list[Block]:
             if not scope:
                 scopes += 1
                 scope = scopes
+        if tag in UNSEEN:
+            say(" ")
+            unseen += 1
         stack.append((tag, bad or own, scope))
         if tag == "a":
             links += 1

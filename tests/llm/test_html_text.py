@@ -44,3 +44,19 @@ def test_corners(spark):
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
     assert sorted((r["page_id"], r["n_chars"]) for r in extract(df).collect()) == [(1, 0), (2, 539999), (2, 539999)]
     assert extract(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        *((f"<article><p>One <{tag}/>two</p><p>Three</p></article>", "One two Three") for tag in ("svg class='x' ", "math", "canvas", "iframe src='x' ")),
+        *((f"<article><p>One <{tag}>no</p><p>Two</p></article>", "One Two") for tag in ("object data=x", "video", "select", "svg", "noscript")),
+        *((f"<article><p>One <{tag}>no<div>no</div><p>no</p>no</{tag}> two</p><p>Three</p></article>", "One two Three") for tag in ("object", "video", "canvas", "noscript", "template")),
+        ("<article><p>One <svg viewBox='0 0 1 1'><title>no</title><title/><path d='x'/><text>no</text></svg> two</p><p>Three</p></article>", "One two Three"),
+        ("<article><p>So <math><mi>x</mi><mo>=</mo><mspace/><mn>1</mn><annotation>x=1</annotation></math> holds</p></article>", "So x=1 holds"),
+        ("<article><p>One</p><script>no</p><p>no", "One"),
+    ],
+)
+def test_unseen(page, text):
+    """What is not shown ends with its end tag, with '/>' or with what it stands in."""
+    assert main_text(page) == text
