@@ -77,3 +77,12 @@ def test_whole_texts():
         words = text.split()
         words[::150] = ["changed"] * len(words[::150])
         assert [n for n, *_ in BANK.scan(" ".join(words))] == [name]
+
+
+def test_inserted_words_at_every_offset():
+    """A notice made longer by a line of its own is found wherever it starts."""
+    notice = next(text for name, text in TEMPLATES if name == "BSD" and "Redistribution and use" in text).split()
+    longer = [*notice[:16], *(f"c{i}" for i in range(22)), *notice[16:]]
+    for offset in range(64):
+        [(name, start, stop, share)] = BANK.scan(" ".join([*(f"w{i}" for i in range(offset)), *longer, "x " * 200]))
+        assert (name, start, stop) == ("BSD", offset, offset + len(words_of(" ".join(longer)))) and 0.9 < share < 1, offset
