@@ -36,7 +36,7 @@ BASE = {
 WIDE = {
     "email": (r"[A-Za-z0-9._%+-]{1,64}\x20?[(\[](?i:at)[)\]]\x20?[A-Za-z0-9-]{1,64}(?:\.[A-Za-z]{2,24}){1,4}", r"(?i)[(\[]at[)\]]", r"\.[A-Za-z]{2,6}$", r"(?i)\.(?:com|org|net|edu|info|de|fr|es)$", r"(?i)\b(?:e-?mail|mail|contact|write|kontakt|correo|courriel)\b"),
     "iban": (r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", r"[A-Z]{2}[0-9]{2}", r"^[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}", r"^(?:DE|FR|ES|GB|IT|NL|AT|BE|CH|PL|PT|IE)", r"(?i)\b(?:iban|account|konto|compte|cuenta|bank)\b"),
-    "name": (r"(?<![A-Za-z])(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Sra|Sr)\.?\x20[A-Z][a-z]{1,30}(?:\x20[A-Z][a-z]{1,30})?", r"(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Sra|Sr)\.?\x20[A-Z]", r"\.\x20[A-Z][a-z]+\x20[A-Z][a-z]+$", r"\b(?:James|John|Mary|Anna|Peter|Maria|Paul|Laura|Thomas|Michael|Sarah|David|Juan|Jean|Hans|Marie|Emma|Lucas)\b", r"(?i)\b(?:name|dear|signed|by|contact|patient|customer)\b"),
+    "name": (r"(?<!\p{L})(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Sra|Sr)\.?\x20\p{Lu}[\p{L}\p{M}]{1,30}(?:\x20\p{Lu}[\p{L}\p{M}]{1,30})?", r"(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Sra|Sr)\.?\x20\p{Lu}", r"\.\x20\p{Lu}[\p{L}\p{M}]+\x20\p{Lu}[\p{L}\p{M}]+$", r"\b(?:James|John|Mary|Anna|Peter|Maria|Paul|Laura|Thomas|Michael|Sarah|David|Juan|Jean|Hans|Marie|Emma|Lucas)\b", r"(?i)\b(?:name|dear|signed|by|contact|patient|customer)\b"),
     "phone": (r"(?<![0-9+().-])(?:\([0-9]{3}\)|[0-9]{3})[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9-])", r"[0-9]{3}[\x20.-][0-9]{4}", r"^(?:\([2-9][0-9]{2}\)\x20|[2-9][0-9]{2}-)[0-9]{3}-[0-9]{4}$", r"\b555[\x20.-][0-9]{4}$", r"(?i)\b(?:phone|tel|call|mobile|cell|fax|telefon|llame|appelez)\b"),
     "secret": (r"(?<![A-Za-z0-9])(?i:token|password|passwd|secret|api[_-]?key|access[_-]?key)\x20?[=:]\x20?\"?[A-Za-z0-9+/_-]{12,512}\"?", r"(?i)(?:token|pass|secret|key)", r"[=:]\x20?\"?[0-9a-f]{16,}\"?$", r"(?i)^(?:token|password|secret|api)", r"(?i)\b(?:export|config|env|auth|login|credentials)\b"),
     "ssn": (r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])", r"[0-9]-[0-9]{2}-[0-9]", r"^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}$", r"^[0-7]", r"(?i)\b(?:ssn|social|security|insurance|versicherung)\b"),

@@ -5,7 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from mensura.llm.pii import BASE, joined, op7_pii, pii_spans, reliabilities
+from mensura.llm.pii import BASE, found, joined, op7_pii, pii_spans, reliabilities
 
 PLAIN = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
@@ -75,3 +75,13 @@ def test_corners(spark):
     got = sorted((r["doc_id"] or 0, r["n_ip"], len(r["spans"])) for r in pii_spans(df).collect())
     assert got == [(0, 0, 0), (1, 0, 0), (2, 0, 0), (2, 0, 0), (4, 0, 0), (5, 3000, 3000)]
     assert pii_spans(df.limit(0)).count() == 0
+
+
+def test_names_with_accents(spark):
+    """Whole names in German, French and Spanish, also where accents are signs of their own."""
+    names = ["Herr Müller", "Frau Schäfer", "Sra. Núñez", "Mme Élodie Lefèvre", "Dr. A\u0301ngel Pe\u0301rez", "Mr Smith"]
+    rows = [(i, f"gestern schrieb {n}, und {n} kam") for i, n in enumerate(names)] + [(99, "éMr Smith, Herr müller")]
+    extra = {r["doc_id"]: [(c["start"], c["stop"]) for c in r["extra"] if c["kind"] == "name"] for r in found(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, n in enumerate(names):
+        assert extra[i] == [(16, 16 + len(n)), (22 + len(n), 22 + 2 * len(n))], n
+    assert extra[99] == []
