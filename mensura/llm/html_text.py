@@ -1,19 +1,24 @@
 """HTML extraction by two-pass block rules.
 
 A page is cut into blocks at block-level tags. The first pass labels each block on its own: bad where its place says so
-(menus, headers, footers, sidebars, forms, notices, adverts, comments, by tag, role, class or id) or its words are mostly
-links; good where it is long and has the density of function words that prose has; else near or short. In the second pass
-the ambiguous blocks inherit the label of their nearest decided neighbours within the same article (or the same page where
-there is none). Blocks of an article with no decided neighbour are its text.
-
-Defined results: a null or empty page, and one without a good block, has the empty text; a page of any length is read
-whole; tags that are never closed end with what they stand in, but those of RAW with the page; formulas are text; repeated rows are read each; extra columns are ignored.
+(menus, headers, footers, sidebars, forms, notices, adverts, comments, by tag or role) or its words are mostly links; good
+where it is long and reads as prose, by the density of function words or, in languages whose words are not listed, by
+sentence marks; else near or short. Words in a class or an id vote: where all parts of a name speak of what is not the
+article ("cookie-notice"), its element is bad; where one part does ("social-science"), or where the name is an article's or
+main's own, the element is bad only if most of the page's prose lies outside it. In the second pass the ambiguous blocks
+inherit the label of their nearest decided neighbours within the same article (or the same page where there is none).
+Blocks of an article with no decided neighbour are its text.
+
+Defined results: a null or empty page, and one without a good block, has the empty text; a page of any length or depth is
+read whole, in time linear in its length; tags that are never closed end with what they stand in, but those of RAW with the
+page; inline tags part no words; formulas are text; repeated rows are read each; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import html as _html
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
@@ -22,7 +27,9 @@ from pyspark.sql import functions as F
 
 SHORT, LONG = 70, 200  # characters
 LINKS, LINKS_INSIDE = 0.3, 0.6  # share of characters in links from which a block is bad, and within an article
-STOPS_LOW, STOPS_HIGH = 0.12, 0.25
+STOPS_LOW, STOPS_HIGH = 0.12, 0.25  # share of function words from which a text may be, and is, prose
+SENTENCE = (20, 500)  # characters of a sentence in prose without listed words
+LETTERS = 0.6  # their least share there
 
 #: Common function words of English, German, French and Spanish.
 STOP_WORDS = frozenset(
@@ -35,6 +42,7 @@ STOP_WORDS = frozenset(
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp".split())  # their content is no markup, up to the end tag or the end of the page
+_RAW_ENDS = {tag: re.compile(rf"</{tag}\s*/?>", re.IGNORECASE) for tag in RAW}
 FOREIGN = frozenset(("svg", "math"))  # '/>' closes them
 #: What stands in these is not shown, or only where they fail.
 UNSEEN = frozenset("annotation annotation-xml noscript iframe template svg noembed noframes object canvas select audio video".split())
@@ -47,76 +55,128 @@ MARKS = frozenset(
     "notification sidebar menu nav navbar navigation breadcrumb breadcrumbs masthead footer comment comments commentlist disqus reply replies respond "
     "share sharing social related recommended recommendations newsletter subscribe signup login popup modal overlay pagination pager widget toolbar topbar".split()
 )
+#: Words that say nothing beside those of MARKS.
+_PLAIN = frozenset(
+    "area bar block body bottom box button buttons col column container content entry fixed footer form group header icon icons inner item items left link links list "
+    "main media module page panel post posts primary region right row secondary section site slot small stories story text top unit wrap wrapper articles".split()
+)
+_NEGATED = frozenset(("no", "with", "has", "without"))
+_SENTENCE = re.compile(r"[.!?;:…][\"'”’»)\]]*(?:\s|\Z)|[。！？；।؟۔።]")
+_DENSE = re.compile(r"[\u0e00-\u0eff\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af]")  # scripts in which a sign says more than a letter
+_BOUNDS = frozenset("button caption html object select table td template th".split())  # a paragraph outside is not ended inside
+_OUTER = frozenset(("nav", "header", "head", "form", "menu", "body", "html"))
 _WRAPS = frozenset(("html", "body", "article", "main"))
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z/][^>]*\Z""", re.DOTALL)
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _CLOSED = re.compile(r"""(?:^|[\s"'])/\s*$""")
 _EDGE = re.compile(r"^\W+|\W+$")
-_P_ENDS = BLOCKS - {"body", "html", "head", "title", "option", "optgroup", "li", "td", "th", "tr", "dd", "dt", "caption", "tbody", "thead", "tfoot"}
+_P_ENDS = BLOCKS - {"body", "html", "head", "title", "option", "optgroup", "td", "th", "tr", "caption", "tbody", "thead", "tfoot"}
 
 
 class Block:
-    __slots__ = ("text", "links", "bad", "scope", "label")
+    """A run of text: its characters in links, whether its place is bad, the number of its article or 0, the innermost element
+    around it whose name votes, or 0."""
+
+    __slots__ = ("text", "links", "bad", "scope", "mark", "label", "_prose")
+
+    def __init__(self, text: str, links: int, bad: bool, scope: int, mark: int):
+        self.text, self.links, self.bad, self.scope, self.mark, self.label, self._prose = text, links, bad, scope, mark, "", None
 
-    def __init__(self, text: str, links: int, bad: bool, scope: int):
-        self.text, self.links, self.bad, self.scope, self.label = text, links, bad, scope, ""
+    def prose(self) -> int:
+        if self._prose is None:
+            self._prose = _prose(self.text)
+        return self._prose
 
 
 def _attributes(source: str) -> dict[str, str]:
     return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(source)} if source.strip(" /") else {}
 
 
-def _marked(tag: str, at: dict[str, str], inside: bool) -> bool:
-    """Whether the element holds what is not the article."""
+def _placed(tag: str, at: dict[str, str], inside: bool) -> bool:
+    """Whether tag, role or style say that the element holds what is not the article."""
     if tag in BOILERPLATE or tag == "header" and not inside:
         return True
-    if not at:
-        return False
-    if at.get("role", "").lower() in ROLES or "hidden" in at or at.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", at.get("style", "")):
-        return True
-    if tag in ("html", "body", "main"):
-        return False
-    for name in ("class", "id"):
-        for value in at.get(name, "").lower().split():
-            words = re.split(r"[^a-z0-9]+", value)
-            if MARKS & set(words) and not {"no", "with", "has", "without"} & set(words):
-                return True
-    return False
-
-
-def blocks_of(page: str) -> list[Block]:
-    """The blocks of a page in order, with the characters that stand in links."""
+    return bool(at) and (at.get("role", "").lower() in ROLES or "hidden" in at or at.get("aria-hidden") == "true" or bool(re.search(r"display\s*:\s*none", at.get("style", ""))))
+
+
+def _named(tag: str, at: dict[str, str]) -> int:
+    """What class and id say: 0 nothing, 1 perhaps not the article, 2 not the article."""
+    most = 0
+    if at and tag not in ("html", "body"):
+        for name in ("class", "id"):
+            for value in at.get(name, "").lower().split():
+                words = {w for w in re.split(r"[^a-z]+", value) if w}
+                if MARKS & words and not _NEGATED & words:
+                    most = max(most, 2 if words <= MARKS | _PLAIN and tag not in SCOPES else 1)
+    return most
+
+
+class Stack:
+    """Open elements: (tag, whether its content is bad, number of its article or 0, number of the innermost named element or 0).
+
+    Where elements of each tag and kind stand is kept beside, so that no step walks down.
+    """
+
+    def __init__(self) -> None:
+        self.open: list[tuple[str, bool, int, int]] = []
+        self.at: dict[str, list[int]] = defaultdict(list)
+        self.unseen: list[int] = []
+        self.scopes: list[int] = []
+        self.bounds: list[int] = []
+        self.inner_bad = self.foreign = 0
+
+    def push(self, tag: str, bad: bool, scope: int, mark: int) -> None:
+        n = len(self.open)
+        self.open.append((tag, bad, scope, mark))
+        self.at[tag].append(n)
+        for kind, where in ((UNSEEN, self.unseen), (SCOPES, self.scopes), (_BOUNDS, self.bounds)):
+            if tag in kind:
+                where.append(n)
+        self.inner_bad += bad and tag not in _OUTER
+        self.foreign += tag in FOREIGN
+
+    def cut(self, n: int) -> None:
+        """Close the elements from the n-th on."""
+        while len(self.open) > n:
+            tag, bad, _, _ = self.open.pop()
+            self.at[tag].pop()
+            for kind, where in ((UNSEEN, self.unseen), (SCOPES, self.scopes), (_BOUNDS, self.bounds)):
+                if tag in kind:
+                    where.pop()
+            self.inner_bad -= bad and tag not in _OUTER
+            self.foreign -= tag in FOREIGN
+
+    def last(self, tag: str) -> int:
+        return self.at[tag][-1] if self.at.get(tag) else -1
+
+
+def blocks_of(page: str) -> tuple[list[Block], list[tuple[int, int]]]:
+    """The blocks of a page in order, and the named elements from 1: (the named one around it, its vote)."""
     found: list[Block] = []
+    named: list[tuple[int, int]] = [(0, 0)]
     text: list[str] = []
     linked: list[str] = []
-    stack: list[tuple[str, bool, int]] = []  # tag, whether its content is bad, number of its article or 0
-    scopes = links = unseen = 0
+    stack, scopes = Stack(), 0
 
     def flush() -> None:
         if text:
             whole = " ".join(_html.unescape("".join(text)).split())
             if whole:
                 # the text stands before what is not shown
-                top = next(i for i, s in enumerate(stack) if s[0] in UNSEEN) if unseen else len(stack)
-                _, bad, scope = stack[top - 1] if top else ("", False, 0)
+                top = stack.unseen[0] if stack.unseen else len(stack.open)
+                _, bad, scope, mark = stack.open[top - 1] if top else ("", False, 0, 0)
                 n = len(" ".join(_html.unescape("".join(linked)).split())) if linked else 0
-                found.append(Block(whole, n, bad, scope))
+                found.append(Block(whole, n, bad, scope, mark))
             text.clear()
             linked.clear()
 
     def say(piece: str) -> None:
-        if unseen:
+        if stack.unseen:
             return
         text.append(piece)
-        if links:
+        if stack.at.get("a"):
             linked.append(piece)
 
-    def pop(at: int) -> None:
-        nonlocal links, unseen
-        links -= sum(tag == "a" for tag, _, _ in stack[at:])
-        unseen -= sum(tag in UNSEEN for tag, _, _ in stack[at:])
-        del stack[at:]
-
     at = 0
     while True:
         m = _TOKEN.search(page, at)
@@ -130,75 +190,102 @@ def blocks_of(page: str) -> list[Block]:
         if not tag:
             continue
         if m[1] or m[4]:
-            if tag in BLOCKS and not unseen:
+            if tag in BLOCKS and not stack.unseen:
                 flush()
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    if unseen and tag in BLOCKS and any(t in UNSEEN for t, _, _ in stack[i:]):
-                        flush()
-                    pop(i)
-                    break
-                if stack[i][0] in SCOPES and tag not in _WRAPS:
-                    break
+            i = stack.last(tag)
+            if i >= 0 and (tag in _WRAPS or not stack.scopes or i > stack.scopes[-1]):
+                if tag in BLOCKS and stack.unseen and stack.unseen[-1] >= i:
+                    flush()
+                stack.cut(i)
             continue
-        closed = (tag in FOREIGN or tag in UNSEEN or any(t in FOREIGN for t, _, _ in stack)) and _CLOSED.search(m[3] or m[6] or "")
-        if closed:
-            if tag in FOREIGN or tag in UNSEEN:
-                say(" ")
+        source = m[3] or m[6] or ""
+        if (stack.foreign or tag in FOREIGN or tag in UNSEEN) and _CLOSED.search(source):
             continue
         if tag in RAW:
-            if tag in BLOCKS and not unseen:
+            if tag in BLOCKS and not stack.unseen:
                 flush()
-            end = re.compile(rf"</{tag}\s*/?>", re.IGNORECASE).search(page, at)
+            end = _RAW_ENDS[tag].search(page, at)
             at = end.end() if end else len(page)
-            text.append(" ")
+            if tag == "textarea":
+                say(" ")
             continue
-        if tag in BLOCKS and not unseen:
+        if tag in BLOCKS and not stack.unseen:
             flush()
-            if tag in _P_ENDS and any(t == "p" for t, _, _ in stack[-6:]):
-                pop(max(i for i, s in enumerate(stack) if s[0] == "p"))
-        elif tag in ("br", "img", "input"):
-            text.append(" ")
+            i = stack.last("p")
+            if tag in _P_ENDS and i >= 0 and not (stack.bounds and stack.bounds[-1] > i):
+                stack.cut(i)
+        elif tag in ("br", "input"):
+            say(" ")
         if tag in VOID:
             continue
-        _, bad, scope = stack[-1] if stack else ("", False, 0)
-        own = _marked(tag, _attributes(m[3] or m[6] or ""), scope > 0)
+        _, bad, scope, mark = stack.open[-1] if stack.open else ("", False, 0, 0)
+        attributes = _attributes(source)
+        own = _placed(tag, attributes, scope > 0)
+        if vote := _named(tag, attributes):
+            named.append((mark, vote))
+            mark = len(named) - 1
         if tag in SCOPES:
             # an article within a menu or header that was never closed is no part of it; one among comments or teasers is
-            outer = {t for t, b, _ in stack if b}
-            bad = bad and bool(outer - {"nav", "header", "head", "form", "menu", "body", "html"})
+            bad = bad and stack.inner_bad > 0
             if not scope:
                 scopes += 1
                 scope = scopes
-        if tag in UNSEEN:
-            say(" ")
-            unseen += 1
-        stack.append((tag, bad or own, scope))
-        if tag == "a":
-            links += 1
+        stack.push(tag, bad or own, scope, mark)
     flush()
-    return found
+    return found, named
 
 
-def _stop_share(text: str) -> float:
+def _prose(text: str) -> int:
+    """2 where a text reads as prose, 1 where it may, 0 where nothing says so."""
     words = text.split()
-    return sum(_EDGE.sub("", w).lower() in STOP_WORDS for w in words) / max(1, len(words))
+    stops = sum(_EDGE.sub("", w).lower() in STOP_WORDS for w in words) / max(1, len(words))
+    if stops >= STOPS_HIGH:
+        return 2
+    # without listed words, sentences tell: two or more, of usual length
+    sentences = len(_SENTENCE.findall(text))
+    size = len(text) + 2 * len(_DENSE.findall(text))
+    if sentences >= 2 and SENTENCE[0] <= size / sentences <= SENTENCE[1] and sum(map(str.isalpha, text)) >= LETTERS * len(text):
+        return 2
+    return 1 if stops >= STOPS_LOW or sentences else 0
+
+
+def _vote(blocks: list[Block], named: list[tuple[int, int]]) -> None:
+    """Blocks are bad within an element whose name is sure, and within one whose name is not if most of the page's prose lies
+    outside it; but prose within an article is bad by no such name."""
+    if len(named) == 1:
+        return
+    sure, prose, whole = [False], [0] * len(named), 0
+    for outer, vote in named[1:]:
+        sure.append(sure[outer] or vote == 2)
+    for b in blocks:
+        if not (b.bad or sure[b.mark]) and b.links <= LINKS * len(b.text) and len(b.text) >= SHORT and b.prose() == 2:
+            whole += len(b.text)
+            prose[b.mark] += len(b.text)
+    for i in range(len(named) - 1, 0, -1):  # elements come after those around them
+        prose[named[i][0]] += prose[i]
+    bad = [False]
+    for i in range(1, len(named)):
+        bad.append(sure[i] or bad[named[i][0]] or 2 * prose[i] < whole)
+    for b in blocks:
+        if bad[b.mark] and (sure[b.mark] or not b.scope or b.prose() < 2):
+            b.bad = True
 
 
 def _first_pass(blocks: list[Block]) -> None:
     articles = any(b.scope and not b.bad for b in blocks)
     for b in blocks:
-        share = b.links / len(b.text)
-        if b.bad or articles and not b.scope or share > (LINKS_INSIDE if b.scope else LINKS):
+        size = len(b.text)
+        if b.bad or articles and not b.scope or b.links > (LINKS_INSIDE if b.scope else LINKS) * size:
             b.label = "bad"
-        elif len(b.text) < SHORT:
+        elif size < SHORT and not _DENSE.search(b.text):
             b.label = "short"
-        elif (stops := _stop_share(b.text)) >= STOPS_HIGH and len(b.text) >= LONG:
-            b.label = "good"
-        elif stops >= STOPS_LOW or b.scope:
-            b.label = "near"
         else:
-            b.label = "bad"
+            sure = b.prose() == 2 and size + 2 * len(_DENSE.findall(b.text)) >= LONG
+            b.label = "good" if sure else "near"
+    if not any(b.label == "good" for b in blocks):  # where no block is long, shorter prose decides
+        for b in blocks:
+            if b.label == "near" and b.prose() == 2:
+                b.label = "good"
 
 
 def _votes(b: Block) -> bool:
@@ -229,7 +316,8 @@ def _second_pass(blocks: list[Block]) -> None:
 
 
 def main_text(page: str | None) -> str:
-    blocks = blocks_of(page or "")
+    blocks, named = blocks_of(page or "")
+    _vote(blocks, named)
     _first_pass(blocks)
     _second_pass(blocks)
     return " ".join(b.text for b in blocks if b.label == "good")

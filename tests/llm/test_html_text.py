@@ -1,5 +1,6 @@
 import html
 import re
+import time
 
 import pytest
 
@@ -39,6 +40,40 @@ def test_rules(page, text):
     assert main_text(page) == text
 
 
+RUSSIAN = "Утром в городе шёл дождь, и люди стояли у дверей. Потом вышло солнце, и дети побежали к реке. Старый рыбак молча смотрел на воду и думал о доме. Вечером все собрались у огня и слушали его рассказ."
+CHINESE = "清晨的城市下着小雨,人们站在门口等待。后来太阳出来了,孩子们跑向河边。老渔夫默默地看着水面,想着远方的家。晚上大家围坐在火边,听他讲年轻时的故事,直到夜深。"
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f"<article class='social-science'><p>{LONG}</p></article>", LONG),
+        (f"<div class='comment-policy related-work'><p>{LONG}</p></div>", LONG),
+        (f"<article><p>{LONG}</p><section class=related-work><p>{LONG}</p></section></article>", f"{LONG} {LONG}"),
+        (f"<div><p>{LONG}</p><p>{LONG}</p></div><div class=comment-thread-x><p>{LONG}</p></div>", f"{LONG} {LONG}"),
+        (f"<div><p>{LONG}</p></div><div class=comment-list><p>{LONG}</p><p>{LONG}</p></div><div id=ad-slot-2>{LONG}</div>", LONG),
+        (f"<ul><li><a href=1>Главная</a></li><li><a href=2>Новости города и области</a></li></ul><div><h1>Дождь</h1><p>{RUSSIAN}</p></div><footer>{RUSSIAN}</footer>", f"Дождь {RUSSIAN}"),
+        (f"<nav><a href=1>首页</a></nav><div><p>{CHINESE}</p><p>{CHINESE}</p></div>", f"{CHINESE} {CHINESE}"),
+        (f"<div><p>{LONG}</p><table><tr><td>{'12.5 ' * 20}</td></tr></table><p>{LONG}</p></div>", f"{LONG} {'12.5 ' * 20}{LONG}"),
+        ("<article><p>foo<img src=x>bar foo<script>x</script>bar foo<svg/>bar fo<b>o</b>bar<br>x</p></article>", "foobar foobar foobar foobar x"),
+        (f"<article><p>{LONG}{'<b><i><u>' * 9} x<div>y</div></article>", f"{LONG} x y"),
+        (f"<article><p>One<table><tr><td><p>Two<td><p>Three</table>Four</article>", "One Two Three Four"),
+        ("<article><ul><li><p>One<li><p>Two</ul></article>", "One Two"),
+    ],
+)
+def test_kept(page, text):
+    """No name, language, number or nesting loses text of the article."""
+    assert main_text(page) == text
+
+
+@pytest.mark.parametrize("page", ["<div>" * 200_000 + "x" + "</p></span>" * 200_000, "<div class=social-x>" * 50_000 + "</i>" * 50_000, "<article>" * 60_000 + "<p>x", "<nav><ul>" + "<li><article><svg>" * 30_000, "<p><b>" * 100_000])
+def test_linear(page):
+    """Deep and stray tags cost no more than others."""
+    began = time.process_time()
+    main_text(page)
+    assert time.process_time() - began < 10
+
+
 def test_corners(spark):
     rows = [(1, None, None, "t"), (2, "u", "<p>" + "the a of " * 60000, "t"), (2, "u", "<p>" + "the a of " * 60000, "t")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
