@@ -11,16 +11,17 @@ in the state that the words before it lead to.
 
 The model grows with the corpus, so no task holds it. A scan packs documents into blocks of about BLOCK characters as they
 come, so that repeated rows and hot sources spread as they lie in the files, and writes them as a table. A task sends, for
-each block, its distinct n-grams as sorted 64-bit hashes with their counts in training, packed by ranges of the hash; a task
+each block, its distinct n-grams as sorted hashes with their counts in training, packed by ranges of the hash; a task
 for each range adds the counts up and sends each block back the totals in the order it asked for; a task with the block's
 documents and totals builds the block's part of the automaton and traverses its documents. A block asks once for an n-gram,
 so frequent words weigh no more than rare ones.
 
 Sizes: a message holds the n-grams of one block, order and range; empty ones are not sent. There are a range for RANGE
-characters of the corpus, MOST_RANGES at most, so messages grow with the corpus and not with its square: 30 GB make 3,750
-blocks of up to 3 x 3,750 messages of about 300 n-grams, 1 TB 125,000 blocks of 3 x 4,096. Beyond 32 GB the ranges grow
+characters of the corpus, MOST_RANGES at most, so messages grow with the corpus and not with its square: 30 GB make 7,500
+blocks of up to 3 x 1,875 messages of about 300 n-grams, 1 TB 250,000 blocks of 3 x 4,096. Beyond 64 GB the ranges grow
 instead; a range is added up in parts of PART n-grams, for which a task holds some 20 bytes an n-gram of its range (0.7 GB
-at 1 TB; raise MOST_RANGES or the executors beyond). (Two of n n-grams share a hash with a chance of n ** 2 / 2 ** 65.)
+at 1 TB; raise MOST_RANGES or the executors beyond). Of n n-grams in the corpus, a share of about n / 2 ** BITS has its hash in
+common with another and is counted with it: one in 10 ** 7 at 30 GB, one in 10 ** 4 at 100 TB.
 
 Defined results: null texts count as empty and score the end alone; a null doc_id counts as the empty string under the
 checksum; repeated rows count and are scored each; extra columns are ignored; an empty table gives an empty result.
@@ -42,17 +43,26 @@ from pyspark.sql import functions as F
 from .common import cut
 from .slots import Slots
 
-BLOCK = 8_000_000  # characters in a block of documents
-RANGE = 8_000_000  # characters of the corpus for each range of hashes
+BLOCK = 4_000_000  # characters in a block of documents
+RANGE = 16_000_000  # characters of the corpus for each range of hashes
 MOST_RANGES = 4096
-PART = 4_000_000  # n-grams of a range that are added up at once
+PART = 2_000_000  # n-grams of a range that are added up at once
 MU = (20.0, 1.0)  # weights of the priors of orders two, three, ...
+BITS = 56  # of a hash
 SPAN = 512  # tokens of a text that are traversed in one go
 FOLDS, HELD_OUT = 7, 2
 END = 0  # the end's number among a block's words; its hash is that of no word
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
+class Numbers(dict):
+    """Words by the order in which they are met."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = number = len(self)
+        return number
+
+
 class Tokens:
     """A block's documents as numbers of its words, and its distinct n-grams of each order.
 
@@ -60,16 +70,15 @@ class Tokens:
     """
 
     def __init__(self, texts: Sequence[bytes], order: int):
-        number: dict[bytes, int] = {b" ": END}
-        parts, lengths = [], []
+        number = Numbers({b" ": END})
+        ids: list[np.ndarray] = []
         for text in texts:
             words = text.lower().split()  # of bytes: A-Z only, and just the contract's white space
-            ids = [number.setdefault(w, len(number)) for w in words]
-            ids.append(END)
-            parts.append(np.array(ids, np.int32))
-            lengths.append(len(ids))
-        self.lengths = np.array(lengths, np.int64)
-        self.tokens = np.concatenate(parts) if parts else np.empty(0, np.int32)
+            words.append(b" ")
+            ids.append(np.fromiter(map(number.__getitem__, words), np.int32, len(words)))
+        self.lengths = np.array(list(map(len, ids)), np.int64)
+        self.tokens = np.concatenate(ids) if ids else np.empty(0, np.int32)
+        del ids
         self.starts = np.cumsum(self.lengths) - self.lengths
         at = np.arange(len(self.tokens)) - np.repeat(self.starts, self.lengths)  # place in the text
         self.words = len(number)
@@ -96,8 +105,9 @@ class Tokens:
             else:
                 lower = hashes
             # n-grams in the order of their hashes, which both passes over a block share
-            self.order.append(np.argsort(lower))
-            self.hashes.append(lower[self.order[k]])
+            sent = lower >> np.uint64(64 - BITS)
+            self.order.append(np.argsort(sent, kind="stable"))
+            self.hashes.append(sent[self.order[k]])
 
     def counts(self, k: int, train: np.ndarray) -> np.ndarray:
         """Occurrences in training documents, in the order of hashes."""
@@ -150,7 +160,7 @@ def _texts(block) -> list[bytes]:
 
 def _sent(batches: Iterator[pd.DataFrame], ranges: int, order: int) -> Iterator[pd.DataFrame]:
     """Blocks -> their n-grams by order and range: (part, block, hashes, counts, tokens)."""
-    edges = np.array([(i << 64) // ranges for i in range(1, ranges)], np.uint64)
+    edges = np.array([(i << BITS) // ranges for i in range(1, ranges)], np.uint64)
     for b in batches:
         for block in b.to_dict("records"):
             t, train = Tokens(_texts(block), order), np.array(block["train"], bool)
