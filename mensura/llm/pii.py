@@ -6,13 +6,16 @@ context before it; each says yes, no or nothing. Expectation-maximisation over t
 reliable each labeler is and how likely each pattern marks personal data; with these as soft labels, a naive Bayes
 classifier over span features and votes is trained, and its verdict decides which candidates are spans.
 
-Pass one counts cells (votes and features of a candidate; their number is bounded by the labelers and features, not by the
-data) over all documents; they are all the driver sees. Pass two is one projection with the classifier's weights as literals.
-Neither moves a text, so no key can be hot.
-
-Patterns are written so that Java matches them in linear time (possessive loops, and starts only where a run begins).
-Positions come from the pieces between matches. Defined results: null and empty texts have no span; repeated rows are read
-each; texts are read whole; extra columns are ignored; where there are no candidates, base spans alone are returned.
+One scan of the texts writes the spans and candidates, without the texts. From that table the cells (votes and features of a
+candidate; their number is bounded by the labelers and features, not by the data) are counted over all documents; they are
+all the driver sees. Then one projection of the table has the classifier's weights as literals. Nothing moves a text, so no
+key can be hot.
+
+Patterns are written so that Java matches them in linear time (possessive loops, and starts only where a run begins), with
+no bound on what a format leaves open. Positions are running sums over the pieces between matches, and overlaps are found
+from running extremes over all spans in order; both run in chunks, so a text of many matches costs little more than its
+length. Defined results: null and empty texts have no span; repeated rows are read each; texts are read whole; extra columns
+are ignored; where there are no candidates, base spans alone are returned.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from collections import defaultdict
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import cut, text_of
 
 #: The contract's patterns: what they match is what the plain forms match, from left to right.
 BASE = {
@@ -34,16 +37,18 @@ BASE = {
 }
 #: Kinds beyond the base: pattern, quick test, strict pattern of the value, gazetteer of the value or just before it, cues before it.
 WIDE = {
-    "email": (r"[A-Za-z0-9._%+-]{1,64}\x20?[(\[](?i:at)[)\]]\x20?[A-Za-z0-9-]{1,64}(?:\.[A-Za-z]{2,24}){1,4}", r"(?i)[(\[]at[)\]]", r"\.[A-Za-z]{2,6}$", r"(?i)\.(?:com|org|net|edu|info|de|fr|es)$", r"(?i)\b(?:e-?mail|mail|contact|write|kontakt|correo|courriel)\b"),
+    "email": (r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20?[(\[](?i:at)[)\]]\x20?[A-Za-z0-9-]++(?:\.[A-Za-z]{2,}+)++", r"(?i)[(\[]at[)\]]", r"\.[A-Za-z]{2,6}$", r"(?i)\.(?:com|org|net|edu|info|de|fr|es)$", r"(?i)\b(?:e-?mail|mail|contact|write|kontakt|correo|courriel)\b"),
     "iban": (r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", r"[A-Z]{2}[0-9]{2}", r"^[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}", r"^(?:DE|FR|ES|GB|IT|NL|AT|BE|CH|PL|PT|IE)", r"(?i)\b(?:iban|account|konto|compte|cuenta|bank)\b"),
-    "name": (r"(?<!\p{L})(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Sra|Sr)\.?\x20\p{Lu}[\p{L}\p{M}]{1,30}(?:\x20\p{Lu}[\p{L}\p{M}]{1,30})?", r"(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Sra|Sr)\.?\x20\p{Lu}", r"\.\x20\p{Lu}[\p{L}\p{M}]+\x20\p{Lu}[\p{L}\p{M}]+$", r"\b(?:James|John|Mary|Anna|Peter|Maria|Paul|Laura|Thomas|Michael|Sarah|David|Juan|Jean|Hans|Marie|Emma|Lucas)\b", r"(?i)\b(?:name|dear|signed|by|contact|patient|customer)\b"),
+    "name": (r"(?<!\p{L})(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Sra|Sr)\.?\x20\p{Lu}[\p{L}\p{M}]++(?:\x20\p{Lu}[\p{L}\p{M}]++)?", r"(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Sra|Sr)\.?\x20\p{Lu}", r"\.\x20\p{Lu}[\p{L}\p{M}]+\x20\p{Lu}[\p{L}\p{M}]+$", r"\b(?:James|John|Mary|Anna|Peter|Maria|Paul|Laura|Thomas|Michael|Sarah|David|Juan|Jean|Hans|Marie|Emma|Lucas)\b", r"(?i)\b(?:name|dear|signed|by|contact|patient|customer)\b"),
     "phone": (r"(?<![0-9+().-])(?:\([0-9]{3}\)|[0-9]{3})[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9-])", r"[0-9]{3}[\x20.-][0-9]{4}", r"^(?:\([2-9][0-9]{2}\)\x20|[2-9][0-9]{2}-)[0-9]{3}-[0-9]{4}$", r"\b555[\x20.-][0-9]{4}$", r"(?i)\b(?:phone|tel|call|mobile|cell|fax|telefon|llame|appelez)\b"),
-    "secret": (r"(?<![A-Za-z0-9])(?i:token|password|passwd|secret|api[_-]?key|access[_-]?key)\x20?[=:]\x20?\"?[A-Za-z0-9+/_-]{12,512}\"?", r"(?i)(?:token|pass|secret|key)", r"[=:]\x20?\"?[0-9a-f]{16,}\"?$", r"(?i)^(?:token|password|secret|api)", r"(?i)\b(?:export|config|env|auth|login|credentials)\b"),
+    "secret": (r"(?<![A-Za-z0-9])(?i:token|password|passwd|secret|api[_-]?key|access[_-]?key)\x20?[=:]\x20?\"?[A-Za-z0-9+/_-]{12,}+\"?", r"(?i)(?:token|pass|secret|key)", r"[=:]\x20?\"?[0-9a-f]{16,}\"?$", r"(?i)^(?:token|password|secret|api)", r"(?i)\b(?:export|config|env|auth|login|credentials)\b"),
     "ssn": (r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])", r"[0-9]-[0-9]{2}-[0-9]", r"^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}$", r"^[0-7]", r"(?i)\b(?:ssn|social|security|insurance|versicherung)\b"),
 }
 AGAINST = r"(?i)\b(?:version|page|isbn|figure|table|order|article|chapter)\b"
 CONTEXT = 40  # characters before a span
 KINDS = (*BASE, *sorted(k for k in WIDE if k not in BASE))
+CHUNK = 64  # elements that a running total takes up at once
+PIECE = 1024  # characters in which a text is cut up for contexts
 LABELERS = ("regex", "gazetteer", "context")
 ROUNDS = 50
 
@@ -52,27 +57,55 @@ def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def running(values: Column, step) -> Column:
+    """step over all values up to each, for an array of ints: within chunks, then with what the chunks before come to."""
+    grow = lambda a, x: F.concat(a, F.array(F.coalesce(step(F.try_element_at(a, F.lit(-1)), x), x)))
+    none = F.array().cast("array<int>")
+
+    def chunks(v: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.floor((F.size(v) - 1) / CHUNK).cast("int"))
+        return F.transform(starts, lambda c: F.aggregate(F.slice(v, c * CHUNK + 1, F.lit(CHUNK)), none, grow))
+
+    def whole(parts: Column) -> Column:
+        ends = F.aggregate(F.transform(parts, lambda p: F.element_at(p, -1)), none, grow)
+        return _let(ends, lambda e: F.flatten(F.transform(parts, lambda p, i: F.when(i == 0, p).otherwise(F.transform(p, lambda x: step(F.element_at(e, i), x))))))
+
+    return _let(values, lambda v: F.when(F.size(v) > 0, _let(chunks(v), whole)).otherwise(none))
+
+
 def matches(text: Column, pattern: str, quick: str) -> Column:
     """The matches of a pattern from left to right: array of (start, stop, value), in code points."""
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    placed = lambda h: _let(
-        F.transform(F.split(text, pattern, -1), lambda p: F.length(p)),
-        lambda gaps: F.aggregate(
-            h,
-            F.struct(F.lit(0).alias("at"), F.lit(0).alias("i"), F.array().cast("array<struct<start:int,stop:int,value:string>>").alias("out")),
-            lambda a, x: _let(
-                a["at"] + F.element_at(gaps, a["i"] + 1),
-                lambda s: F.struct(
-                    (s + F.length(x)).alias("at"), (a["i"] + 1).alias("i"), F.concat(a["out"], F.array(F.struct(s.alias("start"), (s + F.length(x)).alias("stop"), x.alias("value")))).alias("out")
-                ),
-            ),
-            lambda a: a["out"],
-        ),
-    )
+
+    def placed(h: Column) -> Column:
+        steps = F.transform(F.split(text, pattern, -1), lambda p: F.length(p))
+        ends = _let(steps, lambda gaps: running(F.transform(h, lambda x, i: F.get(gaps, i) + F.length(x)), lambda a, x: a + x))
+        return _let(ends, lambda e: F.transform(h, lambda x, i: F.struct((F.get(e, i) - F.length(x)).alias("start"), F.get(e, i).alias("stop"), x.alias("value"))))
+
     none = F.array().cast("array<struct<start:int,stop:int,value:string>>")
     return F.when(text.rlike(quick), _let(hits, lambda h: F.when(F.size(h) > 0, placed(h)).otherwise(none))).otherwise(none)
 
 
+def apart(spans: Column, base: Column) -> Column:
+    """The spans (kind, start, stop, value) that overlap none of base (start, stop, ...).
+
+    In order of starts, a span overlaps one that begins no later if the furthest stop so far lies beyond its start, and one
+    that begins later if the next start lies before its stop.
+    """
+    none = F.lit(None)
+    flat = lambda s, own: F.struct(s["start"].alias("start"), F.lit(own).alias("own"), s["stop"].alias("stop"), *((s[c] if own else none.cast(t)).alias(c) for c, t in (("kind", "int"), ("value", "string"))))
+    ordered = F.sort_array(F.concat(F.transform(base, lambda s: flat(s, False)), F.transform(spans, lambda s: flat(s, True))))
+
+    def whole(e: Column) -> Column:
+        furthest = running(F.transform(e, lambda x: F.when(x["own"], F.lit(-1)).otherwise(x["stop"])), lambda a, x: F.greatest(a, x))
+        following = F.reverse(running(F.reverse(F.transform(e, lambda x: F.when(x["own"], F.lit(2**31 - 1)).otherwise(x["start"]))), lambda a, x: F.least(a, x)))
+        both = F.struct(furthest.alias("upto"), following.alias("from"))
+        free = lambda b: F.filter(e, lambda x, i: x["own"] & (F.get(b["upto"], i) <= x["start"]) & (F.get(b["from"], i) >= x["stop"]))
+        return F.transform(_let(both, free), lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["stop"].alias("stop"), x["value"].alias("value")))
+
+    return F.when((F.size(spans) == 0) | (F.size(base) == 0), spans).otherwise(_let(ordered, whole))
+
+
 def _luhn(digits: Column) -> Column:
     each = F.transform(F.regexp_extract_all(F.reverse(digits), F.lit("[0-9]"), F.lit(0)), lambda d, i: _let(d.cast("int") * F.when(i % 2 == 1, 2).otherwise(1), lambda v: F.when(v > 9, v - 9).otherwise(v)))
     return F.aggregate(each, F.lit(0), lambda a, x: a + x) % 10 == 0
@@ -99,43 +132,57 @@ def base_spans(text: Column) -> dict[str, Column]:
 
 def candidates(text: Column, base: Column) -> Column:
     """Candidates of all wide patterns that overlap no base span: (kind, start, stop, votes, features)."""
+    names = list(WIDE)
+    labelled = lambda i: lambda m: F.struct(F.lit(i).alias("kind"), m["start"].alias("start"), m["stop"].alias("stop"), m["value"].alias("value"))
+    wide = F.concat(*(F.transform(matches(text, *WIDE[k][:2]), labelled(i)) for i, k in enumerate(names)))
+
+    def of_kind(m: Column, make) -> Column:
+        out = F.when(m["kind"] == 0, make(*WIDE[names[0]][2:]))
+        for i, k in enumerate(names[1:], 1):
+            out = out.when(m["kind"] == i, make(*WIDE[k][2:]))
+        return out
+
+    def voted(m: Column, pieces: Column) -> Column:
+        # of the two pieces of text up to where the span begins: to count from the text's start for each would be quadratic
+        at = F.floor(m["start"] / PIECE).cast("int")
+        near = F.concat(F.coalesce(F.get(pieces, at - 1), F.lit("")), F.get(pieces, at))
+        begin = m["start"] - F.greatest(at - 1, F.lit(0)) * PIECE
+        before = F.substring(near, F.greatest(begin - CONTEXT + 1, F.lit(1)), F.least(begin, F.lit(CONTEXT)))
+        yes = lambda c: F.when(c, F.lit("y"))
+
+        def whole(ctx: Column) -> Column:
+            value = m["value"]
+            votes = of_kind(
+                m,
+                lambda strict, gazetteer, cues: F.concat(
+                    yes(value.rlike(strict)).otherwise(F.lit("n")), yes(value.rlike(gazetteer)).otherwise(F.lit("-")), yes(ctx.rlike(cues)).when(ctx.rlike(AGAINST), F.lit("n")).otherwise(F.lit("-"))
+                ),
+            )
+            kind = F.element_at(F.array(*map(F.lit, names)), m["kind"] + 1)
+            digits = F.floor(4 * F.length(F.regexp_replace(value, "[^0-9]", "")) / F.length(value)).cast("string")
+            edge = lambda c: F.when(c.rlike("[A-Za-z0-9]"), "w").when(c.rlike(r"[#$%&*]"), "s").otherwise("o")
+            features = F.array(
+                F.concat(F.lit("kind="), kind),
+                F.concat(kind, F.lit(" length="), F.least(F.lit(4), F.floor(F.length(value) / 8)).cast("string")),
+                F.concat(kind, F.lit(" digits="), digits),
+                F.concat(F.lit("before="), edge(F.substring(ctx, -1, 1))),
+            )
+            return F.struct(kind.alias("kind"), m["start"].alias("start"), m["stop"].alias("stop"), votes.alias("votes"), features.alias("features"))
 
-    def one(kind: str) -> Column:
-        pattern, quick, strict, gazetteer, cues = WIDE[kind]
-        apart = lambda m: ~F.exists(base, lambda b: (b["start"] < m["stop"]) & (m["start"] < b["stop"]))
-
-        def voted(m: Column) -> Column:
-            before = F.substring(text, F.greatest(m["start"] - CONTEXT + 1, F.lit(1)), F.least(m["start"], F.lit(CONTEXT)))
-            yes = lambda c: F.when(c, F.lit("y"))
-
-            def whole(ctx: Column) -> Column:
-                votes = F.concat(
-                    yes(m["value"].rlike(strict)).otherwise(F.lit("n")),
-                    yes(m["value"].rlike(gazetteer)).otherwise(F.lit("-")),
-                    yes(ctx.rlike(cues)).when(ctx.rlike(AGAINST), F.lit("n")).otherwise(F.lit("-")),
-                )
-                value = m["value"]
-                digits = F.floor(4 * F.length(F.regexp_replace(value, "[^0-9]", "")) / F.length(value)).cast("string")
-                edge = lambda c: F.when(c.rlike("[A-Za-z0-9]"), "w").when(c.rlike(r"[#$%&*]"), "s").otherwise("o")
-                features = F.array(
-                    F.lit(f"kind={kind}"),
-                    F.concat(F.lit(f"{kind} length="), F.least(F.lit(4), F.floor(F.length(value) / 8)).cast("string")),
-                    F.concat(F.lit(f"{kind} digits="), digits),
-                    F.concat(F.lit("before="), edge(F.substring(ctx, -1, 1))),
-                )
-                return F.struct(F.lit(kind).alias("kind"), m["start"].alias("start"), m["stop"].alias("stop"), votes.alias("votes"), features.alias("features"))
-
-            return _let(before, whole)
+        return _let(before, whole)
 
-        return F.transform(F.filter(matches(text, pattern, quick), apart), voted)
+    def all_voted(w: Column) -> Column:
+        pieces = F.when(F.size(w) > 0, F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)))
+        return _let(pieces, lambda p: F.transform(apart(w, base), lambda m: voted(m, p)))
 
-    return F.concat(*(one(k) for k in WIDE))
+    return _let(wide, all_voted)
 
 
 def found(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, email, ip, card, phone, extra): base spans by kind and the candidates."""
+    """(doc_id, email, ip, card, phone, extra): base spans by kind, each (start, stop), and the candidates."""
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), text_of(text).alias("text"))
-    rows = rows.select("doc_id", "text", *(v.alias(k) for k, v in base_spans(F.col("text")).items()))
+    bare = lambda spans: F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop")))
+    rows = rows.select("doc_id", "text", *(bare(v).alias(k) for k, v in base_spans(F.col("text")).items()))
     base = F.concat(*(F.col(k) for k in BASE))
     return rows.select("doc_id", *BASE, candidates(F.col("text"), base).alias("extra"))
 
@@ -191,7 +238,7 @@ def _score(c: Column, weights: dict[str, float]) -> Column:
 
 def pii_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, a count per base kind, base and all spans (arrays of kind, start, stop, by kind and start)."""
-    rows = found(docs, doc_id, text)
+    rows = cut(found(docs, doc_id, text), "spans")
     cells = [(r["votes"], list(r["features"]), r["n"]) for r in cells_of(rows).collect()]  # as many as labelers and features allow
     weights = classifier(cells)
     named = lambda spans, kind: F.transform(spans, lambda s: F.struct(F.lit(KINDS.index(kind)).alias("order"), s["start"].alias("start"), s["stop"].alias("stop")))

@@ -1,11 +1,14 @@
 import hashlib
 import re
+import time
+from collections import Counter
 
+import regex
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from mensura.llm.pii import BASE, found, joined, op7_pii, pii_spans, reliabilities
+from mensura.llm.pii import AGAINST, BASE, CONTEXT, KINDS, LABELERS, WIDE, classifier, found, joined, op7_pii, pii_spans, reliabilities
 
 PLAIN = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
@@ -85,3 +88,59 @@ def test_names_with_accents(spark):
     for i, n in enumerate(names):
         assert extra[i] == [(16, 16 + len(n)), (22 + len(n), 22 + 2 * len(n))], n
     assert extra[99] == []
+
+
+def all_plainly(texts):
+    """Base and added spans of each text, by plain loops: candidates, votes, features, the classifier of all their counts."""
+    has = lambda p, x: regex.search(p, x) is not None
+    base, extra = {}, {}
+    for k, text in texts.items():
+        text = text or ""
+        base[k] = [(KINDS.index(s.split(":")[0]), *map(int, s.split(":")[1:])) for s in brute(text)]
+        extra[k] = []
+        for kind, (pattern, _, strict, gazetteer, cues) in WIDE.items():
+            for m in regex.finditer(pattern, text):
+                if any(a < m.end() and m.start() < b for _, a, b in base[k]):
+                    continue
+                x, ctx = m[0], text[max(0, m.start() - CONTEXT) : m.start()]
+                votes = ("y" if has(strict, x) else "n") + ("y" if has(gazetteer, x) else "-") + ("y" if has(cues, ctx) else "n" if has(AGAINST, ctx) else "-")
+                edge = "w" if has("[A-Za-z0-9]", ctx[-1:]) else "s" if has("[#$%&*]", ctx[-1:]) else "o"
+                digits = 4 * len(re.sub("[^0-9]", "", x)) // len(x)
+                features = (f"kind={kind}", f"{kind} length={min(4, len(x) // 8)}", f"{kind} digits={digits}", f"before={edge}")
+                extra[k].append((KINDS.index(kind), m.start(), m.end(), votes, features))
+    cells = Counter((c[3], c[4]) for cs in extra.values() for c in cs)
+    weights = classifier([(v, list(f), n) for (v, f), n in cells.items()])
+
+    def sure(votes, features):
+        return weights[""] + sum(weights.get(f, 0.0) for f in (*features, *(f"{a}={v}" for a, v in zip(LABELERS, votes, strict=True)))) > 0
+
+    return {k: ",".join(f"{KINDS[i]}:{a}:{b}" for i, a, b in sorted(base[k] + [c[:3] for c in extra[k] if sure(*c[3:])])) for k in texts}
+
+
+def test_added_spans_against_plain_loops(spark):
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    got = {r["doc_id"]: r["spans"] for r in op7_pii(spark, sf).collect()}
+    assert got == all_plainly(texts)
+    assert sum(s.startswith("secret") or ",secret" in s for s in got.values()) > 5
+
+
+def test_overlaps(spark):
+    """Candidates beside, within and around base spans, in texts of many of both."""
+    texts = {1: "+1 415 555 0123 (415) 555-0123 a [at] b.com x@y.org 123-45-6789 10.1.2.3 " * 40, 2: "token = abcdefabcdef123456@x.com secret=1.2.3.4aaaaaaaaaaaaaaa 4111111111111111 078-05-1120 " * 30, 3: "password: " + "f" * 615, 4: "m" * 70 + "(at)mail.example.org"}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"] for r in pii_spans(df).select("doc_id", joined("spans").alias("spans")).collect()}
+    assert got == all_plainly(texts)
+    extra = {r["doc_id"]: [(c["start"], c["stop"]) for c in r["extra"]] for r in found(df).collect()}
+    assert extra[3] == [(0, 625)] and extra[4] == [(0, 90)]  # whole, however long
+
+
+def test_many_matches(spark):
+    """200,000 base spans and as many candidates in one text."""
+    text = "1.2.3.4 078-05-1120 " * 200_000
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    began = time.time()
+    r = pii_spans(df).select("n_ip", F.size("spans").alias("n")).first()
+    assert (r["n_ip"], r["n"]) == (200_000, 400_000)
+    assert time.time() - began < 60
