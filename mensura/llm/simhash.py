@@ -7,6 +7,10 @@
 3. Within a bucket, hamming.Index finds what lies within the distance and gives a spanning forest, never all pairs.
 4. components() joins the forests; a class takes the smallest doc_id of its component, and rows get it by their fingerprint.
 
+Hot keys: a fingerprint that a third of all rows share is one class; its rows are dealt over SALTS parts, aggregated by part
+first, and get their component by a join on fingerprint and part. A component's links are dealt likewise. Joining raises an
+error after components.MAX_ROUNDS rounds, which the logarithm of a component's size does not reach.
+
 Defined results: null counts as empty; a text without words has fingerprint zero, which links like any other; repeated
 rows and ties share one component; a null doc_id never names a component unless it has no other; extra columns are ignored.
 """
@@ -31,6 +35,7 @@ SHINGLE = 3
 SEED = 42
 DISTANCE = 2
 HOT = 8192  # fingerprints in a bucket before it is routed by more bits
+SALTS = 64  # parts that the rows of one fingerprint are dealt over
 _ROWS = 255  # summed in 8 bits without overflow
 
 
@@ -151,13 +156,16 @@ def near_links(prints: DataFrame, most: int = DISTANCE, hot: int = HOT) -> DataF
 
 def simhash_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", most: int = DISTANCE, hot: int = HOT) -> DataFrame:
     """One row per row of docs: doc_id, fingerprint (16 hex digits), component_id."""
-    rows = cut(fingerprints(docs, doc_id, text), "prints")
-    classes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
+    salted = fingerprints(docs, doc_id, text).withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+    rows = cut(salted, "prints")  # the salt is fixed once it is written
+    parts = cut(rows.groupBy("fp", "salt").agg(F.min("doc_id").alias("least")), "parts")
+    classes = cut(parts.groupBy("fp").agg(F.min("least").alias("least")), "classes")
     roots = components(near_links(classes.select("fp"), most, hot))
     classes = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = classes.groupBy("root").agg(F.min("least").alias("component_id"))
     named = classes.select("fp", "root").join(least, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = parts.select("fp", "salt").join(named, "fp")
+    return rows.join(named, ["fp", "salt"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
