@@ -10,6 +10,9 @@ a seeded order of its documents until the target is met to the word; the last of
 order is a hash of seed and id. To place a document in it without one task for one source, hashes are dealt
 into BUCKETS ranges: a running sum within (source, range) plus the summed ranges before it.
 
+Sizes are taken in one scan, which is written once. Windows over sources hold a row a source; sources are few. A range of a
+hot source is one task's: BUCKETS, a parameter and a power of 16, bounds it at the source's rows / BUCKETS.
+
 Only DataFrame functions are used. Defined results: a null text has size 0; null is a source of its own, last
 in order; empty sources get target 0; ties in hash order fall back to id and size; repeated rows are separate
 documents; extra columns are ignored; an empty table gives an empty result.
@@ -17,15 +20,17 @@ documents; extra columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, text_of
+from .common import WORD, cut, text_of
 
 MAX_EPOCHS = 3
 SEED = 7
-BUCKETS = 256  # two hex digits of the hash
+BUCKETS = 4096  # three hex digits of the hash
 
 
 def sized(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: int = SEED) -> DataFrame:
@@ -63,9 +68,9 @@ def targets(sources: DataFrame, weight=default_weight, max_epochs: int = MAX_EPO
     return rows.select("source", "source_size", F.least(F.col("cap"), F.col("weight") * F.coalesce(open_level, F.lit(float("inf")))).alias("target"))
 
 
-def mixed(rows: DataFrame, max_epochs: int = MAX_EPOCHS) -> DataFrame:
+def mixed(rows: DataFrame, max_epochs: int = MAX_EPOCHS, buckets: int = BUCKETS) -> DataFrame:
     """rows of sized() with source_size, target and taken."""
-    bucket = F.substring("key", 1, 2)
+    bucket = F.substring("key", 1, round(math.log(buckets, 16)))
     rows = rows.withColumn("bucket", bucket)
     parts = rows.groupBy("source", "bucket").agg(F.sum("size").alias("part"))
     total = targets(parts.groupBy("source").agg(F.sum("part").alias("source_size")), max_epochs=max_epochs)
@@ -87,9 +92,9 @@ def mixed(rows: DataFrame, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     return rows.select("doc_id", "source", "size", "source_size", "target", whole.alias("epochs"), more.cast("long").alias("more"), (whole * F.col("size") + more).cast("long").alias("taken"))
 
 
-def mix_sources(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: int = SEED, max_epochs: int = MAX_EPOCHS) -> DataFrame:
+def mix_sources(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: int = SEED, max_epochs: int = MAX_EPOCHS, buckets: int = BUCKETS) -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, epochs (whole repetitions), more (words of the fractional one), taken."""
-    return mixed(sized(docs, doc_id, text, source, seed), max_epochs)
+    return mixed(cut(sized(docs, doc_id, text, source, seed), "sizes"), max_epochs, buckets)
 
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
