@@ -22,16 +22,14 @@ STOP_WORDS = (
     "le la les de et des un une du en que qui dans pour par sur au est pas avec "
     "el los las y se con no para su del una lo por"
 ).split()
-#: The threshold table: (rule, ratio, least, most); a text passes if every ratio lies within.
+#: The threshold table: (rule, ratio, least, most, words from which it holds); a text passes if every ratio lies within.
 RULES = (
-    ("word length", "mean_word_chars", 2.0, 12.0),
-    ("symbols per word", "symbol_ratio", 0.0, 0.1),
-    ("stop words per word", "stop_ratio", 0.02, 1.0),
-    ("repeated lines per line", "dup_line_ratio", 0.0, 0.6),
-    ("words a text", "n_words", 10, None),
+    ("word length", "mean_word_chars", 2.0, 12.0, 0),
+    ("symbols per word", "symbol_ratio", 0.0, 0.1, 0),
+    ("stop words per word", "stop_ratio", 0.02, None, 50),
+    ("repeated lines per line", "dup_line_ratio", 0.0, 0.6, 0),
+    ("words a text", "n_words", 10, None, 0),
 )
-#: Texts below this length are too short for the rule on stop words.
-STOP_LEAST_WORDS = 50
 
 
 def _let(value: Column, body) -> Column:
@@ -88,14 +86,14 @@ def metrics(text: Column) -> dict[str, Column]:
 def verdict(rules: tuple = RULES) -> Column:
     """The threshold table as one expression over the columns named in it."""
     out = F.lit(True)
-    for _, ratio, least, most in rules:
+    for _, ratio, least, most, words in rules:
         value = F.col(ratio)
         test = F.lit(True)
         if least is not None:
             test = test & (value >= least)
         if most is not None:
             test = test & (value <= most)
-        out = out & F.coalesce(test, F.lit(False))
+        out = out & ((F.col("n_words") < words) | F.coalesce(test, F.lit(False)))
     return out
 
 
@@ -112,7 +110,7 @@ def quality_rules(docs: DataFrame, text: str = "text", rules: tuple = RULES) ->
         "n_repeat_words": F.col("__m.words.rep").cast("long"),
         "mean_word_chars": F.col("__m.word_chars") / F.greatest(n, F.lit(1)),
         "symbol_ratio": F.col("__m.n_symbols") / F.greatest(n, F.lit(1)),
-        "stop_ratio": F.when(n < STOP_LEAST_WORDS, F.lit(1.0)).otherwise(F.col("__m.words.stop") / F.greatest(n, F.lit(1))),
+        "stop_ratio": F.col("__m.words.stop") / F.greatest(n, F.lit(1)),
         "dup_line_ratio": F.col("__m.lines.dup") / F.greatest(lines, F.lit(1)),
     }
     out = beside(ready, new).drop("__m")
@@ -146,7 +144,7 @@ f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_fail
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
   CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
   NOT base_failed AND word_chars / n1 BETWEEN 2 AND 12 AND n_symbols / n1 <= 0.1
-    AND (n_words < {STOP_LEAST_WORDS} OR n_stop / n1 >= 0.02) AND n_dup_lines / greatest(n_lines, 1) <= 0.6 AS kept
+    AND (n_words < 50 OR n_stop / n1 >= 0.02) AND n_dup_lines / greatest(n_lines, 1) <= 0.6 AS kept
 FROM f"""
 
 

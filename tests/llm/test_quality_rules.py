@@ -3,7 +3,7 @@
 import re
 from collections import Counter
 
-from mensura.llm.quality_rules import COLUMNS, RULES, STOP_LEAST_WORDS, STOP_WORDS, quality_rules
+from mensura.llm.quality_rules import COLUMNS, RULES, STOP_WORDS, quality_rules
 
 KIND = "doc_id long, text string, N_words string, kept string, other string"
 
@@ -20,7 +20,7 @@ def plain(text):
     stops = sum("".join(c for c in w if c.isalpha()).lower() in STOP_WORDS for w in words)
     failed = n < 10 or 100 * len(repeated) > 20 * n
     good = 2 <= chars / max(n, 1) <= 12 and symbols / max(n, 1) <= 0.1 and dup / max(len(lines), 1) <= 0.6
-    good = good and (n < STOP_LEAST_WORDS or stops / n >= 0.02)
+    good = good and (n < 50 or stops / n >= 0.02)
     return n, chars, symbols, dup, len(repeated), failed, not failed and good
 
 
@@ -56,7 +56,7 @@ def test_on_documents(spark):
 def test_table_and_plan(spark):
     docs = spark.createDataFrame([(1, " ".join(f"word{i}" for i in range(12)))], "doc_id long, text string")
     assert quality_rules(docs).first()["kept"]
-    assert not quality_rules(docs, rules=(*RULES, ("more words", "n_words", 13, None))).first()["kept"]
+    assert not quality_rules(docs, rules=(*RULES, ("more words", "n_words", 13, None, 0))).first()["kept"]
     plan = quality_rules(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan and "Arrow" not in plan
     assert quality_rules(docs.limit(0)).count() == 0
