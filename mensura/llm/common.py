@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,11 +13,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's spark.checkpoint.dir, or, where unset, a fresh local one (tests)."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="mensura-")
-        spark.conf.set("spark.checkpoint.dir", path)
+    """The folder that driver and executors share: the session's spark.checkpoint.dir, or what was set as the context's checkpoint folder."""
+    if not (path := spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return path
 
 
