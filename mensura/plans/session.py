@@ -22,6 +22,8 @@ def local_session(cores: str = "8", partitions: int = 8, memory: str = "6g") ->
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    if not spark.conf.get("spark.checkpoint.dir", None):  # one machine: a folder of its own will do
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="mensura-"))
     return spark
 
 
@@ -30,9 +32,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the session's spark.checkpoint.dir, or, where that is unset (tests), in a new local folder."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="mensura-")
-        spark.conf.set("spark.checkpoint.dir", root)
+    """A fresh path in the folder that driver and executors share: spark.checkpoint.dir, or what was set as the context's checkpoint folder."""
+    if not (root := spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
