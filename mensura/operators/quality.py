@@ -1,4 +1,5 @@
-"""Checks of nested records; each gives rows (source_file, code, detail)."""
+"""Checks of nested records; each gives rows (source_file, code, detail). A record is read once: its checks are one array of
+issues, made by functions over its own arrays, and exploded at the end."""
 
 from __future__ import annotations
 
@@ -8,83 +9,107 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Fields of which a measurement must have one, and those that state its condition.
+#: Fields that state a measurement's condition.
 CONDITIONS = ("current_density", "scan_rate", "cycle_number", "test_type")
 MOST_MEASUREMENTS = 100
+ISSUE = "array<struct<code:string,detail:string>>"
 
 
-def _issue(df: DataFrame, code: str, when: Column, detail: Column) -> DataFrame:
-    return df.where(when).select("source_file", F.lit(code).alias("code"), detail.cast("string").alias("detail"))
+def _issue(code: str, when: Column, detail: Column) -> Column:
+    return F.when(when, F.struct(F.lit(code).alias("code"), detail.cast("string").alias("detail")))
 
 
-def _repeats(rows: DataFrame, name: Column, code: str) -> DataFrame:
-    """Names that occur twice or more in a paper, trimmed and lower-cased, in one sorted list."""
-    named = rows.select("source_file", F.lower(F.trim(name.cast("string"))).alias("name")).where("name <> ''")
-    twice = named.groupBy("source_file", "name").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return twice.groupBy("source_file").agg(F.array_join(F.sort_array(F.collect_list("name")), ", ").alias("detail")).select("source_file", F.lit(code).alias("code"), "detail")
+def _issues(*each: Column) -> Column:
+    return F.filter(F.array(*each), lambda i: i.isNotNull())
 
 
-def _union(parts: Sequence[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts)
+def _once(value: Column, body) -> Column:
+    """body of value, with value computed once a row."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _repeats(names: Column) -> Column:
+    """Names that occur twice or more, trimmed and lower-cased, sorted, joined; null where there are none."""
+    ordered = F.array_sort(F.filter(F.transform(names, lambda n: F.lower(F.trim(n))), lambda n: n != ""))
+    twice = _once(ordered, lambda s: F.array_distinct(F.filter(s, lambda n, i: F.coalesce(F.get(s, i - 1) == n, F.lit(False)))))
+    return F.nullif(F.array_join(twice, ", "), F.lit(""))
+
+
+def _unknown(names: Column, known: Sequence[str]) -> Column:
+    """Names that the catalog doesn't have, sorted, joined; null where there are none."""
+    strange = F.array_sort(F.array_distinct(F.filter(names, lambda n: ~n.isin(*known))))
+    return F.nullif(F.array_join(strange, ", "), F.lit(""))
+
+
+def _exploded(records: DataFrame, issues: Column) -> DataFrame:
+    return records.select("source_file", F.explode(issues).alias("i")).select("source_file", "i.code", "i.detail")
 
 
 def validate_v1(records: DataFrame, declared: str = "declared", fields: Sequence[str] = (), capacitance: Sequence[str] = ()) -> DataFrame:
     n = F.size("electrodes")
-    full = records.where(n > 0)
-    rows = full.select("source_file", F.explode("electrodes").alias("e"))
     primary = F.size(F.filter("electrodes", lambda e: e["is_primary"]))
-    filled = reduce(lambda a, b: a + b, (F.col(f"e.fields.{f}.value").isNotNull().cast("int") for f in fields))
-    parts = [
-        _issue(records, "count mismatch", ~F.col(declared).eqNullSafe(n), F.concat_ws(" vs ", F.col(declared), n)),
-        _issue(records, "empty record", n == 0, F.lit("no electrodes")),
-        _issue(full, "no primary", primary == 0, primary),
-        _issue(full, "many primaries", primary > 1, primary),
-        _issue(rows, "sparse electrode", filled <= 2, F.concat_ws(":", F.col("e.electrode_id"), filled)),
-        _repeats(rows, F.col("e.label"), "duplicate labels"),
-    ]
-    if capacitance:
-        none = F.coalesce(*(F.nullif(F.col(f"e.fields.{f}.value"), F.lit("")) for f in capacitance)).isNull()
-        parts.append(_issue(rows, "no capacitance", none, F.col("e.electrode_id")))
-    return _union(parts)
-
-
-def validate_v2(records: DataFrame, names: DataFrame, targets: Sequence[str], declared: str = "declared") -> DataFrame:
-    """names: (level, feature) of the catalog."""
+
+    def of_electrode(e: Column) -> Column:
+        value = lambda f: e["fields"][f]["value"]
+        filled = reduce(lambda a, b: a + b, (value(f).isNotNull().cast("int") for f in fields))
+        sparse = _issue("sparse electrode", filled <= 2, F.concat_ws(":", e["label"], filled))
+        if not capacitance:
+            return _issues(sparse)
+        none = F.coalesce(*(F.nullif(value(f), F.lit("")) for f in capacitance)).isNull()
+        return _issues(sparse, _issue("no capacitance", none, e["label"]))
+
+    labels = _repeats(F.transform("electrodes", lambda e: e["label"]))
+    of_record = _issues(
+        _issue("count mismatch", ~F.col(declared).eqNullSafe(n), F.concat_ws(" vs ", F.col(declared), n)),
+        _issue("empty record", n == 0, F.lit("no electrodes")),
+        _issue("no primary", (n > 0) & (primary == 0), primary),
+        _issue("many primaries", primary > 1, primary),
+        _issue("duplicate labels", labels.isNotNull(), labels),
+    )
+    return _exploded(records, F.concat(of_record, F.flatten(F.transform("electrodes", of_electrode))))
+
+
+def validate_v2(records: DataFrame, names: dict[str, Sequence[str]], targets: Sequence[str], declared: str = "declared", declared_measurements: str = "n_measurements") -> DataFrame:
+    """names: level (electrode, measurement) -> the catalog's fields."""
     n = F.size("electrodes")
     total = F.aggregate("electrodes", F.lit(0), lambda a, e: a + F.size(e["measurements"]))
-    full = records.where(n > 0)
-    e = full.select("source_file", F.explode("electrodes").alias("e"))
-    m = e.select("source_file", "e.electrode_id", F.explode("e.measurements").alias("m"))
-    primary = F.size(F.filter("electrodes", lambda x: x["is_primary"]))
-    own = F.col("m.fields.name")
-    listed = lambda level: F.broadcast(names.where(F.col("level") == level).select(F.col("feature").alias("name")))  # noqa: E731  110 rows
-
-    def unknown(rows: DataFrame, fields: Column, level: str) -> DataFrame:
-        used = rows.select("source_file", F.explode(fields).alias("f")).select("source_file", "f.name")
-        return used.join(listed(level), "name", "left_anti").groupBy("source_file").agg(F.array_join(F.sort_array(F.collect_set("name")), ", ").alias("detail")).select("source_file", F.lit(f"invalid {level} fields").alias("code"), "detail")
-
-    repeated = lambda fields: F.size(fields) > F.size(F.array_distinct(fields))
-    return _union(
-        [
-            _issue(records, "electrode count mismatch", ~F.col(declared).eqNullSafe(n), F.concat_ws(" vs ", F.col(declared), n)),
-            _issue(full, "measurement total mismatch", ~F.col("n_measurements").eqNullSafe(total), total),
-            _issue(records, "empty record", n == 0, F.lit("no electrodes")),
-            _issue(full, "primary count", primary != 1, primary),
-            _repeats(e, F.col("e.label"), "duplicate labels"),
-            _repeats(e, F.col("e.electrode_id"), "duplicate electrode ids"),
-            _issue(e, "repeated electrode field", repeated(F.col("e.fields.name")), F.col("e.electrode_id")),
-            _issue(m, "repeated measurement field", repeated(own), F.concat_ws(":", "electrode_id", "m.measurement_id")),
-            unknown(e, F.col("e.fields"), "electrode"),
-            unknown(m, F.col("m.fields"), "measurement"),
-            _issue(e, "electrode measurement mismatch", ~F.col("e.n_measurements").eqNullSafe(F.size("e.measurements")), F.col("e.electrode_id")),
-            _issue(e, "no descriptors", F.size("e.fields") == 0, F.col("e.electrode_id")),
-            _issue(e, "no measurements", F.size("e.measurements") == 0, F.col("e.electrode_id")),
-            _issue(m, "no target", ~F.arrays_overlap(own, F.array(*map(F.lit, targets))), F.concat_ws(":", "electrode_id", "m.measurement_id")),
-            _issue(m, "no condition", ~F.arrays_overlap(own, F.array(*map(F.lit, CONDITIONS))), F.concat_ws(":", "electrode_id", "m.measurement_id")),
-            _repeats(m, F.concat_ws(":", "electrode_id", "m.measurement_id"), "duplicate measurement ids"),
-            _issue(full, "too many measurements", total > MOST_MEASUREMENTS, total),
-        ]
+    primary = F.size(F.filter("electrodes", lambda e: e["is_primary"]))
+    repeated = lambda x: F.size(x["fields"]) > F.size(F.array_distinct(x["fields"]["name"]))
+
+    def of_measurement(m: Column) -> Column:
+        has = lambda wanted: F.arrays_overlap(m["fields"]["name"], F.array(*map(F.lit, wanted)))
+        return _issues(
+            _issue("repeated measurement field", repeated(m), m["measurement_id"]),
+            _issue("no target", ~has(targets), m["measurement_id"]),
+            _issue("no condition", ~has(CONDITIONS), m["measurement_id"]),
+        )
+
+    def of_electrode(e: Column) -> Column:
+        own = _issues(
+            _issue("repeated electrode field", repeated(e), e["electrode_id"]),
+            _issue("electrode measurement mismatch", ~e["n_measurements"].eqNullSafe(F.size(e["measurements"])), e["electrode_id"]),
+            _issue("no descriptors", F.size(e["fields"]) == 0, e["electrode_id"]),
+            _issue("no measurements", F.size(e["measurements"]) == 0, e["electrode_id"]),
+        )
+        return F.concat(own, F.flatten(F.transform(e["measurements"], of_measurement)))
+
+    ids = F.flatten(F.transform("electrodes", lambda e: e["measurements"]["measurement_id"]))
+    lists = {
+        "duplicate labels": _repeats(F.transform("electrodes", lambda e: e["label"])),
+        "duplicate electrode ids": _repeats(F.transform("electrodes", lambda e: e["electrode_id"])),
+        "duplicate measurement ids": _repeats(ids),
+        "invalid electrode fields": _unknown(F.flatten(F.transform("electrodes", lambda e: e["fields"]["name"])), names["electrode"]),
+        "invalid measurement fields": _unknown(F.flatten(F.flatten(F.transform("electrodes", lambda e: F.transform(e["measurements"], lambda m: m["fields"]["name"])))), names["measurement"]),
+    }
+    of_record = _issues(
+        _issue("electrode count mismatch", ~F.col(declared).eqNullSafe(n), F.concat_ws(" vs ", F.col(declared), n)),
+        _issue("measurement total mismatch", ~F.col(declared_measurements).eqNullSafe(total), F.concat_ws(" vs ", F.col(declared_measurements), total)),
+        _issue("empty record", n == 0, F.lit("no electrodes")),
+        _issue("primary count", (n > 0) & (primary != 1), primary),
+        _issue("too many measurements", total > MOST_MEASUREMENTS, total),
+        *(_issue(code, found.isNotNull(), found) for code, found in lists.items()),
     )
+    return _exploded(records, F.concat(of_record, F.flatten(F.transform("electrodes", of_electrode))))
 
 
 def attention_report(failures: DataFrame, issues: DataFrame) -> DataFrame:

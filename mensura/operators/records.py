@@ -1,4 +1,4 @@
-"""Nested records to flat tables and back."""
+"""Nested records to flat tables and back. Sequences of names stand for the catalog's fields of a level."""
 
 from __future__ import annotations
 
@@ -8,99 +8,165 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ITEM = "struct<name:string,value:string,unit:string,source_location:string,evidence:string,confidence:string>"
+PAPER_V1 = ("doi", "year", "authors")
+PAPER_V2 = ("doi", "title", "journal", "year", "authors")
+HEAD = ("source_file", "source_path")
+SUFFIX = {"unit": "unit", "confidence": "conf", "source_location": "source", "evidence": "evidence"}
+PROVENANCE = {"none": (), "units": ("unit", "confidence"), "full": ("unit", "confidence", "source_location", "evidence")}
+NOT_REPORTED, DASH = "Not reported", "—"
+#: How the dense fields are shown.
+LABELS = {
+    "mxene_formula": "MXene Formula", "composition": "Composition", "synthesis_method": "Synthesis Method", "layer_no": "Layer No", "interlayer_spacing": "Interlayer Spacing (d)",
+    "flake_size": "Flake Size", "porosity": "Porosity", "pore_diameter": "Pore Diameter", "tortuosity": "Tortuosity", "electrode_thickness": "Electrode Thickness",
+    "mass_loading": "Mass Loading", "electrolyte": "Electrolyte", "ssa": "SSA", "scan_rate": "Scan Rate", "current_density": "Current Density",
+    "gravimetric_capacitance": "Gravimetric Capacitance", "volumetric_capacitance": "Volumetric Capacitance", "areal_capacitance": "Areal Capacitance",
+}
+#: What a preview of measurements shows.
+PREVIEW = "measurement_id measurement_label test_type cell_configuration electrolyte current_density scan_rate gravimetric_capacitance areal_capacitance volumetric_capacitance capacitance_retention".split()
 
 
-def item(name: str, value: Column, unit: Column | None = None, conf: Column | None = None) -> Column:
-    null = F.lit(None).cast("string")
-    parts = (F.lit(name), value.cast("string"), null if unit is None else unit, null, null, null if conf is None else conf)
-    return F.struct(*(p.alias(n) for p, n in zip(parts, ("name", "value", "unit", "source_location", "evidence", "confidence"), strict=True)))
+def _null(kind: str = "string") -> Column:
+    return F.lit(None).cast(kind)
 
 
-def sparse(items: Sequence[Column]) -> Column:
-    """Only the fields that have a value."""
+def _of(df: DataFrame, column: str, kind: str = "string") -> Column:
+    """A column, null where df has none of that name."""
+    return F.col(column).cast(kind) if column in df.columns else _null(kind)
+
+
+def item(name: str, value: Column, unit: Column, conf: Column) -> Column:
+    parts = {"name": F.lit(name), "value": value.cast("string"), "unit": unit, "source_location": _null(), "evidence": _null(), "confidence": conf}
+    return F.struct(*(v.alias(k) for k, v in parts.items()))
+
+
+def sparse(df: DataFrame, names: Sequence[str]) -> Column:
+    """Only the fields that have a value, as items."""
+    items = [item(n, F.col(n), _of(df, f"{n}__unit"), _of(df, f"{n}__conf")) for n in names]
     return F.filter(F.array(*items), lambda f: f["value"].isNotNull())
 
 
 def field_map(fields: Column) -> Column:
-    """Name -> field, the last of a repeated name winning: earlier ones are left out before the map is made."""
-    last = F.filter(fields, lambda f, i: ~F.exists(F.slice(fields, i + 2, F.size(fields)), lambda g: g["name"] == f["name"]))
-    return F.map_from_entries(F.transform(last, lambda f: F.struct(f["name"], f)))
+    """Name -> field, the last of a repeated name winning: fields in order of name and place, each followed by another name kept."""
+    ordered = F.array_sort(F.transform(F.filter(fields, lambda f: f["name"].isNotNull()), lambda f, i: F.named_struct(F.lit("name"), f["name"], F.lit("at"), i, F.lit("field"), f)))
+    last = lambda s: F.filter(s, lambda x, i: ~F.coalesce(F.get(s, i + 1)["name"] == x["name"], F.lit(False)))
+    kept = F.element_at(F.transform(F.array(ordered), last), 1)  # ordered once a row
+    return F.map_from_entries(F.transform(kept, lambda x: F.struct(x["name"], x["field"])))
 
 
 def flatten_fields(fields: Column, names: Sequence[str], provenance: str = "units") -> list[Column]:
     """Every name as columns, null where absent. provenance: none, units, or full."""
-    parts = {"none": (), "units": ("unit", "confidence"), "full": ("unit", "confidence", "source_location", "evidence")}[provenance]
-    suffix = {"unit": "unit", "confidence": "conf", "source_location": "source", "evidence": "evidence"}
     out = []
     for n in names:
         cell = F.try_element_at(fields, F.lit(n))
-        out += [cell["value"].alias(n), *(cell[p].alias(f"{n}__{suffix[p]}") for p in parts)]
+        out += [cell["value"].alias(n), *(cell[p].alias(f"{n}__{SUFFIX[p]}") for p in PROVENANCE[provenance])]
     return out
 
 
-def nest_v1(flat: DataFrame, fields: Sequence[str]) -> DataFrame:
-    """Dense records, one a paper: electrodes with a cell per field."""
-    null = F.lit(None).cast("string")
-
-    def cell(f: str) -> Column:
-        of = lambda s: F.col(f"{f}__{s}") if f"{f}__{s}" in flat.columns else null
-        return F.struct(F.col(f).alias("value"), of("unit").alias("unit"), null.alias("note"), of("conf").alias("confidence")).alias(f)
-
-    one = F.struct(F.col("electrode_id"), F.col("electrode_label").alias("label"), "role", "is_primary", F.struct(*(cell(f) for f in fields)).alias("fields"))
-    return flat.groupBy("source_file").agg(F.first("doi", ignorenulls=True).alias("doi"), F.array_sort(F.collect_list(one)).alias("electrodes")).withColumn("n_electrodes", F.size("electrodes"))
+def nest_v1(flat: DataFrame, fields: Sequence[str], order: str) -> DataFrame:
+    """Dense records, one a paper: electrodes in the given order with a cell per field."""
+    cell = lambda f, note: F.struct(_of(flat, f).alias("value"), _of(flat, f"{f}__unit").alias("unit"), note.alias("note"), _of(flat, f"{f}__conf").alias("confidence"))
+    one = F.struct(
+        F.col("electrode_label").alias("label"), "role", "is_primary", F.struct(*(cell(f, F.when(F.col(f).isNull(), "absent") if f in flat.columns else _null()).alias(f) for f in fields)).alias("fields")
+    )
+    paper = F.struct(*(F.max(F.struct(_of(flat, p).alias("value"), _null().alias("unit"), _null().alias("note"), _null().alias("confidence"))).alias(p) for p in PAPER_V1)).alias("paper")
+    rows = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), one.alias("e")))), lambda x: x["e"])
+    out = flat.groupBy("source_file").agg(F.max(_of(flat, "source_path")).alias("source_path"), paper, rows.alias("electrodes"))
+    return out.withColumn("n_electrodes", F.size("electrodes"))
 
 
 def flatten_v1(records: DataFrame, fields: Sequence[str]) -> DataFrame:
-    """One row per electrode; papers without electrodes vanish."""
-    rows = records.select("source_file", "doi", F.explode("electrodes").alias("e"))
+    """One row per electrode, with its position in the paper; papers without electrodes vanish, source_path stays where there is one."""
+    head = [c for c in HEAD if c in records.columns]
+    rows = records.select(*head, *(F.col(f"paper.{p}.value").alias(p) for p in PAPER_V1), F.posexplode("electrodes").alias("position", "e"))
     cells = [F.col(f"e.fields.{f}.{p}").alias(f if p == "value" else f"{f}__{s}") for f in fields for p, s in (("value", ""), ("unit", "unit"), ("confidence", "conf"))]
-    return rows.select("source_file", "doi", "e.electrode_id", F.col("e.label").alias("electrode_label"), "e.role", "e.is_primary", *cells)
+    return rows.select(*head, *PAPER_V1, "position", F.col("e.label").alias("electrode_label"), "e.role", "e.is_primary", *cells)
 
 
 def nest_v2(electrodes: DataFrame, measurements: DataFrame, e_fields: Sequence[str], m_fields: Sequence[str]) -> DataFrame:
-    """Sparse records: electrodes with fields and measurements with fields."""
-    def items(df: DataFrame, names: Sequence[str]) -> Column:
-        of = lambda n, s: F.col(f"{n}__{s}") if f"{n}__{s}" in df.columns else None
-        return sparse([item(n, F.col(n), of(n, "unit"), of(n, "conf")) for n in names]).alias("fields")
-
-    m = measurements.select("source_file", "electrode_id", F.struct("measurement_id", "is_representative", items(measurements, m_fields)).alias("m"))
-    m = m.groupBy("source_file", "electrode_id").agg(F.array_sort(F.collect_list("m")).alias("measurements"))
-    e = electrodes.select("source_file", "doi", "electrode_id", "electrode_label", "role", "is_primary", items(electrodes, e_fields))
-    e = e.join(m, ["source_file", "electrode_id"], "left").withColumn("measurements", F.coalesce("measurements", F.expr(f"cast(array() as array<struct<measurement_id:int,is_representative:boolean,fields:array<{ITEM}>>>)")))
-    one = F.struct("electrode_id", F.col("electrode_label").alias("label"), "role", "is_primary", "fields", F.size("measurements").alias("n_measurements"), "measurements")
-    out = e.groupBy("source_file").agg(F.first("doi", ignorenulls=True).alias("doi"), F.array_sort(F.collect_list(one)).alias("electrodes"))
+    """Sparse records: electrodes with fields and measurements with fields. Ids are strings."""
+    one = F.struct(F.col("measurement_id").cast("string").alias("measurement_id"), _of(measurements, "measurement_label").alias("measurement_label"), "is_representative", sparse(measurements, m_fields).alias("fields"))
+    m = measurements.select("source_file", "electrode_id", one.alias("m")).groupBy("source_file", "electrode_id").agg(F.array_sort(F.collect_list("m")).alias("measurements"))
+    none = F.array().cast(f"array<struct<measurement_id:string,measurement_label:string,is_representative:boolean,fields:array<{ITEM}>>>")
+    paper = [p for p in PAPER_V2 if p in electrodes.columns]
+    e = electrodes.select("source_file", _of(electrodes, "source_path").alias("source_path"), *paper, "electrode_id", "electrode_label", "role", "is_primary", sparse(electrodes, e_fields).alias("fields"))
+    e = e.join(m, ["source_file", "electrode_id"], "left").withColumn("measurements", F.coalesce("measurements", none))
+    row = F.struct(F.col("electrode_id").cast("string").alias("electrode_id"), F.col("electrode_label").alias("label"), "role", "is_primary", "fields", F.size("measurements").alias("n_measurements"), "measurements")
+    whole = F.struct(*((F.max(p) if p in paper else _null()).alias(p) for p in PAPER_V2)).alias("paper")
+    out = e.groupBy("source_file").agg(F.max("source_path").alias("source_path"), whole, F.array_sort(F.collect_list(row)).alias("electrodes"))
     return out.withColumns({"n_electrodes": F.size("electrodes"), "n_measurements": F.aggregate("electrodes", F.lit(0), lambda a, x: a + F.size(x["measurements"]))})
 
 
+def _electrodes_v2(records: DataFrame, *more: Column) -> tuple[DataFrame, list[str]]:
+    """Records by electrode, with the columns that say whence."""
+    head = [c for c in ("schema_version", *HEAD) if c in records.columns]
+    rows = records.select(*head, *(F.col(f"paper.{p}").alias(p) for p in PAPER_V2), F.explode("electrodes").alias("e"))
+    rows = rows.select(*head, *PAPER_V2, "e.electrode_id", F.col("e.label").alias("electrode_label"), "e.role", "e.is_primary", field_map(F.col("e.fields")).alias("em"), *more)
+    return rows, [*head, *PAPER_V2, "electrode_id", "electrode_label", "role", "is_primary"]
+
+
 def electrode_table(records: DataFrame, names: Sequence[str], provenance: str = "units") -> DataFrame:
-    rows = records.select("source_file", "doi", F.explode("electrodes").alias("e")).withColumn("map", field_map(F.col("e.fields")))
-    return rows.select("source_file", "doi", "e.electrode_id", "e.label", "e.role", "e.is_primary", F.size("e.measurements").cast("long").alias("n_measurements"), *flatten_fields(F.col("map"), names, provenance))
+    rows, ids = _electrodes_v2(records, F.size("e.measurements").cast("long").alias("n_measurements"))
+    return rows.select(*ids, "n_measurements", *flatten_fields(F.col("em"), names, provenance))
 
 
 def measurement_table(records: DataFrame, e_names: Sequence[str], m_names: Sequence[str], provenance: str = "units") -> DataFrame:
     """One row per measurement with its electrode's descriptors; electrodes without one drop out."""
-    rows = records.select("source_file", F.explode("electrodes").alias("e")).withColumn("em", field_map(F.col("e.fields")))
-    rows = rows.select("source_file", "e.electrode_id", "em", F.explode("e.measurements").alias("m")).withColumn("mm", field_map(F.col("m.fields")))
-    return rows.select("source_file", "electrode_id", "m.measurement_id", "m.is_representative", *flatten_fields(F.col("em"), e_names, "none"), *flatten_fields(F.col("mm"), m_names, provenance))
+    rows, ids = _electrodes_v2(records, F.explode("e.measurements").alias("m"))
+    rows = rows.withColumn("mm", field_map(F.col("m.fields")))
+    return rows.select(*ids, "m.measurement_id", "m.measurement_label", "m.is_representative", *flatten_fields(F.col("em"), e_names, provenance), *flatten_fields(F.col("mm"), m_names, provenance))
+
+
+def corpora(records: DataFrame, e_names: Sequence[str], m_names: Sequence[str], provenance: str = "units") -> tuple[DataFrame, DataFrame]:
+    """The electrode and the measurement table of the same records; papers without electrodes are in neither."""
+    return electrode_table(records, e_names, provenance), measurement_table(records, e_names, m_names, provenance)
+
+
+def corpus(records: DataFrame, e_names: Sequence[str], m_names: Sequence[str], provenance: str = "units") -> DataFrame:
+    """The measurement table: the main corpus."""
+    return corpora(records, e_names, m_names, provenance)[1]
+
+
+def overview_v1(records: DataFrame, fields: Sequence[str]) -> DataFrame:
+    """Per electrode: position, label, role, formula, the beginning of the synthesis, capacitance, condition, filled fields."""
+    rows = flatten_v1(records, fields)
+    shown = lambda c: F.coalesce(F.nullif(c, F.lit("")), F.lit(DASH))
+    cg = F.when(F.coalesce("gravimetric_capacitance", F.lit("")) != "", F.trim(F.concat_ws(" ", "gravimetric_capacitance", "gravimetric_capacitance__unit"))).otherwise(DASH)
+    filled = sum(F.col(f).isNotNull().cast("int") for f in fields)
+    condition = F.coalesce(F.nullif("current_density", F.lit("")), F.nullif("scan_rate", F.lit("")), F.lit(DASH))
+    return rows.select(
+        "source_file", "position", "electrode_label", "role", shown(F.col("mxene_formula")).alias("formula"), F.substring(shown(F.col("synthesis_method")), 1, 28).alias("synthesis"), cg.alias("cg"), condition.alias("condition"), F.concat_ws("/", filled, F.lit(len(fields))).alias("filled")
+    )
+
+
+def overview_v2(records: DataFrame, value: str = "gravimetric_capacitance") -> DataFrame:
+    """Per electrode: how many measurements and the first representative one's value, else the last that has one."""
+    rows = records.select("source_file", F.explode("electrodes").alias("e"))
+    of = F.transform("e.measurements", lambda m: F.struct(m["is_representative"].alias("rep"), F.try_element_at(field_map(m["fields"]), F.lit(value)).alias("f")))
+    having = F.filter(of, lambda x: x["f"].isNotNull())
+    pick = lambda h: F.coalesce(F.get(F.filter(h, lambda x: x["rep"]), F.lit(0)), F.try_element_at(h, F.lit(-1)))["f"]
+    best = F.element_at(F.transform(F.array(having), pick), 1)
+    return rows.select("source_file", "e.electrode_id", F.size("e.measurements").cast("long").alias("n_measurements"), best["value"].alias("representative"), best["unit"].alias("unit"))
 
 
-def representative(measurements: DataFrame, value: str) -> DataFrame:
-    """Per electrode: its count and the first representative measurement's value, else the last that has one."""
-    has = F.col(value).isNotNull()
-    order = F.struct("measurement_id", value)  # repeated ids go by value
-    first = F.min_by(value, F.when(has & F.col("is_representative"), order))
-    first = F.when(F.max(has & F.col("is_representative")), first)
-    last = F.max_by(value, F.when(has, order))
-    return measurements.groupBy("source_file", "electrode_id").agg(F.count(F.lit(1)).alias("n_measurements"), F.coalesce(first, F.when(F.max(has), last)).alias("representative"))
+def field_card_v1(records: DataFrame, fields: Sequence[str]) -> DataFrame:
+    """Long table of an electrode's dense fields, in their order, with what is shown where nothing is reported."""
+    rows = records.select("source_file", F.posexplode("electrodes").alias("electrode", "e"))
+    cells = F.array(*(F.struct(F.lit(i).alias("position"), F.lit(LABELS.get(f, f)).alias("field"), *(F.col(f"e.fields.{f}.{p}").alias(p) for p in ("value", "unit", "confidence", "note"))) for i, f in enumerate(fields)))
+    c = rows.select("source_file", "electrode", F.explode(cells).alias("c")).select("source_file", "electrode", "c.*")
+    shown = lambda n, other: F.coalesce(F.nullif(n, F.lit("")), F.lit(other)).alias(n)
+    return c.select("source_file", "electrode", "position", "field", shown("value", NOT_REPORTED), shown("unit", DASH), "confidence", "note")
 
 
-def field_card(flat: DataFrame, names: Sequence[str], key: str = "electrode_id") -> DataFrame:
-    """Long table of fields: position in the catalog, value or Not reported, unit or a dash."""
-    null = F.lit(None).cast("string")
-    of = lambda n, s: F.col(f"{n}__{s}") if f"{n}__{s}" in flat.columns else null
-    cells = F.array(*(F.struct(F.lit(i).alias("position"), F.lit(n).alias("field"), F.coalesce(F.col(n), F.lit("Not reported")).alias("value"), F.coalesce(of(n, "unit"), F.lit("–")).alias("unit")) for i, n in enumerate(names)))
-    return flat.select(key, F.explode(cells).alias("c")).select(key, "c.*")
+def field_card_v2(records: DataFrame, catalog: Sequence[tuple[str, str, str]]) -> DataFrame:
+    """Long table of an electrode's fields in the order of the catalog (feature, category, tier)."""
+    rows = records.select("source_file", F.explode("electrodes").alias("e")).select("source_file", "e.electrode_id", field_map(F.col("e.fields")).alias("map"))
+    cells = F.array(*(F.struct(F.lit(i).alias("position"), *(F.lit(x).alias(k) for k, x in zip(("field", "category", "tier"), row, strict=True))) for i, row in enumerate(catalog)))
+    c = rows.select("source_file", "electrode_id", "map", F.explode(cells).alias("c")).select("source_file", "electrode_id", "c.*", F.try_element_at("map", F.col("c.field")).alias("f"))
+    shown = lambda n, other: F.coalesce(F.col(f"f.{n}"), F.lit(other)).alias(n)
+    unit = F.coalesce(F.nullif(F.col("f.unit"), F.lit("")), F.lit(DASH)).alias("unit")
+    return c.select("source_file", "electrode_id", "position", "field", "category", "tier", shown("value", NOT_REPORTED), unit, shown("confidence", DASH), shown("source_location", DASH))
 
 
-def preview(df: DataFrame, want: Sequence[str]) -> DataFrame:
+def preview(df: DataFrame, want: Sequence[str] = PREVIEW) -> DataFrame:
+    """The wanted columns that df has."""
     return df.select([c for c in want if c in df.columns])

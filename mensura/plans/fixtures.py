@@ -10,6 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 ELECTRODE = """
 SELECT 'paper_' || CAST(o_custkey AS STRING) || '.pdf' AS source_file,
   CASE WHEN o_custkey % 9 = 0 THEN NULL ELSE '10.1000/p' || CAST(o_custkey AS STRING) END AS doi,
+  'in/paper_' || CAST(o_custkey AS STRING) || '.pdf' AS source_path,
+  CASE WHEN o_custkey % 7 <> 0 THEN CAST(1990 + o_custkey % 30 AS STRING) END AS year,
+  CASE WHEN o_custkey % 4 <> 0 THEN 'Author ' || CAST(o_custkey % 100 AS STRING) END AS authors,
+  'Paper ' || CAST(o_custkey AS STRING) AS title,
+  CASE WHEN o_custkey % 5 <> 0 THEN 'Journal ' || CAST(o_custkey % 12 AS STRING) END AS journal,
   o_orderkey AS electrode_id,
   'S' || CAST(o_orderkey % 8 AS STRING) AS electrode_label,
   CASE o_orderkey % 5 WHEN 0 THEN 'primary' WHEN 1 THEN 'variant' WHEN 2 THEN 'control' WHEN 3 THEN 'composite' ELSE 'reference' END AS role,
@@ -38,6 +43,7 @@ FROM orders"""
 
 MEASUREMENT = """
 SELECT 'paper_' || CAST(o_custkey AS STRING) || '.pdf' AS source_file, o_orderkey AS electrode_id, l_linenumber AS measurement_id,
+  'part ' || CAST(l_partkey AS STRING) || ' by ' || CAST(l_suppkey AS STRING) || ' x ' || CAST(CAST(l_quantity AS INT) AS STRING) AS measurement_label,
   (l_linenumber = 1) AS is_representative,
   CASE l_partkey % 3 WHEN 0 THEN 'CV' WHEN 1 THEN 'GCD' ELSE 'EIS' END AS test_type,
   CASE WHEN l_partkey % 3 = 0 THEN CAST(l_suppkey % 10 * 10 + 5 AS STRING) END AS scan_rate,
@@ -46,11 +52,26 @@ SELECT 'paper_' || CAST(o_custkey AS STRING) || '.pdf' AS source_file, o_orderke
   CASE WHEN l_partkey % 3 = 1 THEN CASE l_suppkey % 3 WHEN 0 THEN 'A g−1' WHEN 1 THEN 'mA cm−2' ELSE 'A/cm3' END END AS current_density__unit,
   CASE l_partkey % 8 WHEN 0 THEN 'over ' || CAST(CAST(l_quantity AS INT) * 10 AS STRING) WHEN 1 THEN '~' || CAST(CAST(l_quantity AS INT) * 10 AS STRING) WHEN 2 THEN CAST(CAST(l_quantity AS INT) * 10 AS STRING) || ' ± 4' WHEN 3 THEN CAST(CAST(l_quantity AS INT) * 10 AS STRING) || '–' || CAST(CAST(l_quantity AS INT) * 10 + 20 AS STRING) WHEN 4 THEN 'micrometer-sized' WHEN 5 THEN NULL ELSE CAST(CAST(l_quantity AS INT) * 10 AS STRING) END AS gravimetric_capacitance,
   CASE WHEN l_partkey % 8 = 5 THEN NULL ELSE 'F g−1' END AS gravimetric_capacitance__unit,
+  CASE WHEN l_partkey % 3 = 1 AND l_suppkey % 3 = 2 THEN '~' || CAST((o_orderkey * 37 + l_linenumber * 11) % 900 + 100 AS STRING) END AS volumetric_capacitance,
+  CASE WHEN l_partkey % 3 = 1 AND l_suppkey % 3 = 2 AND l_linenumber < 5 THEN 'F cm−3' END AS volumetric_capacitance__unit,
   CASE WHEN l_partkey % 4 = 2 THEN CAST(l_suppkey % 90 AS STRING) END AS areal_capacitance,
   CASE WHEN l_partkey % 4 = 2 THEN CASE WHEN l_suppkey % 2 = 0 THEN 'mF cm−2' ELSE 'F cm−2' END END AS areal_capacitance__unit
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey"""
 
 
+#: Dense records have capacitance and conditions in the electrode; every 101st electrode reports its formula only.
+_DENSE = ("synthesis_method", "electrolyte", "layer_no", "composition", "interlayer_spacing", "flake_size", "porosity", "pore_diameter", "electrode_thickness", "mass_loading", "ssa")
+DENSE = f"""
+SELECT source_file, source_path, doi, year, authors, electrode_id, electrode_label, role, is_primary, mxene_formula,
+  {", ".join(f"CASE WHEN electrode_id % 101 <> 0 THEN {f} END AS {f}" for f in _DENSE)},
+  interlayer_spacing__unit, interlayer_spacing__conf, flake_size__unit,
+  CASE WHEN electrode_id % 101 <> 0 THEN CASE electrode_id % 3 WHEN 0 THEN CAST(100 + electrode_id % 300 AS STRING) WHEN 1 THEN '' END END AS gravimetric_capacitance,
+  CASE WHEN electrode_id % 6 = 0 THEN 'F g−1' END AS gravimetric_capacitance__unit,
+  CASE WHEN electrode_id % 101 <> 0 THEN CASE electrode_id % 4 WHEN 0 THEN '1 A/g' WHEN 1 THEN '' END END AS current_density,
+  CASE WHEN electrode_id % 101 <> 0 AND electrode_id % 5 = 1 THEN '5 mV/s' END AS scan_rate
+FROM e"""
+
+
 def _view(spark: SparkSession, sf_dir: str, sql: str, *tables: str) -> DataFrame:
     """The statement over the tables of sf_dir, without views by name in the session."""
     return spark.sql(sql.replace("FROM lineitem JOIN orders", "FROM {lineitem} JOIN {orders}").replace("FROM orders", "FROM {orders}"), **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables})
@@ -64,10 +85,14 @@ def measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _view(spark, sf_dir, MEASUREMENT, "lineitem", "orders")
 
 
+def dense(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(DENSE.replace("FROM e", "FROM {e}"), e=electrodes(spark, sf_dir))
+
+
 def both(spark: SparkSession, sf_dir: str) -> DataFrame:
     return measurements(spark, sf_dir).join(electrodes(spark, sf_dir), ["source_file", "electrode_id"])
 
 
 def sql(body: str) -> str:
-    """body with the views e (electrodes), m (measurements) and b (both, joined) before it."""
-    return f"WITH e AS ({ELECTRODE}), m AS ({MEASUREMENT}), b AS (SELECT * FROM m JOIN e USING (source_file, electrode_id)) {body}"
+    """body with the views e (electrodes), m (measurements), d (dense electrodes) and b (both, joined) before it."""
+    return f"WITH e AS ({ELECTRODE}), m AS ({MEASUREMENT}), d AS ({DENSE}), b AS (SELECT * FROM m JOIN e USING (source_file, electrode_id)) {body}"

@@ -1,16 +1,21 @@
-"""Nested records and their checks over the views."""
+"""Nested records and their checks over the views.
+
+Faults are put into the records so that each check has rows to find: papers by the end of their number, electrodes and
+measurements by theirs. The SQL says the same of the views by hand.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from mensura.functions.catalog import fields, feature_catalog
+from mensura.functions.catalog import CATALOG, V1_FIELDS, feature_catalog, fields
 from mensura.operators import quality as Q
 from mensura.operators import records as R
 from mensura.plans import fixtures as X
 
 E_FIELDS = ["mxene_formula", "synthesis_method", "composition", "interlayer_spacing", "flake_size", "layer_no"]
 M_FIELDS = ["test_type", "scan_rate", "current_density", "gravimetric_capacitance", "areal_capacitance"]
+CAPACITANCE = ["gravimetric_capacitance", "volumetric_capacitance", "areal_capacitance"]
 #: Fields of which each measurement must have one.
 TARGETS = (
     "gravimetric_capacitance areal_capacitance volumetric_capacitance specific_capacity energy_density power_density capacitance_retention rate_retention "
@@ -18,57 +23,107 @@ TARGETS = (
 ).split()
 
 
+def _emptied(records, d):
+    """Papers ending in 77 have no electrodes; every tenth other declares one electrode too many."""
+    gone = F.col("source_file").endswith("77.pdf")
+    kind = records.schema["electrodes"].dataType
+    records = records.withColumn("declared", F.when(gone, 0).otherwise(F.col("n_electrodes") + F.col("source_file").endswith("0.pdf").cast("int")))
+    return records.withColumn("electrodes", F.when(gone, F.array().cast(kind)).otherwise(F.col("electrodes")))
+
+
 def records_v1(spark, d):
-    """Dense records; every tenth paper declares one electrode too many."""
-    out = R.nest_v1(X.electrodes(spark, d), E_FIELDS)
-    return out.withColumn("declared", F.col("n_electrodes") + F.col("source_file").endswith("0.pdf").cast("int"))
+    """Dense records."""
+    return _emptied(R.nest_v1(X.dense(spark, d), V1_FIELDS, "electrode_id"), d)
+
+
+def _named(m):
+    """Measurement ids: of the electrode, but in papers ending in 3 they begin anew with each electrode."""
+    own = F.concat_ws("-M", "electrode_id", "measurement_id")
+    return m.withColumn("measurement_id", F.when(F.col("source_file").endswith("3.pdf"), F.col("measurement_id").cast("string")).otherwise(own))
+
+
+def _faulty_measurement(m):
+    """Sixth ones lose their test type, seventh ones have their first field twice."""
+    is_ = lambda n: m["measurement_id"].rlike(f"(?:^|M){n}$")
+    less = F.filter(m["fields"], lambda f: f["name"] != "test_type")
+    return m.withField("fields", F.when(is_(6), less).when(is_(7), F.concat(m["fields"], F.slice(m["fields"], 1, 1))).otherwise(m["fields"]))
+
+
+def _faulty_electrode(e):
+    """Every 89th declares a measurement too many, every 97th has its first field twice."""
+    number = e["electrode_id"].cast("long")
+    twice = F.when(number % 97 == 0, F.concat(e["fields"], F.slice(e["fields"], 1, 1))).otherwise(e["fields"])
+    return e.withField("n_measurements", e["n_measurements"] + (number % 89 == 0).cast("int")).withField("fields", twice).withField("measurements", F.transform(e["measurements"], _faulty_measurement))
 
 
 def records_v2(spark, d):
-    out = R.nest_v2(X.electrodes(spark, d), X.measurements(spark, d), E_FIELDS, M_FIELDS)
-    return out.withColumn("declared", F.col("n_electrodes") + F.col("source_file").endswith("0.pdf").cast("int"))
+    """Sparse records; every tenth paper that ends in 1 declares two measurements too many."""
+    out = _emptied(R.nest_v2(X.electrodes(spark, d), _named(X.measurements(spark, d)), E_FIELDS, M_FIELDS), d)
+    more = F.col("n_measurements") + 2 * F.col("source_file").endswith("1.pdf").cast("int")
+    out = out.withColumn("n_measurements", F.when(F.size("electrodes") == 0, 0).otherwise(more))
+    return out.withColumns({"electrodes": F.transform("electrodes", _faulty_electrode), "schema_version": F.lit("2")})
 
 
 def flatten_v1(spark, d):
-    return R.flatten_v1(records_v1(spark, d), E_FIELDS).select("source_file", "electrode_id", "electrode_label", "role", "is_primary", *E_FIELDS, "interlayer_spacing__unit", "interlayer_spacing__conf")
+    return R.flatten_v1(records_v1(spark, d), V1_FIELDS).select(*V1_HEAD, *V1_FIELDS, "interlayer_spacing__unit", "interlayer_spacing__conf")
 
 
 def electrode_table(spark, d):
-    return R.electrode_table(records_v2(spark, d), E_FIELDS).select("source_file", "electrode_id", "label", "n_measurements", *E_FIELDS, "flake_size__unit")
+    return R.electrode_table(records_v2(spark, d), E_FIELDS).select(*V2_HEAD, "n_measurements", *E_FIELDS, "flake_size__unit", "interlayer_spacing__conf")
+
+
+def electrode_table_full(spark, d):
+    out = R.electrode_table(records_v2(spark, d), ["interlayer_spacing"], "full")
+    return out.select("electrode_id", *(f"interlayer_spacing{s}" for s in ("", "__unit", "__conf", "__source", "__evidence")))
 
 
 def measurement_table(spark, d):
-    return R.measurement_table(records_v2(spark, d), ["mxene_formula"], M_FIELDS).select("source_file", "electrode_id", "measurement_id", "mxene_formula", *M_FIELDS, "scan_rate__unit")
+    out = R.measurement_table(records_v2(spark, d), ["mxene_formula", "flake_size"], M_FIELDS)
+    return out.select(*V2_HEAD, "measurement_id", "measurement_label", "is_representative", "mxene_formula", "flake_size__unit", *M_FIELDS, "scan_rate__unit")
+
+
+def corpora(spark, d):
+    """Rows of a paper in both tables, and in the main corpus by itself."""
+    records = records_v2(spark, d)
+    n = lambda df, name: df.groupBy("source_file").agg(F.count(F.lit(1)).alias(name))
+    e, m = R.corpora(records, E_FIELDS, M_FIELDS, "none")
+    out = n(e, "electrodes").join(n(m, "measurements"), "source_file", "left").join(n(R.corpus(records, E_FIELDS, M_FIELDS, "none"), "corpus"), "source_file", "left")
+    return out.select("source_file", "electrodes", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("measurements", "corpus")))
+
+
+def measurement_preview(spark, d):
+    return R.preview(R.measurement_table(records_v2(spark, d), ["mxene_formula"], M_FIELDS, "none"))
 
 
 def overview_v2(spark, d):
-    return R.representative(X.measurements(spark, d), "gravimetric_capacitance")
+    return R.overview_v2(records_v2(spark, d))
 
 
 def overview_v1(spark, d):
-    rows = R.flatten_v1(records_v1(spark, d), E_FIELDS)
-    filled = sum(F.col(f).isNotNull().cast("int") for f in E_FIELDS)
-    return rows.select(
-        "source_file", "electrode_id", "mxene_formula", F.substring("synthesis_method", 1, 28).alias("synthesis"), F.concat_ws(" ", "interlayer_spacing", "interlayer_spacing__unit").alias("spacing"), F.concat_ws("/", filled, F.lit(len(E_FIELDS))).alias("filled")
-    )
+    return R.overview_v1(records_v1(spark, d), V1_FIELDS)
 
 
 def field_card(spark, d):
-    return R.field_card(X.electrodes(spark, d), E_FIELDS)
+    return R.field_card_v1(records_v1(spark, d), E_FIELDS)
+
+
+def field_card_v2(spark, d):
+    known = [(f, category, tier) for (level, category, tier), names in CATALOG.items() if level == "electrode" for f in names.split()]
+    return R.field_card_v2(records_v2(spark, d), [k for k in known if k[0] in (*E_FIELDS, "binder")])
 
 
 def catalog_fields(spark, d):
     """The catalog joined to the fields that records use: how many electrodes have each."""
-    used = records_v2(spark, d).select(F.explode("electrodes").alias("e")).select(F.explode("e.fields").alias("f")).groupBy(F.col("f.name").alias("feature")).agg(F.count(F.lit(1)).alias("n"))
+    used = records_v2(spark, d).select(F.explode("electrodes").alias("e")).select(F.explode(F.array_distinct(F.col("e.fields.name"))).alias("feature")).groupBy("feature").agg(F.count(F.lit(1)).alias("n"))
     return used.join(F.broadcast(feature_catalog(spark)), "feature", "left").select("feature", "level", "category", "tier", "n")
 
 
 def validate_v1(spark, d):
-    return Q.validate_v1(records_v1(spark, d), fields=E_FIELDS, capacitance=["flake_size"])
+    return Q.validate_v1(records_v1(spark, d), fields=V1_FIELDS, capacitance=CAPACITANCE)
 
 
 def validate_v2(spark, d):
-    return Q.validate_v2(records_v2(spark, d), feature_catalog(spark).select("level", "feature"), TARGETS)
+    return Q.validate_v2(records_v2(spark, d), {level: fields(level) for level in ("electrode", "measurement")}, TARGETS)
 
 
 def attention_report(spark, d):
@@ -77,35 +132,97 @@ def attention_report(spark, d):
     return Q.attention_report(failures, issues)
 
 
-QUERIES = {f.__name__: f for f in (flatten_v1, electrode_table, measurement_table, overview_v1, overview_v2, field_card, catalog_fields, validate_v1, validate_v2, attention_report)}
+V1_HEAD = ["source_file", "source_path", "doi", "year", "authors", "position", "electrode_label", "role", "is_primary"]
+V2_HEAD = ["schema_version", "source_file", "source_path", "doi", "title", "journal", "year", "authors", "electrode_id", "electrode_label", "role", "is_primary"]
+QUERIES = {
+    f.__name__: f
+    for f in (
+        flatten_v1, electrode_table, electrode_table_full, measurement_table, corpora, measurement_preview, overview_v1, overview_v2, field_card, field_card_v2, catalog_fields, validate_v1, validate_v2, attention_report,
+    )
+}
+
+_FULL = "source_file NOT LIKE '%77.pdf'"
+_VIEWS = f"""d2 AS (SELECT *, CAST(row_number() OVER (PARTITION BY source_file ORDER BY electrode_id) - 1 AS INT) AS position FROM d WHERE {_FULL}),
+e2 AS (SELECT *, CAST(electrode_id AS VARCHAR) AS id FROM e WHERE {_FULL}),
+m2 AS (SELECT * EXCLUDE (test_type), CASE WHEN measurement_id <> 6 THEN test_type END AS test_type, CAST(electrode_id AS VARCHAR) AS id,
+  CASE WHEN source_file LIKE '%3.pdf' THEN CAST(measurement_id AS VARCHAR) ELSE CAST(electrode_id AS VARCHAR) || '-M' || CAST(measurement_id AS VARCHAR) END AS mid FROM m WHERE {_FULL}),
+c2 AS (SELECT electrode_id, count(*) AS n FROM m2 GROUP BY 1),
+t2 AS (SELECT e2.*, coalesce(c2.n, 0) AS n FROM e2 LEFT JOIN c2 USING (electrode_id)),
+p AS (SELECT source_file, count(*) AS n, CAST(sum(CAST(is_primary AS INT)) AS BIGINT) AS prim, CAST(sum(n) AS BIGINT) AS total FROM t2 GROUP BY source_file)"""
+
+
+def _filled(names):
+    return " + ".join(f"CAST({f} IS NOT NULL AS INT)" for f in names)
+
+
+_DENSE = [f for f in V1_FIELDS if f not in ("tortuosity", "volumetric_capacitance", "areal_capacitance")]
+_DUP = "SELECT source_file, 'duplicate labels' AS code, string_agg(l, ', ' ORDER BY l) AS detail FROM (SELECT source_file, lower(trim(electrode_label)) AS l FROM e2 GROUP BY ALL HAVING count(*) > 1) GROUP BY source_file"
+_NONE = "SELECT DISTINCT source_file, 'empty record', 'no electrodes' FROM e WHERE source_file LIKE '%77.pdf'"
+_V1 = f"""SELECT source_file, 'count mismatch' AS code, CAST(n + 1 AS VARCHAR) || ' vs ' || CAST(n AS VARCHAR) AS detail FROM p WHERE source_file LIKE '%0.pdf'
+UNION ALL {_NONE} UNION ALL SELECT source_file, 'no primary', '0' FROM p WHERE prim = 0 UNION ALL SELECT source_file, 'many primaries', CAST(prim AS VARCHAR) FROM p WHERE prim > 1
+UNION ALL SELECT source_file, 'sparse electrode', electrode_label || ':' || CAST({_filled(_DENSE)} AS VARCHAR) FROM d2 WHERE {_filled(_DENSE)} <= 2
+UNION ALL SELECT source_file, 'no capacitance', electrode_label FROM d2 WHERE coalesce(gravimetric_capacitance, '') = '' UNION ALL {_DUP}"""
+_V2 = f"""SELECT source_file, 'electrode count mismatch' AS code, CAST(n + 1 AS VARCHAR) || ' vs ' || CAST(n AS VARCHAR) AS detail FROM p WHERE source_file LIKE '%0.pdf'
+UNION ALL SELECT source_file, 'measurement total mismatch', CAST(total + 2 AS VARCHAR) || ' vs ' || CAST(total AS VARCHAR) FROM p WHERE source_file LIKE '%1.pdf'
+UNION ALL {_NONE} UNION ALL SELECT source_file, 'primary count', CAST(prim AS VARCHAR) FROM p WHERE prim <> 1 UNION ALL {_DUP}
+UNION ALL SELECT source_file, 'repeated electrode field', id FROM e2 WHERE electrode_id % 97 = 0 AND {_filled(E_FIELDS)} > 0
+UNION ALL SELECT source_file, 'repeated measurement field', mid FROM m2 WHERE measurement_id = 7
+UNION ALL SELECT source_file, 'electrode measurement mismatch', id FROM e2 WHERE electrode_id % 89 = 0
+UNION ALL SELECT source_file, 'invalid electrode fields', 'layer_no' FROM e2 WHERE layer_no IS NOT NULL GROUP BY source_file
+UNION ALL SELECT source_file, 'no descriptors', id FROM e2 WHERE {_filled(E_FIELDS)} = 0
+UNION ALL SELECT source_file, 'no measurements', id FROM t2 WHERE n = 0
+UNION ALL SELECT source_file, 'no target', mid FROM m2 WHERE gravimetric_capacitance IS NULL AND areal_capacitance IS NULL
+UNION ALL SELECT source_file, 'no condition', mid FROM m2 WHERE coalesce(test_type, scan_rate, current_density) IS NULL
+UNION ALL SELECT source_file, 'duplicate measurement ids', string_agg(k, ', ' ORDER BY k) FROM (SELECT source_file, lower(trim(mid)) AS k FROM m2 GROUP BY ALL HAVING count(*) > 1) GROUP BY source_file
+UNION ALL SELECT source_file, 'too many measurements', CAST(total AS VARCHAR) FROM p WHERE total > 100"""
+
+
+def _sql(body):
+    return X.sql("").rstrip() + f", {_VIEWS} {body}"
+
+
+def _reported(f, other=""):
+    """Unit or confidence of a field, where the field has a value."""
+    return f"CASE WHEN {f} IS NOT NULL THEN {f}__{other} END AS {f}__{other}"
+
+
+_HEAD = "'2' AS schema_version, source_file, source_path, doi, title, journal, year, authors, id AS electrode_id, electrode_label, role, is_primary"
+_SHOWN = "coalesce(nullif({f}, ''), '—')"
+_UNITS = {"interlayer_spacing": "coalesce(interlayer_spacing__unit, '—')", "flake_size": "coalesce(flake_size__unit, '—')"}
+_CATALOG = [("mxene_formula", "identity", "core"), ("composition", "identity", "core"), ("synthesis_method", "synthesis", "core"), ("interlayer_spacing", "structure", "core"), ("flake_size", "structure", "core"), ("binder", "fabrication", "core")]
+_ORDER = ["composition", "mxene_formula", "synthesis_method", "flake_size", "interlayer_spacing", "binder"]
+
+
+def _card_v2(i, f):
+    category, tier = next((c, t) for n, c, t in _CATALOG if n == f)
+    value = "NULL" if f == "binder" else f
+    conf = "CASE WHEN interlayer_spacing IS NOT NULL THEN interlayer_spacing__conf END" if f == "interlayer_spacing" else "NULL"
+    unit = f"CASE WHEN {f} IS NOT NULL THEN {f}__unit END" if f in _UNITS else "NULL"
+    return f"SELECT source_file, id AS electrode_id, {i} AS position, '{f}' AS field, '{category}' AS category, '{tier}' AS tier, coalesce({value}, 'Not reported') AS value, coalesce({unit}, '—') AS unit, coalesce({conf}, '—') AS confidence, '—' AS source_location FROM e2"
+
+
+def _card_v1(i, f):
+    unit = _UNITS.get(f, "'—'")
+    conf = "interlayer_spacing__conf" if f == "interlayer_spacing" else "CAST(NULL AS VARCHAR)"
+    return f"SELECT source_file, position AS electrode, {i} AS position, '{R.LABELS[f]}' AS field, coalesce({f}, 'Not reported') AS value, {unit} AS unit, {conf} AS confidence, CASE WHEN {f} IS NULL THEN 'absent' END AS note FROM d2"
+
 
-_FILLED = " + ".join(f"CAST({f} IS NOT NULL AS INT)" for f in E_FIELDS)
-_DUP = "SELECT source_file, 'duplicate labels' AS code, string_agg(l, ', ' ORDER BY l) AS detail FROM (SELECT source_file, lower(trim(electrode_label)) AS l FROM e GROUP BY ALL HAVING count(*) > 1) GROUP BY source_file"
-_P = "p AS (SELECT source_file, count(*) AS n, CAST(sum(CAST(is_primary AS INT)) AS BIGINT) AS prim FROM e GROUP BY source_file)"
-_V1 = f"""SELECT source_file, 'count mismatch' AS code, CAST(n + 1 AS STRING) || ' vs ' || CAST(n AS STRING) AS detail FROM p WHERE source_file LIKE '%0.pdf'
-UNION ALL SELECT source_file, 'no primary', '0' FROM p WHERE prim = 0 UNION ALL SELECT source_file, 'many primaries', CAST(prim AS STRING) FROM p WHERE prim > 1
-UNION ALL SELECT source_file, 'sparse electrode', CAST(electrode_id AS STRING) || ':' || CAST({_FILLED} AS STRING) FROM e WHERE {_FILLED} <= 2
-UNION ALL SELECT source_file, 'no capacitance', CAST(electrode_id AS STRING) FROM e WHERE flake_size IS NULL UNION ALL {_DUP}"""
-_HAS = "(gravimetric_capacitance IS NOT NULL OR areal_capacitance IS NOT NULL)"
 SQL = {
-    "flatten_v1": X.sql(f"SELECT source_file, electrode_id, electrode_label, role, is_primary, {', '.join(E_FIELDS)}, interlayer_spacing__unit, interlayer_spacing__conf FROM e"),
-    "electrode_table": X.sql(f"SELECT source_file, electrode_id, electrode_label AS label, (SELECT count(*) FROM m WHERE m.electrode_id = e.electrode_id) AS n_measurements, {', '.join(E_FIELDS)}, CASE WHEN flake_size IS NOT NULL THEN flake_size__unit END AS flake_size__unit FROM e"),
-    "measurement_table": X.sql(f"SELECT source_file, electrode_id, measurement_id, mxene_formula, {', '.join(M_FIELDS)}, CASE WHEN scan_rate IS NOT NULL THEN scan_rate__unit END AS scan_rate__unit FROM b"),
-    "overview_v2": X.sql("SELECT source_file, electrode_id, count(*) AS n_measurements, coalesce(arg_min(gravimetric_capacitance, row(measurement_id, gravimetric_capacitance)) FILTER (WHERE is_representative AND gravimetric_capacitance IS NOT NULL), arg_max(gravimetric_capacitance, row(measurement_id, gravimetric_capacitance)) FILTER (WHERE gravimetric_capacitance IS NOT NULL)) AS representative FROM m GROUP BY 1, 2"),
-    "overview_v1": X.sql(f"SELECT source_file, electrode_id, mxene_formula, substring(synthesis_method, 1, 28) AS synthesis, concat_ws(' ', interlayer_spacing, interlayer_spacing__unit) AS spacing, CAST({_FILLED} AS STRING) || '/{len(E_FIELDS)}' AS filled FROM e"),
-    "field_card": X.sql(" UNION ALL ".join(f"SELECT electrode_id, {i} AS position, '{f}' AS field, coalesce({f}, 'Not reported') AS value, {f'coalesce({f}__unit, ' + chr(39) + '–' + chr(39) + ')' if f in ('interlayer_spacing', 'flake_size') else chr(39) + '–' + chr(39)} AS unit FROM e" for i, f in enumerate(E_FIELDS))),
-    "catalog_fields": X.sql("SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{f}' AS feature, {chr(39) + 'electrode' + chr(39) if f in fields('electrode') else 'NULL'} AS level, {chr(39) + ('identity' if f in ('mxene_formula', 'composition') else 'synthesis' if f == 'synthesis_method' else 'structure') + chr(39) if f in fields('electrode') else 'NULL'} AS category, {chr(39) + 'core' + chr(39) if f in fields('electrode') else 'NULL'} AS tier, count({f}) AS n FROM e" for f in E_FIELDS) + ")"),
-    "validate_v1": X.sql(f", {_P} {_V1}").replace(" , p AS", ", p AS"),
-    "validate_v2": X.sql(f""", {_P}, t AS (SELECT e.source_file, e.electrode_id, e.{', e.'.join(E_FIELDS)}, (SELECT count(*) FROM m WHERE m.electrode_id = e.electrode_id) AS n FROM e), r AS (SELECT source_file, electrode_id, measurement_id, count(*) AS c FROM m GROUP BY ALL)
-SELECT source_file, 'electrode count mismatch' AS code, CAST(n + 1 AS STRING) || ' vs ' || CAST(n AS STRING) AS detail FROM p WHERE source_file LIKE '%0.pdf'
-UNION ALL SELECT source_file, 'primary count', CAST(prim AS STRING) FROM p WHERE prim <> 1 UNION ALL {_DUP}
-UNION ALL SELECT source_file, 'invalid electrode fields', 'layer_no' FROM e WHERE layer_no IS NOT NULL GROUP BY source_file
-UNION ALL SELECT source_file, 'no descriptors', CAST(electrode_id AS STRING) FROM e WHERE {_FILLED} = 0
-UNION ALL SELECT source_file, 'no measurements', CAST(electrode_id AS STRING) FROM t WHERE n = 0
-UNION ALL SELECT source_file, 'no target', CAST(electrode_id AS STRING) || ':' || CAST(measurement_id AS STRING) FROM m WHERE NOT {_HAS}
-UNION ALL SELECT source_file, 'duplicate measurement ids', string_agg(k, ', ' ORDER BY k) FROM (SELECT source_file, CAST(electrode_id AS STRING) || ':' || CAST(measurement_id AS STRING) AS k FROM r WHERE c > 1) GROUP BY source_file
-UNION ALL SELECT source_file, 'too many measurements', CAST(sum(n) AS STRING) FROM t GROUP BY source_file HAVING sum(n) > 100"""),
-    "attention_report": X.sql(f""", {_P}, i AS ({_V1}) SELECT 'paper_' || CAST(c_custkey AS STRING) || '.pdf' AS source_file, 'failed' AS kind, 'unreadable' AS detail FROM customer WHERE c_custkey % 50 = 0
-UNION ALL SELECT source_file, 'flagged', string_agg(code || ': ' || detail, '; ' ORDER BY code || ': ' || detail) FROM i GROUP BY source_file"""),
+    "flatten_v1": _sql(f"SELECT {', '.join(V1_HEAD)}, {', '.join(f if f in _DENSE else f'CAST(NULL AS VARCHAR) AS {f}' for f in V1_FIELDS)}, interlayer_spacing__unit, interlayer_spacing__conf FROM d2"),
+    "electrode_table": _sql(f"SELECT {_HEAD}, n AS n_measurements, {', '.join(E_FIELDS)}, {_reported('flake_size', 'unit')}, {_reported('interlayer_spacing', 'conf')} FROM t2"),
+    "electrode_table_full": _sql(f"SELECT id AS electrode_id, interlayer_spacing, {_reported('interlayer_spacing', 'unit')}, {_reported('interlayer_spacing', 'conf')}, CAST(NULL AS VARCHAR) AS interlayer_spacing__source, CAST(NULL AS VARCHAR) AS interlayer_spacing__evidence FROM e2"),
+    "measurement_table": _sql(f"SELECT {_HEAD.replace('id AS', 'e2.id AS').replace('source_file', 'e2.source_file')}, mid AS measurement_id, measurement_label, is_representative, mxene_formula, {_reported('flake_size', 'unit')}, {', '.join(M_FIELDS)}, {_reported('scan_rate', 'unit')} FROM m2 JOIN e2 USING (electrode_id)"),
+    "corpora": _sql("SELECT source_file, n AS electrodes, total AS measurements, total AS corpus FROM p"),
+    "measurement_preview": _sql("SELECT mid AS measurement_id, measurement_label, test_type, current_density, scan_rate, gravimetric_capacitance, areal_capacitance FROM m2"),
+    "overview_v2": _sql("""SELECT t2.source_file, t2.id AS electrode_id, t2.n AS n_measurements, b.f.v AS representative, b.f.u AS unit FROM t2 LEFT JOIN (SELECT electrode_id,
+coalesce(arg_min({'v': gravimetric_capacitance, 'u': gravimetric_capacitance__unit}, row(measurement_id, measurement_label)) FILTER (WHERE is_representative), arg_max({'v': gravimetric_capacitance, 'u': gravimetric_capacitance__unit}, row(measurement_id, measurement_label))) AS f
+FROM m2 WHERE gravimetric_capacitance IS NOT NULL GROUP BY 1) b USING (electrode_id)"""),
+    "overview_v1": _sql(f"SELECT source_file, position, electrode_label, role, {_SHOWN.format(f='mxene_formula')} AS formula, substring({_SHOWN.format(f='synthesis_method')}, 1, 28) AS synthesis, CASE WHEN coalesce(gravimetric_capacitance, '') <> '' THEN trim(concat_ws(' ', gravimetric_capacitance, gravimetric_capacitance__unit)) ELSE '—' END AS cg, coalesce(nullif(current_density, ''), scan_rate, '—') AS condition, CAST({_filled(_DENSE)} AS VARCHAR) || '/18' AS filled FROM d2"),
+    "field_card": _sql(" UNION ALL ".join(_card_v1(i, f) for i, f in enumerate(E_FIELDS))),
+    "field_card_v2": _sql(" UNION ALL ".join(_card_v2(i, f) for i, f in enumerate(_ORDER))),
+    "catalog_fields": _sql("SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{f}' AS feature, {'NULL' if f == 'layer_no' else chr(39) + 'electrode' + chr(39)} AS level, {next((chr(39) + c + chr(39) for n, c, _ in _CATALOG if n == f), 'NULL')} AS category, {'NULL' if f == 'layer_no' else chr(39) + 'core' + chr(39)} AS tier, count({f}) AS n FROM e2" for f in E_FIELDS) + ")"),
+    "validate_v1": _sql(_V1),
+    "validate_v2": _sql(_V2),
+    "attention_report": _sql(f"""SELECT 'paper_' || CAST(c_custkey AS VARCHAR) || '.pdf' AS source_file, 'failed' AS kind, 'unreadable' AS detail FROM customer WHERE c_custkey % 50 = 0
+UNION ALL SELECT source_file, 'flagged', string_agg(code || ': ' || detail, '; ' ORDER BY code || ': ' || detail) FROM ({_V1}) GROUP BY source_file"""),
 }
-SQL = {k: v.replace(") , ", "), ") for k, v in SQL.items()}

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from mensura.functions import rules
+from mensura.functions.catalog import V1_FIELDS
 from mensura.operators import records as R
 from mensura.operators import reports as P
 from mensura.plans import fixtures as X
@@ -35,6 +36,15 @@ def csv_folder(spark, d):
     return rows.select("electrode_id", "measurement_id", "test_type", (F.col("search_id").startswith("part-") & ~F.col("search_id").endswith(".csv")).alias("named"))
 
 
+def csv_headers(spark, d):
+    """Files of one folder whose columns differ in order and number are read by name; what one lacks is empty."""
+    path = scratch(spark, "headers")
+    rows = X.measurements(spark, d)
+    T.write_table(rows.where("measurement_id <= 3").select("electrode_id", "measurement_id", "test_type"), path, "csv")
+    T.write_table(rows.where("measurement_id > 3").select("test_type", "electrode_id", "measurement_id", "scan_rate"), path, "csv", mode="append")
+    return T.scan_dir(spark, path).drop("search_id")
+
+
 def csv_typed(spark, d):
     """Types found by Spark."""
     path = scratch(spark, "typed")
@@ -53,8 +63,7 @@ def verdict_files(spark, d):
 def json_dense(spark, d):
     path = scratch(spark, "dense")
     J.write_records(N.records_v1(spark, d), path)
-    rows = R.flatten_v1(J.scan_records_v1(spark, path, N.E_FIELDS), N.E_FIELDS)
-    return rows.select("source_file", "electrode_id", "electrode_label", "role", "is_primary", *N.E_FIELDS, "interlayer_spacing__unit", "interlayer_spacing__conf")
+    return R.flatten_v1(J.scan_records_v1(spark, path), V1_FIELDS).select(*N.V1_HEAD, *V1_FIELDS, "interlayer_spacing__unit", "interlayer_spacing__conf")
 
 
 def json_sparse(spark, d):
@@ -62,17 +71,17 @@ def json_sparse(spark, d):
     path = scratch(spark, "sparse")
     stale = F.when(F.col("source_file").endswith("7.pdf"), "1").otherwise("2")
     J.write_records(N.records_v2(spark, d).withColumns({"schema_version": stale, "measurement_mode": F.lit("all")}), path)
-    rows = R.measurement_table(J.scan_records_v2(spark, path, "2", "all"), ["mxene_formula"], N.M_FIELDS)
-    return rows.select("source_file", "electrode_id", "measurement_id", "mxene_formula", *N.M_FIELDS, "scan_rate__unit")
+    rows = R.measurement_table(J.scan_records_v2(spark, path, "2", "all"), ["mxene_formula", "flake_size"], N.M_FIELDS)
+    return rows.select(*N.V2_HEAD, "measurement_id", "measurement_label", "is_representative", "mxene_formula", "flake_size__unit", *N.M_FIELDS, "scan_rate__unit")
 
 
 def ingest_records(spark, d):
-    """Record files taken by a file stream in two runs; the second finds nothing new."""
+    """Record files taken by a file stream in two runs; in the second all records come again in new files."""
     path = scratch(spark, "ingest")
-    J.write_records(N.records_v1(spark, d), f"{path}/in")
     for _ in range(2):
-        incremental_ingest(spark, f"{path}/in", J.schema_v1(N.E_FIELDS), lambda b: R.flatten_v1(b, N.E_FIELDS), f"{path}/out", f"{path}/checkpoint")
-    return spark.read.parquet(f"{path}/out").select("source_file", "electrode_id", "electrode_label", "role", "is_primary", *N.E_FIELDS, "interlayer_spacing__unit", "interlayer_spacing__conf")
+        J.write_records(N.records_v1(spark, d), f"{path}/in", mode="append")
+        incremental_ingest(spark, f"{path}/in", J.schema_v1(), lambda b: R.flatten_v1(b, V1_FIELDS), f"{path}/out", f"{path}/checkpoint")
+    return spark.read.parquet(f"{path}/out/rows").select(*N.V1_HEAD, *V1_FIELDS, "interlayer_spacing__unit", "interlayer_spacing__conf")
 
 
 def schema_summary(spark, d):
@@ -91,7 +100,7 @@ def target_subset(spark, d):
     return P.target_subset(Q.strict_measurements(spark, d), "capacitance_F_g", FEATURES)
 
 
-QUERIES = {f.__name__: f for f in (csv_strings, csv_folder, csv_typed, verdict_files, json_dense, json_sparse, ingest_records, schema_summary, feature_coverage, feature_coverage_labelled, target_subset)}
+QUERIES = {f.__name__: f for f in (csv_strings, csv_folder, csv_headers, csv_typed, verdict_files, json_dense, json_sparse, ingest_records, schema_summary, feature_coverage, feature_coverage_labelled, target_subset)}
 
 
 def _coverage(rows):
@@ -103,6 +112,7 @@ _TYPES = {"test_type": "string", "scan_rate": "string", "gravimetric_capacitance
 SQL = {
     "csv_strings": X.sql("SELECT CAST(electrode_id AS VARCHAR) AS electrode_id, " + ", ".join(f"coalesce({c}, '') AS {c}" for c in TEXTS) + " FROM e"),
     "csv_folder": X.sql("SELECT CAST(electrode_id AS VARCHAR) AS electrode_id, CAST(measurement_id AS VARCHAR) AS measurement_id, test_type, TRUE AS named FROM m"),
+    "csv_headers": X.sql("SELECT CAST(electrode_id AS VARCHAR) AS electrode_id, CAST(measurement_id AS VARCHAR) AS measurement_id, test_type, CASE WHEN measurement_id > 3 THEN coalesce(scan_rate, '') ELSE '' END AS scan_rate FROM m"),
     "csv_typed": X.sql("SELECT CAST(electrode_id AS BIGINT) AS electrode_id, CAST(measurement_id AS BIGINT) AS measurement_id, is_representative, CAST(scan_rate AS BIGINT) AS scan_rate FROM m"),
     "verdict_files": f"SELECT overall, n, n AS n_reasoning FROM ({V.SQL['verdict_counts']})",
     "json_dense": N.SQL["flatten_v1"],

@@ -2,27 +2,55 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Sequence
+from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def _csv(spark: SparkSession):
-    return spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+def _csv(spark: SparkSession, multi_line: bool):
+    """multi_line: values hold line breaks. A file is then one task's; without, its lines are split among tasks."""
+    return spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
 
 
-def scan_strings(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
-    """CSV with every column a string and nulls empty; given columns spare the look at the header."""
-    reader = _csv(spark)
-    if columns:
-        reader = reader.schema(", ".join(f"`{c}` STRING" for c in columns))
-    return reader.csv(path).na.fill("")
+def _headers(spark: SparkSession, path: str) -> dict[tuple[str, ...], list[str]]:
+    """Header -> the files that have it. The first line of each file is found by Spark; a line a file comes to the driver."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"), "value")
+    first = lines.where("start = 0").groupBy("file").agg(F.min_by("value", "at").alias("line"))
+    found: dict[tuple[str, ...], list[str]] = {}
+    for row in first.collect():
+        found.setdefault(tuple(next(csv.reader([row["line"].lstrip("\ufeff")]))), []).append(unquote(row["file"]))
+    return found
 
 
-def scan_dir(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
-    """Every CSV of a folder, with search_id, the file's name without its suffix. All files share one header."""
-    return scan_strings(spark, path, columns).withColumn("search_id", F.regexp_replace(F.col("_metadata.file_name"), r"\.csv$", ""))
+def file_name() -> Column:
+    """A row's file, without the escapes that paths have."""
+    return F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))
+
+
+def _strings(columns: Sequence[str]) -> str:
+    return ", ".join(f"`{c}` STRING" for c in columns)
+
+
+def scan_strings(spark: SparkSession, path: str, columns: Sequence[str] | None = None, multi_line: bool = True, one_header: bool = False) -> DataFrame:
+    """CSV with every column a string and nulls empty. Files are read by their headers' names: those whose headers differ are
+    stacked by name, and what one lacks is empty. one_header says that all are alike, and spares the look at them."""
+    if columns and one_header:
+        return _csv(spark, multi_line).schema(_strings(columns)).option("enforceSchema", False).csv(path).na.fill("")
+    groups = _headers(spark, path)
+    parts = [_csv(spark, multi_line).schema(_strings(header)).csv(sorted(files)) for header, files in sorted(groups.items())]
+    out = union_files(parts) if parts else _csv(spark, multi_line).csv(path).na.fill("")
+    return out.select(*columns) if columns else out
+
+
+def scan_dir(spark: SparkSession, path: str, columns: Sequence[str] | None = None, multi_line: bool = True) -> DataFrame:
+    """Every CSV of a folder, with search_id, the file's name without its suffix."""
+    named = lambda df: df.withColumn("search_id", F.regexp_replace(file_name(), r"\.csv$", ""))
+    parts = [named(_csv(spark, multi_line).schema(_strings(header)).csv(sorted(files))) for header, files in sorted(_headers(spark, path).items())]
+    out = union_files(parts)
+    return out.select(*columns, "search_id") if columns else out
 
 
 def union_files(parts: Sequence[DataFrame]) -> DataFrame:
@@ -40,9 +68,9 @@ def require_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df
 
 
-def scan_inferred(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+def scan_inferred(spark: SparkSession, path: str, schema: str | None = None, multi_line: bool = True) -> DataFrame:
     """CSV with types: of the schema, or inferred by a pass over the data where none is given."""
-    reader = _csv(spark)
+    reader = _csv(spark, multi_line)
     return (reader.schema(schema) if schema else reader.option("inferSchema", True)).csv(path)
 
 

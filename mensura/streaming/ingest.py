@@ -1,20 +1,44 @@
-"""Records as they arrive: each file is taken once, and a rerun goes on where the last one stopped."""
+"""Records as they arrive: each is taken once, and a rerun goes on where the last one stopped."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+KEYS = ("source_path", "model")
 
-def incremental_ingest(spark: SparkSession, source: str, schema: str, flatten: Callable[[DataFrame], DataFrame], target: str, checkpoint: str, files_per_batch: int = 1000) -> None:
+
+def _known(spark: SparkSession, path: str, number: int) -> DataFrame | None:
+    """Keys that batches other than this one have stored; None where there is no such table yet."""
+    try:
+        return spark.read.parquet(path).where(F.col("batch") != number).drop("batch")
+    except AnalysisException:
+        return None
+
+
+def incremental_ingest(
+    spark: SparkSession, source: str, schema: str, flatten: Callable[[DataFrame], DataFrame], target: str, checkpoint: str, files_per_batch: int = 1000, keys: Sequence[str] = KEYS
+) -> None:
     """Take all record files of source that the checkpoint does not know, flatten them and add them to target.
 
-    A batch goes to a folder named by its number and replaces what a broken attempt left there, so its rows appear once.
+    A record whose keys are stored already is left out, also where it comes again in a new file. A batch goes to folders named by
+    its number, the rows under target/rows and the keys under target/keys, and replaces what a broken attempt left there, so its
+    rows appear once. Only keys are read to find what is known.
     """
 
     def store(batch: DataFrame, number: int) -> None:
-        flatten(batch).write.mode("overwrite").parquet(f"{target}/batch={number}")
+        new = batch.dropDuplicates(list(keys))
+        if (known := _known(spark, f"{target}/keys", number)) is not None:
+            named = known.toDF(*(f"k_{c}" for c in known.columns))
+            same = [F.col(k).eqNullSafe(F.col(f"k_{k}")) for k in keys]
+            new = new.join(named, same, "left_anti")
+        new.persist()  # rows and keys of the same records
+        flatten(new).write.mode("overwrite").parquet(f"{target}/rows/batch={number}")
+        new.select(*keys).write.mode("overwrite").parquet(f"{target}/keys/batch={number}")
+        new.unpersist()
 
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).json(source)
     stream.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

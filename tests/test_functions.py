@@ -49,7 +49,7 @@ def test_layers(spark, cell, strict, lenient):
 
 
 def test_field_map_last_wins(spark):
-    df = spark.range(1).select(F.array(N.item("a", F.lit("1")), N.item("b", F.lit("2")), N.item("a", F.lit("3"))).alias("f"))
+    df = spark.range(1).select(F.array(*(N.item(k, F.lit(v), F.lit(None), F.lit(None)) for k, v in (("a", "1"), ("b", "2"), ("a", "3")))).alias("f"))
     got = df.select(*N.flatten_fields(N.field_map(F.col("f")), ["a", "b", "c"], "none")).first()
     assert tuple(got) == ("3", "2", None)
 
