@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -78,3 +80,16 @@ def engineered_features(df: DataFrame) -> DataFrame:
     new |= {k: synthesis.rlike(p).cast("int") for k, p in SYNTHESIS_FLAGS.items()}
     new["lif_hcl_etch"] = (synthesis.contains("lif") & synthesis.contains("hcl")).cast("int")
     return df.withColumns(new)
+
+
+#: The lenient model's features, in order.
+FEATURE_VIEW = (
+    "interlayer_spacing_nm flake_size_um porosity_pct pore_diameter_nm electrode_thickness_um mass_loading_mg_cm2 ssa_m2_g scan_rate_mV_s current_density_A_g current_density_mA_cm2 "
+    "current_density_A_cm3 measurement_mode h2so4_concentration concentration_basis electrolyte_is_gel layer_category contains_carbon_additive contains_polymer contains_metal_oxide "
+    "vacuum_filtration template_based freeze_dried lif_hcl_etch hf_etch printed"
+).split()
+
+
+def feature_view(df: DataFrame, ids: Sequence[str] = ()) -> DataFrame:
+    """ids and the 25 features of normalised lenient rows."""
+    return engineered_features(df).select(*ids, *FEATURE_VIEW)

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: The patterns by which values are read.
 NUMBER = r"[-+]?[0-9]*\.?[0-9]+(?:[eE][-+]?[0-9]+)?"
 STRICT_RANGE = r"(?i)([0-9]*\.?[0-9]+)\s*(?:-|–|—|to)\s*([0-9]*\.?[0-9]+)"
 LENIENT_RANGE = r"(?:^|[^a-z0-9.])([0-9]*\.?[0-9]+)\s*-\s*([0-9]*\.?[0-9]+)"
@@ -40,7 +41,7 @@ def unit_key(c: Column, strip_dot: bool = False) -> Column:
     return F.translate(out, "·", "") if strip_dot else out
 
 
-#: field -> (value column, result column, ((unit pattern, factor), ...)), strict: the whole unit must match.
+#: Field -> (value column, result column, ((unit pattern, factor), ...)), strict: the whole unit must match.
 STRICT = {
     "interlayer_spacing": ("interlayer_spacing_nm", ((r"^(å|a)$", 0.1), (r"^nm$", 1.0))),
     "flake_size": ("flake_size_um", ((r"^nm$", 0.001), (r"^(µm|um|microns)$", 1.0))),
@@ -53,7 +54,7 @@ STRICT = {
     "current_density": ("current_density_A_g", ((r"^(a/g|ag-1)$", 1.0),)),
     "gravimetric_capacitance": ("capacitance_F_g", ((r"^(f/g|fg-1)$", 1.0),)),
 }
-#: lenient: the unit need only contain the pattern.
+#: Fixed values, lenient: the unit need only contain the pattern.
 LENIENT = {
     "interlayer_spacing": ("interlayer_spacing_nm", ((r"å|angstrom", 0.1), (r"nm", 1.0))),
     "flake_size": ("flake_size_um", ((r"nm", 0.001), (r"µm|um|micrometer", 1.0))),
@@ -63,7 +64,7 @@ LENIENT = {
     "mass_loading": ("mass_loading_mg_cm2", ((r"", 1.0),)),
     "ssa": ("ssa_m2_g", ((r"", 1.0),)),
     "scan_rate": ("scan_rate_mV_s", ((r"mv/s|mvs-1", 1.0), (r"v/s|vs-1", 1000.0))),
-    "gravimetric_capacitance": ("capacitance_F_g", ((r"f/g|fg-1", 1.0),)),
+    "gravimetric_capacitance": ("gravimetric_capacitance_F_g", ((r"", 1.0),)),
     "volumetric_capacitance": ("volumetric_capacitance_F_cm3", ((r"", 1.0),)),
     "areal_capacitance": ("areal_capacitance_mF_cm2", ((r"^mf", 1.0), (r"^f", 1000.0))),
 }
@@ -79,25 +80,40 @@ def convert_unit(value: Column, unit: Column, rules) -> Column:
     return out
 
 
+def _mixed_size(text: Column) -> Column:
+    low, high = (_double(F.regexp_extract(text, MIXED, i)) for i in (1, 2))
+    return F.when(text.rlike(MIXED), (low / 1000 + high) / 2)
+
+
 def flake_size_strict(value: Column, unit: Column) -> Column:
     """A range from nm to µm first, then the plain units."""
-    low, high = (_double(F.regexp_extract(value, MIXED, i)) for i in (1, 2))
-    return F.when(value.rlike(MIXED), (low / 1000 + high) / 2).otherwise(convert_unit(parse_strict(value), unit_key(unit), STRICT["flake_size"][1]))
+    return F.coalesce(_mixed_size(value), convert_unit(parse_strict(value), unit_key(unit), STRICT["flake_size"][1]))
+
+
+def _converted(df: DataFrame, fields: dict, parse, more) -> DataFrame:
+    """Canonical doubles for the fields that df has: values and units are read once in a projection of their own, then converted.
+
+    fields: field -> (result, rules); parse(field) -> its value; more(values, units) -> further columns by name.
+    """
+    own = [f for f in fields if f in df.columns]
+    read = df.withColumns({f"__v_{f}": parse(f) for f in own} | {f"__u_{f}": unit_key(F.col(f"{f}__unit")) for f in own})
+    value, unit = {f: F.col(f"__v_{f}") for f in own}, {f: F.col(f"__u_{f}") for f in own}
+    new = {name: convert_unit(value[f], unit[f], rules) for f, (name, rules) in fields.items() if f in own and rules}
+    return read.withColumns(new | more(value, unit)).drop(*(f"__{k}_{f}" for k in "vu" for f in own))
 
 
 def normalize_strict(df: DataFrame) -> DataFrame:
-    """Canonical doubles for the fields that df has, in one projection."""
-    new = {}
-    for field, (name, rules) in STRICT.items():
-        if field not in df.columns:
-            continue
-        value, unit = F.col(field), F.col(f"{field}__unit")
-        if field == "flake_size":
-            new[name] = flake_size_strict(value, unit)
-        else:
-            target, rate = field == "gravimetric_capacitance", field in ("scan_rate", "current_density")
-            new[name] = convert_unit(parse_strict(value, "reject" if target or rate else "midpoint", "reject" if target else "keep"), unit_key(unit), rules)
-    return df.withColumns(new)
+    """Canonical doubles for the fields that df has."""
+
+    def parse(field: str) -> Column:
+        target, rate = field == "gravimetric_capacitance", field in ("scan_rate", "current_density")
+        return parse_strict(F.col(field), "reject" if target or rate else "midpoint", "reject" if target else "keep")
+
+    def more(value: dict, unit: dict) -> dict:
+        name, rules = STRICT["flake_size"]
+        return {name: F.coalesce(_mixed_size(F.col("flake_size")), convert_unit(value["flake_size"], unit["flake_size"], rules))} if "flake_size" in value else {}
+
+    return _converted(df, STRICT, parse, more)
 
 
 def concentration_basis(c: Column) -> Column:
@@ -109,11 +125,17 @@ def concentration(c: Column) -> Column:
 
 
 def normalize_lenient(df: DataFrame) -> DataFrame:
-    new = {name: convert_unit(parse_lenient(F.col(f)), unit_key(F.col(f"{f}__unit")), rules) for f, (name, rules) in LENIENT.items() if f in df.columns}
-    if "current_density" in df.columns:
-        value, unit = parse_lenient(F.col("current_density")), unit_key(F.col("current_density__unit"))
-        new |= {name: F.when(unit.rlike(p), value) for name, p in CURRENT}
-    if "electrolyte" in df.columns:
-        e = F.coalesce("electrolyte", F.lit(""))
-        new |= {"h2so4_concentration": concentration(e), "concentration_basis": concentration_basis(e), "electrolyte_is_gel": e.rlike("(?i)pva|gel").cast("int")}
-    return df.withColumns(new)
+    def more(value: dict, unit: dict) -> dict:
+        new = {name: F.when(unit["current_density"].rlike(p), value["current_density"]) for name, p in CURRENT} if "current_density" in value else {}
+        if "electrolyte" in df.columns:
+            e = F.coalesce("electrolyte", F.lit(""))
+            new |= {"h2so4_concentration": concentration(e), "concentration_basis": concentration_basis(e), "electrolyte_is_gel": e.rlike("(?i)pva|gel").cast("int")}
+        return new
+
+    return _converted(df, LENIENT | {"current_density": ("", ())}, lambda f: parse_lenient(F.col(f)), more)
+
+
+def parser_examples(spark: SparkSession) -> DataFrame:
+    """What the lenient parser makes of some raw values."""
+    rows = [(v,) for v in ("~160", "around 280", "1.0 ± 0.1", "3–5", "micrometer-sized", "Ti3C2Tx")]
+    return spark.createDataFrame(rows, "raw_value string").withColumn("parsed", parse_lenient(F.col("raw_value")))

@@ -9,6 +9,7 @@ from mensura.functions import measures as M
 from mensura.plans import fixtures as X
 
 E_FIELDS = ("interlayer_spacing", "flake_size", "porosity", "pore_diameter", "electrode_thickness", "mass_loading", "ssa")
+TARGETS = ["gravimetric_capacitance_F_g", "volumetric_capacitance_F_cm3", "areal_capacitance_mF_cm2"]
 IDS = ["source_file", "electrode_id", "measurement_id"]
 
 
@@ -39,7 +40,7 @@ def conditions_strict(spark, d):
 
 def conditions_lenient(spark, d):
     rows = M.normalize_lenient(X.measurements(spark, d))
-    return rows.select(*IDS, "scan_rate_mV_s", *(n for n, _ in M.CURRENT), "capacitance_F_g", "areal_capacitance_mF_cm2")
+    return rows.select(*IDS, "scan_rate_mV_s", *(n for n, _ in M.CURRENT), *TARGETS)
 
 
 def features_strict(spark, d):
@@ -51,7 +52,19 @@ def features_lenient(spark, d):
     return rows.select(*IDS, "layer_category", "measurement_mode", *FE.COMPOSITION_FLAGS, *FE.SYNTHESIS_FLAGS, "lif_hcl_etch")
 
 
-QUERIES = {f.__name__: f for f in (parse_strict, parse_lenient, unit_keys, normalise_strict, normalise_lenient, conditions_strict, conditions_lenient, features_strict, features_lenient)}
+def feature_view(spark, d):
+    """The 25 features of the lenient model."""
+    return FE.feature_view(M.normalize_lenient(X.both(spark, d)), IDS)
+
+
+def parsed_values(spark, d):
+    """Each raw value of a target beside what both parsers make of it."""
+    raw = F.col("gravimetric_capacitance")
+    rows = X.measurements(spark, d).groupBy(raw.alias("raw_value")).agg(F.count(F.lit(1)).alias("n"))
+    return rows.select("raw_value", "n", M.parse_lenient(F.col("raw_value")).alias("parsed"), M.parse_strict(F.col("raw_value")).alias("strict"))
+
+
+QUERIES = {f.__name__: f for f in (parse_strict, parse_lenient, unit_keys, normalise_strict, normalise_lenient, conditions_strict, conditions_lenient, features_strict, features_lenient, feature_view, parsed_values)}
 
 
 def strict_sql(c, ranges="midpoint", bounds="keep"):
@@ -100,23 +113,29 @@ def _lenient(fields):
 
 
 _CURRENT = ", ".join(f"CASE WHEN regexp_matches({unit_sql('current_density__unit')}, '{p}') THEN {lenient_sql('current_density')} END AS {n}" for n, p in M.CURRENT)
+#: The targets, written out: any unit or none for the first two, areal by how the unit begins.
+_TARGETS = f"""{lenient_sql('gravimetric_capacitance')} AS gravimetric_capacitance_F_g, {lenient_sql('volumetric_capacitance')} AS volumetric_capacitance_F_cm3,
+CASE WHEN starts_with({unit_sql('areal_capacitance__unit')}, 'mf') THEN {lenient_sql('areal_capacitance')} WHEN starts_with({unit_sql('areal_capacitance__unit')}, 'f') THEN {lenient_sql('areal_capacitance')} * 1000 END AS areal_capacitance_mF_cm2"""
 _EL = "coalesce(electrolyte, '')"
+_ELECTROLYTE = rf"""CASE WHEN regexp_matches({_EL}, '\b[0-9]*\.?[0-9]+\s*(?:M|m|mol\s*/\s*L)\b') THEN {lenient_sql(_EL)} END AS h2so4_concentration,
+CASE WHEN regexp_matches({_EL}, '[0-9]\s*M\b') THEN 'molarity_M' WHEN regexp_matches({_EL}, '[0-9]\s*m\b') THEN 'molality_m' WHEN regexp_matches({_EL}, '(?i)mol\s*/\s*l') THEN 'molarity_M' ELSE 'unknown' END AS concentration_basis,
+CAST(regexp_matches({_EL}, '(?i)pva|gel') AS INT) AS electrolyte_is_gel"""
+_FEATURES = f"""{chain_sql("lower(coalesce(layer_no, ''))", FE.LAYERS_LENIENT, 'mixed_or_other', 'missing')} AS layer_category,
+CASE WHEN current_density_A_cm3 IS NOT NULL THEN 'GCD_volumetric' WHEN current_density_mA_cm2 IS NOT NULL THEN 'GCD_areal' WHEN current_density_A_g IS NOT NULL THEN 'GCD_gravimetric' WHEN scan_rate_mV_s IS NOT NULL THEN 'CV' ELSE 'unknown' END AS measurement_mode,
+{', '.join(f"CAST(regexp_matches(lower(coalesce(composition, '')), '{p}') AS INT) AS {k}" for k, p in FE.COMPOSITION_FLAGS.items())},
+{', '.join(f"CAST(regexp_matches(lower(coalesce(synthesis_method, '')), '{p}') AS INT) AS {k}" for k, p in FE.SYNTHESIS_FLAGS.items())},
+CAST(lower(coalesce(synthesis_method, '')) LIKE '%lif%' AND lower(coalesce(synthesis_method, '')) LIKE '%hcl%' AS INT) AS lif_hcl_etch"""
 SQL = {
     "parse_strict": X.sql(f"SELECT source_file, electrode_id, measurement_id, {strict_sql('gravimetric_capacitance')} AS midpoint, {strict_sql('gravimetric_capacitance', 'reject')} AS no_range, {strict_sql('gravimetric_capacitance', bounds='reject')} AS no_bound FROM m"),
     "parse_lenient": X.sql(f"SELECT source_file, electrode_id, measurement_id, {lenient_sql('gravimetric_capacitance')} AS value FROM m"),
     "unit_keys": X.sql(f"SELECT {unit_sql('scan_rate__unit')} AS unit, count(*) AS n FROM m GROUP BY 1"),
     "normalise_strict": X.sql(f"SELECT electrode_id, {_strict(E_FIELDS)} FROM e"),
-    "normalise_lenient": X.sql(rf"""SELECT electrode_id, {_lenient(E_FIELDS)}, CASE WHEN regexp_matches({_EL}, '\b[0-9]*\.?[0-9]+\s*(?:M|m|mol\s*/\s*L)\b') THEN {lenient_sql(_EL)} END AS h2so4_concentration,
-CASE WHEN regexp_matches({_EL}, '[0-9]\s*M\b') THEN 'molarity_M' WHEN regexp_matches({_EL}, '[0-9]\s*m\b') THEN 'molality_m' WHEN regexp_matches({_EL}, '(?i)mol\s*/\s*l') THEN 'molarity_M' ELSE 'unknown' END AS concentration_basis,
-CAST(regexp_matches({_EL}, '(?i)pva|gel') AS INT) AS electrolyte_is_gel FROM e"""),
+    "normalise_lenient": X.sql(f"SELECT electrode_id, {_lenient(E_FIELDS)}, {_ELECTROLYTE} FROM e"),
     "conditions_strict": X.sql(f"SELECT source_file, electrode_id, measurement_id, {_strict(('scan_rate', 'current_density', 'gravimetric_capacitance'))} FROM m"),
-    "conditions_lenient": X.sql(f"SELECT source_file, electrode_id, measurement_id, {_lenient(('scan_rate', 'gravimetric_capacitance', 'areal_capacitance'))}, {_CURRENT} FROM m"),
+    "conditions_lenient": X.sql(f"SELECT source_file, electrode_id, measurement_id, {_lenient(('scan_rate',))}, {_CURRENT}, {_TARGETS} FROM m"),
     "features_strict": X.sql(f"""SELECT electrode_id, CASE WHEN try_cast(layer_no AS DOUBLE) <= 1 THEN 'single_layer' WHEN try_cast(layer_no AS DOUBLE) <= 5 THEN 'few_layer' WHEN try_cast(layer_no AS DOUBLE) IS NOT NULL THEN 'multilayer' ELSE {chain_sql('lower(trim(layer_no))', FE.LAYERS, 'other', 'unknown')} END AS layer_class,
 {chain_sql('lower(composition)', FE.FAMILIES, 'other_composite', 'unknown')} AS material_family, {chain_sql('lower(electrolyte)', FE.ELECTROLYTES, 'other', 'unknown')} AS electrolyte_type, coalesce(doi, source_file) AS paper_group, coalesce(role, 'unknown') AS role FROM e"""),
-    "features_lenient": X.sql(f"""SELECT source_file, electrode_id, measurement_id, {chain_sql("lower(coalesce(layer_no, ''))", FE.LAYERS_LENIENT, 'mixed_or_other', 'missing')} AS layer_category,
-CASE WHEN current_density_A_cm3 IS NOT NULL THEN 'GCD_volumetric' WHEN current_density_mA_cm2 IS NOT NULL THEN 'GCD_areal' WHEN current_density_A_g IS NOT NULL THEN 'GCD_gravimetric' WHEN scan_rate_mV_s IS NOT NULL THEN 'CV' ELSE 'unknown' END AS measurement_mode,
-{', '.join(f"CAST(regexp_matches(lower(coalesce(composition, '')), '{p}') AS INT) AS {k}" for k, p in FE.COMPOSITION_FLAGS.items())},
-{', '.join(f"CAST(regexp_matches(lower(coalesce(synthesis_method, '')), '{p}') AS INT) AS {k}" for k, p in FE.SYNTHESIS_FLAGS.items())},
-CAST(lower(coalesce(synthesis_method, '')) LIKE '%lif%' AND lower(coalesce(synthesis_method, '')) LIKE '%hcl%' AS INT) AS lif_hcl_etch
-FROM (SELECT b.*, {_lenient(('scan_rate',))}, {_CURRENT} FROM b)"""),
+    "features_lenient": X.sql(f"SELECT source_file, electrode_id, measurement_id, {_FEATURES} FROM (SELECT b.*, {_lenient(('scan_rate',))}, {_CURRENT} FROM b)"),
+    "feature_view": X.sql(f"SELECT source_file, electrode_id, measurement_id, {', '.join(M.LENIENT[f][0] for f in (*E_FIELDS, 'scan_rate'))}, {', '.join(n for n, _ in M.CURRENT)}, {_ELECTROLYTE}, {_FEATURES} FROM (SELECT b.*, {_lenient((*E_FIELDS, 'scan_rate'))}, {_CURRENT} FROM b)"),
+    "parsed_values": X.sql(f"SELECT gravimetric_capacitance AS raw_value, count(*) AS n, any_value({lenient_sql('gravimetric_capacitance')}) AS parsed, any_value({strict_sql('gravimetric_capacitance')}) AS strict FROM m GROUP BY 1"),
 }

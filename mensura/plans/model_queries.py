@@ -16,25 +16,18 @@ from mensura.plans.session import scratch
 from mensura.sources.models import load_model, save_model
 
 #: Target -> (unit, folds).
-TARGETS = {"capacitance_F_g": ("F g-1", 5), "volumetric_capacitance_F_cm3": ("F cm-3", 5), "areal_capacitance_mF_cm2": ("mF cm-2", 4)}
+TARGETS = {"gravimetric_capacitance_F_g": ("F g-1", 5), "volumetric_capacitance_F_cm3": ("F cm-3", 5), "areal_capacitance_mF_cm2": ("mF cm-2", 4)}
 K = 5
 NUMERIC = ["scan_rate_mV_s", "current_density_A_g", "interlayer_spacing_nm", "mass_loading_mg_cm2"]
 CATEGORICAL = ["test_type", "role", "layer_class", "material_family", "electrolyte_type"]
 
 
-def volumetric(df: DataFrame) -> DataFrame:
-    """df with volumetric_capacitance where the current is given by volume; the views, which SQL shares, have none."""
-    value = (F.col("electrode_id") * 37 + F.col("measurement_id") * 11) % 900 + 100
-    given = F.col("current_density__unit") == "A/cm3"
-    return df.withColumns({"volumetric_capacitance": F.when(given, F.concat(F.lit("~"), value.cast("string"))), "volumetric_capacitance__unit": F.when(given, "F cm−3")})
-
-
 def frame(spark, d, target: str, k: int) -> DataFrame:
     """Labelled rows with features and fold, written once: training reads them many times."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:  # hundreds of trees are hundreds of steps of lineage, which training cuts here
         context.setCheckpointDir(scratch(spark, "lineage"))
-    rows = E.strict_features(M.normalize_lenient(volumetric(X.both(spark, d))))
+    rows = E.strict_features(M.normalize_lenient(X.both(spark, d)))
     rows = rows.where(F.col(target).isNotNull()).select("source_file", "electrode_id", "measurement_id", *NUMERIC, *CATEGORICAL, target, S.group_fold(F.col("source_file"), k).alias("fold"))
     path = scratch(spark, f"frame-{target}")
     rows.write.parquet(path)
@@ -53,12 +46,12 @@ def gbt_by_target(spark, d):
 
 
 def _split(spark, d):
-    return S.group_holdout(frame(spark, d, "capacitance_F_g", K), "source_file")
+    return S.group_holdout(frame(spark, d, "gravimetric_capacitance_F_g", K), "source_file")
 
 
 def gbt_holdout(spark, d):
     """Test papers: the median, the preset and the best of twenty drawn settings."""
-    path, y = scratch(spark, "holdout"), "capacitance_F_g"
+    path, y = scratch(spark, "holdout"), "gravimetric_capacitance_F_g"
     _split(spark, d).write.parquet(path)
     data = spark.read.parquet(path)
     train = data.where("split = 'train'")
@@ -69,7 +62,7 @@ def gbt_holdout(spark, d):
 
 def gbt_importance(spark, d):
     """Importance of the vector's slots in a model of all rows, saved and loaded again."""
-    data, y = frame(spark, d, "capacitance_F_g", K), "capacitance_F_g"
+    data, y = frame(spark, d, "gravimetric_capacitance_F_g", K), "gravimetric_capacitance_F_g"
     path = scratch(spark, "model")
     save_model(spark, G.gbt_pipeline(data, NUMERIC, CATEGORICAL, y).fit(data), path, {"features": NUMERIC + CATEGORICAL, "target": y, "unit": "F g-1"})
     model, _ = load_model(spark, path)
@@ -78,7 +71,7 @@ def gbt_importance(spark, d):
 
 def gbt_permutation(spark, d):
     """How much the error grows when a column is dealt to other rows."""
-    data, y = frame(spark, d, "capacitance_F_g", K), "capacitance_F_g"
+    data, y = frame(spark, d, "gravimetric_capacitance_F_g", K), "gravimetric_capacitance_F_g"
     model = G.gbt_pipeline(data, NUMERIC, CATEGORICAL, y).fit(data)
     return G.permutation_importance(model, data, NUMERIC + CATEGORICAL, y)
 

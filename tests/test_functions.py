@@ -22,6 +22,10 @@ def test_parse(spark):
     assert values(spark, ["over 200", "exceeding 100", "5–100", "7"], lambda c: M.parse_strict(c, "reject", "reject")) == [None, None, None, 7]
 
 
+def test_parser_examples(spark):
+    assert [tuple(r) for r in M.parser_examples(spark).collect()] == [("~160", 160), ("around 280", 280), ("1.0 ± 0.1", 1), ("3–5", 4), ("micrometer-sized", None), ("Ti3C2Tx", None)]
+
+
 def test_units(spark):
     assert values(spark, ["F g−1", "µg cm−2", "μm", None, "m²/g", "mV·s−1"], M.unit_key) == ["fg-1", "µgcm-2", "µm", "", "m2/g", "mv·s-1"]
     assert values(spark, ["mV·s−1"], lambda c: M.unit_key(c, strip_dot=True)) == ["mvs-1"]

@@ -72,8 +72,8 @@ def test_queries_ask_for_the_whole_job(spark, monkeypatch):
     monkeypatch.setattr(G, "oof_predict", oof)
     monkeypatch.setattr(G, "gbt_pipeline", fit)
     got = {r.target: r for r in Q.gbt_by_target(spark, sf).collect()}
-    assert got.keys() == {"capacitance_F_g", "volumetric_capacitance_F_cm3", "areal_capacitance_mF_cm2"} and all(r.n for r in got.values())
-    assert [(y, k, n) for y, k, n, _ in folds] == [("capacitance_F_g", 5, 5), ("volumetric_capacitance_F_cm3", 5, 5), ("areal_capacitance_mF_cm2", 4, 4)]
+    assert got.keys() == {"gravimetric_capacitance_F_g", "volumetric_capacitance_F_cm3", "areal_capacitance_mF_cm2"} and all(r.n for r in got.values())
+    assert [(y, k, n) for y, k, n, _ in folds] == [("gravimetric_capacitance_F_g", 5, 5), ("volumetric_capacitance_F_cm3", 5, 5), ("areal_capacitance_mF_cm2", 4, 4)]
     assert all({**G.PRESETS[s["preset"]], **s}["maxIter"] == 400 for *_, s in folds)
     folds.clear()
     assert Q.gbt_holdout(spark, sf).count() == 3
