@@ -39,6 +39,11 @@ def fields(level: str) -> list[str]:
     return [f for (lv, _, _), names in CATALOG.items() if lv == level for f in names.split()]
 
 
-def feature_catalog(spark: SparkSession) -> DataFrame:
+def feature_catalog(spark: SparkSession, path: str | None = None) -> DataFrame:
+    """The catalog as a table. With the path of the catalog's own CSV file all its columns, with description, preferred_unit and
+    literature_basis; without one, level, feature, category and tier."""
+    if path is not None:
+        columns = "level feature category tier description preferred_unit literature_basis".split()
+        return spark.read.option("header", True).option("escape", '"').option("multiLine", True).schema(", ".join(f"{c} string" for c in columns)).option("enforceSchema", False).csv(path)
     rows = [(lv, f, cat, tier) for (lv, cat, tier), names in CATALOG.items() for f in names.split()]
     return spark.createDataFrame(rows, "level string, feature string, category string, tier string")

@@ -73,13 +73,20 @@ def formula_reason(c: Column) -> Column:
     )
 
 
-def synthesis_reason(c: Column) -> Column:
+def synthesis_reason(c: Column, wording: str = "which") -> Column:
+    """wording: which says which of the two is missing, one (of the second version) only that one is."""
     norm = normalise_text(c)
     lif, hcl = (norm.rlike(p) for p in SYNTHESIS.values())
-    return (
-        F.when(F.trim(c) == "", "Synthesis cell is empty.")
+    out = (
+        #: The reasons' sentences.
+        F.when(F.trim(c) == "", "Synthesis cell is empty." if wording == "which" else "Synthesis is empty.")
         .when(lif & hcl, "Synthesis explicitly mentions both LiF and HCl.")
         .when(~lif & ~hcl, "Synthesis mentions neither LiF nor HCl.")
+    )
+    if wording == "one":
+        return out.otherwise("Synthesis mentions only one of LiF or HCl.")
+    return (
+        out
         .when(~lif, "Synthesis mentions HCl but not LiF.")
         .otherwise("Synthesis mentions LiF but not HCl.")
     )

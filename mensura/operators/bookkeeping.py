@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .reports import upper_median
+
 #: Dollars per million tokens, in and out.
 PRICING = {"gpt-5.4": (2.50, 15.00), "gpt-5.6-terra": (2.50, 15.00), "gpt-5.6-sol": (5.00, 30.00), "gpt-5.6-luna": (1.00, 6.00), "gpt-5.4-mini": (0.75, 4.50), "gpt-5.4-nano": (0.20, 1.25)}
 DEFAULT_RATES = (2.5, 15.0)
@@ -26,7 +28,13 @@ def record_key(path: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(path, r"\.[^./\\]*$", ""), r"[/\\]", "__")
 
 
-def pending_documents(listing: DataFrame, done: DataFrame, key: str, limit: int | None = None) -> DataFrame:
+def pending_documents(listing: DataFrame, done: DataFrame, key: str, limit: int | None = None, version: str | None = None, mode: str | None = None) -> DataFrame:
+    """Documents without a result, the first of them by key. Given a version or a mode, results of another one (columns
+    schema_version and measurement_mode) count as none."""
+    if version is not None:
+        done = done.where(F.col("schema_version").eqNullSafe(version))
+    if mode is not None:
+        done = done.where(F.col("measurement_mode").eqNullSafe(mode))
     left = listing.join(done.select(key), key, "left_anti")
     return left.orderBy(key).limit(limit) if limit else left
 
@@ -60,13 +68,19 @@ def record_cost(df: DataFrame, prices: DataFrame) -> DataFrame:
     return out.withColumn("cost_usd", cost).withColumn("per_electrode", F.col("cost_usd") / F.greatest("n_electrodes", F.lit(1))).drop("input_rate", "output_rate")
 
 
+def unreadable(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """The documents with too little text."""
+    return docs.where(F.length(F.trim(F.coalesce(text, F.lit("")))) < LOW_TEXT).select(key)
+
+
 def preflight(docs: DataFrame, prices: DataFrame, text: str = "text", kind: str = "v1", electrodes: float = 3.0, measurements: float = 4.0) -> DataFrame:
-    """Totals of the corpus times each model's price, with the batch price at half."""
+    """Totals of the corpus, the upper median of document sizes, and each model's price, with the batch price at half."""
     out_each = 200 + 350 * electrodes if kind == "v1" else 300 + 500 * electrodes + 260 * electrodes * measurements
     one = docs.agg(F.count(F.lit(1)).alias("documents"), F.sum(F.expr(f"length(coalesce({text}, '')) div 4") + OVERHEAD[kind]).cast("long").alias("in_tokens"), F.count_if(F.length(F.trim(F.coalesce(text, F.lit("")))) < LOW_TEXT).alias("unreadable"))
-    one = one.withColumn("out_tokens", (F.col("documents") * out_each).cast("double"))
+    sizes = docs.select(F.length(F.coalesce(text, F.lit(""))).alias("chars"))
+    one = one.withColumn("out_tokens", (F.col("documents") * out_each).cast("double")).join(upper_median(sizes, "chars").withColumnRenamed("upper_median", "median_chars"))  # one row each
     full = F.col("in_tokens") / 1e6 * F.col("input_rate") + F.col("out_tokens") / 1e6 * F.col("output_rate")
-    return one.crossJoin(F.broadcast(prices)).select("model", "documents", "unreadable", "in_tokens", "out_tokens", F.round(full, 4).alias("cost_usd"), F.round(full / 2, 4).alias("batch_usd"))
+    return one.crossJoin(F.broadcast(prices)).select("model", "documents", "unreadable", "median_chars", "in_tokens", "out_tokens", F.round(full, 4).alias("cost_usd"), F.round(full / 2, 4).alias("batch_usd"))
 
 
 def run_summary(records: DataFrame, failures: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -52,8 +53,32 @@ def group_size_stats(df: DataFrame, key: str, exact: bool = True) -> DataFrame:
     return sizes.agg(middle.alias("median"), F.max("n").alias("max"), F.min("n").alias("min"), F.count(F.lit(1)).alias("groups"))
 
 
-def oversized(df: DataFrame, key: str, most: int) -> DataFrame:
-    return df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most)
+def oversized(df: DataFrame, key: str, most: int, first: int | None = None) -> DataFrame:
+    """Groups of more rows than that, or the first of them, largest first."""
+    out = df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most)
+    return out.orderBy(F.desc("n"), key).limit(first) if first else out
+
+
+def condition_subset(df: DataFrame, target: str, condition: str, ids: Sequence[str] = ()) -> DataFrame:
+    """Rows that have both the target and the condition it was measured at."""
+    return df.where(F.col(target).isNotNull() & F.col(condition).isNotNull()).select(*ids, condition, target)
+
+
+def usable_counts(df: DataFrame, target: str, conditions: dict[str, str]) -> DataFrame:
+    """One row: rows with the target, and with it and each condition, by the conditions' names."""
+    t = F.col(target).isNotNull()
+    return df.agg(F.count_if(t).alias("target"), *(F.count_if(t & F.col(c).isNotNull()).alias(name) for name, c in conditions.items()))
+
+
+def conversion_audit(df: DataFrame, converted: dict[str, str], ids: Sequence[str] = ()) -> DataFrame:
+    """Raw value, unit and result side by side, where any of the fields was converted. converted: field -> result."""
+    some = reduce(lambda a, b: a | b, (F.col(c).isNotNull() for c in converted.values()))
+    return df.where(some).select(*ids, *(c for f, name in converted.items() for c in (f, f"{f}__unit", name)))
+
+
+def confidence_filter(df: DataFrame, field: str, levels: Sequence[str] = ("stated",), ids: Sequence[str] = ()) -> DataFrame:
+    """Rows whose field has one of the confidences."""
+    return df.where(F.col(f"{field}__conf").isin(*levels)).select(*ids, field)
 
 
 def value_counts(df: DataFrame, column: str, keep_null: bool = True) -> DataFrame:
@@ -61,13 +86,13 @@ def value_counts(df: DataFrame, column: str, keep_null: bool = True) -> DataFram
     return rows.groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def target_summary(df: DataFrame, targets: dict[str, str], paper: str = "source_file") -> DataFrame:
-    """Per target: unit, rows, papers, least, median, most."""
+def target_summary(df: DataFrame, targets: dict[str, str], paper: str = "source_file", exact: bool = True) -> DataFrame:
+    """Per target: unit, rows, papers, least, median, most. Targets without a row are left out. The exact median keeps the counts
+    of a target's distinct values in one buffer; where these are too many, exact=False takes percentile_approx."""
     cells = F.array(*(F.struct(F.lit(t).alias("target"), F.lit(u).alias("unit"), F.col(t).cast("double").alias("value")) for t, u in targets.items()))
     rows = df.select(paper, F.explode(cells).alias("c")).select(paper, "c.*").where("value IS NOT NULL")
-    return rows.groupBy("target", "unit").agg(
-        F.count(F.lit(1)).alias("n_rows"), F.count_distinct(paper).alias("papers"), F.min("value").alias("least"), F.median("value").alias("median"), F.max("value").alias("most")
-    )
+    middle = F.median("value") if exact else F.percentile_approx("value", 0.5)
+    return rows.groupBy("target", "unit").agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct(paper).alias("papers"), F.min("value").alias("least"), middle.alias("median"), F.max("value").alias("most"))
 
 
 def target_coverage(df: DataFrame, targets: Sequence[str], paper: str = "source_file") -> DataFrame:
@@ -87,18 +112,32 @@ def dedupe_measurements(df: DataFrame, keys: Sequence[str], order: str = "measur
     return df.groupBy(*keys).agg(F.min(order).alias(order))
 
 
+def running_counts(df: DataFrame, value: str, steps: int = 256) -> DataFrame:
+    """(v, n, upto): each distinct value that is not null, its rows, and the rows up to and with it.
+
+    No task orders them all: values are cut into ranges at approximate quantiles (at most `steps` numbers come to the driver),
+    summed within each range, and a small table of the ranges gives what lies before.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    edges = counts.agg(F.percentile_approx("v", [i / steps for i in range(1, steps)], 10 * steps)).first()[0]
+    edges = sorted(set(edges or []))
+    place = F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e < F.col("v"))) if edges else F.lit(0)
+    counts = counts.withColumn("range", place)
+    ranges = counts.groupBy("range").agg(F.sum("n").alias("own"))
+    ranges = ranges.select("range", (F.sum("own").over(W.orderBy("range")) - F.col("own")).alias("before"))  # at most `steps` rows
+    within = F.sum("n").over(W.partitionBy("range").orderBy("v"))
+    return counts.withColumn("within", within).join(F.broadcast(ranges), "range").select("v", "n", (F.col("before") + F.col("within")).alias("upto"))
+
+
 def upper_median(df: DataFrame, value: str) -> DataFrame:
-    """The element at n div 2 of the sorted values: a count, then the one row at that rank."""
-    # ranks come from running totals of distinct values, so the window holds values, not rows
-    counts = df.groupBy(F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    running = counts.select("v", F.sum("n").over(W.orderBy("v")).alias("upto"), F.sum("n").over(W.partitionBy()).alias("total"))
-    return running.where(F.expr("upto > total div 2")).agg(F.min("v").alias("upper_median"))
+    """The element at n div 2 of the sorted values."""
+    half = df.agg(F.expr(f"count(`{value}`) div 2").alias("half"))
+    return running_counts(df, value).join(F.broadcast(half)).where("upto > half").agg(F.min("v").alias("upper_median"))  # one row
 
 
 def average_rank(df: DataFrame, value: str, name: str) -> DataFrame:
-    """Ranks with ties averaged, by distinct value."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    ranks = counts.select("v", (F.sum("n").over(W.orderBy("v")) - F.col("n") + (F.col("n") + 1) / 2).alias(name))
+    """Ranks with ties averaged, by distinct value; null where the value is."""
+    ranks = running_counts(df, value).select("v", (F.col("upto") - (F.col("n") - 1) / 2).alias(name))
     return df.join(ranks, df[value] == ranks["v"], "left").drop("v")
 
 

@@ -14,20 +14,45 @@ def group_fold(group: Column, k: int, seed: int = 42) -> Column:
     return (F.conv(F.substring(F.md5(F.concat(group.cast("string"), F.lit(f":{seed}"))), 1, 8), 16, 10).cast("long") % k).cast("int")
 
 
-def group_holdout(df: DataFrame, group: str, share: float = 0.2, seed: int = 42) -> DataFrame:
-    """df with split: whole groups in hash order, the first ceil(share * n) of them are test."""
-    groups = df.select(group).distinct().withColumn("h", F.md5(F.concat(F.col(group).cast("string"), F.lit(f":{seed}"))))
-    ranked = groups.select(group, F.row_number().over(W.orderBy("h", group)).alias("place"), F.count(F.lit(1)).over(W.partitionBy()).alias("n"))
-    ranked = ranked.select(group, F.when(F.col("place") <= F.ceil(F.col("n") * share), "test").otherwise("train").alias("split"))
-    return df.join(ranked, group)
+def fold_count(df: DataFrame, group: str, k: int) -> int:
+    """min(k, groups); an error where there are fewer than two groups."""
+    n = df.select(group).distinct().limit(k).count()
+    if n < 2:
+        raise ValueError(f"folds by {group} need two groups at least, there are {n}")
+    return min(k, n)
 
 
-def median_baseline(df: DataFrame, y: str, fold: str, k: int) -> DataFrame:
-    """Per fold the median of the target outside it; one scan with k conditional medians."""
-    one = df.agg(*(F.median(F.when(F.col(fold) != i, F.col(y))).alias(f"m{i}") for i in range(k)))
+def group_holdout(df: DataFrame, group: str, share: float = 0.2, seed: int = 42) -> DataFrame:
+    """df with split: whole groups in hash order, the first ceil(share * n) of them are test; null is a group of its own.
+
+    Groups are ranked within 4,096 ranges of their hash, and a small table of the ranges says how many lie before each.
+    """
+    own = F.coalesce(F.col("_group").cast("string"), F.lit("\0"))
+    groups = df.select(F.col(group).alias("_group")).distinct().select("_group", F.md5(F.concat(own, F.lit(f":{seed}"))).alias("h"))
+    groups = groups.withColumn("range", F.substring("h", 1, 3))
+    ranges = groups.groupBy("range").agg(F.count(F.lit(1)).alias("own"))
+    ranges = ranges.select("range", (F.sum("own").over(W.orderBy("range")) - F.col("own")).alias("before"), F.sum("own").over(W.partitionBy()).alias("n"))  # 4,096 rows at most
+    place = F.col("before") + F.row_number().over(W.partitionBy("range").orderBy("h", "_group"))
+    ranked = groups.join(F.broadcast(ranges), "range").select("_group", F.when(place <= F.ceil(F.col("n") * share), "test").otherwise("train").alias("split"))
+    return df.join(ranked, F.col(group).eqNullSafe(F.col("_group"))).drop("_group")
+
+
+def median_baseline(df: DataFrame, y: str, fold: str, k: int, exact: bool = True) -> DataFrame:
+    """Per fold the median of the target outside it; one scan with k conditional medians. exact=False takes percentile_approx,
+    where the counts of all distinct values are too many for one buffer."""
+    middle = F.median if exact else (lambda c: F.percentile_approx(c, 0.5))
+    one = df.agg(*(middle(F.when(F.col(fold) != i, F.col(y))).alias(f"m{i}") for i in range(k)))
     return one.select(F.explode(F.array(*(F.struct(F.lit(i).alias("fold"), F.col(f"m{i}").alias("median_baseline")) for i in range(k)))).alias("r")).select("r.*")
 
 
+def oof_group_mean(df: DataFrame, y: str, fold: str, by: str, name: str = "predicted") -> DataFrame:
+    """df with an out-of-fold prediction: the mean target of the rows of like `by` in the other folds, null where there are none."""
+    sums = df.groupBy(by, fold).agg(F.sum(y).alias("s"), F.count(y).alias("n"))  # a row for each kind and fold
+    rest = lambda c: F.sum(c).over(W.partitionBy(by)) - F.col(c)
+    means = sums.select(F.col(by).alias("_by"), F.col(fold).alias("_fold"), (rest("s") / F.nullif(rest("n"), F.lit(0))).alias(name))
+    return df.join(means, F.col(by).eqNullSafe(F.col("_by")) & (F.col(fold) == F.col("_fold")), "left").drop("_by", "_fold")
+
+
 def regression_metrics(df: DataFrame, y: str, p: str, by: list[str] | None = None) -> DataFrame:
     e, yc = F.col(y) - F.col(p), F.col(y)
     sst = F.sum(yc * yc) - F.sum(yc) * F.sum(yc) / F.count(yc)

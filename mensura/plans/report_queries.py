@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from mensura.functions import measures as M
 from mensura.operators import reports as P
 from mensura.plans import fixtures as X
-from mensura.plans.measure_queries import _strict
+from mensura.plans.measure_queries import _TARGETS, _strict
 
+AUDITED = {"interlayer_spacing": "interlayer_spacing_nm", "flake_size": "flake_size_um", "porosity": "porosity_pct", "mass_loading": "mass_loading_mg_cm2"}
 COLS = ["doi", "mxene_formula", "synthesis_method", "electrolyte", "layer_no", "interlayer_spacing", "flake_size", "porosity"]
 
 
@@ -29,7 +30,7 @@ def confidence_breakdown(spark, d):
 
 
 def confidence_filter(spark, d):
-    return X.electrodes(spark, d).where(F.col("interlayer_spacing__conf").isin("stated")).select("electrode_id", "interlayer_spacing")
+    return P.confidence_filter(X.electrodes(spark, d), "interlayer_spacing", ids=["electrode_id"])
 
 
 def rows_per_group(spark, d):
@@ -48,12 +49,17 @@ def oversized(spark, d):
     return P.oversized(X.electrodes(spark, d), "source_file", 10)
 
 
+def oversized_measurements(spark, d):
+    """The first ten papers of more than 60 measurements."""
+    return P.oversized(X.measurements(spark, d), "source_file", 60, 10)
+
+
 def value_counts(spark, d):
     return P.value_counts(X.measurements(spark, d), "scan_rate__unit")
 
 
 def target_summary(spark, d):
-    return P.target_summary(strict_measurements(spark, d), {"capacitance_F_g": "F g-1", "scan_rate_mV_s": "mV s-1"})
+    return P.target_summary(M.normalize_lenient(X.measurements(spark, d)), {"gravimetric_capacitance_F_g": "F g-1", "volumetric_capacitance_F_cm3": "F cm-3", "areal_capacitance_mF_cm2": "mF cm-2"})
 
 
 def target_coverage(spark, d):
@@ -61,16 +67,19 @@ def target_coverage(spark, d):
 
 
 def condition_subset(spark, d):
-    return strict_measurements(spark, d).where("capacitance_F_g IS NOT NULL AND scan_rate_mV_s IS NOT NULL").select("electrode_id", "measurement_id", "scan_rate_mV_s", "capacitance_F_g")
+    return P.condition_subset(strict_measurements(spark, d), "capacitance_F_g", "scan_rate_mV_s", ["electrode_id", "measurement_id"])
+
+
+def condition_subset_gcd(spark, d):
+    return P.condition_subset(strict_measurements(spark, d), "capacitance_F_g", "current_density_A_g", ["electrode_id", "measurement_id"])
 
 
 def usable_counts(spark, d):
-    t = F.col("capacitance_F_g").isNotNull()
-    return strict_measurements(spark, d).agg(F.count_if(t).alias("target"), F.count_if(t & F.col("scan_rate_mV_s").isNotNull()).alias("cv"), F.count_if(t & F.col("current_density_A_g").isNotNull()).alias("gcd"))
+    return P.usable_counts(strict_measurements(spark, d), "capacitance_F_g", {"cv": "scan_rate_mV_s", "gcd": "current_density_A_g"})
 
 
 def conversion_audit(spark, d):
-    return M.normalize_strict(X.electrodes(spark, d)).where("interlayer_spacing_nm IS NOT NULL OR flake_size_um IS NOT NULL").select("electrode_id", "interlayer_spacing", "interlayer_spacing__unit", "interlayer_spacing_nm", "flake_size", "flake_size__unit", "flake_size_um")
+    return P.conversion_audit(M.normalize_strict(X.electrodes(spark, d)), AUDITED, ["electrode_id"])
 
 
 def contrast(spark, d):
@@ -119,10 +128,10 @@ def first_record(spark, d):
     return X.electrodes(spark, d).groupBy("source_file").agg(first).select("source_file", "first.*")
 
 
-QUERIES = {f.__name__: f for f in (coverage, column_audit, confidence_breakdown, confidence_filter, rows_per_group, electrodes_per_paper, group_size_stats, oversized, value_counts, target_summary, target_coverage, condition_subset, usable_counts, conversion_audit, contrast, dedupe, upper_median, distinct_papers, union_tables, paper_slice, informative, covered_features, first_record)}
+QUERIES = {f.__name__: f for f in (coverage, column_audit, confidence_breakdown, confidence_filter, rows_per_group, electrodes_per_paper, group_size_stats, oversized, oversized_measurements, value_counts, target_summary, target_coverage, condition_subset, condition_subset_gcd, usable_counts, conversion_audit, contrast, dedupe, upper_median, distinct_papers, union_tables, paper_slice, informative, covered_features, first_record)}
 
 _CSM = f"cs AS (SELECT *, {_strict(('scan_rate', 'current_density', 'gravimetric_capacitance'))} FROM m)"
-_CSE = f"ce AS (SELECT *, {_strict(('interlayer_spacing', 'flake_size'))} FROM e)"
+_CSE = f"ce AS (SELECT *, {_strict(('interlayer_spacing', 'flake_size', 'porosity', 'mass_loading'))} FROM e)"
 
 
 def _sql(body, *more):
@@ -142,12 +151,14 @@ SQL = {
     "electrodes_per_paper": _sql("SELECT source_file, count(DISTINCT electrode_id) AS n FROM m GROUP BY 1"),
     "group_size_stats": _sql("SELECT median(n) AS median, max(n) AS max, min(n) AS min, count(*) AS groups FROM (SELECT count(*) AS n FROM e GROUP BY source_file)"),
     "oversized": _sql("SELECT source_file, count(*) AS n FROM e GROUP BY 1 HAVING count(*) > 10"),
+    "oversized_measurements": _sql("SELECT source_file, count(*) AS n FROM m GROUP BY 1 HAVING count(*) > 60 ORDER BY n DESC, source_file LIMIT 10"),
     "value_counts": _sql("SELECT scan_rate__unit AS value, count(*) AS n FROM m GROUP BY 1"),
-    "target_summary": _sql("SELECT 'capacitance_F_g' AS target, 'F g-1' AS unit, count(*) AS n_rows, count(DISTINCT source_file) AS papers, min(capacitance_F_g) AS least, median(capacitance_F_g) AS median, max(capacitance_F_g) AS most FROM cs WHERE capacitance_F_g IS NOT NULL UNION ALL SELECT 'scan_rate_mV_s', 'mV s-1', count(*), count(DISTINCT source_file), min(scan_rate_mV_s), median(scan_rate_mV_s), max(scan_rate_mV_s) FROM cs WHERE scan_rate_mV_s IS NOT NULL", _CSM),
+    "target_summary": _sql(" UNION ALL ".join(f"SELECT '{t}' AS target, '{u}' AS unit, count(*) AS n_rows, count(DISTINCT source_file) AS papers, min({t}) AS least, median({t}) AS median, max({t}) AS most FROM tm WHERE {t} IS NOT NULL" for t, u in (("gravimetric_capacitance_F_g", "F g-1"), ("volumetric_capacitance_F_cm3", "F cm-3"), ("areal_capacitance_mF_cm2", "mF cm-2"))), f"tm AS (SELECT source_file, {_TARGETS} FROM m)"),
     "target_coverage": _sql("SELECT 'gravimetric_capacitance' AS target, count(gravimetric_capacitance) AS n_rows, count(DISTINCT source_file) FILTER (WHERE gravimetric_capacitance IS NOT NULL) AS papers FROM m UNION ALL SELECT 'areal_capacitance', count(areal_capacitance), count(DISTINCT source_file) FILTER (WHERE areal_capacitance IS NOT NULL) FROM m"),
     "condition_subset": _sql("SELECT electrode_id, measurement_id, scan_rate_mV_s, capacitance_F_g FROM cs WHERE capacitance_F_g IS NOT NULL AND scan_rate_mV_s IS NOT NULL", _CSM),
     "usable_counts": _sql("SELECT count(capacitance_F_g) AS target, count(*) FILTER (WHERE capacitance_F_g IS NOT NULL AND scan_rate_mV_s IS NOT NULL) AS cv, count(*) FILTER (WHERE capacitance_F_g IS NOT NULL AND current_density_A_g IS NOT NULL) AS gcd FROM cs", _CSM),
-    "conversion_audit": _sql("SELECT electrode_id, interlayer_spacing, interlayer_spacing__unit, interlayer_spacing_nm, flake_size, flake_size__unit, flake_size_um FROM ce WHERE interlayer_spacing_nm IS NOT NULL OR flake_size_um IS NOT NULL", _CSE),
+    "condition_subset_gcd": _sql("SELECT electrode_id, measurement_id, current_density_A_g, capacitance_F_g FROM cs WHERE capacitance_F_g IS NOT NULL AND current_density_A_g IS NOT NULL", _CSM),
+    "conversion_audit": _sql("SELECT electrode_id, interlayer_spacing, interlayer_spacing__unit, interlayer_spacing_nm, flake_size, flake_size__unit, flake_size_um, porosity, porosity__unit, porosity_pct, mass_loading, mass_loading__unit, mass_loading_mg_cm2 FROM ce WHERE coalesce(interlayer_spacing_nm, flake_size_um, porosity_pct, mass_loading_mg_cm2) IS NOT NULL", _CSE),
     "contrast": _sql("SELECT source_file, round(c, 6) AS control, round(v, 6) AS variant, round(v - c, 6) + 0.0 AS difference FROM (SELECT source_file, avg(interlayer_spacing_nm) FILTER (WHERE role = 'control') AS c, avg(interlayer_spacing_nm) FILTER (WHERE role = 'variant') AS v FROM ce GROUP BY 1) WHERE c IS NOT NULL AND v IS NOT NULL", _CSE),
     "dedupe": _sql("SELECT electrode_id, test_type, scan_rate, gravimetric_capacitance, gravimetric_capacitance__unit, min(measurement_id) AS measurement_id FROM m GROUP BY ALL"),
     "upper_median": _sql("SELECT n AS upper_median FROM (SELECT n, row_number() OVER (ORDER BY n) AS r, count(*) OVER () AS c FROM (SELECT count(*) AS n FROM e GROUP BY source_file)) WHERE r = c // 2 + 1"),

@@ -13,9 +13,9 @@ K = 5
 
 
 def labelled(spark, d):
+    """Labelled rows with their fold and an out-of-fold prediction."""
     rows = strict_measurements(spark, d).where("capacitance_F_g IS NOT NULL")
-    rows = rows.withColumn("fold", S.group_fold(F.col("source_file"), K))
-    return rows.withColumn("predicted", F.lit(250.0) + F.col("measurement_id") * 7.0 - F.col("electrode_id") % 11)
+    return S.oof_group_mean(rows.withColumn("fold", S.group_fold(F.col("source_file"), K)), "capacitance_F_g", "fold", "current_density__unit")
 
 
 def group_folds(spark, d):
@@ -72,7 +72,8 @@ def parity_bounds(spark, d):
 QUERIES = {f.__name__: f for f in (group_folds, stricter_folds, holdout, disjoint, median_baseline, metrics_by_fold, cv_summary, spearman, residual_hist, top_errors, parity_bounds)}
 
 _FOLD = "CAST(CAST('0x' || substring(md5({g} || ':42'), 1, 8) AS BIGINT) % 5 AS INT)"
-_L = f"l AS (SELECT *, {_FOLD.format(g='source_file')} AS fold, 250.0::DOUBLE + measurement_id * 7.0::DOUBLE - electrode_id % 11 AS predicted, capacitance_F_g AS y FROM (SELECT *, {_strict(('gravimetric_capacitance',))} FROM m) WHERE capacitance_F_g IS NOT NULL)"
+_L = f"""f AS (SELECT *, {_FOLD.format(g='source_file')} AS fold, capacitance_F_g AS y FROM (SELECT *, {_strict(('gravimetric_capacitance',))} FROM m) WHERE capacitance_F_g IS NOT NULL),
+l AS (SELECT *, (sum(y) OVER u - sum(y) OVER uf) / nullif(count(y) OVER u - count(y) OVER uf, 0) AS predicted FROM f WINDOW u AS (PARTITION BY current_density__unit), uf AS (PARTITION BY current_density__unit, fold))"""
 _G = "g AS (SELECT source_file, CASE WHEN row_number() OVER (ORDER BY md5(source_file || ':42'), source_file) <= ceil(count(*) OVER () * 0.2) THEN 'test' ELSE 'train' END AS split FROM (SELECT DISTINCT source_file FROM l))"
 _M = "count(*) AS n, avg(abs(y - predicted)) AS mae, sqrt(avg((y - predicted) ^ 2)) AS rmse, 1 - sum((y - predicted) ^ 2) / (sum(y * y) - sum(y) * sum(y) / count(y)) AS r2"
 

@@ -34,6 +34,11 @@ def reasoning_rows(spark, d):
     return R.reasoning_table(indexed(spark, d), ["source_file", "row_index"])
 
 
+def synthesis_reasons(spark, d):
+    """The second version's sentences."""
+    return R.scrub_placeholders(X.electrodes(spark, d), ["synthesis_method"]).select("electrode_id", R.synthesis_reason(F.col("synthesis_method"), "one").alias("reason"))
+
+
 def row_index(spark, d):
     return indexed(spark, d).select("source_file", "electrode_id", "row_index")
 
@@ -68,7 +73,7 @@ def normalised_nfkc(spark, d):
     return X.electrodes(spark, d).select("electrode_id", R.normalise_text_full(F.coalesce("mxene_formula", F.lit(""))).alias("text"))
 
 
-QUERIES = {f.__name__: f for f in (verdict_counts, verdict_rows, reasoning_rows, row_index, passed_preview, rejoin_source, scrubbed, primary_terms, sulfuric_fixed, normalised_nfkc)}
+QUERIES = {f.__name__: f for f in (verdict_counts, verdict_rows, reasoning_rows, row_index, synthesis_reasons, passed_preview, rejoin_source, scrubbed, primary_terms, sulfuric_fixed, normalised_nfkc)}
 
 _NULLS = r"(?i)not\s+reported|not\s+available|not\s+specified|not\s+applicable|\bn/a\b|\bna\b|\bnone\b|\bunknown\b|\bunspecified\b"
 
@@ -96,6 +101,7 @@ def _with(body, **k):
 SQL = {
     "verdict_counts": _with("SELECT overall, count(*) AS n FROM v GROUP BY overall"),
     "sulfuric_fixed": _with("SELECT overall, count(*) AS n FROM v GROUP BY overall", sulfuric=r"h2so4|sul(f|ph)uric[\s\-]?acid"),
+    "synthesis_reasons": _with("SELECT electrode_id, CASE WHEN sm IS NULL THEN 'Synthesis is empty.' WHEN sm THEN 'Synthesis explicitly mentions both LiF and HCl.' WHEN NOT lif AND NOT hcl THEN 'Synthesis mentions neither LiF nor HCl.' ELSE 'Synthesis mentions only one of LiF or HCl.' END AS reason FROM v"),
     "verdict_rows": _with("SELECT electrode_id, fm AS formula_match, sm AS synthesis_match, em AS electrolyte_match, overall FROM v"),
     "row_index": _with("SELECT source_file, electrode_id, CAST(row_index AS INT) AS row_index FROM v"),
     "passed_preview": _with("SELECT source_file, electrode_id, f AS mxene_formula, l AS electrolyte, interlayer_spacing FROM v WHERE overall = 'PASS'"),

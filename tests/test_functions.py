@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 from mensura.functions import features as FE
 from mensura.functions import measures as M
 from mensura.functions import rules as R
+from mensura.functions.catalog import feature_catalog
 from mensura.operators import records as N
+from mensura.operators import reports as P
 from mensura.operators import splits as S
 
 
@@ -64,3 +66,37 @@ def test_folds_partition_groups(spark):
     assert {r["fold"] for r in df.select("fold").distinct().collect()} <= {0, 1, 2, 3}
     split = S.group_holdout(df, "g").select("g", "split").distinct()
     assert split.count() == 40 and split.where("split = 'test'").count() == 8
+
+
+def test_holdout_keeps_null_groups(spark):
+    """Null is a group of its own; the first fifth of the groups, rounded up, are test."""
+    df = spark.range(900).selectExpr("CASE WHEN id % 30 > 0 THEN cast(id % 30 as string) END AS g", "id")
+    out = S.group_holdout(df, "g")
+    assert out.count() == 900 and out.columns == ["g", "id", "split"]
+    by = {(r["g"], r["split"]) for r in out.select("g", "split").distinct().collect()}
+    assert len(by) == 30 and sum(s == "test" for _, s in by) == 6
+
+
+def test_fold_count(spark):
+    df = spark.createDataFrame([("a",), ("b",), ("b",), ("c",)], "g string")
+    assert S.fold_count(df, "g", 5) == 3 and S.fold_count(df, "g", 2) == 2
+    with pytest.raises(ValueError, match="two groups"):
+        S.fold_count(df.where("g = 'a'"), "g", 5)
+
+
+def test_ranks_and_medians_over_ranges(spark):
+    """Ties are averaged and nulls left out, whatever ranges the values fall into."""
+    values = [None, 3.5, 3.5, 3.5, -1.0, 7.0, 7.0, 0.0, 1e9, None, *map(float, range(100, 400))]
+    df = spark.createDataFrame([(v,) for v in values], "y double")
+    known = sorted(v for v in values if v is not None)
+    got = {(r["y"], r["r"]) for r in P.average_rank(df, "y", "r").collect()}
+    assert got == {(v, None if v is None else sum(x < v for x in known) + (known.count(v) + 1) / 2) for v in values}
+    assert P.upper_median(df, "y").first()["upper_median"] == known[len(known) // 2]
+    assert P.upper_median(df.limit(0), "y").first()["upper_median"] is None
+    assert [r["r"] for r in P.average_rank(df.where("y IS NULL"), "y", "r").collect()] == [None, None]
+
+
+def test_catalog_file(spark, tmp_path):
+    (tmp_path / "c.csv").write_text('level,feature,category,tier,description,preferred_unit,literature_basis\nelectrode,binder,fabrication,core,"What binds, if any",,"a; b"\n')
+    assert tuple(feature_catalog(spark, str(tmp_path / "c.csv")).first()) == ("electrode", "binder", "fabrication", "core", "What binds, if any", None, "a; b")
+    assert feature_catalog(spark).count() == 110
