@@ -1,18 +1,21 @@
 """Boosted trees with validation grouped by paper, on pyspark.ml.
 
-Loops on the driver run over folds, settings or features, whose number is fixed by parameters; each step is a Spark job over all rows.
+Loops on the driver run over folds, settings or features, whose number is fixed by parameters; each step is a Spark job over all
+rows. Fits that don't depend on each other run side by side, PARALLEL at once, as pyspark.ml's own validators do.
 """
 
 from __future__ import annotations
 
 import random
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import Imputer, OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -28,6 +31,25 @@ PRESETS = {
 GRID = {"maxIter": (150, 250, 400, 600, 800), "stepSize": (0.01, 0.02, 0.03, 0.05, 0.08), "maxDepth": (2, 3, 4), "minInstancesPerNode": (1, 2, 3, 5, 8), "subsamplingRate": (0.65, 0.8, 1.0)}
 
 
+PARALLEL = 8
+ROWS_A_PART = 50_000
+WIDEST = 10_000  # values of a category that the vector has a place for
+
+
+def side_by_side(jobs: Sequence[Callable], most: int = PARALLEL) -> list:
+    """The results of jobs in their order, so many of them running at once."""
+    if len(jobs) < 2 or most < 2:
+        return [job() for job in jobs]
+    spark = SparkSession.active()
+    with ThreadPool(min(most, len(jobs))) as pool:
+        return pool.map(inheritable_thread_target(spark)(lambda job: job()), jobs, chunksize=1)
+
+
+def packed(df: DataFrame) -> DataFrame:
+    """A written table in no more partitions than its rows need: a tree is several jobs, each with a task a partition."""
+    return df.coalesce(max(1, df.count() // ROWS_A_PART))
+
+
 def split_dtypes(df: DataFrame, cols: Sequence[str] | None = None) -> tuple[list[str], list[str]]:
     """Numeric and categorical columns, by type; columns that are neither are left out."""
     numeric = {"tinyint", "smallint", "int", "bigint", "float", "double"}
@@ -46,11 +68,13 @@ def _modes(df: DataFrame, categorical: Sequence[str]) -> dict[str, str]:
 def preprocess(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], rare: int = 1) -> list:
     """Stages from raw columns to the vector `features`: medians and missing flags, modes and one-hot codes.
 
-    Numeric columns without any value must be dropped before. Categories seen fewer than `rare` times, or never, share a code.
+    Numeric columns without any value must be dropped before. Categories seen fewer than `rare` times, or never, share a code,
+    however many there are; more frequent ones than WIDEST are an error, as each takes a place in the vector.
     """
     quoted = lambda v: "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
     new = [f"CAST(`{c}` AS DOUBLE) AS `n_{c}`" for c in numeric] + [f"CAST(`{c}` IS NULL AS DOUBLE) AS `miss_{c}`" for c in numeric]
-    new += [f"coalesce(CAST(`{c}` AS STRING), {quoted(m)}) AS `c_{c}`" for c, m in _modes(df, categorical).items()]
+    modes = _modes(df, categorical)
+    new += [f"coalesce(CAST(`{c}` AS STRING), {quoted(m)}) AS `c_{c}`" for c, m in modes.items()]
     stages = [SQLTransformer(statement=f"SELECT *, {', '.join(new)} FROM __THIS__")]
     if numeric:
         stages.append(Imputer(strategy="median", inputCols=[f"n_{c}" for c in numeric], outputCols=[f"i_{c}" for c in numeric]))
@@ -58,13 +82,13 @@ def preprocess(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str]
         if rare > 1:
             pooled = []
             for c in categorical:
-                seen = df.groupBy(F.col(c).cast("string").alias("v")).agg(F.count(F.lit(1)).alias("n")).where(f"n < {int(rare)} AND v IS NOT NULL")
-                if values := [r.v for r in seen.limit(10_001).collect()]:
-                    if len(values) > 10_000:
-                        raise ValueError(f"{c}: more than 10000 rare values; it is no category")
-                    pooled.append(f"CASE WHEN `c_{c}` IN ({', '.join(map(quoted, values))}) THEN '__rare__' ELSE `c_{c}` END AS `r_{c}`")
-                else:
-                    pooled.append(f"`c_{c}` AS `r_{c}`")
+                # what the encoder may know: values seen often enough; their number bounds the width of the vector anyway
+                seen = df.groupBy(F.col(c).cast("string").alias("v")).agg(F.count(F.lit(1)).alias("n")).where(f"n >= {int(rare)} AND v IS NOT NULL")
+                values = [r.v for r in seen.limit(WIDEST + 1).collect()]
+                if len(values) > WIDEST:
+                    raise ValueError(f"{c}: more than {WIDEST} frequent values; it is no category")
+                known = f"`c_{c}` IN ({', '.join(map(quoted, [*values, modes[c]]))})"
+                pooled.append(f"CASE WHEN {known} THEN `c_{c}` ELSE '__rare__' END AS `r_{c}`")
             stages.append(SQLTransformer(statement=f"SELECT *, {', '.join(pooled)} FROM __THIS__"))
         source = "r" if rare > 1 else "c"
         stages.append(StringIndexer(inputCols=[f"{source}_{c}" for c in categorical], outputCols=[f"x_{c}" for c in categorical], handleInvalid="keep", stringOrderType="alphabetAsc"))
@@ -84,13 +108,13 @@ def predict(model: PipelineModel, df: DataFrame) -> DataFrame:
     return model.transform(df).select(*df.columns, F.greatest(F.lit(0.0), F.col("predicted")).alias("predicted"))
 
 
-def oof_predict(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], y: str, k: int, fold: str = "fold", **settings) -> DataFrame:
+def oof_predict(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], y: str, k: int, fold: str = "fold", parallel: int = PARALLEL, **settings) -> DataFrame:
     """Each fold predicted by a model of the others, with the median outside the fold. df should be a written table: it is read k times."""
-    parts = []
-    for i in range(k):
-        train = df.where(F.col(fold) != i)
-        parts.append(predict(gbt_pipeline(train, numeric, categorical, y, **settings).fit(train), df.where(F.col(fold) == i)))
-    out = reduce(DataFrame.unionByName, parts)
+    def part(i: int) -> Callable[[], DataFrame]:
+        train, test = df.where(F.col(fold) != i), df.where(F.col(fold) == i)
+        return lambda: predict(gbt_pipeline(train, numeric, categorical, y, **settings).fit(train), test)
+
+    out = reduce(DataFrame.unionByName, side_by_side([part(i) for i in range(k)], parallel))
     base = median_baseline(df, y, fold, k)
     return out.join(F.broadcast(base), fold).withColumn("absolute_error", F.abs(F.col(y) - F.col("predicted")))  # k rows
 
@@ -98,17 +122,21 @@ def oof_predict(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str
 def random_search(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], y: str, k: int, n: int = 20, seed: int = 42, grid: dict | None = None, preset: str = "strict", **fixed) -> tuple[PipelineModel, dict, list[tuple[dict, float]]]:
     """The best of n drawn settings by mean absolute error over folds, fitted on all rows; with every setting's error."""
     draw, grid = random.Random(seed), GRID if grid is None else grid
-    tried: list[tuple[dict, float]] = []
-    seen = set()
+    settings: list[dict] = []
     space = reduce(lambda a, v: a * len(v), grid.values(), 1)
-    while len(seen) < min(n, space):
+    while len(settings) < min(n, space):
         setting = {name: draw.choice(values) for name, values in grid.items()}
-        if (key := tuple(setting.values())) in seen:
-            continue
-        seen.add(key)
-        oof = oof_predict(df, numeric, categorical, y, k, preset=preset, seed=seed, **{**fixed, **setting})
-        per_fold = oof.groupBy("fold").agg(F.avg("absolute_error").alias("mae"))
-        tried.append((setting, per_fold.agg(F.avg("mae")).first()[0]))
+        if setting not in settings:
+            settings.append(setting)
+
+    def error(setting: dict) -> Callable[[], float]:
+        def run() -> float:
+            oof = oof_predict(df, numeric, categorical, y, k, preset=preset, seed=seed, parallel=1, **{**fixed, **setting})
+            return oof.groupBy("fold").agg(F.avg("absolute_error").alias("mae")).agg(F.avg("mae")).first()[0]
+
+        return run
+
+    tried = list(zip(settings, side_by_side([error(s) for s in settings]), strict=True))
     best = min(tried, key=lambda t: t[1])[0]
     return gbt_pipeline(df, numeric, categorical, y, preset=preset, seed=seed, **{**fixed, **best}).fit(df), best, tried
 

@@ -31,7 +31,7 @@ def frame(spark, d, target: str, k: int) -> DataFrame:
     rows = rows.where(F.col(target).isNotNull()).select("source_file", "electrode_id", "measurement_id", *NUMERIC, *CATEGORICAL, target, S.group_fold(F.col("source_file"), k).alias("fold"))
     path = scratch(spark, f"frame-{target}")
     rows.write.parquet(path)
-    return spark.read.parquet(path)
+    return G.packed(spark.read.parquet(path))
 
 
 def gbt_by_target(spark, d):
@@ -53,7 +53,7 @@ def gbt_holdout(spark, d):
     """Test papers: the median, the preset and the best of twenty drawn settings."""
     path, y = scratch(spark, "holdout"), "gravimetric_capacitance_F_g"
     _split(spark, d).write.parquet(path)
-    data = spark.read.parquet(path)
+    data = G.packed(spark.read.parquet(path))
     train = data.where("split = 'train'")
     plain = G.gbt_pipeline(train, NUMERIC, CATEGORICAL, y).fit(train)
     tuned, _, _ = G.random_search(train, NUMERIC, CATEGORICAL, y, K)
