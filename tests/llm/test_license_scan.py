@@ -90,8 +90,7 @@ def test_inserted_words_at_every_offset():
 
 
 def tuples(text):
-    words = [re.sub(r"[!-/:-@\[-`{-~]", "", w).lower() for w in text.split()]
-    words = [w for w in words if w]
+    words = re.findall(r"[^\s!-/:-@\[-`{-~]+", text.lower())
     return {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
 
 
