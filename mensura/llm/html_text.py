@@ -25,6 +25,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import with_longs
+
 SHORT, LONG = 70, 200  # characters
 LINKS, LINKS_INSIDE = 0.3, 0.6  # share of characters in links from which a block is bad, and within an article
 STOPS_LOW, STOPS_HIGH = 0.12, 0.25  # share of function words from which a text may be, and is, prose
@@ -75,12 +77,12 @@ _P_ENDS = BLOCKS - {"body", "html", "head", "title", "option", "optgroup", "td",
 
 class Block:
     """A run of text: its characters in links, whether its place is bad, the number of its article or 0, the innermost element
-    around it whose name votes, or 0."""
+    around it whose name votes, or 0, and whether it is an item of a list."""
 
-    __slots__ = ("text", "links", "bad", "scope", "mark", "label", "_prose")
+    __slots__ = ("text", "links", "bad", "scope", "mark", "item", "label", "_prose")
 
-    def __init__(self, text: str, links: int, bad: bool, scope: int, mark: int):
-        self.text, self.links, self.bad, self.scope, self.mark, self.label, self._prose = text, links, bad, scope, mark, "", None
+    def __init__(self, text: str, links: int, bad: bool, scope: int, mark: int, item: bool):
+        self.text, self.links, self.bad, self.scope, self.mark, self.item, self.label, self._prose = text, links, bad, scope, mark, item, "", None
 
     def prose(self) -> int:
         if self._prose is None:
@@ -166,7 +168,7 @@ def blocks_of(page: str) -> tuple[list[Block], list[tuple[int, int]]]:
                 top = stack.unseen[0] if stack.unseen else len(stack.open)
                 _, bad, scope, mark = stack.open[top - 1] if top else ("", False, 0, 0)
                 n = len(" ".join(_html.unescape("".join(linked)).split())) if linked else 0
-                found.append(Block(whole, n, bad, scope, mark))
+                found.append(Block(whole, n, bad, scope, mark, bool(stack.at.get("li"))))
             text.clear()
             linked.clear()
 
@@ -275,7 +277,8 @@ def _first_pass(blocks: list[Block]) -> None:
     articles = any(b.scope and not b.bad for b in blocks)
     for b in blocks:
         size = len(b.text)
-        if b.bad or articles and not b.scope or b.links > (LINKS_INSIDE if b.scope else LINKS) * size:
+        # in an article lists of links lead elsewhere, while a heading or a paragraph may be a link
+        if b.bad or articles and not b.scope or b.links > (LINKS_INSIDE if b.scope else LINKS) * size and (b.item or not b.scope):
             b.label = "bad"
         elif size < SHORT and not _DENSE.search(b.text):
             b.label = "short"
@@ -332,8 +335,11 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
             texts = [main_text(x) for x in b["html"]]
             yield pd.DataFrame({"page_id": b["page_id"], "url": b["url"], "text": texts, "n_chars": [len(t) for t in texts]})
 
-    kinds = dict(rows.dtypes)
-    return rows.mapInPandas(run, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars long")
+    def work(rows: DataFrame) -> DataFrame:
+        kinds = dict(rows.dtypes)
+        return rows.mapInPandas(run, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars long")
+
+    return with_longs(rows, ["page_id", "url"], work)
 
 
 def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -59,6 +59,7 @@ CHINESE = "清晨的城市下着小雨,人们站在门口等待。后来太阳
         (f"<article><p>{LONG}{'<b><i><u>' * 9} x<div>y</div></article>", f"{LONG} x y"),
         (f"<article><p>One<table><tr><td><p>Two<td><p>Three</table>Four</article>", "One Two Three Four"),
         ("<article><ul><li><p>One<li><p>Two</ul></article>", "One Two"),
+        (f"<article><h2><a href=1>Rain on the roof</a></h2><p>{LONG}</p><p><a href=2>The whole report of the year</a></p><ul><li><a href=3>More news</a></li></ul></article>", f"Rain on the roof {LONG} The whole report of the year"),
     ],
 )
 def test_kept(page, text):
