@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import beside
+from .common import beside, with_longs
 from .slots import Slots
 
 MOST_WORDS = 400_000  # in each of a worker's maps
@@ -350,8 +350,6 @@ def bpe(docs: DataFrame, path: str | Callable[[], str], text: str = "text", with
     new |= {"decoded": "string"} if with_text else {}
     kept = [c for c in docs.columns if c.lower() not in new]
     ready = docs.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{text}`").cast("string").alias("__text"))
-    schema = beside(ready, {k: F.lit(None).cast(v) for k, v in new.items()}).drop("__text").schema
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c = codec(path() if callable(path) else path, most_words)
         for batch in batches:
@@ -371,7 +369,10 @@ def bpe(docs: DataFrame, path: str | Callable[[], str], text: str = "text", with
                 out["decoded"].append(decoded)
         return b.drop(columns="__text").assign(**out)
 
-    return ready.mapInPandas(run, schema)
+    def work(rows: DataFrame) -> DataFrame:
+        return rows.mapInPandas(run, beside(rows, {k: F.lit(None).cast(v) for k, v in new.items()}).drop("__text").schema)
+
+    return with_longs(ready, kept, work)
 
 
 def word_bpe_path() -> str:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,3 +48,11 @@ def beside(df: DataFrame, new: dict[str, Column]) -> DataFrame:
     """df with new columns; those of df that have such a name make way."""
     own = {k.lower() for k in new}
     return df.select(*(F.col(f"`{c}`") for c in df.columns if c.lower() not in own), *(v.alias(k) for k, v in new.items()))
+
+
+def with_longs(df: DataFrame, names: Sequence[str], work: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """work(df) with the columns `names` as strings where they are longs, and longs again after: among nulls, pandas would make
+    fractions of them, which hold no more than 53 bits."""
+    longs = {c for c, t in df.dtypes if c in names and t == "bigint"}
+    as_ = lambda df, kind: df.select(*(F.col(f"`{c}`").cast(kind).alias(c) if c in longs else F.col(f"`{c}`") for c in df.columns)) if longs else df
+    return as_(work(as_(df, "string")), "long")

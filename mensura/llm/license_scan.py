@@ -32,6 +32,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import with_longs
+
 SHINGLE = 5
 CONTAINMENT = 0.8
 BANDS = 96
@@ -298,8 +300,8 @@ def license_scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", te
         for b in batches:
             yield pd.DataFrame({"doc_id": b["doc_id"], "matches": [[{"license": n, "start": s, "stop": e, "containment": c} for n, s, e, c in scan(t)] for t in b["text"]]})
 
-    kind = dict(rows.dtypes)["doc_id"]
-    return rows.mapInPandas(run, f"doc_id {kind}, matches array<struct<license: string, start: long, stop: long, containment: double>>")
+    found = "matches array<struct<license: string, start: long, stop: long, containment: double>>"
+    return with_longs(rows, ["doc_id"], lambda rows: rows.mapInPandas(run, f"doc_id {dict(rows.dtypes)['doc_id']}, {found}"))
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

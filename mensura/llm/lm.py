@@ -319,9 +319,11 @@ def lm_scores(
     """One row per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score. The order is len(mu) + 1."""
     order = len(mu) + 1
     train = F.crc32(F.coalesce(F.col(f"`{doc_id}`").cast("string"), F.lit("")).cast("binary")) % FOLDS != HELD_OUT
-    rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), train.alias("train"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
-    kind = dict(rows.dtypes)["doc_id"]
-    schema = f"block long, doc_id array<{kind}>, train array<boolean>, lengths array<int>, texts binary, n_chars long"
+    kind = dict(docs.select(F.col(f"`{doc_id}`").alias("doc_id")).dtypes)["doc_id"]
+    named = F.col(f"`{doc_id}`").cast("string" if kind == "bigint" else kind)  # among nulls, pandas would make fractions of longs
+    rows = docs.select(named.alias("doc_id"), train.alias("train"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
+    inner = dict(rows.dtypes)["doc_id"]
+    schema = f"block long, doc_id array<{inner}>, train array<boolean>, lengths array<int>, texts binary, n_chars long"
     blocks = cut(rows.mapInPandas(lambda it: _blocks(it, block), schema), "blocks")
     size = blocks.agg(F.sum("n_chars")).first()[0] or 0
     ranges = min(most_ranges, max(1, math.ceil(size / hash_range)))
@@ -329,9 +331,9 @@ def lm_scores(
     added = sent.groupBy("part").applyInPandas(lambda df: _added(df, order, part), "block long, part long, totals binary, distinct long, tokens long")
     totals = cut(added, "totals")
     n, v = (int(x or 0) for x in totals.agg(F.sum("tokens"), F.sum("distinct")).first())
-    schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+    schema = f"doc_id {inner}, held_out boolean, n_tokens long, n_known long, base_score double, score double"
     scored = blocks.groupBy("block").cogroup(totals.select("block", "part", "totals").groupBy("block")).applyInPandas(_scored(n, v, mu, order), schema)
-    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
+    return scored.select(F.col("doc_id").cast(kind).alias("doc_id"), "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op8_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, with_longs
 from .components import components
 from .hamming import forest_of
 
@@ -79,8 +79,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
             prints = np.fromiter(map(fingerprint, b["text"]), np.uint64, len(b))
             yield pd.DataFrame({"doc_id": b["doc_id"], "fp": prints.view(np.int64)})
 
-    kind = dict(rows.dtypes)["doc_id"]
-    return rows.mapInPandas(run, f"doc_id {kind}, fp long")
+    return with_longs(rows, ["doc_id"], lambda rows: rows.mapInPandas(run, f"doc_id {dict(rows.dtypes)['doc_id']}, fp long"))
 
 
 def _masks() -> list[int]:
