@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .reports import upper_median
@@ -28,6 +29,11 @@ def record_key(path: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(path, r"\.[^./\\]*$", ""), r"[/\\]", "__")
 
 
+def row_index(group: str, order: str) -> Column:
+    """Position of a row within its group, from 0. Files have no order of their own once they are read, so a key gives it."""
+    return F.row_number().over(W.partitionBy(group).orderBy(order)) - 1
+
+
 def pending_documents(listing: DataFrame, done: DataFrame, key: str, limit: int | None = None, version: str | None = None, mode: str | None = None) -> DataFrame:
     """Documents without a result, the first of them by key. Given a version or a mode, results of another one (columns
     schema_version and measurement_mode) count as none."""

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .splits import median_baseline, regression_metrics, spearman
+from .splits import fold_count, group_fold, median_baseline, regression_metrics, spearman
 
 #: The settings of the three models (trees, step, depth, rows a leaf, share of rows).
 PRESETS = {
@@ -160,6 +160,26 @@ def target_metrics(oof: DataFrame, y: str, target: str, unit: str, features: int
     return out.select(F.lit(target).alias("target"), F.lit(unit).alias("unit"), "n", "papers", F.lit(features).alias("features"), "mae", "rmse", "r2", "spearman", "baseline_mae", beats.alias("beats_baseline"), few.alias("exploratory"))
 
 
+def evaluate_targets(
+    frames: dict[str, DataFrame], targets: dict[str, tuple[str, int]], numeric: Sequence[str], categorical: Sequence[str], group: str, store: Callable[[DataFrame, str], DataFrame], **settings
+) -> DataFrame:
+    """One row per target: out-of-fold metrics beside the median's. frames: target -> its labelled rows; targets: target ->
+    (unit, folds), folds being as many as there are groups at most; store writes a table of that name and reads it back."""
+    rows = []
+    for target, (unit, most) in targets.items():
+        k = fold_count(frames[target], group, most)
+        data = frames[target].withColumn("fold", group_fold(F.col(group), k))
+        oof = store(oof_predict(data, numeric, categorical, target, k, **settings), target)
+        rows.append(target_metrics(oof, target, target, unit, len(numeric) + len(categorical), group))
+    return reduce(DataFrame.unionByName, rows)
+
+
+def final_fit(frames: dict[str, DataFrame], numeric: Sequence[str], categorical: Sequence[str], **settings) -> dict[str, PipelineModel]:
+    """A model of all labelled rows for each target."""
+    fit = lambda y, df: lambda: gbt_pipeline(df, numeric, categorical, y, **settings).fit(df)
+    return dict(zip(frames, side_by_side([fit(y, df) for y, df in frames.items()]), strict=True))
+
+
 def feature_importance(model: PipelineModel, transformed: DataFrame, top: int | None = None) -> DataFrame:
     """Importance by the name of the vector's slot, most first; the names come from the vector's metadata."""
     trees = model.stages[-1]

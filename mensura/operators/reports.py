@@ -165,6 +165,18 @@ def feature_coverage(df: DataFrame, cols: Sequence[str], target: str | None = No
     return out.select("column", "filled", F.round(100 - F.col("missing_pct"), 1).alias("pct"), "n_distinct").orderBy(F.desc("pct"), "column")
 
 
+def catalog_coverage(df: DataFrame, cols: Sequence[str], catalog: DataFrame) -> DataFrame:
+    """Coverage of the catalog's features, core tier first, fullest first within a tier. catalog: feature, tier, ...; it is small."""
+    known = F.broadcast(catalog.select(F.col("feature").alias("column"), "tier"))
+    return coverage(df, cols).join(known, "column", "left").select("tier", "column", "filled", "pct").orderBy(F.asc_nulls_last("tier"), F.desc("pct"), "column")
+
+
+def paper_slice(df: DataFrame, key: str, seed: int = 42, papers: int = 1) -> DataFrame:
+    """The rows of the papers that come first by a seeded hash."""
+    first = df.select(key).distinct().withColumn("h", F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}")))).orderBy("h").limit(papers)
+    return df.join(F.broadcast(first.drop("h")), key, "left_semi")
+
+
 def target_subset(df: DataFrame, target: str, features: Sequence[str], group: str = "source_file") -> DataFrame:
     """Labelled rows: the features, the target and the group."""
     return df.where(F.col(target).isNotNull()).select(group, *features, target)

@@ -14,6 +14,22 @@ def group_fold(group: Column, k: int, seed: int = 42) -> Column:
     return (F.conv(F.substring(F.md5(F.concat(group.cast("string"), F.lit(f":{seed}"))), 1, 8), 16, 10).cast("long") % k).cast("int")
 
 
+def split_summary(df: DataFrame, y: str, group: str, split: str = "split", digits: int = 6) -> DataFrame:
+    """Per side of a split: rows, groups, mean and median of the target."""
+    return df.groupBy(split).agg(F.count(F.lit(1)).alias("n"), F.count_distinct(group).alias("papers"), F.round(F.avg(y), digits).alias("mean"), F.median(y).alias("median"))
+
+
+def shared_groups(df: DataFrame, group: str, split: str = "split") -> DataFrame:
+    """Groups on both sides of a split: none, if it is sound."""
+    side = lambda name: df.where(F.col(split) == name).select(group)
+    return side("test").intersect(side("train"))
+
+
+def parity_bounds(df: DataFrame, y: str, p: str) -> DataFrame:
+    """One row: the least and the most of observed and predicted values."""
+    return df.agg(F.least(F.min(y), F.min(p)).alias("lower"), F.greatest(F.max(y), F.max(p)).alias("upper"))
+
+
 def fold_count(df: DataFrame, group: str, k: int) -> int:
     """min(k, groups); an error where there are fewer than two groups."""
     n = df.select(group).distinct().limit(k).count()

@@ -18,63 +18,70 @@ from mensura.sources.models import load_model, save_model
 #: Target -> (unit, folds).
 TARGETS = {"gravimetric_capacitance_F_g": ("F g-1", 5), "volumetric_capacitance_F_cm3": ("F cm-3", 5), "areal_capacitance_mF_cm2": ("mF cm-2", 4)}
 K = 5
+GRAVIMETRIC = "gravimetric_capacitance_F_g"
 NUMERIC = ["scan_rate_mV_s", "current_density_A_g", "interlayer_spacing_nm", "mass_loading_mg_cm2"]
 CATEGORICAL = ["test_type", "role", "layer_class", "material_family", "electrolyte_type"]
 
 
-def frame(spark, d, target: str, k: int) -> DataFrame:
-    """Labelled rows with features and fold, written once: training reads them many times."""
+def _stored(spark, df: DataFrame, name: str) -> DataFrame:
+    path = scratch(spark, name)
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def frame(spark, d, target: str) -> DataFrame:
+    """Labelled rows with features, written once: training reads them many times."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:  # hundreds of trees are hundreds of steps of lineage, which training cuts here
         context.setCheckpointDir(scratch(spark, "lineage"))
     rows = E.strict_features(M.normalize_lenient(X.both(spark, d)))
-    rows = rows.where(F.col(target).isNotNull()).select("source_file", "electrode_id", "measurement_id", *NUMERIC, *CATEGORICAL, target, S.group_fold(F.col("source_file"), k).alias("fold"))
-    path = scratch(spark, f"frame-{target}")
-    rows.write.parquet(path)
-    return G.packed(spark.read.parquet(path))
+    rows = rows.where(F.col(target).isNotNull()).select("source_file", "electrode_id", "measurement_id", *NUMERIC, *CATEGORICAL, target)
+    return G.packed(_stored(spark, rows, f"frame-{target}"))
 
 
 def gbt_by_target(spark, d):
     """Out-of-fold metrics of each target beside the median's."""
-    rows = []
-    for target, (unit, k) in TARGETS.items():
-        data = frame(spark, d, target, k)
-        path = scratch(spark, f"oof-{target}")
-        G.oof_predict(data, NUMERIC, CATEGORICAL, target, k, preset="lenient", rare=2).write.parquet(path)
-        rows.append(G.target_metrics(spark.read.parquet(path), target, target, unit, len(NUMERIC) + len(CATEGORICAL)))
-    return reduce(DataFrame.unionByName, rows)
+    frames = {target: frame(spark, d, target) for target in TARGETS}
+    return G.evaluate_targets(frames, TARGETS, NUMERIC, CATEGORICAL, "source_file", lambda df, name: _stored(spark, df, f"oof-{name}"), preset="lenient", rare=2)
+
+
+def gbt_final(spark, d):
+    """The largest slot importances of each target's model of all rows."""
+    frames = {target: frame(spark, d, target) for target in TARGETS}
+    models = G.final_fit(frames, NUMERIC, CATEGORICAL, preset="lenient", rare=2)
+    ranked = [G.feature_importance(m, m.transform(frames[t].limit(1)), 20).withColumn("target", F.lit(t)) for t, m in models.items()]
+    return reduce(DataFrame.unionByName, ranked)
 
 
 def _split(spark, d):
-    return S.group_holdout(frame(spark, d, "gravimetric_capacitance_F_g", K), "source_file")
+    rows = frame(spark, d, GRAVIMETRIC).withColumn("fold", S.group_fold(F.col("source_file"), K))
+    return S.group_holdout(rows, "source_file")
 
 
 def gbt_holdout(spark, d):
     """Test papers: the median, the preset and the best of twenty drawn settings."""
-    path, y = scratch(spark, "holdout"), "gravimetric_capacitance_F_g"
-    _split(spark, d).write.parquet(path)
-    data = G.packed(spark.read.parquet(path))
+    data = G.packed(_stored(spark, _split(spark, d), "holdout"))
     train = data.where("split = 'train'")
-    plain = G.gbt_pipeline(train, NUMERIC, CATEGORICAL, y).fit(train)
-    tuned, _, _ = G.random_search(train, NUMERIC, CATEGORICAL, y, K)
-    return G.holdout_metrics(data, {"preset": plain, "tuned": tuned}, y)
+    plain = G.gbt_pipeline(train, NUMERIC, CATEGORICAL, GRAVIMETRIC).fit(train)
+    tuned, _, _ = G.random_search(train, NUMERIC, CATEGORICAL, GRAVIMETRIC, K)
+    return G.holdout_metrics(data, {"preset": plain, "tuned": tuned}, GRAVIMETRIC)
 
 
 def gbt_importance(spark, d):
-    """Importance of the vector's slots in a model of all rows, saved and loaded again."""
-    data, y = frame(spark, d, "gravimetric_capacitance_F_g", K), "gravimetric_capacitance_F_g"
+    """The 25 largest slot importances in a model of all rows, saved and loaded again."""
+    data = frame(spark, d, GRAVIMETRIC)
     path = scratch(spark, "model")
-    save_model(spark, G.gbt_pipeline(data, NUMERIC, CATEGORICAL, y).fit(data), path, {"features": NUMERIC + CATEGORICAL, "target": y, "unit": "F g-1"})
+    save_model(spark, G.gbt_pipeline(data, NUMERIC, CATEGORICAL, GRAVIMETRIC).fit(data), path, {"features": NUMERIC + CATEGORICAL, "target": GRAVIMETRIC, "unit": "F g-1"})
     model, _ = load_model(spark, path)
-    return G.feature_importance(model, model.transform(data.limit(1)))
+    return G.feature_importance(model, model.transform(data.limit(1)), 25)
 
 
 def gbt_permutation(spark, d):
     """How much the error grows when a column is dealt to other rows."""
-    data, y = frame(spark, d, "gravimetric_capacitance_F_g", K), "gravimetric_capacitance_F_g"
-    model = G.gbt_pipeline(data, NUMERIC, CATEGORICAL, y).fit(data)
-    return G.permutation_importance(model, data, NUMERIC + CATEGORICAL, y)
+    data = frame(spark, d, GRAVIMETRIC)
+    model = G.gbt_pipeline(data, NUMERIC, CATEGORICAL, GRAVIMETRIC).fit(data)
+    return G.permutation_importance(model, data, NUMERIC + CATEGORICAL, GRAVIMETRIC)
 
 
-QUERIES = {f.__name__: f for f in (gbt_by_target, gbt_holdout, gbt_importance, gbt_permutation)}
+QUERIES = {f.__name__: f for f in (gbt_by_target, gbt_final, gbt_holdout, gbt_importance, gbt_permutation)}
 SQL: dict[str, str] = {}  # fitted models have no SQL form

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from mensura.functions import measures as M
+from mensura.functions.catalog import feature_catalog
 from mensura.operators import reports as P
 from mensura.plans import fixtures as X
 from mensura.plans.measure_queries import _TARGETS, _strict
@@ -108,8 +109,11 @@ def union_tables(spark, d):
 
 def paper_slice(spark, d):
     """The rows of the paper that comes first by hash."""
-    papers = X.electrodes(spark, d).select("source_file").distinct().withColumn("h", F.md5(F.concat("source_file", F.lit(":42")))).orderBy("h").limit(1)
-    return X.electrodes(spark, d).join(F.broadcast(papers), "source_file", "left_semi").select("source_file", "electrode_id", "role")  # one row
+    return P.paper_slice(X.electrodes(spark, d), "source_file").select("source_file", "electrode_id", "role")
+
+
+def catalog_coverage(spark, d):
+    return P.catalog_coverage(X.electrodes(spark, d), ["mxene_formula", "synthesis_method", "layer_no", "interlayer_spacing", "flake_size", "porosity"], feature_catalog(spark))
 
 
 def informative(spark, d):
@@ -128,7 +132,7 @@ def first_record(spark, d):
     return X.electrodes(spark, d).groupBy("source_file").agg(first).select("source_file", "first.*")
 
 
-QUERIES = {f.__name__: f for f in (coverage, column_audit, confidence_breakdown, confidence_filter, rows_per_group, electrodes_per_paper, group_size_stats, oversized, oversized_measurements, value_counts, target_summary, target_coverage, condition_subset, condition_subset_gcd, usable_counts, conversion_audit, contrast, dedupe, upper_median, distinct_papers, union_tables, paper_slice, informative, covered_features, first_record)}
+QUERIES = {f.__name__: f for f in (coverage, column_audit, confidence_breakdown, confidence_filter, rows_per_group, electrodes_per_paper, group_size_stats, oversized, oversized_measurements, value_counts, target_summary, target_coverage, condition_subset, condition_subset_gcd, usable_counts, conversion_audit, contrast, dedupe, upper_median, distinct_papers, union_tables, paper_slice, catalog_coverage, informative, covered_features, first_record)}
 
 _CSM = f"cs AS (SELECT *, {_strict(('scan_rate', 'current_density', 'gravimetric_capacitance'))} FROM m)"
 _CSE = f"ce AS (SELECT *, {_strict(('interlayer_spacing', 'flake_size', 'porosity', 'mass_loading'))} FROM e)"
@@ -167,5 +171,6 @@ SQL = {
     "informative": _sql("SELECT electrode_id, " + ", ".join(COLS) + " FROM e"),
     "covered_features": _sql("SELECT electrode_id, " + ", ".join(COLS) + " FROM e"),
     "first_record": _sql("SELECT source_file, electrode_id, electrode_label, role FROM (SELECT *, row_number() OVER (PARTITION BY source_file ORDER BY electrode_id) AS k FROM e) WHERE k = 1"),
+    "catalog_coverage": _sql(" UNION ALL ".join(f"SELECT {t} AS tier, '{c}' AS \"column\", count({c}) AS filled, round(100 - round(100 * (1 - count({c}) / count(*)), 1), 1) AS pct FROM e" for c, t in (("mxene_formula", "'core'"), ("synthesis_method", "'core'"), ("layer_no", "NULL"), ("interlayer_spacing", "'core'"), ("flake_size", "'core'"), ("porosity", "'extended'")))),
     "paper_slice": _sql("SELECT source_file, electrode_id, role FROM e WHERE source_file = (SELECT source_file FROM e ORDER BY md5(source_file || ':42') LIMIT 1)"),
 }

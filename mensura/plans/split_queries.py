@@ -28,14 +28,12 @@ def stricter_folds(spark, d):
 
 
 def holdout(spark, d):
-    return S.group_holdout(labelled(spark, d), "source_file").groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("source_file").alias("papers"), F.round(F.avg("capacitance_F_g"), 6).alias("mean"), F.median("capacitance_F_g").alias("median"))
+    return S.split_summary(S.group_holdout(labelled(spark, d), "source_file"), "capacitance_F_g", "source_file")
 
 
 def disjoint(spark, d):
     """Papers on both sides of the split: none."""
-    rows = S.group_holdout(labelled(spark, d), "source_file").select("source_file", "split")
-    both = rows.where("split = 'test'").select("source_file").intersect(rows.where("split = 'train'").select("source_file"))
-    return both.agg(F.count(F.lit(1)).alias("shared"))
+    return S.shared_groups(S.group_holdout(labelled(spark, d), "source_file"), "source_file").agg(F.count(F.lit(1)).alias("shared"))
 
 
 def median_baseline(spark, d):
@@ -66,7 +64,7 @@ def top_errors(spark, d):
 
 
 def parity_bounds(spark, d):
-    return labelled(spark, d).agg(F.least(F.min("capacitance_F_g"), F.min("predicted")).alias("lower"), F.greatest(F.max("capacitance_F_g"), F.max("predicted")).alias("upper"))
+    return S.parity_bounds(labelled(spark, d), "capacitance_F_g", "predicted")
 
 
 QUERIES = {f.__name__: f for f in (group_folds, stricter_folds, holdout, disjoint, median_baseline, metrics_by_fold, cv_summary, spearman, residual_hist, top_errors, parity_bounds)}

@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from mensura.functions import rules as R
+from mensura.operators import bookkeeping as B
 from mensura.plans import fixtures as X
 
 
 def row_place():
-    """Position of an electrode within its file, from 0; files have no order of their own, so the key is required."""
-    return F.row_number().over(W.partitionBy("source_file").orderBy("electrode_id")) - 1
+    return B.row_index("source_file", "electrode_id")
 
 
 def judged(spark, d):
