@@ -33,7 +33,7 @@ from .slots import Slots
 
 MOST_WORDS = 400_000  # in each of a worker's maps
 LONGEST_KEPT = 64  # characters of a word or piece that stays in the maps
-CHARS_OUT = 2_000_000  # characters of text that a worker takes up at once
+CHARS_OUT = 500_000  # characters of text that a worker takes up at once
 WIDEST = 256  # symbols from which a piece has a tree of its own
 FEW = 16  # pieces of a width below which each has a tree of its own
 CELLS = 1 << 20  # leaves of the trees that grow side by side
