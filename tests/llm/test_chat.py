@@ -62,6 +62,9 @@ def test_query(spark):
         assert got[k]["turns_sha256"] == hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest()
         assert (got[k]["n_turns"], got[k]["loss_chars"], got[k]["loss_sha256"]) == (len(turns), len(loss), hashlib.sha256(loss.encode()).hexdigest())
         assert got[k]["formatted_chars"] == len(render(turns))
+        if not any(c in t for _, t in turns for c in "[<\\"):  # nothing to escape: headers, texts and ends, by the template as stated
+            marks = {"system": "[SYS]  [/SYS]", "user": "[INST]  [/INST]", "assistant": "[OUT]  </s>"}
+            assert got[k]["formatted_chars"] == sum(len(marks[r]) + len(t) for r, t in turns)
 
 
 def test_corners(spark):
