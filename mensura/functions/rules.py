@@ -63,6 +63,7 @@ def overall(matches: Sequence[Column]) -> Column:
     return F.when(some_null, "AMBIGUOUS").when(reduce(lambda a, b: a & b, matches), "PASS").otherwise("FAIL")
 
 
+#: Fixed values, here and in the next three: the sentences.
 def formula_reason(c: Column) -> Column:
     m, norm, raw = check_primary(c), normalise_text(c), F.trim(c)
     return (
@@ -78,7 +79,6 @@ def synthesis_reason(c: Column, wording: str = "which") -> Column:
     norm = normalise_text(c)
     lif, hcl = (norm.rlike(p) for p in SYNTHESIS.values())
     out = (
-        #: The reasons' sentences.
         F.when(F.trim(c) == "", "Synthesis cell is empty." if wording == "which" else "Synthesis is empty.")
         .when(lif & hcl, "Synthesis explicitly mentions both LiF and HCl.")
         .when(~lif & ~hcl, "Synthesis mentions neither LiF nor HCl.")

@@ -33,6 +33,18 @@ def reasoning_rows(spark, d):
     return R.reasoning_table(indexed(spark, d), ["source_file", "row_index"])
 
 
+def verdict_titles(spark, d):
+    """The rules over columns named as in the raw files."""
+    names = {"formula": ("Mxene formula", "mxene_formula"), "synthesis": ("Synthesis method", "synthesis_method"), "electrolyte": ("Electrolyte", "electrolyte")}
+    raw = X.electrodes(spark, d).select("electrode_id", *(F.col(c).alias(title) for title, c in names.values()))
+    return R.apply_rules(raw, {k: title for k, (title, _) in names.items()}).select("electrode_id", "formula_match", "synthesis_match", "electrolyte_match", "overall")
+
+
+def scrubbed_exact(spark, d):
+    """Whole cells that say nothing are emptied too."""
+    return R.scrub_placeholders(X.electrodes(spark, d), ["synthesis_method"], exact=("hcl wash", "unspecified")).select("electrode_id", "synthesis_method")
+
+
 def synthesis_reasons(spark, d):
     """The second version's sentences."""
     return R.scrub_placeholders(X.electrodes(spark, d), ["synthesis_method"]).select("electrode_id", R.synthesis_reason(F.col("synthesis_method"), "one").alias("reason"))
@@ -72,9 +84,9 @@ def normalised_nfkc(spark, d):
     return X.electrodes(spark, d).select("electrode_id", R.normalise_text_full(F.coalesce("mxene_formula", F.lit(""))).alias("text"))
 
 
-QUERIES = {f.__name__: f for f in (verdict_counts, verdict_rows, reasoning_rows, row_index, synthesis_reasons, passed_preview, rejoin_source, scrubbed, primary_terms, sulfuric_fixed, normalised_nfkc)}
+QUERIES = {f.__name__: f for f in (verdict_counts, verdict_rows, reasoning_rows, row_index, verdict_titles, scrubbed_exact, synthesis_reasons, passed_preview, rejoin_source, scrubbed, primary_terms, sulfuric_fixed, normalised_nfkc)}
 
-_NULLS = r"(?i)not\s+reported|not\s+available|not\s+specified|not\s+applicable|\bn/a\b|\bna\b|\bnone\b|\bunknown\b|\bunspecified\b"
+_NULLS = R.PLACEHOLDER
 
 
 def _scrub(c):
@@ -100,6 +112,8 @@ def _with(body, **k):
 SQL = {
     "verdict_counts": _with("SELECT overall, count(*) AS n FROM v GROUP BY overall"),
     "sulfuric_fixed": _with("SELECT overall, count(*) AS n FROM v GROUP BY overall", sulfuric=r"h2so4|sul(f|ph)uric[\s\-]?acid"),
+    "verdict_titles": _with("SELECT electrode_id, fm AS formula_match, sm AS synthesis_match, em AS electrolyte_match, overall FROM v"),
+    "scrubbed_exact": _with("SELECT electrode_id, CASE WHEN lower(trim(s)) IN ('hcl wash', 'unspecified') THEN '' ELSE s END AS synthesis_method FROM v"),
     "synthesis_reasons": _with("SELECT electrode_id, CASE WHEN sm IS NULL THEN 'Synthesis is empty.' WHEN sm THEN 'Synthesis explicitly mentions both LiF and HCl.' WHEN NOT lif AND NOT hcl THEN 'Synthesis mentions neither LiF nor HCl.' ELSE 'Synthesis mentions only one of LiF or HCl.' END AS reason FROM v"),
     "verdict_rows": _with("SELECT electrode_id, fm AS formula_match, sm AS synthesis_match, em AS electrolyte_match, overall FROM v"),
     "row_index": _with("SELECT source_file, electrode_id, CAST(row_index AS INT) AS row_index FROM v"),
