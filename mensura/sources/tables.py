@@ -34,23 +34,26 @@ def _strings(columns: Sequence[str]) -> str:
     return ", ".join(f"`{c}` STRING" for c in columns)
 
 
+def _stacked(spark: SparkSession, path: str, columns: Sequence[str] | None, multi_line: bool, one_header: bool, **more: Column) -> DataFrame:
+    """The files of a path by header, each group read with its own names, with further columns; all at once where one header is told."""
+    reader = _csv(spark, multi_line).option("enforceSchema", False)
+    if columns and one_header:
+        parts = [reader.schema(_strings(columns)).csv(path).withColumns(more)]
+    else:
+        parts = [reader.schema(_strings(header)).csv(sorted(files)).withColumns(more) for header, files in sorted(_headers(spark, path).items())]
+    out = union_files(parts or [spark.createDataFrame([], _strings([*(columns or []), *more]))])
+    return out.select(*columns, *more) if columns else out
+
+
 def scan_strings(spark: SparkSession, path: str, columns: Sequence[str] | None = None, multi_line: bool = True, one_header: bool = False) -> DataFrame:
     """CSV with every column a string and nulls empty. Files are read by their headers' names: those whose headers differ are
-    stacked by name, and what one lacks is empty. one_header says that all are alike, and spares the look at them."""
-    if columns and one_header:
-        return _csv(spark, multi_line).schema(_strings(columns)).option("enforceSchema", False).csv(path).na.fill("")
-    groups = _headers(spark, path)
-    parts = [_csv(spark, multi_line).schema(_strings(header)).csv(sorted(files)) for header, files in sorted(groups.items())]
-    out = union_files(parts) if parts else _csv(spark, multi_line).csv(path).na.fill("")
-    return out.select(*columns) if columns else out
-
-
-def scan_dir(spark: SparkSession, path: str, columns: Sequence[str] | None = None, multi_line: bool = True) -> DataFrame:
-    """Every CSV of a folder, with search_id, the file's name without its suffix."""
-    named = lambda df: df.withColumn("search_id", F.regexp_replace(file_name(), r"\.csv$", ""))
-    parts = [named(_csv(spark, multi_line).schema(_strings(header)).csv(sorted(files))) for header, files in sorted(_headers(spark, path).items())]
-    out = union_files(parts)
-    return out.select(*columns, "search_id") if columns else out
+    stacked by name, and what one lacks is empty. With columns, one_header says that all have just these, and spares the look."""
+    return _stacked(spark, path, columns, multi_line, one_header)
+
+
+def scan_dir(spark: SparkSession, path: str, columns: Sequence[str] | None = None, multi_line: bool = True, one_header: bool = False) -> DataFrame:
+    """Every CSV of a folder, as scan_strings reads it, with search_id, the file's name without its suffix."""
+    return _stacked(spark, path, columns, multi_line, one_header, search_id=F.regexp_replace(file_name(), r"\.csv$", ""))
 
 
 def union_files(parts: Sequence[DataFrame]) -> DataFrame:

@@ -70,3 +70,6 @@ def test_csv_by_name(spark, tmp_path):
     with pytest.raises(Exception):  # noqa: B017  what Spark raises where the header is not as told
         T.scan_strings(spark, str(tmp_path), ["x", "y"], one_header=True).collect()
     assert T.scan_dir(spark, str(tmp_path), ["y"]).where(F.col("search_id") == "b").first()["y"] == "2"
+    assert T.scan_dir(spark, str(tmp_path / "b.csv"), ["y", "x"], one_header=True).collect()[0]["search_id"] == "b"
+    (tmp_path / "none").mkdir()
+    assert T.scan_dir(spark, str(tmp_path / "none"), ["y"]).collect() == [] and T.scan_strings(spark, str(tmp_path / "none"), ["y"]).columns == ["y"]
