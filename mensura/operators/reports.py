@@ -112,13 +112,13 @@ def dedupe_measurements(df: DataFrame, keys: Sequence[str], order: str = "measur
     return df.groupBy(*keys).agg(F.min(order).alias(order))
 
 
-def running_counts(df: DataFrame, value: str, steps: int = 256) -> DataFrame:
-    """(v, n, upto): each distinct value that is not null, its rows, and the rows up to and with it.
+def running_counts(df: DataFrame, value: str, weight: str | None = None, steps: int = 256) -> DataFrame:
+    """(v, n, upto): each distinct value that is not null, its rows, and the rows up to and with it. weight: rows that a row stands for.
 
     No task orders them all: values are cut into ranges at approximate quantiles (at most `steps` numbers come to the driver),
     summed within each range, and a small table of the ranges gives what lies before.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("n"))
     edges = counts.agg(F.percentile_approx("v", [i / steps for i in range(1, steps)], 10 * steps)).first()[0]
     edges = sorted(set(edges or []))
     place = F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e < F.col("v"))) if edges else F.lit(0)

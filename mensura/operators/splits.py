@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .reports import average_rank
+from mensura.plans.session import scratch
+
+from .reports import running_counts
 
 
 def group_fold(group: Column, k: int, seed: int = 42) -> Column:
@@ -78,8 +80,17 @@ def regression_metrics(df: DataFrame, y: str, p: str, by: list[str] | None = Non
 
 
 def spearman(df: DataFrame, y: str, p: str) -> DataFrame:
-    ranked = average_rank(average_rank(df.select(y, p), y, "ry"), p, "rp")
-    return ranked.agg(F.when((F.stddev_pop("ry") > 0) & (F.stddev_pop("rp") > 0), F.corr("ry", "rp")).alias("spearman"))
+    """One row: the correlation of the ranks, ties averaged, of rows that have both; null where either does not vary.
+
+    Distinct pairs with their numbers of rows are written once to the shared folder; ranks are centred, so that sums stay exact.
+    """
+    spark, path = df.sparkSession, scratch(df.sparkSession, "pairs")
+    df.where(F.col(y).isNotNull() & F.col(p).isNotNull()).groupBy(F.col(y).alias("y"), F.col(p).alias("p")).agg(F.count(F.lit(1)).alias("n")).write.parquet(path)
+    pairs = spark.read.parquet(path)
+    rank = lambda c: running_counts(pairs, c, "n").select(F.col("v").alias(c), (F.col("upto") - (F.col("n") - 1) / 2).alias(f"r{c}"))
+    rows = pairs.join(rank("y"), "y").join(rank("p"), "p").join(F.broadcast(pairs.agg(((F.sum("n") + 1) / 2).alias("mean"))))  # one row
+    a, b, n = F.col("ry") - F.col("mean"), F.col("rp") - F.col("mean"), F.col("n")
+    return rows.agg((F.sum(n * a * b) / F.nullif(F.sqrt(F.sum(n * a * a) * F.sum(n * b * b)), F.lit(0.0))).alias("spearman"))
 
 
 def residual_histogram(df: DataFrame, residual: str) -> DataFrame:

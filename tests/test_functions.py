@@ -1,5 +1,6 @@
 """Hand literals for the scalar functions, and properties of the records."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -100,3 +101,15 @@ def test_catalog_file(spark, tmp_path):
     (tmp_path / "c.csv").write_text('level,feature,category,tier,description,preferred_unit,literature_basis\nelectrode,binder,fabrication,core,"What binds, if any",,"a; b"\n')
     assert tuple(feature_catalog(spark, str(tmp_path / "c.csv")).first()) == ("electrode", "binder", "fabrication", "core", "What binds, if any", None, "a; b")
     assert feature_catalog(spark).count() == 110
+
+
+def test_spearman(spark):
+    """Against ranks and their correlation worked out plainly; ties, nulls and a constant."""
+    rows = [(float(i % 7), float((i * i) % 11)) for i in range(60)] + [(None, 1.0), (2.0, None)]
+    df = spark.createDataFrame(rows, "y double, p double")
+    both = [r for r in rows if None not in r]
+    rank = lambda values: [sum(w < v for w in values) + (values.count(v) + 1) / 2 for v in values]
+    a, b = (np.array(rank([r[i] for r in both])) for i in (0, 1))
+    assert S.spearman(df, "y", "p").first()["spearman"] == pytest.approx(np.corrcoef(a, b)[0, 1])
+    assert S.spearman(df.withColumn("p", F.lit(1.0)), "y", "p").first()["spearman"] is None
+    assert S.spearman(df.limit(0), "y", "p").first()["spearman"] is None
