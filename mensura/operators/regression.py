@@ -57,23 +57,24 @@ def split_dtypes(df: DataFrame, cols: Sequence[str] | None = None) -> tuple[list
     return [c for c, t in types if t in numeric or t.startswith("decimal")], [c for c, t in types if t in ("string", "boolean")]
 
 
-def _modes(df: DataFrame, categorical: Sequence[str]) -> dict[str, str]:
-    """The most frequent value of each column, the least of equals; all columns in one aggregate. One row comes to the driver."""
-    if not categorical:
-        return {}
-    row = df.agg(*(F.mode(F.col(c).cast("string"), True).alias(c) for c in categorical)).first()
-    return {c: "" if row[c] is None else row[c] for c in categorical}
+def _facts(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str]) -> tuple[list[str], dict[str, str]]:
+    """The numeric columns that have a value, and the most frequent value of each categorical one, the least of equals; all in one
+    aggregate, of which one row comes to the driver."""
+    if not numeric and not categorical:
+        return [], {}
+    row = df.agg(*(F.count(c).alias(c) for c in numeric), *(F.mode(F.col(c).cast("string"), True).alias(c) for c in categorical)).first()
+    return [c for c in numeric if row[c]], {c: "" if row[c] is None else row[c] for c in categorical}
 
 
 def preprocess(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], rare: int = 1) -> list:
     """Stages from raw columns to the vector `features`: medians and missing flags, modes and one-hot codes.
 
-    Numeric columns without any value must be dropped before. Categories seen fewer than `rare` times, or never, share a code,
+    Numeric columns without any value give no feature. Categories seen fewer than `rare` times, or never, share a code,
     however many there are; more frequent ones than WIDEST are an error, as each takes a place in the vector.
     """
     quoted = lambda v: "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    numeric, modes = _facts(df, numeric, categorical)
     new = [f"CAST(`{c}` AS DOUBLE) AS `n_{c}`" for c in numeric] + [f"CAST(`{c}` IS NULL AS DOUBLE) AS `miss_{c}`" for c in numeric]
-    modes = _modes(df, categorical)
     new += [f"coalesce(CAST(`{c}` AS STRING), {quoted(m)}) AS `c_{c}`" for c, m in modes.items()]
     stages = [SQLTransformer(statement=f"SELECT *, {', '.join(new)} FROM __THIS__")]
     if numeric:

@@ -49,6 +49,14 @@ def test_search_takes_the_least_error(data):
     assert best == min(tried, key=lambda t: t[1])[0] and len(tried) == 2
 
 
+def test_columns_without_values_are_left_out(data):
+    empty = data.withColumn("none", F.lit(None).cast("double"))
+    oof = G.oof_predict(empty, ["x", "none"], ["kind"], "y", 4, **FEW)
+    assert oof.count() == 300
+    models = G.final_fit({"y": empty, "x": empty.where("x IS NOT NULL")}, ["none"], ["kind"], **FEW)
+    assert [G.predict(m, empty).count() for m in models.values()] == [300, 300]
+
+
 def test_columns(spark):
     one, two = spark.createDataFrame([("a", None)], "p string, q string"), spark.createDataFrame([("b",)], "p string")
     with pytest.raises(ValueError, match="r, s"):
