@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, exact_dedup, html_text, license_scan, lm, mixing, pii, quality_rules, simhash, vector_codes
+from . import bpe, chat, decontaminate, exact_dedup, html_text, lexical, license_scan, lm, mixing, pii, quality_rules, simhash, vector_codes
 
-MODULES = [simhash, bpe, html_text, mixing, chat, quality_rules, pii, lm, exact_dedup, license_scan, vector_codes]
+MODULES = [simhash, bpe, html_text, mixing, chat, quality_rules, pii, lm, exact_dedup, license_scan, vector_codes, lexical, decontaminate]
 
 
 def queries() -> dict:
