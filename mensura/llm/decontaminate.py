@@ -42,12 +42,17 @@ def words_of(text: Column) -> Column:
     return F.regexp_extract_all(lower, F.lit(_WORD), F.lit(0))
 
 
+def _next(array: Column, at: Column, size: int) -> list[Column]:
+    """`size` elements from a place on. slice() would copy the whole array for each window."""
+    return [F.get(array, at + k) for k in range(size)]
+
+
 def item_windows(items: DataFrame, item_id: str = "item_id", text: str = "text", window: int = WINDOW) -> DataFrame:
     """(size, gram, items): each distinct window, its words joined by a space, and the sorted ids of its items as text."""
     rows = items.select(F.coalesce(F.col(f"`{item_id}`").cast("string"), F.lit("")).alias("item"), words_of(text_of(text)).alias("w"))
     size = F.least(F.size("w"), F.lit(window))
-    rows = rows.where(F.size("w") > 0).select("item", "w", size.alias("size"), F.explode(F.sequence(F.lit(1), F.size("w") - size + 1)).alias("at"))
-    rows = rows.select("item", "size", F.array_join(F.slice("w", F.col("at"), F.col("size")), " ").alias("gram"))
+    rows = rows.where(F.size("w") > 0).select("item", "w", size.alias("size"), F.explode(F.sequence(F.lit(0), F.size("w") - size)).alias("at"))
+    rows = rows.select("item", "size", F.concat_ws(" ", *_next(F.col("w"), F.col("at"), window)).alias("gram"))  # of a short item there are no more words
     return rows.groupBy("size", "gram").agg(F.sort_array(F.collect_set("item")).alias("items"))
 
 
@@ -56,9 +61,11 @@ def _spots(hash_: Column, bits: int) -> tuple[Column, Column]:
     return F.shiftrightunsigned(hash_, 64 - bits), hash_.bitwiseAND((1 << bits) - 1)
 
 
-def _bitmap(windows: DataFrame, bits: int) -> Column:
+def _bitmap(windows: DataFrame, bits: int, window: int) -> Column:
     """The bits of all windows as a constant array of longs."""
-    spots = windows.select(F.explode(F.array(*_spots(F.xxhash64(F.split("gram", " ")), bits))).alias("bit"))
+    words = F.transform(F.split("gram", " "), lambda w: F.xxhash64(w))
+    hash_ = F.xxhash64(*_next(F.col("h"), F.lit(0), window))  # nulls, behind a short window, leave a hash as it is
+    spots = windows.select(words.alias("h")).select(F.explode(F.array(*_spots(hash_, bits))).alias("bit"))
     cells = spots.groupBy(F.shiftright("bit", 6).alias("cell")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("mask"))
     filled = [0] * (1 << bits - 6)
     for r in cells.collect():  # at most as many rows as the bitmap has cells, whatever the number of windows
@@ -66,31 +73,34 @@ def _bitmap(windows: DataFrame, bits: int) -> Column:
     return F.from_json(F.lit(json.dumps(filled)), "array<bigint>")  # a constant: read once, when the plan is made
 
 
-def _found(words: Column, size: int, bitmap: Column, bits: int) -> Column:
-    """Where windows of that size begin that the bitmap has, from 1."""
+def _found(hashes: Column, size: int, bitmap: Column, bits: int) -> Column:
+    """Where windows of that size begin that the bitmap has, from 0. hashes: of the words."""
     def known(at: Column) -> Column:
-        hash_ = F.xxhash64(F.slice(words, at, F.lit(size)))
+        hash_ = F.xxhash64(*_next(hashes, at, size))
         set_ = lambda spot: F.getbit(F.get(bitmap, F.shiftright(spot, 6).cast("int")), spot.bitwiseAND(63).cast("int")) == 1
         return reduce(lambda a, b: a & b, map(set_, _spots(hash_, bits)))
 
-    return F.when(F.size(words) >= size, F.filter(F.sequence(F.lit(1), F.size(words) - size + 1), known)).otherwise(F.array().cast("array<int>"))
+    return F.when(F.size(hashes) >= size, F.filter(F.sequence(F.lit(0), F.size(hashes) - size), known)).otherwise(F.array().cast("array<int>"))
 
 
-def hits(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """docs with three columns more: _words (how many), _spans (array of the struct start, end: words of merged hits, from 0, end
-    exclusive) and _items (sorted ids). docs should hold no more columns than are wanted: they are written once."""
-    if clash := {"_words", "_spans", "_items"} & {c.lower() for c in docs.columns}:
+def hits(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, broadcast_bytes: int = BROADCAST_BYTES, keep: list[str] | None = None) -> DataFrame:
+    """The columns of docs to keep (None: all), which are written once, and three more: _words (how many), _spans (array of the struct
+    start, end: words of merged hits, from 0, end exclusive) and _items (sorted ids)."""
+    keep = docs.columns if keep is None else keep
+    if clash := {"_words", "_spans", "_items"} & {c.lower() for c in keep}:
         raise ValueError(f"columns of the result: {sorted(clash)}")
     windows = cut(item_windows(items, item_id, item_text, window), "windows")
     facts = windows.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("gram") + 24 + 24 * F.size("items") + F.octet_length(F.array_join("items", ""))).alias("bytes"), F.sort_array(F.collect_set("size")).alias("sizes")).first()
     bits = min(MOST_BITS, max(12, (facts["n"] * BITS_A_WINDOW).bit_length()))
-    bitmap = _bitmap(windows, bits)
+    bitmap = _bitmap(windows, bits, window)
 
-    row, found, words = free(docs, "row", "found", "words")
+    row, found, words, hashes, other = free(docs, "row", "found", "words", "hashes", "other")
     rows = docs.select("*", words_of(text_of(text)).alias(words))
-    grams = lambda size: F.transform(_found(F.col(words), size, bitmap, bits), lambda at: F.struct((at - 1).alias("at"), F.lit(size).alias("size"), F.array_join(F.slice(F.col(words), at, F.lit(size)), " ").alias("gram")))
+    rows = rows.select("*", F.transform(F.col(words), lambda w: F.xxhash64(w)).alias(hashes))
+    gram = lambda at, size: F.struct(at.alias("at"), F.lit(size).alias("size"), F.concat_ws(" ", *_next(F.col(words), at, size)).alias("gram"))
+    grams = lambda size: F.transform(_found(F.col(hashes), size, bitmap, bits), lambda at: gram(at, size))
     all_found = F.concat(*map(grams, facts["sizes"])) if facts["sizes"] else F.lit(None).cast("array<struct<at:int,size:int,gram:string>>")
-    rows = rows.select(*(F.col(f"`{c}`") for c in docs.columns), F.size(words).cast("long").alias("_words"), all_found.alias(found), F.monotonically_increasing_id().alias(row))
+    rows = rows.select(*(F.col(f"`{c}`") for c in keep), F.size(words).cast("long").alias("_words"), all_found.alias(found), F.monotonically_increasing_id().alias(row))
     rows = cut(rows, "scanned")  # row numbers are fixed once written
 
     shares = max(1, math.ceil(2 * (facts["bytes"] or 0) / broadcast_bytes))
@@ -99,11 +109,11 @@ def hits(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "
     sure = reduce(DataFrame.unionByName, (seen.where(share("gram", k)).join(F.broadcast(windows.where(share("gram", k))), ["size", "gram"]) for k in range(shares)))
     words_hit = F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.sequence("at", F.col("at") + F.col("size") - 1)))))
     per_row = sure.groupBy("row").agg(words_hit.alias("hit"), F.sort_array(F.array_distinct(F.flatten(F.collect_set("items")))).alias("_items"))
-    per_row = per_row.select(F.col("row").alias("_row"), _spans_of(F.col("hit")).alias("_spans"), "_items")
-    out = rows.drop(found).join(per_row.hint("shuffle_hash"), F.col(row) == F.col("_row"), "left")
+    per_row = per_row.select(F.col("row").alias(other), _spans_of(F.col("hit")).alias("_spans"), "_items")
+    out = rows.drop(found).join(per_row.hint("shuffle_hash"), F.col(row) == F.col(other), "left")
     none = lambda kind: F.array().cast(kind)
     return out.select(
-        *(F.col(f"`{c}`") for c in docs.columns), "_words",
+        *(F.col(f"`{c}`") for c in keep), "_words",
         F.coalesce("_spans", none("array<struct<start:int,end:int>>")).alias("_spans"), F.coalesce("_items", none("array<string>")).alias("_items"),
     )
 
@@ -117,7 +127,7 @@ def _spans_of(places: Column) -> Column:
 
 def report(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", **settings) -> DataFrame:
     """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
-    rows = hits(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")), items, **settings)
+    rows = hits(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")), items, keep=["doc_id"], **settings)
     n_hit = F.aggregate("_spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
     return rows.select(
         "doc_id", F.col("_words").alias("n_words"), n_hit.alias("n_hit"), F.size("_items").cast("long").alias("n_items"),

@@ -112,7 +112,7 @@ class Block:
         small = 90 * max(lengths) * n_docs < 1 << 62
         m = 10 + (90 * np.array(lengths, np.int64) * n_docs // n_terms if small else np.array([90 * n * n_docs // n_terms for n in lengths], np.int64))
         factor = 1_000_000_000 * tf // (1000 * tf + 8 * m[at])
-        starts = [0, *row["ends"][:-1]]
+        starts = [0, *row["ends"]][: len(row["ends"])]
         self.size = len(lengths)
         self.slices = {t: (at[a:b], factor[a:b], int(factor[a:b].max())) for t, a, b in zip(row["terms"], starts, row["ends"], strict=True)}
 

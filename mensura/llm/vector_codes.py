@@ -222,7 +222,7 @@ def choices(parts: Forest, walk: Walk) -> np.ndarray:
 
 def _book(codebook: np.ndarray) -> Forest:
     """A tree over the entries of codebooks [place, entry, dimension]."""
-    return Forest(np.ascontiguousarray(codebook.transpose(2, 0, 1)), 1)
+    return Forest(np.ascontiguousarray(codebook.transpose(2, 0, 1)), 1)  # never without entries: no vector, no block
 
 
 def kept(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", places: int = PLACES, scale: int = SCALE) -> DataFrame:
@@ -295,7 +295,7 @@ def coded(stored: DataFrame, codebook: np.ndarray, leaf: int) -> DataFrame:
     schema = T.StructType([T.StructField("vec_id", ids), T.StructField("label", labels), T.StructField("code", T.StringType()), T.StructField("error", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        book = _book(codebook)
+        book = _book(codebook) if codebook.size else None
         for b in batches:
             for i, parts, walk in _walks(b, book, places, leaf):
                 chosen = choices(parts, walk)
@@ -317,7 +317,8 @@ def vector_codes(
         raise ValueError("codes have two hex digits: at most 256 entries")
     rows = kept(vectors, vec_id, embedding, label, places, scale)
     first = rows.orderBy(F.col("vec_id").asc_nulls_last(), "v").limit(entries).select("v").collect()
-    codebook = np.array([r["v"] for r in first], np.int64).reshape(len(first), places, -1).transpose(1, 0, 2)
+    width = len(first[0]["v"]) // places if first else 1
+    codebook = np.array([r["v"] for r in first], np.int64).reshape(len(first), places, width).transpose(1, 0, 2)
     stored = cut(blocks(rows, places, leaf), "blocks")
     for _ in range(rounds if first else 0):
         codebook = round_of(stored, codebook, leaf)
