@@ -52,18 +52,18 @@ STRICT = {
     "ssa": ("ssa_m2_g", ((r"m2.*(g-1|/g)", 1.0),)),
     "scan_rate": ("scan_rate_mV_s", ((r"^(mv/s|mvs-1)$", 1.0), (r"^(v/s|vs-1)$", 1000.0))),
     "current_density": ("current_density_A_g", ((r"^(a/g|ag-1)$", 1.0),)),
-    "gravimetric_capacitance": ("capacitance_F_g", ((r"^(f/g|fg-1)$", 1.0),)),
+    "gravimetric_capacitance": ("capacitance_F_g", ((r"", 1.0),)),
 }
 #: Fixed values, lenient: the unit need only contain the pattern.
 LENIENT = {
     "interlayer_spacing": ("interlayer_spacing_nm", ((r"å|angstrom", 0.1), (r"nm", 1.0))),
-    "flake_size": ("flake_size_um", ((r"nm", 0.001), (r"µm|um|micrometer", 1.0))),
+    "flake_size": ("flake_size_um", ((r"nm", 0.001), (r"µm|micrometer", 1.0))),
     "porosity": ("porosity_pct", ((r"", 1.0),)),
-    "pore_diameter": ("pore_diameter_nm", ((r"nm", 1.0), (r"µm|um", 1000.0))),
-    "electrode_thickness": ("electrode_thickness_um", ((r"nm", 0.001), (r"µm|um", 1.0), (r"mm", 1000.0))),
+    "pore_diameter": ("pore_diameter_nm", ((r"µm", 1000.0), (r"nm", 1.0))),
+    "electrode_thickness": ("electrode_thickness_um", ((r"mm", 1000.0), (r"nm", 0.001), (r"µm", 1.0))),
     "mass_loading": ("mass_loading_mg_cm2", ((r"", 1.0),)),
     "ssa": ("ssa_m2_g", ((r"", 1.0),)),
-    "scan_rate": ("scan_rate_mV_s", ((r"mv/s|mvs-1", 1.0), (r"v/s|vs-1", 1000.0))),
+    "scan_rate": ("scan_rate_mV_s", ((r"mv", 1.0), (r"^v", 1000.0))),
     "gravimetric_capacitance": ("gravimetric_capacitance_F_g", ((r"", 1.0),)),
     "volumetric_capacitance": ("volumetric_capacitance_F_cm3", ((r"", 1.0),)),
     "areal_capacitance": ("areal_capacitance_mF_cm2", ((r"^mf", 1.0), (r"^f", 1000.0))),

@@ -15,6 +15,11 @@ MOST_MEASUREMENTS = 100
 ISSUE = "array<struct<code:string,detail:string>>"
 
 
+def _list(of: Column) -> Column:
+    """An absent array is an empty one."""
+    return F.coalesce(of, F.array())
+
+
 def _issue(code: str, when: Column, detail: Column) -> Column:
     return F.when(when, F.struct(F.lit(code).alias("code"), detail.cast("string").alias("detail")))
 
@@ -46,8 +51,9 @@ def _exploded(records: DataFrame, issues: Column) -> DataFrame:
 
 
 def validate_v1(records: DataFrame, declared: str = "declared", fields: Sequence[str] = (), capacitance: Sequence[str] = ()) -> DataFrame:
-    n = F.size("electrodes")
-    primary = F.size(F.filter("electrodes", lambda e: e["is_primary"]))
+    electrodes = _list(F.col("electrodes"))
+    n = F.size(electrodes)
+    primary = F.size(F.filter(electrodes, lambda e: e["is_primary"]))
 
     def of_electrode(e: Column) -> Column:
         value = lambda f: e["fields"][f]["value"]
@@ -58,7 +64,7 @@ def validate_v1(records: DataFrame, declared: str = "declared", fields: Sequence
         none = F.coalesce(*(F.nullif(value(f), F.lit("")) for f in capacitance)).isNull()
         return _issues(sparse, _issue("no capacitance", none, e["label"]))
 
-    labels = _repeats(F.transform("electrodes", lambda e: e["label"]))
+    labels = _repeats(F.transform(electrodes, lambda e: e["label"]))
     of_record = _issues(
         _issue("count mismatch", ~F.col(declared).eqNullSafe(n), F.concat_ws(" vs ", F.col(declared), n)),
         _issue("empty record", n == 0, F.lit("no electrodes")),
@@ -66,18 +72,21 @@ def validate_v1(records: DataFrame, declared: str = "declared", fields: Sequence
         _issue("many primaries", primary > 1, primary),
         _issue("duplicate labels", labels.isNotNull(), labels),
     )
-    return _exploded(records, F.concat(of_record, F.flatten(F.transform("electrodes", of_electrode))))
+    return _exploded(records, F.concat(of_record, F.flatten(F.transform(electrodes, of_electrode))))
 
 
 def validate_v2(records: DataFrame, names: dict[str, Sequence[str]], targets: Sequence[str], declared: str = "declared", declared_measurements: str = "n_measurements") -> DataFrame:
     """names: level (electrode, measurement) -> the catalog's fields."""
-    n = F.size("electrodes")
-    total = F.aggregate("electrodes", F.lit(0), lambda a, e: a + F.size(e["measurements"]))
-    primary = F.size(F.filter("electrodes", lambda e: e["is_primary"]))
-    repeated = lambda x: F.size(x["fields"]) > F.size(F.array_distinct(x["fields"]["name"]))
+    electrodes = _list(F.col("electrodes"))
+    measured = lambda e: _list(e["measurements"])
+    field_names = lambda x: _list(x["fields"]["name"])
+    n = F.size(electrodes)
+    total = F.aggregate(electrodes, F.lit(0), lambda a, e: a + F.size(measured(e)))
+    primary = F.size(F.filter(electrodes, lambda e: e["is_primary"]))
+    repeated = lambda x: F.size(field_names(x)) > F.size(F.array_distinct(field_names(x)))
 
     def of_measurement(m: Column) -> Column:
-        has = lambda wanted: F.arrays_overlap(m["fields"]["name"], F.array(*map(F.lit, wanted)))
+        has = lambda wanted: F.exists(field_names(m), lambda f: F.coalesce(f.isin(*wanted), F.lit(False)))
         return _issues(
             _issue("repeated measurement field", repeated(m), m["measurement_id"]),
             _issue("no target", ~has(targets), m["measurement_id"]),
@@ -87,19 +96,19 @@ def validate_v2(records: DataFrame, names: dict[str, Sequence[str]], targets: Se
     def of_electrode(e: Column) -> Column:
         own = _issues(
             _issue("repeated electrode field", repeated(e), e["electrode_id"]),
-            _issue("electrode measurement mismatch", ~e["n_measurements"].eqNullSafe(F.size(e["measurements"])), e["electrode_id"]),
-            _issue("no descriptors", F.size(e["fields"]) == 0, e["electrode_id"]),
-            _issue("no measurements", F.size(e["measurements"]) == 0, e["electrode_id"]),
+            _issue("electrode measurement mismatch", ~e["n_measurements"].eqNullSafe(F.size(measured(e))), e["electrode_id"]),
+            _issue("no descriptors", F.size(field_names(e)) == 0, e["electrode_id"]),
+            _issue("no measurements", F.size(measured(e)) == 0, e["electrode_id"]),
         )
-        return F.concat(own, F.flatten(F.transform(e["measurements"], of_measurement)))
+        return F.concat(own, F.flatten(F.transform(measured(e), of_measurement)))
 
-    ids = F.flatten(F.transform("electrodes", lambda e: e["measurements"]["measurement_id"]))
+    ids = F.flatten(F.transform(electrodes, lambda e: F.transform(measured(e), lambda m: m["measurement_id"])))
     lists = {
-        "duplicate labels": _repeats(F.transform("electrodes", lambda e: e["label"])),
-        "duplicate electrode ids": _repeats(F.transform("electrodes", lambda e: e["electrode_id"])),
+        "duplicate labels": _repeats(F.transform(electrodes, lambda e: e["label"])),
+        "duplicate electrode ids": _repeats(F.transform(electrodes, lambda e: e["electrode_id"])),
         "duplicate measurement ids": _repeats(ids),
-        "invalid electrode fields": _unknown(F.flatten(F.transform("electrodes", lambda e: e["fields"]["name"])), names["electrode"]),
-        "invalid measurement fields": _unknown(F.flatten(F.flatten(F.transform("electrodes", lambda e: F.transform(e["measurements"], lambda m: m["fields"]["name"])))), names["measurement"]),
+        "invalid electrode fields": _unknown(F.flatten(F.transform(electrodes, field_names)), names["electrode"]),
+        "invalid measurement fields": _unknown(F.flatten(F.flatten(F.transform(electrodes, lambda e: F.transform(measured(e), field_names)))), names["measurement"]),
     }
     of_record = _issues(
         _issue("electrode count mismatch", ~F.col(declared).eqNullSafe(n), F.concat_ws(" vs ", F.col(declared), n)),
@@ -109,7 +118,7 @@ def validate_v2(records: DataFrame, names: dict[str, Sequence[str]], targets: Se
         _issue("too many measurements", total > MOST_MEASUREMENTS, total),
         *(_issue(code, found.isNotNull(), found) for code, found in lists.items()),
     )
-    return _exploded(records, F.concat(of_record, F.flatten(F.transform("electrodes", of_electrode))))
+    return _exploded(records, F.concat(of_record, F.flatten(F.transform(electrodes, of_electrode))))
 
 
 def attention_report(failures: DataFrame, issues: DataFrame) -> DataFrame:

@@ -96,7 +96,7 @@ def nest_v2(electrodes: DataFrame, measurements: DataFrame, e_fields: Sequence[s
     return out.withColumns({"n_electrodes": F.size("electrodes"), "n_measurements": F.aggregate("electrodes", F.lit(0), lambda a, x: a + F.size(x["measurements"]))})
 
 
-def _electrodes_v2(records: DataFrame, *more: Column) -> tuple[DataFrame, list[str]]:
+def _electrodes_v2(records: DataFrame, *more: Column | str) -> tuple[DataFrame, list[str]]:
     """Records by electrode, with the columns that say whence."""
     head = [c for c in ("schema_version", *HEAD) if c in records.columns]
     rows = records.select(*head, *(F.col(f"paper.{p}").alias(p) for p in PAPER_V2), F.explode("electrodes").alias("e"))
@@ -105,13 +105,14 @@ def _electrodes_v2(records: DataFrame, *more: Column) -> tuple[DataFrame, list[s
 
 
 def electrode_table(records: DataFrame, names: Sequence[str], provenance: str = "units") -> DataFrame:
-    rows, ids = _electrodes_v2(records, F.size("e.measurements").cast("long").alias("n_measurements"))
+    rows, ids = _electrodes_v2(records, F.coalesce(F.size("e.measurements"), F.lit(0)).cast("long").alias("n_measurements"))
     return rows.select(*ids, "n_measurements", *flatten_fields(F.col("em"), names, provenance))
 
 
 def measurement_table(records: DataFrame, e_names: Sequence[str], m_names: Sequence[str], provenance: str = "units") -> DataFrame:
     """One row per measurement with its electrode's descriptors; electrodes without one drop out."""
-    rows, ids = _electrodes_v2(records, F.explode("e.measurements").alias("m"))
+    rows, ids = _electrodes_v2(records, "e.measurements")
+    rows = rows.select(*ids, "em", F.explode("measurements").alias("m"))  # the electrode's map is made below, once for all its measurements
     rows = rows.withColumn("mm", field_map(F.col("m.fields")))
     return rows.select(*ids, "m.measurement_id", "m.measurement_label", "m.is_representative", *flatten_fields(F.col("em"), e_names, provenance), *flatten_fields(F.col("mm"), m_names, provenance))
 
@@ -145,7 +146,7 @@ def overview_v2(records: DataFrame, value: str = "gravimetric_capacitance") -> D
     having = F.filter(of, lambda x: x["f"].isNotNull())
     pick = lambda h: F.coalesce(F.get(F.filter(h, lambda x: x["rep"]), F.lit(0)), F.try_element_at(h, F.lit(-1)))["f"]
     best = F.element_at(F.transform(F.array(having), pick), 1)
-    return rows.select("source_file", "e.electrode_id", F.size("e.measurements").cast("long").alias("n_measurements"), best["value"].alias("representative"), best["unit"].alias("unit"))
+    return rows.select("source_file", "e.electrode_id", F.coalesce(F.size("e.measurements"), F.lit(0)).cast("long").alias("n_measurements"), best["value"].alias("representative"), best["unit"].alias("unit"))
 
 
 def field_card_v1(records: DataFrame, fields: Sequence[str]) -> DataFrame:

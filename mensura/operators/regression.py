@@ -1,25 +1,21 @@
-"""Boosted trees with validation grouped by paper, on pyspark.ml.
+"""Preparation of features and boosted trees on pyspark.ml, and what is said of any model's predictions.
 
-Loops on the driver run over folds, settings or features, whose number is fixed by parameters; each step is a Spark job over all
-rows. Fits that don't depend on each other run side by side, PARALLEL at once, as pyspark.ml's own validators do.
+Penalised trees, grown side by side for all folds and settings, are in boosting.py; the pipeline here is for users of pyspark.ml's own.
 """
 
 from __future__ import annotations
 
-import random
 from collections.abc import Callable, Sequence
 from functools import reduce
-from multiprocessing.pool import ThreadPool
 
-from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import Imputer, OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .splits import fold_count, group_fold, median_baseline, regression_metrics, spearman
+from .splits import regression_metrics, spearman
 
 #: The settings of the three models (trees, step, depth, rows a leaf, share of rows).
 PRESETS = {
@@ -27,29 +23,9 @@ PRESETS = {
     "gcd": {"maxIter": 250, "stepSize": 0.03, "maxDepth": 2, "minInstancesPerNode": 3, "subsamplingRate": 0.8},
     "lenient": {"maxIter": 400, "stepSize": 0.03, "maxDepth": 2, "minInstancesPerNode": 4, "subsamplingRate": 0.8},
 }
-#: What random_search draws from.
-GRID = {"maxIter": (150, 250, 400, 600, 800), "stepSize": (0.01, 0.02, 0.03, 0.05, 0.08), "maxDepth": (2, 3, 4), "minInstancesPerNode": (1, 2, 3, 5, 8), "subsamplingRate": (0.65, 0.8, 1.0)}
-
-
-PARALLEL = 8
-ROWS_A_PART = 50_000
 WIDEST = 10_000  # values of a category that the vector has a place for
 
 
-def side_by_side(jobs: Sequence[Callable], most: int = PARALLEL) -> list:
-    """The results of jobs in their order, so many of them running at once."""
-    if len(jobs) < 2 or most < 2:
-        return [job() for job in jobs]
-    spark = SparkSession.active()
-    with ThreadPool(min(most, len(jobs))) as pool:
-        return pool.map(inheritable_thread_target(spark)(lambda job: job()), jobs, chunksize=1)
-
-
-def packed(df: DataFrame) -> DataFrame:
-    """A written table in no more partitions than its rows need: a tree is several jobs, each with a task a partition."""
-    return df.coalesce(max(1, df.count() // ROWS_A_PART))
-
-
 def split_dtypes(df: DataFrame, cols: Sequence[str] | None = None) -> tuple[list[str], list[str]]:
     """Numeric and categorical columns, by type; columns that are neither are left out."""
     numeric = {"tinyint", "smallint", "int", "bigint", "float", "double"}
@@ -109,45 +85,12 @@ def predict(model: PipelineModel, df: DataFrame) -> DataFrame:
     return model.transform(df).select(*df.columns, F.greatest(F.lit(0.0), F.col("predicted")).alias("predicted"))
 
 
-def oof_predict(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], y: str, k: int, fold: str = "fold", parallel: int = PARALLEL, **settings) -> DataFrame:
-    """Each fold predicted by a model of the others, with the median outside the fold. df should be a written table: it is read k times."""
-    def part(i: int) -> Callable[[], DataFrame]:
-        train, test = df.where(F.col(fold) != i), df.where(F.col(fold) == i)
-        return lambda: predict(gbt_pipeline(train, numeric, categorical, y, **settings).fit(train), test)
-
-    out = reduce(DataFrame.unionByName, side_by_side([part(i) for i in range(k)], parallel))
-    base = median_baseline(df, y, fold, k)
-    return out.join(F.broadcast(base), fold).withColumn("absolute_error", F.abs(F.col(y) - F.col("predicted")))  # k rows
-
-
-def random_search(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], y: str, k: int, n: int = 20, seed: int = 42, grid: dict | None = None, preset: str = "strict", **fixed) -> tuple[PipelineModel, dict, list[tuple[dict, float]]]:
-    """The best of n drawn settings by mean absolute error over folds, fitted on all rows; with every setting's error."""
-    draw, grid = random.Random(seed), GRID if grid is None else grid
-    settings: list[dict] = []
-    space = reduce(lambda a, v: a * len(v), grid.values(), 1)
-    while len(settings) < min(n, space):
-        setting = {name: draw.choice(values) for name, values in grid.items()}
-        if setting not in settings:
-            settings.append(setting)
-
-    def error(setting: dict) -> Callable[[], float]:
-        def run() -> float:
-            oof = oof_predict(df, numeric, categorical, y, k, preset=preset, seed=seed, parallel=1, **{**fixed, **setting})
-            return oof.groupBy("fold").agg(F.avg("absolute_error").alias("mae")).agg(F.avg("mae")).first()[0]
-
-        return run
-
-    tried = list(zip(settings, side_by_side([error(s) for s in settings]), strict=True))
-    best = min(tried, key=lambda t: t[1])[0]
-    return gbt_pipeline(df, numeric, categorical, y, preset=preset, seed=seed, **{**fixed, **best}).fit(df), best, tried
-
-
-def holdout_metrics(df: DataFrame, models: dict[str, PipelineModel], y: str, split: str = "split") -> DataFrame:
-    """Metrics on the test rows: the median of the training rows and each model."""
+def holdout_metrics(df: DataFrame, models: dict[str, Callable[[DataFrame], DataFrame]], y: str, split: str = "split") -> DataFrame:
+    """Metrics on the test rows: the median of the training rows and each model. models: name -> what adds `predicted` to rows."""
     train, test = df.where(F.col(split) == "train"), df.where(F.col(split) == "test")
     base = test.join(F.broadcast(train.agg(F.median(y).cast("double").alias("predicted"))))  # one row
     rows = [regression_metrics(base, y, "predicted").withColumn("model", F.lit("median baseline"))]
-    rows += [regression_metrics(predict(m, test), y, "predicted").withColumn("model", F.lit(name)) for name, m in models.items()]
+    rows += [regression_metrics(scored(test), y, "predicted").withColumn("model", F.lit(name)) for name, scored in models.items()]
     return reduce(DataFrame.unionByName, rows).select("model", "n", "mae", "rmse", "r2")
 
 
@@ -161,26 +104,6 @@ def target_metrics(oof: DataFrame, y: str, target: str, unit: str, features: int
     return out.select(F.lit(target).alias("target"), F.lit(unit).alias("unit"), "n", "papers", F.lit(features).alias("features"), "mae", "rmse", "r2", "spearman", "baseline_mae", beats.alias("beats_baseline"), few.alias("exploratory"))
 
 
-def evaluate_targets(
-    frames: dict[str, DataFrame], targets: dict[str, tuple[str, int]], numeric: Sequence[str], categorical: Sequence[str], group: str, store: Callable[[DataFrame, str], DataFrame], **settings
-) -> DataFrame:
-    """One row per target: out-of-fold metrics beside the median's. frames: target -> its labelled rows; targets: target ->
-    (unit, folds), folds being as many as there are groups at most; store writes a table of that name and reads it back."""
-    rows = []
-    for target, (unit, most) in targets.items():
-        k = fold_count(frames[target], group, most)
-        data = frames[target].withColumn("fold", group_fold(F.col(group), k))
-        oof = store(oof_predict(data, numeric, categorical, target, k, **settings), target)
-        rows.append(target_metrics(oof, target, target, unit, len(numeric) + len(categorical), group))
-    return reduce(DataFrame.unionByName, rows)
-
-
-def final_fit(frames: dict[str, DataFrame], numeric: Sequence[str], categorical: Sequence[str], **settings) -> dict[str, PipelineModel]:
-    """A model of all labelled rows for each target."""
-    fit = lambda y, df: lambda: gbt_pipeline(df, numeric, categorical, y, **settings).fit(df)
-    return dict(zip(frames, side_by_side([fit(y, df) for y, df in frames.items()]), strict=True))
-
-
 def feature_importance(model: PipelineModel, transformed: DataFrame, top: int | None = None) -> DataFrame:
     """Importance by the name of the vector's slot, most first; the names come from the vector's metadata."""
     trees = model.stages[-1]
@@ -191,19 +114,19 @@ def feature_importance(model: PipelineModel, transformed: DataFrame, top: int |
     return out if top is None else out.limit(top)
 
 
-def permutation_importance(model: PipelineModel, df: DataFrame, cols: Sequence[str], y: str, seed: int = 42) -> DataFrame:
-    """How much the mean absolute error grows when one column is dealt to other rows, most first.
+def permutation_importance(scored: Callable[[DataFrame], DataFrame], df: DataFrame, cols: Sequence[str], y: str, seed: int = 42) -> DataFrame:
+    """How much the mean absolute error grows when one column is dealt to other rows, most first. scored adds `predicted` to rows.
 
     Values move within blocks of about a million rows: rows are numbered per block in two seeded orders and joined by block
     and number, so no task holds more than one block. df should be a written table, read alike every time.
     """
     blocks = df.count() // 1_000_000 + 1
     rows = df.withColumn("_id", F.monotonically_increasing_id()).withColumn("_block", F.pmod(F.xxhash64("_id"), F.lit(blocks)))
-    whole = predict(model, df).agg(F.avg(F.abs(F.col(y) - F.col("predicted"))).alias("whole"))
+    whole = scored(df).agg(F.avg(F.abs(F.col(y) - F.col("predicted"))).alias("whole"))
     out = []
     for i, c in enumerate(cols):
         left = rows.drop(c).withColumn("_n", F.row_number().over(W.partitionBy("_block").orderBy("_id")))
         right = rows.select("_block", c, F.row_number().over(W.partitionBy("_block").orderBy(F.xxhash64("_id", F.lit(seed + i)))).alias("_n"))
-        dealt = predict(model, left.join(right, ["_block", "_n"]).select(*df.columns))
+        dealt = scored(left.join(right, ["_block", "_n"]).select(*df.columns))
         out.append(dealt.agg(F.lit(c).alias("feature"), F.avg(F.abs(F.col(y) - F.col("predicted"))).alias("mae")))
     return reduce(DataFrame.unionByName, out).join(whole).select("feature", (F.col("mae") - F.col("whole")).alias("loss")).orderBy(F.desc("loss"), "feature")

@@ -108,8 +108,11 @@ def within_paper_contrast(df: DataFrame, value: str, control: str = "control", v
 
 
 def dedupe_measurements(df: DataFrame, keys: Sequence[str], order: str = "measurement_id") -> DataFrame:
-    """Of equal measurements the one of the smallest id."""
-    return df.groupBy(*keys).agg(F.min(order).alias(order))
+    """Of rows equal in all keys, nulls among them, the whole one that comes first by `order`, then by its other columns. A partial
+    minimum goes before the shuffle, so copies of one measurement never meet as rows."""
+    rest = [c for c in df.columns if c not in keys and c != order]
+    first = F.min(F.struct(F.col(order), *rest)).alias("_first")
+    return df.groupBy(*keys).agg(first).select(*(F.col(c) if c in keys else F.col(f"_first.{c}") for c in df.columns))
 
 
 def running_counts(df: DataFrame, value: str, weight: str | None = None, steps: int = 256) -> DataFrame:

@@ -6,9 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from mensura.plans.session import scratch
-
 from .reports import running_counts
+from .storage import scratch
 
 
 def group_fold(group: Column, k: int, seed: int = 42) -> Column:
@@ -73,7 +72,7 @@ def oof_group_mean(df: DataFrame, y: str, fold: str, by: str, name: str = "predi
 
 def regression_metrics(df: DataFrame, y: str, p: str, by: list[str] | None = None) -> DataFrame:
     e, yc = F.col(y) - F.col(p), F.col(y)
-    sst = F.sum(yc * yc) - F.sum(yc) * F.sum(yc) / F.count(yc)
+    sst = F.var_pop(yc) * F.count(yc)  # around the mean: sums of squares of large targets would cancel
     return df.groupBy(*(by or [])).agg(
         F.count(yc).alias("n"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), (1 - F.sum(e * e) / F.nullif(sst, F.lit(0.0))).alias("r2")
     )

@@ -27,14 +27,14 @@ SELECT 'paper_' || CAST(o_custkey AS STRING) || '.pdf' AS source_file,
   CASE o_orderkey % 4 WHEN 0 THEN '~' || CAST(10 + o_orderkey % 6 AS STRING) WHEN 1 THEN '1.' || CAST(o_orderkey % 9 AS STRING) || ' ± 0.1' WHEN 2 THEN '12–' || CAST(13 + o_orderkey % 5 AS STRING) ELSE NULL END AS interlayer_spacing,
   CASE o_orderkey % 4 WHEN 0 THEN 'Å' WHEN 1 THEN 'nm' WHEN 2 THEN 'Å' ELSE NULL END AS interlayer_spacing__unit,
   CASE o_orderkey % 3 WHEN 0 THEN 'stated' WHEN 1 THEN 'derived' ELSE 'uncertain' END AS interlayer_spacing__conf,
-  CASE o_orderkey % 5 WHEN 0 THEN '200 nm to 2 µm' WHEN 1 THEN CAST(100 + o_orderkey % 900 AS STRING) WHEN 2 THEN 'about 1.5' ELSE NULL END AS flake_size,
-  CASE o_orderkey % 5 WHEN 0 THEN 'nm to μm' WHEN 1 THEN 'nm' WHEN 2 THEN 'microns' ELSE NULL END AS flake_size__unit,
+  CASE o_orderkey % 5 WHEN 0 THEN '200 nm to 2 µm' WHEN 1 THEN CAST(100 + o_orderkey % 900 AS STRING) WHEN 2 THEN 'about 1.5' WHEN 3 THEN CAST(1 + o_orderkey % 9 AS STRING) ELSE NULL END AS flake_size,
+  CASE o_orderkey % 5 WHEN 0 THEN 'nm to μm' WHEN 1 THEN 'nm' WHEN 2 THEN 'microns' WHEN 3 THEN 'um' ELSE NULL END AS flake_size__unit,
   CASE o_orderkey % 3 WHEN 0 THEN CAST(20 + o_orderkey % 60 AS STRING) WHEN 1 THEN '30-40' ELSE NULL END AS porosity,
   CASE o_orderkey % 6 WHEN 0 THEN '%' WHEN 1 THEN '%' WHEN 3 THEN 'vol' ELSE NULL END AS porosity__unit,
-  CASE o_orderkey % 4 WHEN 1 THEN CAST(o_orderkey % 50 AS STRING) WHEN 2 THEN '0.' || CAST(o_orderkey % 9 + 1 AS STRING) ELSE NULL END AS pore_diameter,
-  CASE o_orderkey % 4 WHEN 1 THEN 'nm' WHEN 2 THEN 'µm' ELSE NULL END AS pore_diameter__unit,
-  CASE o_orderkey % 7 WHEN 0 THEN '900' WHEN 1 THEN CAST(o_orderkey % 40 AS STRING) WHEN 2 THEN '0.3' ELSE NULL END AS electrode_thickness,
-  CASE o_orderkey % 7 WHEN 0 THEN 'nm' WHEN 1 THEN 'µm' WHEN 2 THEN 'mm' ELSE NULL END AS electrode_thickness__unit,
+  CASE o_orderkey % 4 WHEN 1 THEN CAST(o_orderkey % 50 AS STRING) WHEN 2 THEN '0.' || CAST(o_orderkey % 9 + 1 AS STRING) WHEN 3 THEN '2' ELSE NULL END AS pore_diameter,
+  CASE o_orderkey % 4 WHEN 1 THEN 'nm' WHEN 2 THEN 'µm' WHEN 3 THEN CASE WHEN o_orderkey % 8 = 3 THEN 'um' ELSE 'nm to µm' END ELSE NULL END AS pore_diameter__unit,
+  CASE o_orderkey % 7 WHEN 0 THEN '900' WHEN 1 THEN CAST(o_orderkey % 40 AS STRING) WHEN 2 THEN '0.3' WHEN 3 THEN '12' ELSE NULL END AS electrode_thickness,
+  CASE o_orderkey % 7 WHEN 0 THEN 'nm' WHEN 1 THEN 'µm' WHEN 2 THEN 'mm' WHEN 3 THEN 'um' ELSE NULL END AS electrode_thickness__unit,
   CASE o_orderkey % 6 WHEN 0 THEN '1.2' WHEN 1 THEN '800' WHEN 2 THEN '5' WHEN 3 THEN '>2' ELSE NULL END AS mass_loading,
   CASE o_orderkey % 6 WHEN 0 THEN 'mg cm−2' WHEN 1 THEN 'µg cm−2' WHEN 2 THEN 'mg' WHEN 3 THEN 'mg/cm2' ELSE NULL END AS mass_loading__unit,
   CASE o_orderkey % 4 WHEN 0 THEN '98.' || CAST(o_orderkey % 10 AS STRING) WHEN 1 THEN '1,250' ELSE NULL END AS ssa,
@@ -47,11 +47,11 @@ SELECT 'paper_' || CAST(o_custkey AS STRING) || '.pdf' AS source_file, o_orderke
   (l_linenumber = 1) AS is_representative,
   CASE l_partkey % 3 WHEN 0 THEN 'CV' WHEN 1 THEN 'GCD' ELSE 'EIS' END AS test_type,
   CASE WHEN l_partkey % 3 = 0 THEN CAST(l_suppkey % 10 * 10 + 5 AS STRING) END AS scan_rate,
-  CASE WHEN l_partkey % 3 = 0 THEN CASE WHEN l_suppkey % 2 = 0 THEN 'mV s−1' ELSE 'V/s' END END AS scan_rate__unit,
+  CASE WHEN l_partkey % 3 = 0 THEN CASE l_suppkey % 7 WHEN 0 THEN 'mV s−1' WHEN 1 THEN 'V/s' WHEN 2 THEN 'mV·s−1' WHEN 3 THEN 'mV s⁻¹' WHEN 4 THEN 'V s⁻¹' WHEN 5 THEN 'mV/s' END END AS scan_rate__unit,
   CASE WHEN l_partkey % 3 = 1 THEN CAST(l_suppkey % 10 + 1 AS STRING) END AS current_density,
   CASE WHEN l_partkey % 3 = 1 THEN CASE l_suppkey % 3 WHEN 0 THEN 'A g−1' WHEN 1 THEN 'mA cm−2' ELSE 'A/cm3' END END AS current_density__unit,
   CASE l_partkey % 8 WHEN 0 THEN 'over ' || CAST(CAST(l_quantity AS INT) * 10 AS STRING) WHEN 1 THEN '~' || CAST(CAST(l_quantity AS INT) * 10 AS STRING) WHEN 2 THEN CAST(CAST(l_quantity AS INT) * 10 AS STRING) || ' ± 4' WHEN 3 THEN CAST(CAST(l_quantity AS INT) * 10 AS STRING) || '–' || CAST(CAST(l_quantity AS INT) * 10 + 20 AS STRING) WHEN 4 THEN 'micrometer-sized' WHEN 5 THEN NULL ELSE CAST(CAST(l_quantity AS INT) * 10 AS STRING) END AS gravimetric_capacitance,
-  CASE WHEN l_partkey % 8 = 5 THEN NULL ELSE 'F g−1' END AS gravimetric_capacitance__unit,
+  CASE WHEN l_partkey % 8 = 5 THEN NULL WHEN l_suppkey % 4 = 1 THEN 'F·g−1' WHEN l_suppkey % 4 <> 2 THEN 'F g−1' END AS gravimetric_capacitance__unit,
   CASE WHEN l_partkey % 3 = 1 AND l_suppkey % 3 = 2 THEN '~' || CAST((o_orderkey * 37 + l_linenumber * 11) % 900 + 100 AS STRING) END AS volumetric_capacitance,
   CASE WHEN l_partkey % 3 = 1 AND l_suppkey % 3 = 2 AND l_linenumber < 5 THEN 'F cm−3' END AS volumetric_capacitance__unit,
   CASE WHEN l_partkey % 4 = 2 THEN CAST(l_suppkey % 90 AS STRING) END AS areal_capacitance,

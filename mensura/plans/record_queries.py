@@ -24,11 +24,11 @@ TARGETS = (
 
 
 def _emptied(records, d):
-    """Papers ending in 77 have no electrodes; every tenth other declares one electrode too many."""
-    gone = F.col("source_file").endswith("77.pdf")
+    """Papers ending in 77 have no electrodes, those ending in 55 no array of them; every tenth other declares one electrode too many."""
+    gone, absent = F.col("source_file").endswith("77.pdf"), F.col("source_file").endswith("55.pdf")
     kind = records.schema["electrodes"].dataType
     records = records.withColumn("declared", F.when(gone, 0).otherwise(F.col("n_electrodes") + F.col("source_file").endswith("0.pdf").cast("int")))
-    return records.withColumn("electrodes", F.when(gone, F.array().cast(kind)).otherwise(F.col("electrodes")))
+    return records.withColumn("electrodes", F.when(gone, F.array().cast(kind)).when(~absent, F.col("electrodes")))
 
 
 def records_v1(spark, d):
@@ -50,17 +50,18 @@ def _faulty_measurement(m):
 
 
 def _faulty_electrode(e):
-    """Every 89th declares a measurement too many, every 97th has its first field twice."""
+    """Every 89th declares a measurement too many, every 97th has its first field twice, every 83rd no array of measurements, every 79th none of fields."""
     number = e["electrode_id"].cast("long")
     twice = F.when(number % 97 == 0, F.concat(e["fields"], F.slice(e["fields"], 1, 1))).otherwise(e["fields"])
-    return e.withField("n_measurements", e["n_measurements"] + (number % 89 == 0).cast("int")).withField("fields", twice).withField("measurements", F.transform(e["measurements"], _faulty_measurement))
+    measured = F.when(number % 83 != 0, F.transform(e["measurements"], _faulty_measurement))
+    return e.withField("n_measurements", e["n_measurements"] + (number % 89 == 0).cast("int")).withField("fields", F.when(number % 79 != 0, twice)).withField("measurements", measured)
 
 
 def records_v2(spark, d):
     """Sparse records; every tenth paper that ends in 1 declares two measurements too many."""
     out = _emptied(R.nest_v2(X.electrodes(spark, d), _named(X.measurements(spark, d)), E_FIELDS, M_FIELDS), d)
     more = F.col("n_measurements") + 2 * F.col("source_file").endswith("1.pdf").cast("int")
-    out = out.withColumn("n_measurements", F.when(F.size("electrodes") == 0, 0).otherwise(more))
+    out = out.withColumn("n_measurements", F.when(F.col("source_file").endswith("77.pdf"), 0).otherwise(more))
     return out.withColumns({"electrodes": F.transform("electrodes", _faulty_electrode), "schema_version": F.lit("2")})
 
 
@@ -141,14 +142,16 @@ QUERIES = {
     )
 }
 
-_FULL = "source_file NOT LIKE '%77.pdf'"
+_FULL = "source_file NOT LIKE '%77.pdf' AND source_file NOT LIKE '%55.pdf'"
 _VIEWS = f"""d2 AS (SELECT *, CAST(row_number() OVER (PARTITION BY source_file ORDER BY electrode_id) - 1 AS INT) AS position FROM d WHERE {_FULL}),
-e2 AS (SELECT *, CAST(electrode_id AS VARCHAR) AS id FROM e WHERE {_FULL}),
+e2 AS (SELECT * EXCLUDE ({", ".join(E_FIELDS)}), {", ".join(f"CASE WHEN electrode_id % 79 <> 0 THEN {f} END AS {f}" for f in E_FIELDS)}, CAST(electrode_id AS VARCHAR) AS id FROM e WHERE {_FULL}),
 m2 AS (SELECT * EXCLUDE (test_type), CASE WHEN measurement_id <> 6 THEN test_type END AS test_type, CAST(electrode_id AS VARCHAR) AS id,
-  CASE WHEN source_file LIKE '%3.pdf' THEN CAST(measurement_id AS VARCHAR) ELSE CAST(electrode_id AS VARCHAR) || '-M' || CAST(measurement_id AS VARCHAR) END AS mid FROM m WHERE {_FULL}),
+  CASE WHEN source_file LIKE '%3.pdf' THEN CAST(measurement_id AS VARCHAR) ELSE CAST(electrode_id AS VARCHAR) || '-M' || CAST(measurement_id AS VARCHAR) END AS mid FROM m WHERE {_FULL} AND electrode_id % 83 <> 0),
 c2 AS (SELECT electrode_id, count(*) AS n FROM m2 GROUP BY 1),
-t2 AS (SELECT e2.*, coalesce(c2.n, 0) AS n FROM e2 LEFT JOIN c2 USING (electrode_id)),
-p AS (SELECT source_file, count(*) AS n, CAST(sum(CAST(is_primary AS INT)) AS BIGINT) AS prim, CAST(sum(n) AS BIGINT) AS total FROM t2 GROUP BY source_file)"""
+s2 AS (SELECT electrode_id, count(*) AS stated FROM m GROUP BY 1),
+t2 AS (SELECT e2.*, coalesce(c2.n, 0) AS n, coalesce(stated, 0) AS stated FROM e2 LEFT JOIN c2 USING (electrode_id) LEFT JOIN s2 USING (electrode_id)),
+p AS (SELECT source_file, count(*) AS n, CAST(sum(CAST(is_primary AS INT)) AS BIGINT) AS prim, CAST(sum(n) AS BIGINT) AS total, CAST(sum(stated) AS BIGINT) + CASE WHEN source_file LIKE '%1.pdf' THEN 2 ELSE 0 END AS stated FROM t2 GROUP BY source_file),
+a AS (SELECT source_file, count(DISTINCT electrode_id) AS n, count(measurement_id) AS total FROM e LEFT JOIN m USING (source_file, electrode_id) WHERE source_file LIKE '%55.pdf' GROUP BY 1)"""
 
 
 def _filled(names):
@@ -157,17 +160,20 @@ def _filled(names):
 
 _DENSE = [f for f in V1_FIELDS if f not in ("tortuosity", "volumetric_capacitance", "areal_capacitance")]
 _DUP = "SELECT source_file, 'duplicate labels' AS code, string_agg(l, ', ' ORDER BY l) AS detail FROM (SELECT source_file, lower(trim(electrode_label)) AS l FROM e2 GROUP BY ALL HAVING count(*) > 1) GROUP BY source_file"
-_NONE = "SELECT DISTINCT source_file, 'empty record', 'no electrodes' FROM e WHERE source_file LIKE '%77.pdf'"
+_NONE = "SELECT DISTINCT source_file, 'empty record', 'no electrodes' FROM e WHERE source_file LIKE '%77.pdf' OR source_file LIKE '%55.pdf'"
 _V1 = f"""SELECT source_file, 'count mismatch' AS code, CAST(n + 1 AS VARCHAR) || ' vs ' || CAST(n AS VARCHAR) AS detail FROM p WHERE source_file LIKE '%0.pdf'
+UNION ALL SELECT source_file, 'count mismatch', CAST(n AS VARCHAR) || ' vs 0' FROM a
 UNION ALL {_NONE} UNION ALL SELECT source_file, 'no primary', '0' FROM p WHERE prim = 0 UNION ALL SELECT source_file, 'many primaries', CAST(prim AS VARCHAR) FROM p WHERE prim > 1
 UNION ALL SELECT source_file, 'sparse electrode', electrode_label || ':' || CAST({_filled(_DENSE)} AS VARCHAR) FROM d2 WHERE {_filled(_DENSE)} <= 2
 UNION ALL SELECT source_file, 'no capacitance', electrode_label FROM d2 WHERE coalesce(gravimetric_capacitance, '') = '' UNION ALL {_DUP}"""
 _V2 = f"""SELECT source_file, 'electrode count mismatch' AS code, CAST(n + 1 AS VARCHAR) || ' vs ' || CAST(n AS VARCHAR) AS detail FROM p WHERE source_file LIKE '%0.pdf'
-UNION ALL SELECT source_file, 'measurement total mismatch', CAST(total + 2 AS VARCHAR) || ' vs ' || CAST(total AS VARCHAR) FROM p WHERE source_file LIKE '%1.pdf'
+UNION ALL SELECT source_file, 'electrode count mismatch', CAST(n AS VARCHAR) || ' vs 0' FROM a
+UNION ALL SELECT source_file, 'measurement total mismatch', CAST(stated AS VARCHAR) || ' vs ' || CAST(total AS VARCHAR) FROM p WHERE stated <> total
+UNION ALL SELECT source_file, 'measurement total mismatch', CAST(total AS VARCHAR) || ' vs 0' FROM a WHERE total > 0
 UNION ALL {_NONE} UNION ALL SELECT source_file, 'primary count', CAST(prim AS VARCHAR) FROM p WHERE prim <> 1 UNION ALL {_DUP}
 UNION ALL SELECT source_file, 'repeated electrode field', id FROM e2 WHERE electrode_id % 97 = 0 AND {_filled(E_FIELDS)} > 0
 UNION ALL SELECT source_file, 'repeated measurement field', mid FROM m2 WHERE measurement_id = 7
-UNION ALL SELECT source_file, 'electrode measurement mismatch', id FROM e2 WHERE electrode_id % 89 = 0
+UNION ALL SELECT source_file, 'electrode measurement mismatch', id FROM t2 WHERE stated + CASE WHEN electrode_id % 89 = 0 THEN 1 ELSE 0 END <> n
 UNION ALL SELECT source_file, 'invalid electrode fields', 'layer_no' FROM e2 WHERE layer_no IS NOT NULL GROUP BY source_file
 UNION ALL SELECT source_file, 'no descriptors', id FROM e2 WHERE {_filled(E_FIELDS)} = 0
 UNION ALL SELECT source_file, 'no measurements', id FROM t2 WHERE n = 0

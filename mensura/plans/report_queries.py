@@ -14,6 +14,11 @@ AUDITED = {"interlayer_spacing": "interlayer_spacing_nm", "flake_size": "flake_s
 COLS = ["doi", "mxene_formula", "synthesis_method", "electrolyte", "layer_no", "interlayer_spacing", "flake_size", "porosity"]
 
 
+#: Of one electrode: the test, its conditions and the results, each with its unit.
+_MEASURED = ("scan_rate", "current_density", "gravimetric_capacitance", "volumetric_capacitance", "areal_capacitance")
+KEYS = ["source_file", "electrode_id", "test_type", *(c for f in _MEASURED for c in (f, f"{f}__unit"))]
+
+
 def strict_measurements(spark, d):
     return M.normalize_strict(X.measurements(spark, d))
 
@@ -88,8 +93,7 @@ def contrast(spark, d):
 
 
 def dedupe(spark, d):
-    keys = ["electrode_id", "test_type", "scan_rate", "gravimetric_capacitance", "gravimetric_capacitance__unit"]
-    return P.dedupe_measurements(X.measurements(spark, d), keys)
+    return P.dedupe_measurements(X.measurements(spark, d), KEYS)
 
 
 def upper_median(spark, d):
@@ -164,7 +168,7 @@ SQL = {
     "condition_subset_gcd": _sql("SELECT electrode_id, measurement_id, current_density_A_g, capacitance_F_g FROM cs WHERE capacitance_F_g IS NOT NULL AND current_density_A_g IS NOT NULL", _CSM),
     "conversion_audit": _sql("SELECT electrode_id, interlayer_spacing, interlayer_spacing__unit, interlayer_spacing_nm, flake_size, flake_size__unit, flake_size_um, porosity, porosity__unit, porosity_pct, mass_loading, mass_loading__unit, mass_loading_mg_cm2 FROM ce WHERE coalesce(interlayer_spacing_nm, flake_size_um, porosity_pct, mass_loading_mg_cm2) IS NOT NULL", _CSE),
     "contrast": _sql("SELECT source_file, round(c, 6) AS control, round(v, 6) AS variant, round(v - c, 6) + 0.0 AS difference FROM (SELECT source_file, avg(interlayer_spacing_nm) FILTER (WHERE role = 'control') AS c, avg(interlayer_spacing_nm) FILTER (WHERE role = 'variant') AS v FROM ce GROUP BY 1) WHERE c IS NOT NULL AND v IS NOT NULL", _CSE),
-    "dedupe": _sql("SELECT electrode_id, test_type, scan_rate, gravimetric_capacitance, gravimetric_capacitance__unit, min(measurement_id) AS measurement_id FROM m GROUP BY ALL"),
+    "dedupe": _sql("SELECT * EXCLUDE (k) FROM (SELECT *, row_number() OVER (PARTITION BY source_file, electrode_id, test_type, scan_rate, scan_rate__unit, current_density, current_density__unit, gravimetric_capacitance, gravimetric_capacitance__unit, volumetric_capacitance, volumetric_capacitance__unit, areal_capacitance, areal_capacitance__unit ORDER BY measurement_id, measurement_label, is_representative) AS k FROM m) WHERE k = 1"),
     "upper_median": _sql("SELECT n AS upper_median FROM (SELECT n, row_number() OVER (ORDER BY n) AS r, count(*) OVER () AS c FROM (SELECT count(*) AS n FROM e GROUP BY source_file)) WHERE r = c // 2 + 1"),
     "distinct_papers": _sql("SELECT count(DISTINCT doi) AS dois, count(DISTINCT source_file) AS papers FROM e"),
     "union_tables": _sql("SELECT role, test_type, count(*) AS n FROM (SELECT role, NULL AS test_type FROM e UNION ALL SELECT NULL, test_type FROM m) GROUP BY ALL"),

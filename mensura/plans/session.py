@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from mensura.operators.storage import scratch
+
+__all__ = ["local_session", "scratch", "table"]
+
 
 def local_session(cores: str = "8", partitions: int = 8, memory: str = "6g") -> SparkSession:
     """A session for tests and the bench; on a cluster the caller brings its own."""
@@ -29,10 +32,3 @@ def local_session(cores: str = "8", partitions: int = 8, memory: str = "6g") ->
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder that driver and executors share: spark.checkpoint.dir, or what was set as the context's checkpoint folder."""
-    if not (root := spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -73,7 +73,7 @@ _FOLD = "CAST(CAST('0x' || substring(md5({g} || ':42'), 1, 8) AS BIGINT) % 5 AS
 _L = f"""f AS (SELECT *, {_FOLD.format(g='source_file')} AS fold, capacitance_F_g AS y FROM (SELECT *, {_strict(('gravimetric_capacitance',))} FROM m) WHERE capacitance_F_g IS NOT NULL),
 l AS (SELECT *, (sum(y) OVER u - sum(y) OVER uf) / nullif(count(y) OVER u - count(y) OVER uf, 0) AS predicted FROM f WINDOW u AS (PARTITION BY current_density__unit), uf AS (PARTITION BY current_density__unit, fold))"""
 _G = "g AS (SELECT source_file, CASE WHEN row_number() OVER (ORDER BY md5(source_file || ':42'), source_file) <= ceil(count(*) OVER () * 0.2) THEN 'test' ELSE 'train' END AS split FROM (SELECT DISTINCT source_file FROM l))"
-_M = "count(*) AS n, avg(abs(y - predicted)) AS mae, sqrt(avg((y - predicted) ^ 2)) AS rmse, 1 - sum((y - predicted) ^ 2) / (sum(y * y) - sum(y) * sum(y) / count(y)) AS r2"
+_M = "count(*) AS n, avg(abs(y - predicted)) AS mae, sqrt(avg((y - predicted) ^ 2)) AS rmse, 1 - sum((y - predicted) ^ 2) / (var_pop(y) * count(y)) AS r2"
 
 
 def _sql(body, *more):

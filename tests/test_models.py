@@ -4,8 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mensura.operators import regression as G
-from mensura.plans import model_queries as Q
-from mensura.plans.session import scratch
+from mensura.operators.storage import scratch
 from mensura.sources.models import load_model, save_model
 from mensura.sources.tables import require_columns, union_files
 
@@ -23,13 +22,6 @@ def data(spark):
     return spark.read.parquet(path)
 
 
-def test_folds_beat_the_median(data):
-    oof = G.oof_predict(data, ["x", "flat"], ["kind"], "y", 4, rare=2, **FEW)
-    assert oof.count() == 300
-    row = G.target_metrics(oof, "y", "y", "u", 3).first()
-    assert row.n == 300 and row.papers == 20 and row.beats_baseline and not row.exploratory
-
-
 def test_saved_model_predicts_alike(spark, data):
     model = G.gbt_pipeline(data, ["x", "flat"], ["kind"], "y", **FEW).fit(data)
     path = scratch(spark, "model")
@@ -40,21 +32,14 @@ def test_saved_model_predicts_alike(spark, data):
     assert G.predict(again, new).collect() == G.predict(model, new).collect()
     ranked = G.feature_importance(again, again.transform(data)).collect()
     assert ranked[0].feature.endswith("_x")
-    loss = {r.feature: r.loss for r in G.permutation_importance(again, data, ["x", "flat"], "y").collect()}
+    loss = {r.feature: r.loss for r in G.permutation_importance(lambda df: G.predict(again, df), data, ["x", "flat"], "y").collect()}
     assert loss["x"] > 1 and abs(loss["flat"]) < 1e-9
 
 
-def test_search_takes_the_least_error(data):
-    _, best, tried = G.random_search(data, ["x"], [], "y", 2, n=2, grid={"maxIter": (1, 3)}, maxDepth=2)
-    assert best == min(tried, key=lambda t: t[1])[0] and len(tried) == 2
-
-
 def test_columns_without_values_are_left_out(data):
     empty = data.withColumn("none", F.lit(None).cast("double"))
-    oof = G.oof_predict(empty, ["x", "none"], ["kind"], "y", 4, **FEW)
-    assert oof.count() == 300
-    models = G.final_fit({"y": empty, "x": empty.where("x IS NOT NULL")}, ["none"], ["kind"], **FEW)
-    assert [G.predict(m, empty).count() for m in models.values()] == [300, 300]
+    model = G.gbt_pipeline(empty, ["x", "none"], ["kind"], "y", rare=2, **FEW).fit(empty)
+    assert G.predict(model, empty).count() == 300
 
 
 def test_columns(spark):
@@ -63,29 +48,3 @@ def test_columns(spark):
         require_columns(one, ["p", "r", "s"])
     assert sorted(map(tuple, union_files([one, two]).collect())) == [("a", ""), ("b", "")]
     assert G.split_dtypes(spark.range(1).select("id", F.lit("x").alias("t"))) == (["id"], ["t"])
-
-
-def test_queries_ask_for_the_whole_job(spark, monkeypatch):
-    """Every setting that the registered queries hand on; one tree is grown instead."""
-    sf, folds, fits, whole = "/root/testdata/sf0.001", [], [], G.gbt_pipeline
-
-    def oof(df, numeric, categorical, y, k, **settings):
-        folds.append((y, k, df.select("fold").distinct().count(), settings))
-        return df.withColumns({"predicted": F.col(y) / 2, "median_baseline": F.lit(1.0), "absolute_error": F.lit(1.0)})
-
-    def fit(df, numeric, categorical, y, preset="strict", **settings):
-        fits.append({**G.PRESETS[preset], **settings})
-        return whole(df, numeric, categorical, y, preset=preset, **{**settings, "maxIter": 1})
-
-    monkeypatch.setattr(G, "oof_predict", oof)
-    monkeypatch.setattr(G, "gbt_pipeline", fit)
-    got = {r.target: r for r in Q.gbt_by_target(spark, sf).collect()}
-    assert got.keys() == {"gravimetric_capacitance_F_g", "volumetric_capacitance_F_cm3", "areal_capacitance_mF_cm2"} and all(r.n for r in got.values())
-    assert [(y, k, n) for y, k, n, _ in folds] == [("gravimetric_capacitance_F_g", 5, 5), ("volumetric_capacitance_F_cm3", 5, 5), ("areal_capacitance_mF_cm2", 4, 4)]
-    assert all({**G.PRESETS[s["preset"]], **s}["maxIter"] == 400 for *_, s in folds)
-    folds.clear()
-    assert Q.gbt_holdout(spark, sf).count() == 3
-    assert len(folds) == 20 and all(k == 5 and all(s[name] in G.GRID[name] for name in G.GRID) for _, k, _, s in folds)
-    assert len({tuple(s[name] for name in G.GRID) for *_, s in folds}) == 20
-    Q.gbt_importance(spark, sf)
-    assert [f["maxIter"] for f in fits[::2]] == [400, 400] and fits[1]["maxIter"] in G.GRID["maxIter"]

@@ -64,12 +64,63 @@ def test_csv_by_name(spark, tmp_path):
     (tmp_path / "b.csv").write_text("y,x\n2,1\n")
     (tmp_path / "c c.csv").write_text("﻿x,z\n3,\n")
     want = [("1", "2\nlines", "", "a"), ("1", "2", "", "b"), ("3", "", "", "c c")]
-    rows = T.scan_dir(spark, str(tmp_path)).select("x", "y", "z", "search_id")
+    rows = T.scan_dir(spark, str(tmp_path), multi_line=True).select("x", "y", "z", "search_id")
     assert sorted(map(tuple, rows.collect())) == sorted(want)
-    assert sorted(map(tuple, T.scan_strings(spark, str(tmp_path), ["y", "x"]).collect())) == sorted((y, x) for x, y, _, _ in want)
+    assert sorted(map(tuple, T.scan_strings(spark, str(tmp_path), ["y", "x"], multi_line=True).collect())) == sorted((y, x) for x, y, _, _ in want)
     with pytest.raises(Exception):  # noqa: B017  what Spark raises where the header is not as told
         T.scan_strings(spark, str(tmp_path), ["x", "y"], one_header=True).collect()
     assert T.scan_dir(spark, str(tmp_path), ["y"]).where(F.col("search_id") == "b").first()["y"] == "2"
     assert T.scan_dir(spark, str(tmp_path / "b.csv"), ["y", "x"], one_header=True).collect()[0]["search_id"] == "b"
     (tmp_path / "none").mkdir()
     assert T.scan_dir(spark, str(tmp_path / "none"), ["y"]).collect() == [] and T.scan_strings(spark, str(tmp_path / "none"), ["y"]).columns == ["y"]
+
+
+def test_absent_arrays_count_as_empty(spark):
+    from mensura.operators import quality as Q
+
+    v2 = [
+        {"source_file": "none.pdf", "declared": 2, "n_measurements": 1},
+        {"source_file": "bare.pdf", "declared": 1, "n_measurements": 3, "electrodes": [{"electrode_id": "E1", "label": "a", "is_primary": True, "n_measurements": 2, "fields": [{"name": "bogus", "value": "1"}]}]},
+        {"source_file": "m.pdf", "declared": 1, "n_measurements": 1, "electrodes": [{"electrode_id": "E2", "label": "a", "is_primary": True, "n_measurements": 1, "measurements": [{"measurement_id": "M1"}]}]},
+    ]
+    schema = J.schema_v2() + ", declared int"
+    records = spark.createDataFrame([{**r, "electrodes": r.get("electrodes")} for r in v2], schema)
+    got = {}
+    for r in Q.validate_v2(records, {"electrode": ["binder"], "measurement": ["scan_rate"]}, ["esr"]).collect():
+        got.setdefault(r["source_file"], set()).add((r["code"], r["detail"]))
+    assert got["none.pdf"] == {("electrode count mismatch", "2 vs 0"), ("measurement total mismatch", "1 vs 0"), ("empty record", "no electrodes")}
+    assert got["bare.pdf"] == {("measurement total mismatch", "3 vs 0"), ("electrode measurement mismatch", "E1"), ("no measurements", "E1"), ("invalid electrode fields", "bogus")}
+    assert got["m.pdf"] == {("no descriptors", "E2"), ("no target", "M1"), ("no condition", "M1")}
+    v1 = spark.createDataFrame([("a.pdf", 2, None)], f"source_file string, declared int, electrodes {spark.createDataFrame([], J.schema_v1()).schema['electrodes'].dataType.simpleString()}")
+    assert {(r["code"], r["detail"]) for r in Q.validate_v1(v1, fields=V1_FIELDS, capacitance=["gravimetric_capacitance"]).collect()} == {("count mismatch", "2 vs 0"), ("empty record", "no electrodes")}
+
+
+def test_tagged_trees(spark, tmp_path):
+    """A rerun of one tag leaves the files of the others as they are, and a tag is read from its folder alone."""
+    path, rows = str(tmp_path / "out"), spark.createDataFrame([("a", "m1"), ("b", "m2"), ("c", "m2")], "paper string, model_tag string")
+    T.write_tagged(rows, path)
+    before = {p: p.stat().st_mtime_ns for p in (tmp_path / "out" / "model_tag=m1").iterdir()}
+    T.write_tagged(spark.createDataFrame([("d", "m2")], "paper string, model_tag string"), path)
+    assert {p: p.stat().st_mtime_ns for p in (tmp_path / "out" / "model_tag=m1").iterdir()} == before
+    assert sorted((r["paper"], r["model_tag"]) for r in T.read_tagged(spark, path).collect()) == [("a", "m1"), ("d", "m2")]
+    one = T.read_tagged(spark, path, "m1")
+    assert [r["paper"] for r in one.collect()] == ["a"]
+    assert "PartitionFilters: [isnotnull(model_tag" in one._jdf.queryExecution().toString()
+
+
+def test_positions_for_one_split_or_many(spark, tmp_path):
+    """Places in the file's own order, without a key, however small the splits are; blank lines are no rows."""
+    lines = [f"{i * 7919 % 1000},v{i}" for i in range(3000)]
+    (tmp_path / "a.csv").write_text("k,v\n" + "\n".join(lines[:2000]) + "\n")
+    (tmp_path / "b.csv").write_text("k,v\n" + "\n\n".join(lines[2000:]))
+    want = sorted([("a", i, f"v{i}") for i in range(2000)] + [("b", i - 2000, f"v{i}") for i in range(2000, 3000)])
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        for size in ("128m", "4k", "500b"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "100b")
+            rows = T.scan_positions(spark, str(tmp_path))
+            assert sorted((r["search_id"], r["row_index"], r["v"]) for r in rows.collect()) == want
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", before[1])
