@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .reports import upper_median
+from .storage import stored
 
 #: Dollars per million tokens, in and out.
 PRICING = {"gpt-5.4": (2.50, 15.00), "gpt-5.6-terra": (2.50, 15.00), "gpt-5.6-sol": (5.00, 30.00), "gpt-5.6-luna": (1.00, 6.00), "gpt-5.4-mini": (0.75, 4.50), "gpt-5.4-nano": (0.20, 1.25)}
@@ -82,9 +82,14 @@ def unreadable(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Data
 def preflight(docs: DataFrame, prices: DataFrame, text: str = "text", kind: str = "v1", electrodes: float = 3.0, measurements: float = 4.0) -> DataFrame:
     """Totals of the corpus, the upper median of document sizes, and each model's price, with the batch price at half."""
     out_each = 200 + 350 * electrodes if kind == "v1" else 300 + 500 * electrodes + 260 * electrodes * measurements
-    one = docs.agg(F.count(F.lit(1)).alias("documents"), F.sum(F.expr(f"length(coalesce({text}, '')) div 4") + OVERHEAD[kind]).cast("long").alias("in_tokens"), F.count_if(F.length(F.trim(F.coalesce(text, F.lit("")))) < LOW_TEXT).alias("unreadable"))
-    sizes = docs.select(F.length(F.coalesce(text, F.lit(""))).alias("chars"))
-    one = one.withColumn("out_tokens", (F.col("documents") * out_each).cast("double")).join(upper_median(sizes, "chars").withColumnRenamed("upper_median", "median_chars"))  # one row each
+    whole = F.coalesce(text, F.lit(""))
+    # texts are read once: of each size, how many documents have it and how many of them are unreadable
+    sizes = stored(docs.groupBy(F.length(whole).alias("chars")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.length(F.trim(whole)) < LOW_TEXT).alias("low")), "sizes")
+    tokens = F.sum((F.expr("chars div 4") + OVERHEAD[kind]) * F.col("n")).cast("long")
+    one = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("documents"), tokens.alias("in_tokens"), F.coalesce(F.sum("low"), F.lit(0)).alias("unreadable"))
+    # few rows: sizes are numbers of characters
+    median = sizes.select("chars", F.sum("n").over(W.orderBy("chars")).alias("upto"), F.sum("n").over(W.partitionBy()).alias("all")).where(F.col("upto") > F.expr("all div 2")).agg(F.min("chars").alias("median_chars"))
+    one = one.withColumn("out_tokens", (F.col("documents") * out_each).cast("double")).join(median)  # one row each
     full = F.col("in_tokens") / 1e6 * F.col("input_rate") + F.col("out_tokens") / 1e6 * F.col("output_rate")
     return one.crossJoin(F.broadcast(prices)).select("model", "documents", "unreadable", "median_chars", "in_tokens", "out_tokens", F.round(full, 4).alias("cost_usd"), F.round(full / 2, 4).alias("batch_usd"))
 

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .reports import running_counts
-from .storage import scratch
+from .reports import grouped_median, join_by_value, running_counts
+from .storage import stored
 
 
 def group_fold(group: Column, k: int, seed: int = 42) -> Column:
@@ -54,19 +54,49 @@ def group_holdout(df: DataFrame, group: str, share: float = 0.2, seed: int = 42)
     return df.join(ranked, F.col(group).eqNullSafe(F.col("_group"))).drop("_group")
 
 
+def balanced_folds(df: DataFrame, group: str, k: int, seed: int = 42) -> DataFrame:
+    """(group, size, fold): whole groups dealt by size, the largest first, to and fro over the folds, so that folds differ by no more
+    rows than the largest group has. Groups of one size go in hash order; null is a group of its own.
+
+    Ranks come from counts: of groups by size (few sizes: n groups of different sizes have n * n / 2 rows), and within a size by range of
+    the hash; only within a range are groups ordered.
+    """
+    own = F.coalesce(F.col(group).cast("string"), F.lit("\0"))
+    groups = df.groupBy(group).agg(F.count(F.lit(1)).alias("size")).withColumn("_h", F.md5(F.concat(own, F.lit(f":{seed}"))))
+    groups = stored(groups.withColumn("_range", F.substring("_h", 1, 3)), "sizes")
+    ranges = groups.groupBy("size", "_range").agg(F.count(F.lit(1)).alias("_own"))
+    sizes = ranges.groupBy("size").agg(F.sum("_own").alias("_all"))
+    sizes = sizes.select(F.col("size").alias("_size"), (F.sum("_all").over(W.orderBy(F.desc("size"))) - F.col("_all")).alias("_larger"))
+    within = F.sum("_own").over(W.partitionBy("size").orderBy("_range")) - F.col("_own")  # 4,096 rows a size at most
+    ranges = ranges.select("size", "_range", within.alias("_before")).join(sizes, F.col("size") == F.col("_size")).select("size", "_range", (F.col("_larger") + F.col("_before")).alias("_first"))
+    place = F.col("_first") + F.row_number().over(W.partitionBy("size", "_range").orderBy("_h", group)) - 1
+    turn, at = F.floor(place / k) % 2, place % k
+    return groups.join(ranges, ["size", "_range"]).select(group, "size", F.when(turn == 0, at).otherwise(k - 1 - at).cast("int").alias("fold"))
+
+
 def median_baseline(df: DataFrame, y: str, fold: str, k: int, exact: bool = True) -> DataFrame:
-    """Per fold the median of the target outside it; one scan with k conditional medians. exact=False takes percentile_approx,
-    where the counts of all distinct values are too many for one buffer."""
-    middle = F.median if exact else (lambda c: F.percentile_approx(c, 0.5))
-    one = df.agg(*(middle(F.when(F.col(fold) != i, F.col(y))).alias(f"m{i}") for i in range(k)))
-    return one.select(F.explode(F.array(*(F.struct(F.lit(i).alias("fold"), F.col(f"m{i}").alias("median_baseline")) for i in range(k)))).alias("r")).select("r.*")
+    """Per fold the median of the target outside it, exact or by percentile_approx. A row counts for each fold but its own; equal targets
+    of a fold are counted before."""
+    if not exact:
+        one = df.agg(*(F.percentile_approx(F.when(F.col(fold) != i, F.col(y)), 0.5).alias(f"m{i}") for i in range(k)))
+        return one.select(F.explode(F.array(*(F.struct(F.lit(i).alias("fold"), F.col(f"m{i}").alias("median_baseline")) for i in range(k)))).alias("r")).select("r.*")
+    others = F.explode(F.array(*(F.lit(i) for i in range(k)))).alias("_out")
+    rows = df.select(F.col(fold).alias("_fold"), F.col(y).alias("_y"), others).where(F.col("_fold") != F.col("_out"))
+    medians = grouped_median(rows, ["_out"], "_y", "median_baseline")
+    folds = df.sparkSession.range(k).select(F.col("id").cast("int").alias("fold"))
+    return folds.join(F.broadcast(medians), F.col("fold") == F.col("_out"), "left").select("fold", "median_baseline")  # k rows
+
+
+FEW = 100_000  # rows of means that are broadcast
 
 
 def oof_group_mean(df: DataFrame, y: str, fold: str, by: str, name: str = "predicted") -> DataFrame:
-    """df with an out-of-fold prediction: the mean target of the rows of like `by` in the other folds, null where there are none."""
+    """df with an out-of-fold prediction: the mean target of the rows of like `by` in the other folds, null where there are none. df should
+    be a written table: it is read twice. Means are broadcast where there are few of them, as kinds may be hot."""
     sums = df.groupBy(by, fold).agg(F.sum(y).alias("s"), F.count(y).alias("n"))  # a row for each kind and fold
     rest = lambda c: F.sum(c).over(W.partitionBy(by)) - F.col(c)
-    means = sums.select(F.col(by).alias("_by"), F.col(fold).alias("_fold"), (rest("s") / F.nullif(rest("n"), F.lit(0))).alias(name))
+    means = stored(sums.select(F.col(by).alias("_by"), F.col(fold).alias("_fold"), (rest("s") / F.nullif(rest("n"), F.lit(0))).alias(name)), "means")
+    means = F.broadcast(means) if means.count() <= FEW else means
     return df.join(means, F.col(by).eqNullSafe(F.col("_by")) & (F.col(fold) == F.col("_fold")), "left").drop("_by", "_fold")
 
 
@@ -81,13 +111,14 @@ def regression_metrics(df: DataFrame, y: str, p: str, by: list[str] | None = Non
 def spearman(df: DataFrame, y: str, p: str) -> DataFrame:
     """One row: the correlation of the ranks, ties averaged, of rows that have both; null where either does not vary.
 
-    Distinct pairs with their numbers of rows are written once to the shared folder; ranks are centred, so that sums stay exact.
+    Distinct pairs with their numbers of rows are written once; ranks are centred, so that sums stay exact. A value that stands in many
+    pairs gets its rank by broadcast.
     """
-    spark, path = df.sparkSession, scratch(df.sparkSession, "pairs")
-    df.where(F.col(y).isNotNull() & F.col(p).isNotNull()).groupBy(F.col(y).alias("y"), F.col(p).alias("p")).agg(F.count(F.lit(1)).alias("n")).write.parquet(path)
-    pairs = spark.read.parquet(path)
-    rank = lambda c: running_counts(pairs, c, "n").select(F.col("v").alias(c), (F.col("upto") - (F.col("n") - 1) / 2).alias(f"r{c}"))
-    rows = pairs.join(rank("y"), "y").join(rank("p"), "p").join(F.broadcast(pairs.agg(((F.sum("n") + 1) / 2).alias("mean"))))  # one row
+    both = df.where(F.col(y).isNotNull() & F.col(p).isNotNull()).groupBy(F.col(y).alias("y"), F.col(p).alias("p")).agg(F.count(F.lit(1)).alias("n"))
+    pairs = stored(both, "pairs")
+    rank = lambda c: running_counts(pairs, c, "n").select(F.col("v").alias("_v"), F.col("rows").alias("_rows"), (F.col("upto") - (F.col("n") - 1) / 2).alias(f"r{c}"))
+    rows = join_by_value(join_by_value(pairs, "y", rank("y"), "_v", "_rows"), "p", rank("p"), "_v", "_rows")
+    rows = rows.join(F.broadcast(pairs.agg(((F.sum("n") + 1) / 2).alias("mean"))))  # one row
     a, b, n = F.col("ry") - F.col("mean"), F.col("rp") - F.col("mean"), F.col("n")
     return rows.agg((F.sum(n * a * b) / F.nullif(F.sqrt(F.sum(n * a * a) * F.sum(n * b * b)), F.lit(0.0))).alias("spearman"))
 

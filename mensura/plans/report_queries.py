@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from mensura.functions import measures as M
 from mensura.functions.catalog import feature_catalog
 from mensura.operators import reports as P
+from mensura.operators.storage import stored
 from mensura.plans import fixtures as X
 from mensura.plans.measure_queries import _TARGETS, _strict
 
@@ -31,6 +32,15 @@ def column_audit(spark, d):
     return P.column_audit(X.electrodes(spark, d), COLS)
 
 
+def profiles(spark, d):
+    """Profiles kept for each year of the papers, and merged: the sketch is right to some percent, and exact where values are few."""
+    rows = X.electrodes(spark, d)
+    kept = stored(P.column_profile(rows, COLS, ["year"]), "profiles")
+    sure = P.column_audit(rows, COLS).withColumnRenamed("n_distinct", "sure")
+    out = P.merged_profile(kept).join(sure.select("column", "sure"), "column")
+    return out.select("column", "filled", "missing_pct", F.col("sure").alias("n_distinct"), (F.abs(F.col("n_distinct") - F.col("sure")) <= 0.05 * F.col("sure")).alias("near"))
+
+
 def confidence_breakdown(spark, d):
     return P.confidence_breakdown(X.electrodes(spark, d), ["interlayer_spacing"])
 
@@ -136,7 +146,7 @@ def first_record(spark, d):
     return X.electrodes(spark, d).groupBy("source_file").agg(first).select("source_file", "first.*")
 
 
-QUERIES = {f.__name__: f for f in (coverage, column_audit, confidence_breakdown, confidence_filter, rows_per_group, electrodes_per_paper, group_size_stats, oversized, oversized_measurements, value_counts, target_summary, target_coverage, condition_subset, condition_subset_gcd, usable_counts, conversion_audit, contrast, dedupe, upper_median, distinct_papers, union_tables, paper_slice, catalog_coverage, informative, covered_features, first_record)}
+QUERIES = {f.__name__: f for f in (coverage, column_audit, profiles, confidence_breakdown, confidence_filter, rows_per_group, electrodes_per_paper, group_size_stats, oversized, oversized_measurements, value_counts, target_summary, target_coverage, condition_subset, condition_subset_gcd, usable_counts, conversion_audit, contrast, dedupe, upper_median, distinct_papers, union_tables, paper_slice, catalog_coverage, informative, covered_features, first_record)}
 
 _CSM = f"cs AS (SELECT *, {_strict(('scan_rate', 'current_density', 'gravimetric_capacitance'))} FROM m)"
 _CSE = f"ce AS (SELECT *, {_strict(('interlayer_spacing', 'flake_size', 'porosity', 'mass_loading'))} FROM e)"
@@ -153,6 +163,7 @@ def _each(template):
 SQL = {
     "coverage": _sql("SELECT \"column\", filled, pct, CASE WHEN pct >= 60 THEN 'usable' WHEN pct >= 30 THEN 'marginal' ELSE 'sparse' END AS status FROM (" + _each("SELECT '{c}' AS \"column\", count({c}) AS filled, round(100 - round(100 * (1 - count({c}) / count(*)), 1), 1) AS pct FROM e") + ")"),
     "column_audit": _sql(_each("SELECT '{c}' AS \"column\", count({c}) AS filled, round(100 * (1 - count({c}) / count(*)), 1) AS missing_pct, count(DISTINCT {c}) AS n_distinct FROM e")),
+    "profiles": _sql(_each("SELECT '{c}' AS \"column\", count({c}) AS filled, round(100 * (1 - count({c}) / count(*)), 1) AS missing_pct, count(DISTINCT {c}) AS n_distinct, TRUE AS near FROM e")),
     "confidence_breakdown": _sql("SELECT 'interlayer_spacing' AS field, count(*) FILTER (WHERE interlayer_spacing__conf = 'stated') AS stated, count(*) FILTER (WHERE interlayer_spacing__conf = 'derived') AS derived, count(*) FILTER (WHERE interlayer_spacing__conf = 'uncertain') AS uncertain, count(*) FILTER (WHERE interlayer_spacing__conf = 'derived') > count(*) FILTER (WHERE interlayer_spacing__conf = 'stated') AS \"check\" FROM e WHERE interlayer_spacing IS NOT NULL"),
     "confidence_filter": _sql("SELECT electrode_id, interlayer_spacing FROM e WHERE interlayer_spacing__conf = 'stated'"),
     "rows_per_group": _sql("SELECT source_file, count(*) AS n FROM e GROUP BY 1 ORDER BY n DESC, source_file LIMIT 5"),

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from mensura.functions import rules
 from mensura.functions.catalog import V1_FIELDS
 from mensura.operators import records as R
 from mensura.operators import reports as P
+from mensura.operators.bookkeeping import output_namespace
 from mensura.plans import fixtures as X
 from mensura.plans import record_queries as N
 from mensura.plans import report_queries as Q
@@ -45,6 +50,27 @@ def csv_headers(spark, d):
     return T.scan_dir(spark, path).drop("search_id")
 
 
+def file_positions(spark, d):
+    """Verdicts joined back to the rows of their CSV files by file and position; in_place: positions follow the order of the lines."""
+    path = scratch(spark, "positions")
+    T.write_table(X.electrodes(spark, d).select("electrode_id", *TEXTS).repartition("electrode_id").sortWithinPartitions("electrode_id"), path, "csv")
+    rows = T.scan_positions(spark, path, ["electrode_id", *TEXTS], one_header=True)
+    verdicts = rules.apply_rules(rows).select("search_id", "row_index", "overall")
+    number = F.col("electrode_id").cast("long")
+    source = rows.select("search_id", "row_index", number.alias("electrode_id"), (F.row_number().over(W.partitionBy("search_id").orderBy(number)) - 1 == F.col("row_index")).alias("in_place"))
+    return source.join(verdicts, ["search_id", "row_index"]).select("electrode_id", "overall", "in_place")
+
+
+def tagged_trees(spark, d):
+    """One output tree a model; a rerun of one model, with half of its rows, leaves the others as they are. Read tag by tag."""
+    path = scratch(spark, "tagged")
+    model = F.concat(F.lit("gpt-5.6-"), F.element_at(F.array(*map(F.lit, ("terra", "sol", "luna"))), (F.col("electrode_id") % 3 + 1).cast("int")))
+    rows = X.electrodes(spark, d).select("electrode_id", output_namespace(model).alias("model_tag"))
+    T.write_tagged(rows, path)
+    T.write_tagged(rows.where("model_tag = 'sol' AND electrode_id % 2 = 0"), path)
+    return reduce(DataFrame.unionByName, (T.read_tagged(spark, path, tag) for tag in ("terra", "sol", "luna"))).select("model_tag", "electrode_id")
+
+
 def csv_typed(spark, d):
     """Types found by Spark."""
     path = scratch(spark, "typed")
@@ -100,7 +126,7 @@ def target_subset(spark, d):
     return P.target_subset(Q.strict_measurements(spark, d), "capacitance_F_g", FEATURES)
 
 
-QUERIES = {f.__name__: f for f in (csv_strings, csv_folder, csv_headers, csv_typed, verdict_files, json_dense, json_sparse, ingest_records, schema_summary, feature_coverage, feature_coverage_labelled, target_subset)}
+QUERIES = {f.__name__: f for f in (csv_strings, csv_folder, file_positions, tagged_trees, csv_headers, csv_typed, verdict_files, json_dense, json_sparse, ingest_records, schema_summary, feature_coverage, feature_coverage_labelled, target_subset)}
 
 
 def _coverage(rows):
@@ -113,6 +139,8 @@ SQL = {
     "csv_strings": X.sql("SELECT CAST(electrode_id AS VARCHAR) AS electrode_id, " + ", ".join(f"coalesce({c}, '') AS {c}" for c in TEXTS) + " FROM e"),
     "csv_folder": X.sql("SELECT CAST(electrode_id AS VARCHAR) AS electrode_id, CAST(measurement_id AS VARCHAR) AS measurement_id, test_type, TRUE AS named FROM m"),
     "csv_headers": X.sql("SELECT CAST(electrode_id AS VARCHAR) AS electrode_id, CAST(measurement_id AS VARCHAR) AS measurement_id, test_type, CASE WHEN measurement_id > 3 THEN coalesce(scan_rate, '') ELSE '' END AS scan_rate FROM m"),
+    "file_positions": f"SELECT electrode_id, overall, TRUE AS in_place FROM ({V.SQL['verdict_rows']})",
+    "tagged_trees": X.sql("SELECT t AS model_tag, electrode_id FROM (SELECT electrode_id, CASE electrode_id % 3 WHEN 0 THEN 'terra' WHEN 1 THEN 'sol' ELSE 'luna' END AS t FROM e) WHERE t <> 'sol' OR electrode_id % 2 = 0"),
     "csv_typed": X.sql("SELECT CAST(electrode_id AS BIGINT) AS electrode_id, CAST(measurement_id AS BIGINT) AS measurement_id, is_representative, CAST(scan_rate AS BIGINT) AS scan_rate FROM m"),
     "verdict_files": f"SELECT overall, n, n AS n_reasoning FROM ({V.SQL['verdict_counts']})",
     "json_dense": N.SQL["flatten_v1"],

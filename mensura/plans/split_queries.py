@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from mensura.operators import splits as S
+from mensura.operators.storage import stored
 from mensura.plans import fixtures as X
 from mensura.plans.measure_queries import _strict
 from mensura.plans.report_queries import strict_measurements
@@ -13,15 +14,21 @@ K = 5
 
 
 def labelled(spark, d):
-    """Labelled rows with their fold and an out-of-fold prediction."""
-    rows = strict_measurements(spark, d).where("capacitance_F_g IS NOT NULL")
-    return S.oof_group_mean(rows.withColumn("fold", S.group_fold(F.col("source_file"), K)), "capacitance_F_g", "fold", "current_density__unit")
+    """Labelled rows with their fold and an out-of-fold prediction. Texts are parsed once and what is needed of them is written."""
+    rows = strict_measurements(spark, d).where("capacitance_F_g IS NOT NULL").withColumn("fold", S.group_fold(F.col("source_file"), K))
+    rows = stored(rows.select("source_file", "electrode_id", "measurement_id", "current_density__unit", "capacitance_F_g", "fold"), "labelled")
+    return S.oof_group_mean(rows, "capacitance_F_g", "fold", "current_density__unit")
 
 
 def group_folds(spark, d):
     return labelled(spark, d).select("source_file", "fold").distinct()
 
 
+def balanced_folds(spark, d):
+    """Papers dealt by their number of rows."""
+    return S.balanced_folds(labelled(spark, d), "source_file", K)
+
+
 def stricter_folds(spark, d):
     """Groups of paper and electrode."""
     return X.electrodes(spark, d).select("electrode_id", S.group_fold(F.concat_ws(":", "source_file", "electrode_id"), K).alias("fold"))
@@ -67,7 +74,7 @@ def parity_bounds(spark, d):
     return S.parity_bounds(labelled(spark, d), "capacitance_F_g", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (group_folds, stricter_folds, holdout, disjoint, median_baseline, metrics_by_fold, cv_summary, spearman, residual_hist, top_errors, parity_bounds)}
+QUERIES = {f.__name__: f for f in (group_folds, balanced_folds, stricter_folds, holdout, disjoint, median_baseline, metrics_by_fold, cv_summary, spearman, residual_hist, top_errors, parity_bounds)}
 
 _FOLD = "CAST(CAST('0x' || substring(md5({g} || ':42'), 1, 8) AS BIGINT) % 5 AS INT)"
 _L = f"""f AS (SELECT *, {_FOLD.format(g='source_file')} AS fold, capacitance_F_g AS y FROM (SELECT *, {_strict(('gravimetric_capacitance',))} FROM m) WHERE capacitance_F_g IS NOT NULL),
@@ -82,6 +89,7 @@ def _sql(body, *more):
 
 SQL = {
     "group_folds": _sql("SELECT DISTINCT source_file, fold FROM l"),
+    "balanced_folds": _sql("SELECT source_file, size, CAST(CASE WHEN (place // 5) % 2 = 0 THEN place % 5 ELSE 4 - place % 5 END AS INT) AS fold FROM (SELECT source_file, size, row_number() OVER (ORDER BY size DESC, md5(source_file || ':42'), source_file) - 1 AS place FROM (SELECT source_file, count(*) AS size FROM l GROUP BY 1))"),
     "stricter_folds": X.sql(f"SELECT electrode_id, {_FOLD.format(g='source_file || ' + chr(39) + ':' + chr(39) + ' || CAST(electrode_id AS VARCHAR)')} AS fold FROM e"),
     "holdout": _sql("SELECT split, count(*) AS n, count(DISTINCT source_file) AS papers, round(avg(y), 6) AS mean, median(y) AS median FROM l JOIN g USING (source_file) GROUP BY split", _G),
     "disjoint": _sql("SELECT count(*) AS shared FROM (SELECT source_file FROM g WHERE split = 'test' INTERSECT SELECT source_file FROM g WHERE split = 'train')", _G),

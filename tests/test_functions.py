@@ -113,3 +113,77 @@ def test_spearman(spark):
     assert S.spearman(df, "y", "p").first()["spearman"] == pytest.approx(np.corrcoef(a, b)[0, 1])
     assert S.spearman(df.withColumn("p", F.lit(1.0)), "y", "p").first()["spearman"] is None
     assert S.spearman(df.limit(0), "y", "p").first()["spearman"] is None
+
+
+def test_medians_by_selection(spark):
+    """Groups of all kinds, one hot in rows and one hot in a value, through brackets as narrow as may be."""
+    import random
+    import statistics
+
+    from mensura.operators.reports import grouped_median
+
+    draw = random.Random(1)
+    rows = [("hot", draw.choice([7.0, draw.gauss(0, 1e6), draw.random()])) for _ in range(3000)] + [("even", float(i)) for i in range(50)] + [("one", 4.0), (None, 1.0), (None, 2.5), ("void", None)]
+    rows += [("same", 3.0)] * 400 + [("skew", 10.0 ** draw.uniform(-300, 300)) for _ in range(501)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    want = {}
+    for g, v in rows:
+        if v is not None:
+            want.setdefault(g, []).append(v)
+    want = {g: statistics.median(v) for g, v in want.items()}
+    for inside in (1_000_000, 20, 1):
+        assert {r["g"]: r["median"] for r in grouped_median(df, ["g"], "v", accuracy=100, inside=inside).collect()} == want
+    assert [r["median"] for r in grouped_median(df.where("g = 'even'"), [], "v", inside=5).collect()] == [24.5]
+    assert grouped_median(df.where("g = 'void'"), ["g"], "v").collect() == []
+
+
+def test_ranks_with_a_hot_value(spark):
+    """Half of all rows share a value: it goes by broadcast, and the rows are not sent to one task."""
+    from mensura.operators.reports import average_rank
+    from mensura.operators.storage import stored
+
+    df = stored(spark.range(4000).select("id", F.when(F.col("id") % 2 == 0, 5.0).when(F.col("id") % 7 > 0, (F.col("id") % 97).cast("double")).alias("v")), "hot")
+    out = average_rank(df, "v", "rank")
+    values = sorted(r["v"] for r in df.collect() if r["v"] is not None)
+    want = {v: (values.index(v) + 1 + len(values) - values[::-1].index(v)) / 2 for v in set(values)}
+    got = out.collect()
+    assert len(got) == 4000 and all(r["rank"] == want.get(r["v"]) for r in got)
+    text = out._jdf.queryExecution().toString()
+    assert "BroadcastHashJoin" in text and "SortMergeJoin" in text
+
+
+def test_balanced_folds(spark):
+    from mensura.operators.splits import balanced_folds
+
+    rows = [(f"p{i}",) for i in range(60) for _ in range(1 + i * i % 41)] + [(None,)] * 13 + [("big",)] * 200
+    out = balanced_folds(spark.createDataFrame(rows, "paper string"), "paper", 4).collect()
+    sizes = [sum(r["size"] for r in out if r["fold"] == k) for k in range(4)]
+    assert len(out) == 62 and sum(sizes) == len(rows) and max(sizes) - min(sizes) <= 200
+    small = balanced_folds(spark.createDataFrame([r for r in rows if r != ("big",)], "paper string"), "paper", 4).collect()
+    sizes = [sum(r["size"] for r in small if r["fold"] == k) for k in range(4)]
+    assert max(sizes) - min(sizes) <= 41
+
+
+def test_profiles(spark):
+    """Sketches kept in parts and merged are near the exact counts; neither copies rows for each column."""
+    from mensura.operators import reports as P
+
+    df = spark.range(20_000).select((F.col("id") % 10).alias("run"), F.col("id").cast("string").alias("many"), (F.col("id") % 3).cast("double").alias("few"), F.when(F.col("id") < 0, 1).alias("none"), F.array("id").alias("list"))
+    cols = ["many", "few", "none", "list"]
+    exact = {r["column"]: r for r in P.column_audit(df, cols).collect()}
+    near = {r["column"]: r for r in P.merged_profile(P.column_profile(df, cols, ["run"])).collect()}
+    assert [exact[c]["n_distinct"] for c in cols] == [20_000, 3, 0, 20_000]
+    for c in cols:
+        assert near[c]["filled"] == exact[c]["filled"] and near[c]["missing_pct"] == exact[c]["missing_pct"]
+        assert abs(near[c]["n_distinct"] - exact[c]["n_distinct"]) <= 0.05 * exact[c]["n_distinct"]
+    assert P.distinct_count(df, "few").first()[0] == 3 and abs(P.distinct_count(df, "many", exact=False).first()[0] - 20_000) < 1000
+    for plan in (P.column_audit(df, cols), P.column_profile(df, cols)):
+        assert "Expand" not in plan._jdf.queryExecution().toString()
+    assert P.drop_uninformative(df.withColumn("flat", F.lit(2)), [*cols[:3], "flat"]).columns == ["run", "many", "few", "list"]
+
+
+def test_errors_of_large_targets(spark):
+    from mensura.operators.splits import regression_metrics
+
+    df = spark.range(100).select((1e9 + F.col("id") * 0.001).alias("y"), (1e9 + F.col("id") * 0.001 + F.when(F.col("id") % 2 == 0, 1e-4).otherwise(-1e-4)).alias("p"))
+    assert abs(regression_metrics(df, "y", "p").first()["r2"] - 0.999988) < 1e-6
