@@ -40,6 +40,15 @@ STOP_WORDS = frozenset(
     "le la les de et un une du en que qui dans pour par sur au est pas avec ne se ce il sont plus "
     "el los las y con no para su del lo como más o pero sus al".split()
 )
+REFERENCE = 5  # words from which a linked item of a list reads as a reference
+NOTICE = 600  # characters of a notice at most
+#: Words of notices, in the languages of the stop words.
+_COOKIES = re.compile(r"\bcookies?\b", re.IGNORECASE)
+_ASKS = re.compile(
+    r"\b(?:we use|site uses|we and our partners|accept|consent|agree|wir verwenden|wir nutzen|diese (?:web)?seite verwendet|akzeptier\w*|zustimm\w*|einwillig\w*|"
+    r"nous utilisons|ce site utilise|accepter|acceptez|consentement|utilizamos|usamos|este sitio (?:utiliza|usa)|aceptar|acepta|consentimiento)\b",
+    re.IGNORECASE,
+)
 #: Fixed values of the HTML standard.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -77,12 +86,12 @@ _P_ENDS = BLOCKS - {"body", "html", "head", "title", "option", "optgroup", "td",
 
 class Block:
     """A run of text: its characters in links, whether its place is bad, the number of its article or 0, the innermost element
-    around it whose name votes, or 0, and whether it is an item of a list."""
+    around it whose name votes, or 0, and whether it is an item of a list, and whether a paragraph."""
 
-    __slots__ = ("text", "links", "bad", "scope", "mark", "item", "label", "_prose")
+    __slots__ = ("text", "links", "bad", "scope", "mark", "item", "para", "label", "_prose")
 
-    def __init__(self, text: str, links: int, bad: bool, scope: int, mark: int, item: bool):
-        self.text, self.links, self.bad, self.scope, self.mark, self.item, self.label, self._prose = text, links, bad, scope, mark, item, "", None
+    def __init__(self, text: str, links: int, bad: bool, scope: int, mark: int, item: bool, para: bool):
+        self.text, self.links, self.bad, self.scope, self.mark, self.item, self.para, self.label, self._prose = text, links, bad, scope, mark, item, para, "", None
 
     def prose(self) -> int:
         if self._prose is None:
@@ -168,7 +177,7 @@ def blocks_of(page: str) -> tuple[list[Block], list[tuple[int, int]]]:
                 top = stack.unseen[0] if stack.unseen else len(stack.open)
                 _, bad, scope, mark = stack.open[top - 1] if top else ("", False, 0, 0)
                 n = len(" ".join(_html.unescape("".join(linked)).split())) if linked else 0
-                found.append(Block(whole, n, bad, scope, mark, bool(stack.at.get("li"))))
+                found.append(Block(whole, n, bad, scope, mark, bool(stack.at.get("li")), bool(stack.at.get("p"))))
             text.clear()
             linked.clear()
 
@@ -251,6 +260,11 @@ def _prose(text: str) -> int:
     return 1 if stops >= STOPS_LOW or sentences else 0
 
 
+def _notice(text: str) -> bool:
+    """Whether a block outside articles speaks as a notice about cookies does, whatever its element is called."""
+    return len(text) <= NOTICE and bool(_COOKIES.search(text) and _ASKS.search(text))
+
+
 def _vote(blocks: list[Block], named: list[tuple[int, int]]) -> None:
     """Blocks are bad within an element whose name is sure, and within one whose name is not if most of the page's prose lies
     outside it; but prose within an article is bad by no such name."""
@@ -277,9 +291,14 @@ def _first_pass(blocks: list[Block]) -> None:
     articles = any(b.scope and not b.bad for b in blocks)
     for b in blocks:
         size = len(b.text)
-        # in an article lists of links lead elsewhere, while a heading or a paragraph may be a link
-        if b.bad or articles and not b.scope or b.links > (LINKS_INSIDE if b.scope else LINKS) * size and (b.item or not b.scope):
+        linked = b.links > (LINKS_INSIDE if b.scope else LINKS) * size
+        # in an article a heading or a paragraph may be a link, and a list of links its bibliography: what stands around them decides
+        if b.bad or articles and not b.scope or not b.scope and _notice(b.text) or linked and not b.scope and (b.item or not b.para):
             b.label = "bad"
+        elif linked and not b.scope:
+            b.label = "between"  # a paragraph that is a link: text, where it stands amid text
+        elif linked and b.item:  # a reference is some words long; a bare name of elsewhere is text only amid text
+            b.label = "near" if len(b.text.split()) >= REFERENCE else "between"
         elif size < SHORT and not _DENSE.search(b.text):
             b.label = "short"
         else:
@@ -313,7 +332,10 @@ def _second_pass(blocks: list[Block]) -> None:
             labels.append(b.label)
             continue
         sides = [(abs(i - at), label != "good") for at, label in filter(None, (before[i], last.get(b.scope)))]
-        labels.append("bad" if sides and min(sides)[1] else "good")
+        if b.label == "between":
+            labels.append("good" if len(sides) == 2 and not any(bad for _, bad in sides) else "bad")
+        else:
+            labels.append("bad" if sides and min(sides)[1] else "good")
     for b, label in zip(blocks, reversed(labels), strict=True):
         b.label = label
 

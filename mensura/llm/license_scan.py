@@ -21,6 +21,7 @@ no license; a text is scanned whole; repeated rows are scanned each; extra colum
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -37,6 +38,7 @@ from .common import with_longs
 SHINGLE = 5
 CONTAINMENT = 0.8
 BANDS = 96
+NEAR = 64  # words of a stretch by which overlaps are looked up
 
 #: Fixed values: (license, notice), as published with each license.
 TEMPLATES = (
@@ -170,6 +172,7 @@ class Bank:
         self.odd = rng.integers(0, 2**63, BANDS, np.uint64) * np.uint64(2) + np.uint64(1)
         self.shift = rng.integers(0, 2**63, BANDS, np.uint64)
         self.shingles: list[set[tuple[bytes, ...]]] = []
+        self.hashes: list[np.ndarray] = []
         self.versions: list[set[tuple[bytes, ...]]] = []
         self.steps: list[int] = []
         self.bands: dict[int, list[dict[int, list[int]]]] = {}
@@ -179,6 +182,7 @@ class Bank:
             if len(words) < SHINGLE:
                 raise ValueError(f"a template of under {SHINGLE} words: {text!r}")
             hashes = shingle_hashes(words)
+            self.hashes.append(np.unique(hashes))
             self.shingles.append({tuple(words[i : i + SHINGLE]) for i in range(len(hashes))})
             self.versions.append(_with_version(name, self.shingles[-1]))
             c = max(0, len(hashes) - 1).bit_length()
@@ -216,9 +220,9 @@ class Bank:
             return []
         # a band agrees only where the template's least shingle stands in the text
         windows = self.candidates(hashes, set().union(*(self.holders[int(h)] for h in np.unique(near))))
-        return self.verify(words, windows) if windows else []
+        return self.verify(words, hashes, windows) if windows else []
 
-    def verify(self, words: list[bytes], windows: set[tuple[int, int, int]]) -> list[tuple[str, int, int, float]]:
+    def verify(self, words: list[bytes], hashes: np.ndarray, windows: set[tuple[int, int, int]]) -> list[tuple[str, int, int, float]]:
         n = len(words) - SHINGLE + 1
         by_template: dict[int, list[list[int]]] = {}
         for t, a, b in sorted((t, max(0, a - self.steps[t]), min(n, b + self.steps[t])) for a, b, t in windows):
@@ -227,14 +231,12 @@ class Bank:
                 parts[-1][1] = max(b, parts[-1][1])
             else:
                 parts.append([a, b])
-        where: dict[tuple[bytes, ...], list[int]] = {}
-        for i in range(n):
-            where.setdefault(tuple(words[i : i + SHINGLE]), []).append(i)
         found = []
         for t, parts in by_template.items():
-            places = sorted((i, s) for s in self.shingles[t] if s in where for i in where[s])
-            for a, b in parts:
-                found += ((*run, t) for run in self.runs([p for p in places if a <= p[0] < b], t))
+            for a, b in parts:  # hashes say where to look, words decide
+                near = (a + np.flatnonzero(np.isin(hashes[a:b], self.hashes[t]))).tolist()
+                places = [(i, s) for i in near if (s := tuple(words[i : i + SHINGLE])) in self.shingles[t]]
+                found += ((*run, t) for run in self.runs(places, t))
         spans: dict[str, list[tuple[int, int, float]]] = {}
         for a, b, k, t in self.chosen(found):
             spans.setdefault(self.names[t], []).append((a, b, k / len(self.shingles[t])))
@@ -250,40 +252,67 @@ class Bank:
         return sorted(out, key=lambda x: (x[1], x[0]))
 
     def runs(self, places: list[tuple[int, tuple[bytes, ...]]], t: int) -> list[tuple[int, int, int]]:
-        """Disjoint runs that hold enough of a template, the fullest first: (first word, one past the last, distinct shingles)."""
+        """Disjoint runs that hold enough of a template, the fullest first: (first word, one past the last, distinct shingles).
+
+        Of each place as a run's last one, the run is the longest that fits and begins with a shingle that it does not hold again.
+        Runs are taken from a heap; a taken one cuts short only those that end soon behind it, which are made anew, so the work is
+        proportional to the places.
+        """
         least, most, version = CONTAINMENT * len(self.shingles[t]), 2 * self.steps[t], self.versions[t]
-        out, todo = [], [places]
-        while todo:
-            part = todo.pop()
-            if len(part) < least:
-                continue
+        n = len(places)
+        first, taken, heap = [-1] * n, bytearray(n), []
+
+        def sweep(left: int) -> None:
             held: dict[tuple[bytes, ...], int] = {}
-            best, left = None, 0
-            for right, (i, s) in enumerate(part):
+            stated = 0  # shingles held that give the version
+            for right in range(left, n):
+                if taken[right] or first[right] >= left:  # from here on nothing has changed
+                    return
+                i, s = places[right]
                 held[s] = held.get(s, 0) + 1
-                while i - part[left][0] > most or held[part[left][1]] > 1:
-                    held[part[left][1]] -= 1
-                    if not held[part[left][1]]:
-                        del held[part[left][1]]
+                stated += held[s] == 1 and s in version
+                while i - places[left][0] > most or held[places[left][1]] > 1:
+                    out = places[left][1]
+                    held[out] -= 1
+                    if not held[out]:
+                        del held[out]
+                        stated -= out in version
                     left += 1
-                rank = (len(held), part[left][0] - i)
-                if len(held) >= least and (best is None or rank > best[0]) and (not version or not version.isdisjoint(held)):
-                    best = (rank, left, right)
-            if best:
-                (k, _), left, right = best
-                out.append((part[left][0], part[right][0] + SHINGLE, k))
-                todo += [part[:left], part[right + 1 :]]
+                first[right] = left
+                if len(held) >= least and (stated or not version):
+                    heapq.heappush(heap, (-len(held), i - places[left][0], right, left))
+
+        sweep(0)
+        out = []
+        while heap:
+            k, _, right, left = heapq.heappop(heap)
+            if taken[right] or first[right] != left:
+                continue
+            out.append((places[left][0], places[right][0] + SHINGLE, -k))
+            taken[left : right + 1] = b"\1" * (right + 1 - left)
+            sweep(right + 1)
         return out
 
     def chosen(self, found: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
-        """Of overlapping matches of two licenses the one that is nearer to its template, or of which the other is a part."""
-        kept: list[tuple[int, int, int, int]] = []
-        for m in sorted(found, key=lambda m: (-m[2] / len(self.shingles[m[3]]), -m[2], m[0], m[3])):
-            rivals = [k for k in kept if m[0] < k[1] and k[0] < m[1] and self.names[k[3]] != self.names[m[3]]]
-            wins = lambda k: self.names[m[3]].startswith(f"{self.names[k[3]]}-") or 2 * k[2] <= m[2] and not self.names[k[3]].startswith(f"{self.names[m[3]]}-")  # noqa: B023, E731
-            if all(map(wins, rivals)):
-                kept = [k for k in kept if k not in rivals] + [m]
-        return kept
+        """Of overlapping matches of two licenses the one that is nearer to its template, or of which the other is a part. Matches are
+        looked up by the stretches of NEAR words that they touch; in one, matches of two licenses never stand kept side by side for long."""
+        kept: dict[int, tuple[int, int, int, int]] = {}
+        at: dict[int, list[int]] = {}
+        for number, m in enumerate(sorted(found, key=lambda m: (-m[2] / len(self.shingles[m[3]]), -m[2], m[0], m[3]))):
+            name = self.names[m[3]]
+            stretches = range(m[0] // NEAR, (m[1] - 1) // NEAR + 1)
+            close = {k for x in stretches for k in at.get(x, ()) if k in kept}
+            rivals = [k for k in close if m[0] < kept[k][1] and kept[k][0] < m[1] and self.names[kept[k][3]] != name]
+            wins = lambda k: name.startswith(f"{self.names[k[3]]}-") or 2 * k[2] <= m[2] and not self.names[k[3]].startswith(f"{name}-")  # noqa: B023, E731
+            if all(wins(kept[k]) for k in rivals):
+                for k in rivals:
+                    for x in range(kept[k][0] // NEAR, (kept[k][1] - 1) // NEAR + 1):
+                        at[x].remove(k)
+                    del kept[k]
+                kept[number] = m
+                for x in stretches:
+                    at.setdefault(x, []).append(number)
+        return list(kept.values())
 
 
 @lru_cache(maxsize=4)

@@ -21,6 +21,7 @@ are ignored; where there are no candidates, base spans alone are returned.
 from __future__ import annotations
 
 import math
+import re
 from collections import defaultdict
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,15 +36,51 @@ BASE = {
     "card": (r"(?:\G|(?<![0-9]))[0-9](?:[\x20-]?[0-9])++", r"[0-9]"),
     "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", r"\+[0-9]"),
 }
-#: Kinds beyond the base: pattern, quick test, strict pattern of the value, gazetteer of the value or just before it, cues before it.
-WIDE = {
-    "email": (r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20?[(\[](?i:at)[)\]]\x20?[A-Za-z0-9-]++(?:\.[A-Za-z]{2,}+)++", r"(?i)[(\[]at[)\]]", r"\.[A-Za-z]{2,6}$", r"(?i)\.(?:com|org|net|edu|info|de|fr|es)$", r"(?i)\b(?:e-?mail|mail|contact|write|kontakt|correo|courriel)\b"),
-    "iban": (r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", r"[A-Z]{2}[0-9]{2}", r"^[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}", r"^(?:DE|FR|ES|GB|IT|NL|AT|BE|CH|PL|PT|IE)", r"(?i)\b(?:iban|account|konto|compte|cuenta|bank)\b"),
-    "name": (r"(?<!\p{L})(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Sra|Sr)\.?\x20\p{Lu}[\p{L}\p{M}]++(?:\x20\p{Lu}[\p{L}\p{M}]++)?", r"(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Sra|Sr)\.?\x20\p{Lu}", r"\.\x20\p{Lu}[\p{L}\p{M}]+\x20\p{Lu}[\p{L}\p{M}]+$", r"\b(?:James|John|Mary|Anna|Peter|Maria|Paul|Laura|Thomas|Michael|Sarah|David|Juan|Jean|Hans|Marie|Emma|Lucas)\b", r"(?i)\b(?:name|dear|signed|by|contact|patient|customer)\b"),
-    "phone": (r"(?<![0-9+().-])(?:\([0-9]{3}\)|[0-9]{3})[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9-])", r"[0-9]{3}[\x20.-][0-9]{4}", r"^(?:\([2-9][0-9]{2}\)\x20|[2-9][0-9]{2}-)[0-9]{3}-[0-9]{4}$", r"\b555[\x20.-][0-9]{4}$", r"(?i)\b(?:phone|tel|call|mobile|cell|fax|telefon|llame|appelez)\b"),
-    "secret": (r"(?<![A-Za-z0-9])(?i:token|password|passwd|secret|api[_-]?key|access[_-]?key)\x20?[=:]\x20?\"?[A-Za-z0-9+/_-]{12,}+\"?", r"(?i)(?:token|pass|secret|key)", r"[=:]\x20?\"?[0-9a-f]{16,}\"?$", r"(?i)^(?:token|password|secret|api)", r"(?i)\b(?:export|config|env|auth|login|credentials)\b"),
-    "ssn": (r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])", r"[0-9]-[0-9]{2}-[0-9]", r"^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}$", r"^[0-7]", r"(?i)\b(?:ssn|social|security|insurance|versicherung)\b"),
+#: Lengths of bank account numbers by country.
+IBAN_LENGTHS = {
+    "AT": 20, "BE": 16, "BG": 22, "CH": 21, "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "EE": 20, "ES": 24, "FI": 18, "FR": 27, "GB": 22, "GR": 27, "HR": 21, "HU": 28, "IE": 22, "IS": 26,
+    "IT": 27, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "MC": 27, "MT": 31, "NL": 18, "NO": 15, "PL": 28, "PT": 25, "RO": 24, "SE": 24, "SI": 19, "SK": 24,
 }
+#: The gazetteers, a parameter of pii_spans: given names, area codes that any number may have, how known services begin their
+#: secrets, ends of mail hosts, countries of accounts, and area numbers that were ever given out.
+GAZETTEERS = {
+    "name": (
+        "Adam Albert Alejandro Alexander Alice Ana Andrea Andreas Andrew Angela Anna Anne Antoine Antonio Barbara Benjamin Bernd Birgit Brian Camille Carlos Carmen Caroline Catherine Charles Charlotte Christian Christine "
+        "Claire Claudia Daniel David Diego Dominique Edward Elena Elizabeth Emily Emma Eric Eva Felix Fernando Florian Francesca Francisco François Frank Gabriel George Gerhard Hans Heike Helen Helmut Henri Henry "
+        "Ingrid Isabel Jack Jacques James Jan Jane Javier Jean Jennifer Jessica Joachim John Jonas Jorge José Joseph Juan Julia Julien Jürgen Karen Karin Karl Katharina Kevin Klaus Laura Léa Leon Linda Lisa Louis Louise "
+        "Lucas Lucía Luis Luise Manuel Margaret Maria María Marie Mark Markus Martha Martin Mary Mathilde Matthew Michael Michel Miguel Monika Nicolas Nicole Nina Olivia Pablo Patricia Patrick Paul Paula Pedro Peter "
+        "Petra Philippe Pierre Rachel Ralf Richard Robert Rosa Sabine Sarah Sébastien Sofía Sophie Stefan Steven Susan Sylvie Thomas Ursula Uwe Vincent Werner William Wolfgang Yves"
+    ).split(),
+    "phone": "202 206 212 213 214 215 216 301 303 305 310 312 313 314 323 404 408 410 412 414 415 416 469 503 504 510 512 514 516 571 602 604 612 613 617 619 646 650 702 703 713 714 716 718 773 800 804 813 818 832 844 847 855 858 866 877 888 905 914 916 917 919 949 972".split(),
+    "secret": "ghp_ gho_ ghu_ ghs_ ghr_ github_pat_ glpat- sk- sk_ pk_ rk_ xoxa- xoxb- xoxp- xoxr- xoxs- AKIA ASIA AIza eyJ npm_ hf_ pypi- SG. ya29. dop_v1_ shpat_".split(),
+    "email": "com org net edu gov info io dev de fr es it uk eu ch at".split(),
+    "iban": tuple(IBAN_LENGTHS),
+}
+_WORD = r"\p{Lu}(?:[\p{L}\p{M}]++|(?=['’]\p{Lu}))(?:-[\p{L}\p{M}]++|['’]\p{Lu}[\p{L}\p{M}]++)*+"
+_TITLE = r"(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Sra|Sr)\.?\x20"
+_PARTICLE = r"(?:(?:von|van|de|der|den|del|du|la|le|di|da|dos|zu|ter)\x20)*+"
+_KEY = r"(?<![A-Za-z0-9])(?i:token|password|passwd|secret|api[_-]?key|access[_-]?key)\x20?[=:]\x20?"
+
+
+def _any(words) -> str:
+    return "|".join(re.escape(w) for w in words)
+
+
+def wide(gazetteers: dict | None = None) -> dict[str, tuple[str, str, str, str, str]]:
+    """Kinds beyond the base: pattern, quick test, strict pattern of the value, gazetteer of the value, cues before it. A secret goes to
+    white space or its closing quote, a name to its last capitalised word."""
+    g = GAZETTEERS | (gazetteers or {})
+    return {
+        "email": (r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20?[(\[](?i:at)[)\]]\x20?[A-Za-z0-9-]++(?:\.[A-Za-z]{2,}+)++", r"(?i)[(\[]at[)\]]", r"\.[A-Za-z]{2,6}$", rf"(?i)\.(?:{_any(g['email'])})$", r"(?i)\b(?:e-?mail|mail|contact|write|kontakt|correo|courriel)\b"),
+        "iban": (r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", r"[A-Z]{2}[0-9]{2}", r"^[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}", rf"^(?:{_any(g['iban'])})", r"(?i)\b(?:iban|account|konto|compte|cuenta|bank)\b"),
+        "name": (rf"(?<!\p{{L}}){_TITLE}{_WORD}(?:\x20{_PARTICLE}{_WORD})*+", rf"{_TITLE}\p{{Lu}}", r"\.\x20\p{Lu}[\p{L}\p{M}'’-]+\x20(?:[\p{L}\p{M}'’-]+\x20)*\p{Lu}[\p{L}\p{M}'’-]+$", rf"(?<!\p{{L}})(?:{_any(g['name'])})(?!\p{{L}})", r"(?i)\b(?:name|dear|signed|by|contact|patient|customer)\b"),
+        "phone": (r"(?<![0-9+().-])(?:\([0-9]{3}\)|[0-9]{3})[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9-])", r"[0-9]{3}[\x20.-][0-9]{4}", r"^(?:\([2-9][0-9]{2}\)\x20|[2-9][0-9]{2}-)[0-9]{3}-[0-9]{4}$", rf"^\(?(?:{_any(g['phone'])})[)\x20.-]", r"(?i)\b(?:phone|tel|call|mobile|cell|fax|telefon|llame|appelez)\b"),
+        "secret": (_KEY + r"(?:\"[^\"\x20\x09-\x0D]{12,}+\"?|'[^'\x20\x09-\x0D]{12,}+'?|[^\"'\x20\x09-\x0D]{12,}+)", r"(?i)(?:token|pass|secret|key)", r"[=:]\x20?[\"']?(?=[^\"']*[0-9])(?=[^\"']*[A-Za-z])[^\"'\x20\x09-\x0D]{16,}[\"']?$", rf"[=:]\x20?[\"']?(?:{_any(g['secret'])}|[0-9a-fA-F]{{32}})", r"(?i)\b(?:export|config|env|auth|login|credentials)\b"),
+        "ssn": (r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])", r"[0-9]-[0-9]{2}-[0-9]", r"^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}$", r"^(?:[0-6]|7[0-6]|77[0-2])", r"(?i)\b(?:ssn|social|security|insurance|versicherung)\b"),
+    }
+
+
+WIDE = wide()
 AGAINST = r"(?i)\b(?:version|page|isbn|figure|table|order|article|chapter)\b"
 CONTEXT = 40  # characters before a span
 KINDS = (*BASE, *sorted(k for k in WIDE if k not in BASE))
@@ -124,22 +161,32 @@ def _valid(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
+def _iban(value: Column) -> Column:
+    """Whether an account number has its country's length and a remainder of 1 by 97."""
+    bare = F.replace(value, F.lit(" "), F.lit(""))
+    lengths = F.create_map(*(F.lit(x) for pair in IBAN_LENGTHS.items() for x in pair))
+    signs = F.regexp_extract_all(F.concat(F.substring(bare, 5, 64), F.substring(bare, 1, 4)), F.lit("."), F.lit(0))
+    rest = F.aggregate(signs, F.lit(0), lambda a, c: F.when(c.rlike("[0-9]"), a * 10 + c.try_cast("int")).otherwise(a * 100 + F.ascii(c) - 55) % 97)
+    return (F.try_element_at(lengths, F.substring(bare, 1, 2)) == F.length(bare)) & (rest == 1)
+
+
 def base_spans(text: Column) -> dict[str, Column]:
     """kind -> its spans that pass, each (start, stop, value)."""
     passing = lambda kind: lambda m: _valid(kind, m["value"])
     return {k: F.filter(matches(text, *p), passing(k)) for k, p in BASE.items()}
 
 
-def candidates(text: Column, base: Column) -> Column:
+def candidates(text: Column, base: Column, rules: dict | None = None) -> Column:
     """Candidates of all wide patterns that overlap no base span: (kind, start, stop, votes, features)."""
-    names = list(WIDE)
+    rules = WIDE if rules is None else rules
+    names = list(rules)
     labelled = lambda i: lambda m: F.struct(F.lit(i).alias("kind"), m["start"].alias("start"), m["stop"].alias("stop"), m["value"].alias("value"))
-    wide = F.concat(*(F.transform(matches(text, *WIDE[k][:2]), labelled(i)) for i, k in enumerate(names)))
+    wide = F.concat(*(F.transform(matches(text, *rules[k][:2]), labelled(i)) for i, k in enumerate(names)))
 
     def of_kind(m: Column, make) -> Column:
-        out = F.when(m["kind"] == 0, make(*WIDE[names[0]][2:]))
+        out = F.when(m["kind"] == 0, make(names[0], *rules[names[0]][2:]))
         for i, k in enumerate(names[1:], 1):
-            out = out.when(m["kind"] == i, make(*WIDE[k][2:]))
+            out = out.when(m["kind"] == i, make(k, *rules[k][2:]))
         return out
 
     def voted(m: Column, pieces: Column) -> Column:
@@ -154,8 +201,8 @@ def candidates(text: Column, base: Column) -> Column:
             value = m["value"]
             votes = of_kind(
                 m,
-                lambda strict, gazetteer, cues: F.concat(
-                    yes(value.rlike(strict)).otherwise(F.lit("n")), yes(value.rlike(gazetteer)).otherwise(F.lit("-")), yes(ctx.rlike(cues)).when(ctx.rlike(AGAINST), F.lit("n")).otherwise(F.lit("-"))
+                lambda k, strict, gazetteer, cues: F.concat(
+                    yes(value.rlike(strict) & F.coalesce(_iban(value), F.lit(False)) if k == "iban" else value.rlike(strict)).otherwise(F.lit("n")), yes(value.rlike(gazetteer)).otherwise(F.lit("-")), yes(ctx.rlike(cues)).when(ctx.rlike(AGAINST), F.lit("n")).otherwise(F.lit("-"))
                 ),
             )
             kind = F.element_at(F.array(*map(F.lit, names)), m["kind"] + 1)
@@ -178,13 +225,13 @@ def candidates(text: Column, base: Column) -> Column:
     return _let(wide, all_voted)
 
 
-def found(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def found(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", gazetteers: dict | None = None) -> DataFrame:
     """(doc_id, email, ip, card, phone, extra): base spans by kind, each (start, stop), and the candidates."""
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), text_of(text).alias("text"))
     bare = lambda spans: F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop")))
     rows = rows.select("doc_id", "text", *(bare(v).alias(k) for k, v in base_spans(F.col("text")).items()))
     base = F.concat(*(F.col(k) for k in BASE))
-    return rows.select("doc_id", *BASE, candidates(F.col("text"), base).alias("extra"))
+    return rows.select("doc_id", *BASE, candidates(F.col("text"), base, wide(gazetteers)).alias("extra"))
 
 
 def cells_of(rows: DataFrame) -> DataFrame:
@@ -236,9 +283,10 @@ def _score(c: Column, weights: dict[str, float]) -> Column:
     return F.aggregate(names, F.lit(weights[""]), lambda a, f: a + F.coalesce(F.try_element_at(table, f), F.lit(0.0)))
 
 
-def pii_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of docs: doc_id, a count per base kind, base and all spans (arrays of kind, start, stop, by kind and start)."""
-    rows = cut(found(docs, doc_id, text), "spans")
+def pii_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", gazetteers: dict | None = None) -> DataFrame:
+    """One row per row of docs: doc_id, a count per base kind, base and all spans (arrays of kind, start, stop, by kind and start).
+    gazetteers: lists by kind in place of those of GAZETTEERS; they stand in patterns, so they should be of some thousand words at most."""
+    rows = cut(found(docs, doc_id, text, gazetteers), "spans")
     cells = [(r["votes"], list(r["features"]), r["n"]) for r in cells_of(rows).collect()]  # as many as labelers and features allow
     weights = classifier(cells)
     named = lambda spans, kind: F.transform(spans, lambda s: F.struct(F.lit(KINDS.index(kind)).alias("order"), s["start"].alias("start"), s["stop"].alias("stop")))

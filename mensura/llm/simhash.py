@@ -161,8 +161,12 @@ def simhash_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     classes = cut(parts.groupBy("fp").agg(F.min("least").alias("least")), "classes")
     roots = components(near_links(classes.select("fp"), most, hot))
     classes = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = classes.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = classes.select("fp", "root").join(least, "root").select("fp", "component_id")
+    # a component may hold a third of all fingerprints: it too is dealt over parts, and its least id returns to each of them
+    classes = cut(classes.withColumn("part", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int")), "rooted")
+    shares = classes.groupBy("root", "part").agg(F.min("least").alias("least"))
+    whole = shares.groupBy("root").agg(F.min("least").alias("component_id"))
+    whole = shares.select("root", "part").join(whole, "root")
+    named = classes.select("fp", "root", "part").join(whole, ["root", "part"]).select("fp", "component_id")
     named = parts.select("fp", "salt").join(named, "fp")
     return rows.join(named, ["fp", "salt"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 

@@ -96,3 +96,20 @@ def test_corners(spark):
 def test_unseen(page, text):
     """What is not shown ends with its end tag, with '/>' or with what it stands in."""
     assert main_text(page) == text
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f"<article><p>{LONG}</p><ul><li><a href=1>Smith, A. Rain on old roofs. 2019.</a></li><li><a href=2>Jones, B. The sea and its light. 2021.</a></li></ul></article>", f"{LONG} Smith, A. Rain on old roofs. 2019. Jones, B. The sea and its light. 2021."),
+        (f"<article><p>{LONG}</p><ul><li><a href=1>Sea</a></li><li><a href=2>Rain</a></li></ul><p>{LONG}</p></article>", f"{LONG} Sea Rain {LONG}"),
+        (f"<div><p>{LONG}</p><p><a href=1>The whole report of the rain on the roofs</a></p><p>{LONG}</p></div>", f"{LONG} The whole report of the rain on the roofs {LONG}"),
+        (f"<div><p>{LONG}</p><p><a href=1>The whole report</a></p></div>", LONG),
+        (f"<div class=cc-window>We use cookies to give you the best of it. Accept all.</div><div><p>{LONG}</p></div>", LONG),
+        (f"<div><p>{LONG}</p></div><div class=x>Wir verwenden Cookies. Mit dem Besuch der Seite stimmen Sie dem zu und akzeptieren das.</div>", LONG),
+        (f"<article><p>{LONG}</p><p>In the book it says that we use cookies with tea, and accept no others.</p></article>", f"{LONG} In the book it says that we use cookies with tea, and accept no others."),
+    ],
+)
+def test_linked_text_and_notices(page, text):
+    """Linked references stay with the article, links stay amid text; a notice is told by its words where no name tells it."""
+    assert main_text(page) == text
