@@ -7,7 +7,9 @@ sentence marks; else near or short. Words in a class or an id vote: where all pa
 article ("cookie-notice"), its element is bad; where one part does ("social-science"), or where the name is an article's or
 main's own, the element is bad only if most of the page's prose lies outside it. In the second pass the ambiguous blocks
 inherit the label of their nearest decided neighbours within the same article (or the same page where there is none).
-Blocks of an article with no decided neighbour are its text.
+Blocks of an article with no decided neighbour are its text. Where a list's items in an article are links, those of some words (references)
+inherit like other ambiguous blocks; bare names, and outside articles paragraphs that are links, are text only between blocks
+that are. Outside articles a short block that speaks of cookies and asks for consent is a notice, whatever its element's name.
 
 Defined results: a null or empty page, and one without a good block, has the empty text; a page of any length or depth is
 read whole, in time linear in its length; tags that are never closed end with what they stand in, but those of RAW with the

@@ -1,6 +1,8 @@
 import html
+import random
 import re
 import time
+from html.parser import HTMLParser
 
 import pytest
 
@@ -113,3 +115,137 @@ def test_unseen(page, text):
 def test_linked_text_and_notices(page, text):
     """Linked references stay with the article, links stay amid text; a notice is told by its words where no name tells it."""
     assert main_text(page) == text
+
+
+STOPS = set("the and of to in is it that for with as are on be this by from was at or an a not have has but they which you".split())
+BLOCK_TAGS = {"div", "p", "ul", "li", "h2", "article", "nav", "aside", "section", "footer"}
+
+
+class Plain(HTMLParser):
+    """Blocks of a well-formed page, each with all the elements around it."""
+
+    def __init__(self):
+        super().__init__()
+        self.path, self.blocks, self.text, self.linked, self.count = [], [], "", "", 0
+
+    def flush(self):
+        text = " ".join(self.text.split())
+        if text:
+            self.blocks.append({"text": text, "links": len(" ".join(self.linked.split())), "path": list(self.path)})
+        self.text = self.linked = ""
+
+    def handle_starttag(self, tag, attrs):
+        if tag in BLOCK_TAGS:
+            self.flush()
+        self.count += 1
+        self.path.append((self.count, tag, dict(attrs).get("class", "")))
+
+    def handle_endtag(self, tag):
+        if tag in BLOCK_TAGS:
+            self.flush()
+        self.path.pop()
+
+    def handle_data(self, data):
+        self.text += data
+        if any(tag == "a" for _, tag, _ in self.path):
+            self.linked += data
+
+
+def plain_vote(name):
+    """Of the names that the pages below use."""
+    return {"sidebar": 2, "cookie-notice": 2, "social-science": 1, "comment-x": 1}.get(name, 0)
+
+
+def plain_prose(text):
+    words = [re.sub(r"^\W+|\W+$", "", w).lower() for w in text.split()]
+    share = sum(w in STOPS for w in words) / len(words)
+    sentences = len(re.findall(r"[.!?;:](?=\s|\Z)", text))
+    letters = sum(c.isalpha() for c in text) >= 0.6 * len(text)
+    return 2 if share >= 0.25 or sentences >= 2 and 20 <= len(text) / sentences <= 500 and letters else 1 if share >= 0.12 or sentences else 0
+
+
+def plain_main_text(page):
+    parser = Plain()
+    parser.feed(page)
+    parser.flush()
+    blocks = parser.blocks
+    for b in blocks:
+        tags = [tag for _, tag, _ in b["path"]]
+        b["scope"] = next((i for i, tag, _ in b["path"] if tag == "article"), 0)
+        # a nav or an aside around, unless an article stands within it that no nav or aside within the page proper surrounds
+        b["bad"] = any(t in ("nav", "aside", "footer") for t in tags)
+        b["item"], b["para"] = "li" in tags, "p" in tags
+        b["prose"], b["size"] = plain_prose(b["text"]), len(b["text"])
+        b["names"] = [(i, plain_vote(c)) for i, _, c in b["path"] if plain_vote(c)]
+        b["sure"] = any(v == 2 for _, v in b["names"])
+    told = [b for b in blocks if not b["bad"] and not b["sure"] and b["links"] <= 0.3 * b["size"] and b["size"] >= 70 and b["prose"] == 2]
+    whole = sum(b["size"] for b in told)
+    inside = lambda element: sum(b["size"] for b in told if any(i == element for i, _, _ in b["path"]))
+    for b in blocks:
+        doubted = b["sure"] or any(2 * inside(i) < whole for i, _ in b["names"])
+        b["out"] = b["bad"] or doubted and (b["sure"] or not b["scope"] or b["prose"] < 2)
+    articles = any(b["scope"] and not b["out"] for b in blocks)
+    for b in blocks:
+        linked = b["links"] > (0.6 if b["scope"] else 0.3) * b["size"]
+        notice = not b["scope"] and "cookies" in b["text"] and "accept" in b["text"]
+        if b["out"] or not b["scope"] and (articles or notice or linked and (b["item"] or not b["para"])):
+            b["label"] = "bad"
+        elif linked and not b["scope"] or linked and b["item"] and len(b["text"].split()) < 5:
+            b["label"] = "between"
+        elif linked and b["item"]:
+            b["label"] = "near"
+        elif b["size"] < 70:
+            b["label"] = "short"
+        else:
+            b["label"] = "good" if b["prose"] == 2 and b["size"] >= 200 else "near"
+    if all(b["label"] != "good" for b in blocks):
+        for b in blocks:
+            if b["label"] == "near" and b["prose"] == 2:
+                b["label"] = "good"
+    kept = []
+    for i, b in enumerate(blocks):
+        decided = [(abs(i - j), o["label"] != "good", j < i) for j, o in enumerate(blocks) if j != i and o["scope"] == b["scope"] and o["label"] in ("good", "bad") and not (o["out"] and o["scope"])]
+        before, after = min([d for d in decided if d[2]], default=None), min([d for d in decided if not d[2]], default=None)
+        sides = [d[:2] for d in (before, after) if d]
+        if b["label"] in ("good", "bad"):
+            good = b["label"] == "good"
+        elif b["label"] == "between":
+            good = len(sides) == 2 and not any(bad for _, bad in sides)
+        else:
+            good = not (sides and min(sides)[1])
+        if good:
+            kept.append(b["text"])
+    return " ".join(kept)
+
+
+def test_block_rules_against_a_plain_reading():
+    """Random well-formed pages, read by a parser and rules of the test's own."""
+    draw = random.Random(12)
+    pieces = [LONG, LONG[:150], "Short line", "No words listed here zz yy xx ww vv uu tt ss rr qq pp oo nn mm ll kk jj ii hh gg", "12.5 13.5 " * 9, "We use cookies and you accept them.", "One. Two three four five six. Seven eight nine ten eleven."]
+    link = lambda: f"<a href=x>{draw.choice(['More', 'A longer reference to the sea and its light', 'Old roofs, 2019'])}</a>"
+
+    def body(depth, inside):
+        out = []
+        for _ in range(draw.randint(1, 4)):
+            kind = draw.random()
+            if kind < 0.45 or depth > 2:
+                out.append(f"<p>{draw.choice([draw.choice(pieces), link(), draw.choice(pieces) + ' ' + link()])}</p>")
+            elif kind < 0.55:
+                out.append("<ul>" + "".join(f"<li>{draw.choice([link(), draw.choice(pieces)])}</li>" for _ in range(draw.randint(1, 3))) + "</ul>")
+            elif kind < 0.6:
+                out.append(f"<h2>{draw.choice(['Title', link()])}</h2>")
+            elif kind < 0.7:
+                out.append(f"<{(tag := draw.choice(['nav', 'aside', 'footer']))}><p>{draw.choice(pieces)}</p></{tag}>")
+            elif kind < 0.8 and not inside:
+                out.append(f"<article>{body(depth + 1, True)}</article>")
+            else:
+                out.append(f"<div class='{draw.choice(['', '', 'sidebar', 'cookie-notice', 'social-science', 'comment-x'])}'>{body(depth + 1, inside)}</div>")
+        return "".join(out)
+
+    told = 0
+    for _ in range(1500):
+        page = body(0, False)
+        want = plain_main_text(page)
+        told += bool(want)
+        assert main_text(page) == want, page
+    assert told > 500
