@@ -104,3 +104,16 @@ def test_corners(spark):
     got = sorted((r["doc_id"] is None, r["doc_id"], r["component_id"]) for r in out)
     assert got == [(False, 3, 3), (False, 3, 3), (False, 5, 3), (False, 7, 7), (False, 9, 9), (True, None, 9)]
     assert simhash_components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_one_giant_component(spark, monkeypatch):
+    """4,096 distinct fingerprints hang together, with copies of some; others stand alone."""
+    from mensura.llm import simhash
+
+    rows = [(10_000 - i, i) for i in range(4096)] + [(20_000 + i, i) for i in range(0, 4096, 5)]
+    rows += [(30_000 + i, ((i * 0x9E3779B97F4A7C15) % 2**62) | 1 << 60) for i in range(1, 200)]
+    prints = spark.createDataFrame(rows, "doc_id long, fp long")
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs, doc_id, text: prints)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.simhash_components(prints).collect()}
+    assert all(got[i] == 10_000 - 4095 for i, fp in rows if fp < 4096)
+    assert sum(got[i] == i for i, fp in rows if fp >= 4096) > 150
