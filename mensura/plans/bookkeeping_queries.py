@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from mensura.operators import bookkeeping as B
+from mensura.operators.storage import scratch
+from mensura.sources.tables import read_tagged, write_tagged
 
 
 def _docs(spark, d):
@@ -32,6 +34,13 @@ def pending_versions(spark, d):
     return B.pending_documents(keys, done, "key", version="2")
 
 
+def pending_of_tag(spark, d):
+    """Documents without a result of one model: of the tree of results only that model's folder is read."""
+    path, keys = scratch(spark, "results"), record_key(spark, d)
+    write_tagged(keys.where("doc_id % 3 <> 1").withColumn("model_tag", F.when(F.col("doc_id") % 2 == 0, "terra").otherwise("sol")), path)
+    return B.pending_documents(keys, read_tagged(spark, path, "terra"), "key")
+
+
 def text_density(spark, d):
     """Conversations as documents whose pages are their turns."""
     pages = B.assemble_document(spark.read.parquet(f"{d}/conversations.parquet"), "conv_id", "turn", "text")
@@ -92,7 +101,7 @@ def first_warnings(spark, d):
     return B.first_warnings(_records(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (record_key, pending, pending_versions, text_density, low_text, truncated, assembled, preflight, preflight_v2, unreadable, record_cost, namespaces, run_summary, first_warnings)}
+QUERIES = {f.__name__: f for f in (record_key, pending, pending_versions, pending_of_tag, text_density, low_text, truncated, assembled, preflight, preflight_v2, unreadable, record_cost, namespaces, run_summary, first_warnings)}
 
 _PRICES = "pr AS (SELECT * FROM (VALUES " + ", ".join(f"('{m}', {a}::DOUBLE, {b}::DOUBLE)" for m, (a, b) in B.PRICING.items()) + ") t(model, i, o))"
 _RUNS = "r AS (SELECT doc_id, (['gpt-5.4', 'gpt-5.6-terra', 'gpt-5.4-nano', 'other'])[doc_id % 4 + 1] AS model, length(text) // 4 AS in_tokens, doc_id % 7 * 350 AS out_tokens, doc_id % 5 AS n FROM documents)"
@@ -112,6 +121,7 @@ SQL = {
     "record_key": f"SELECT doc_id, {_KEY} AS key FROM documents",
     "pending": f"SELECT doc_id, {_KEY} AS key FROM documents WHERE doc_id % 3 <> 0 ORDER BY key LIMIT 50",
     "pending_versions": f"SELECT doc_id, {_KEY} AS key FROM documents WHERE NOT (doc_id % 3 = 0 AND doc_id % 5 <> 0)",
+    "pending_of_tag": f"SELECT doc_id, {_KEY} AS key FROM documents WHERE doc_id % 3 = 1 OR doc_id % 2 = 1",
     "text_density": f"SELECT conv_id, length(text) AS chars, length(text) // 4 AS tokens, length(text) / n_pages < 500 AS low_density FROM ({_PAGES})",
     "low_text": "SELECT doc_id, 'low text: ' || CAST(length(trim(coalesce(text, ''), ' ')) AS VARCHAR) AS reason FROM documents WHERE length(trim(coalesce(text, ''), ' ')) < 1000",
     "truncated": "SELECT doc_id, length(text) > 140000 AS truncated, md5(substring(text, 1, 140000)) AS digest FROM documents",

@@ -132,12 +132,12 @@ def test_side_by_side_as_alone(spark, data):
 
 
 def test_folds_beat_the_median_and_stay_apart(data):
-    setting = B.setting_of("strict", trees=60, step=0.2)
+    setting = B.setting_of("strict", trees=12, step=0.4)
     bins = B.fit_bins(data, ["a", "b"], ["c"], rare=2)
     oof = B.oof_predict_all({"y": (data, bins, 4)}, "fold", setting)["y"]
     row = G.target_metrics(oof, "y", "y", "u", 3, "paper").first()
     assert row.n == 240 and row.papers == 12 and row.beats_baseline and not row.exploratory
-    _, errors = B.fit_all([B.Frame(data, bins, "y", "fold")], [B.Model(0, setting, k) for k in range(4)])
+    _, errors = B.fit_each([B.Frame(data, bins, "y", "fold")], [B.Model(0, setting, k) for k in range(4)])
     by_fold = {r["fold"]: (r["e"], r["n"]) for r in oof.groupBy("fold").agg(F.sum("absolute_error").alias("e"), F.count("*").alias("n")).collect()}
     assert [by_fold[k] for k in range(4)] == [pytest.approx(e, rel=1e-6) for e in errors]
     changed = stored(data.withColumn("y", F.when(F.col("fold") == 1, F.col("y") + 1000).otherwise(F.col("y"))), "changed")
