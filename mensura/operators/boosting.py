@@ -10,9 +10,13 @@ T(G) = sign(G) * max(|G| - l1, 0), a node of gradient sum G and n rows has the s
 a split gains half the difference of scores less gamma, and is made where that is above zero and both sides have `least` rows. Rows
 without a value go to the side where they gain more. A category is parted one value against the rest.
 
-Gradients are rounded to whole numbers of fine steps, so that sums don't depend on the order in which blocks are added; rows are
-sampled by a hash of their content, features by a seeded draw a tree. A fit is therefore the same however rows are dealt, after lost
-executors too. The rows' predictions are kept in cached blocks, cut by a checkpoint every CUT trees.
+Rows of a block whose features have the same bins are told apart only by target, fold and hash: their predictions and sides are kept once.
+Tables are not added feature by feature over the rows: features in a row of which few joint values occur share a code, the sums are
+taken by code, and each feature's from those. Both are exact and need no knowledge of other blocks.
+
+Targets and predictions are rounded to whole numbers of fine steps, so that sums don't depend on the order in which blocks are added; rows
+are sampled by a hash of their content, features by a seeded draw a tree. A fit is therefore the same however rows are dealt, after lost
+executors too. The predictions are kept in cached blocks, cut by a checkpoint every CUT trees.
 
 Arrays added elementwise within partitions have no form as columns that keeps their size, so this module works on blocks in an RDD, as
 the trees of pyspark.ml do; all else is DataFrames.
@@ -24,7 +28,7 @@ import json
 import math
 import random
 from collections.abc import Callable, Iterator, Sequence
-from dataclasses import asdict, dataclass, field
+from dataclasses import asdict, dataclass, field, replace
 from functools import reduce
 from itertools import combinations
 
@@ -51,7 +55,9 @@ GRID = {
 
 BINS = 64  # bins of a numeric feature, beside the one of missing values
 WIDEST = 1_000  # values of a category that have a bin of their own
-ROWS_A_BLOCK = 50_000
+ROWS_A_BLOCK = 200_000
+ROWS_A_SUM = 100_000  # rows whose sum of steps is below 2 ** 53 whatever they are
+JOINT = 1 << 16  # joint values that features share a code for, at most
 CUT = 100  # trees between checkpoints
 MOST_ROWS = 1_000_000  # labelled rows that a model is fitted on within one task
 FLAT = 16  # partitions whose tables are added on the driver; more are added by tasks first
@@ -129,9 +135,9 @@ class Trees:
         return _left(binned, self.feature[tree][node], self.bin[tree][node], self.missing[tree][node], len(self.bins.numeric))
 
     def predict(self, binned: np.ndarray) -> np.ndarray:
-        out = np.full(len(binned), self.base)
+        out, columns = np.full(len(binned), self.base), np.ascontiguousarray(binned.T, np.uint16)
         for t in range(len(self.feature)):
-            out += self.value[t][_walked(binned, self.feature[t], self.bin[t], self.missing[t], len(self.bins.numeric), self.setting["depth"])]
+            out += self.value[t][_walked(columns, self.feature[t], self.bin[t], self.missing[t], len(self.bins.numeric), self.setting["depth"])]
         return out
 
     def to_json(self) -> str:
@@ -149,12 +155,18 @@ def _left(binned: np.ndarray, feature: np.ndarray, bin_: np.ndarray, missing: np
     return np.where(feature < numeric, np.where(b == 0, missing, b <= bin_), b == bin_)
 
 
-def _walked(binned: np.ndarray, feature: np.ndarray, bin_: np.ndarray, missing: np.ndarray, numeric: int, levels: int) -> np.ndarray:
-    """The node of each row after so many levels."""
-    node = np.zeros(len(binned), np.int64)
-    for _ in range(levels):
-        f = feature[node]
-        node = np.where(f < 0, node, 2 * node + 2 - _left(binned, f, bin_[node], missing[node], numeric))
+def _walked(columns: np.ndarray, feature: np.ndarray, bin_: np.ndarray, missing: np.ndarray, numeric: int, levels: int, node: np.ndarray | None = None, start: int = 0) -> np.ndarray:
+    """The node of each row after so many levels, from its node after `start` of them. columns: [feature, row], unsigned."""
+    node = np.zeros(columns.shape[1], np.int16) if node is None else node
+    for level in range(start, levels):
+        below = node.copy()
+        for i in range((1 << level) - 1, (2 << level) - 1):
+            if (f := feature[i]) < 0:
+                continue
+            column, b = columns[f], columns.dtype.type(bin_[i])
+            left = column == b if f >= numeric else column <= b if missing[i] else column - columns.dtype.type(1) < b  # 0 becomes the greatest
+            below = np.where(node == i, np.int16(2 * i + 2) - left, below)
+        node = below
     return node
 
 
@@ -201,19 +213,93 @@ def _features_of(n: int, share: float, seed: int, tree: int) -> np.ndarray:
 
 
 @dataclass
-class Block:
-    """Some rows of a frame, and what its models predict for them so far [model, row]."""
+class Rows:
+    """Binned rows [row, feature] with what a fit needs of them."""
 
-    frame: int
     binned: np.ndarray
     target: np.ndarray
     part: np.ndarray
     hashes: np.ndarray
-    predicted: np.ndarray
 
 
-def _blocks(frame: Frame, number: int, models: int, parts: int, share: float | None = None):
-    """An RDD of blocks, of a share of the rows where one is given. Rows are dealt by a hash, copies apart from each other, alike each time."""
+@dataclass
+class Block:
+    """Some rows of a frame, in the order of their vectors of bins, and what its models predict for each vector so far."""
+
+    frame: int
+    scale: float
+    columns: np.ndarray  # [feature, vector]
+    codes: list[tuple[list[int], np.ndarray, np.ndarray]]  # features, [vector] -> joint value, bins [feature, joint value]
+    vector: np.ndarray  # of each row
+    whole: np.ndarray  # the row's target in steps
+    part: np.ndarray
+    hashes: np.ndarray
+    predicted: np.ndarray  # [model, vector]
+    kept: dict = field(default_factory=dict)  # of the tree at hand: sums by sample, nodes by model
+
+    def sums(self, model: Model, tree: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of each vector: how many rows a tree of the model takes, and the sum of their targets."""
+        key = "sums", model.setting["rows"], model.out
+        if self.kept.get(key, (None,))[0] != tree:
+            taken = np.flatnonzero(model.trained(self.part) & _sampled(self.hashes, model.setting["rows"], seed, tree))
+            at, size = self.vector[taken], self.columns.shape[1]
+            self.kept[key] = tree, np.bincount(at, minlength=size), _added_up(at, self.whole[taken], size)
+        return self.kept[key][1:]
+
+    def node(self, m: int, growing: _Growing, numeric: int, level: int, tree: int) -> np.ndarray:
+        """Of each vector: where model m's tree has it after so many levels."""
+        at, done, node = self.kept.get(("node", m), (None, 0, None))
+        if at != tree or done > level:
+            done, node = 0, None
+        node = _walked(self.columns, growing.feature[m], growing.bin[m], growing.missing[m], numeric, level, node, done)
+        self.kept["node", m] = tree, level, node
+        return node
+
+
+def _added_up(at: np.ndarray, whole: np.ndarray, size: int) -> np.ndarray:
+    """Sums of whole numbers by place, exact: by halves where they could pass what a double holds."""
+    if np.abs(whole).sum(dtype=np.float64) < 2.0**52:
+        return np.bincount(at, whole, size).astype(np.int64)
+    high, low = (np.bincount(at, w, size).astype(np.int64) for w in (whole >> 26, whole & (1 << 26) - 1))
+    return (high << 26) + low
+
+
+def _joint(columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each row that is equal where all columns are, and a row for each number. columns: [feature, row]"""
+    code, span = np.zeros(columns.shape[1], np.int64), 1
+    for column in columns:
+        size = int(column.max(initial=0)) + 1
+        if span * size >= 1 << 62:
+            found, code = np.unique(code, return_inverse=True)
+            span = len(found)
+        code, span = code * size + column, span * size
+    _, first, code = np.unique(code, return_index=True, return_inverse=True)
+    return code, first
+
+
+def _codes(columns: np.ndarray) -> list[tuple[list[int], np.ndarray, np.ndarray]]:
+    """Runs of features that share a code, as long as their joint values are few beside the vectors."""
+    most = min(JOINT, max(1024, columns.shape[1] // 8))
+    runs: list[tuple[list[int], np.ndarray, np.ndarray]] = []
+    for f in range(len(columns)):
+        code, first = _joint(np.stack([runs[-1][1], columns[f]])) if runs else _joint(columns[:1])
+        if runs and len(first) <= most:
+            runs[-1] = [*runs[-1][0], f], code, first
+        else:
+            runs.append(([f], *(_joint(columns[f : f + 1]))))
+    return [(features, code.astype(np.intp), columns[features][:, first].astype(np.intp)) for features, code, first in runs]
+
+
+def _packed(rows: Rows, frame: int, models: int, scale: float) -> Block:
+    code, first = _joint(np.ascontiguousarray(rows.binned.T))
+    order = np.argsort(code, kind="stable")
+    columns = np.ascontiguousarray(rows.binned[first].T, np.uint16)
+    whole = np.rint(rows.target[order] * scale).astype(np.int64)
+    return Block(frame, scale, columns, _codes(columns), code[order].astype(np.int32), whole, rows.part[order], rows.hashes[order], np.zeros((models, len(first))))
+
+
+def _rows(frame: Frame, parts: int, share: float | None = None):
+    """An RDD of rows, of a share of the rows where one is given. Rows are dealt by a hash, copies apart from each other, alike each time."""
     content = F.xxhash64(*(F.col(f"`{c}`") for c in sorted(frame.df.columns) if c != frame.part))
     rows = frame.df.where(F.col(frame.target).isNotNull())
     rows = rows.select(*frame.bins.columns(), F.col(frame.target).cast("double").alias("_y"), F.col(frame.part).cast("int").alias("_part"), content.alias("_hash"), F.monotonically_increasing_id().alias("_row"))
@@ -224,12 +310,12 @@ def _blocks(frame: Frame, number: int, models: int, parts: int, share: float | N
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if len(b):
-                cells = [bins.of(b), b["_y"].to_numpy(np.float64), b["_part"].fillna(-1).to_numpy(np.int64), b["_hash"].to_numpy(np.int64)]
+                cells = [bins.of(b).astype(np.uint16), b["_y"].to_numpy(np.float64), b["_part"].fillna(-1).to_numpy(np.int32), b["_hash"].to_numpy(np.int64)]
                 yield pd.DataFrame([[len(b), *(c.tobytes() for c in cells)]], columns=["n", "binned", "y", "part", "hash"])
 
-    def unpacked(r) -> Block:
+    def unpacked(r) -> Rows:
         read = lambda raw, kind: np.frombuffer(bytes(raw), kind)
-        return Block(number, read(r["binned"], np.int32).reshape(r["n"], -1), read(r["y"], np.float64), read(r["part"], np.int64), read(r["hash"], np.uint64), np.zeros((models, r["n"])))
+        return Rows(read(r["binned"], np.uint16).reshape(r["n"], -1), read(r["y"], np.float64), read(r["part"], np.int32), read(r["hash"], np.uint64))
 
     dealt = rows.repartition(parts, F.xxhash64("_hash", "_row")).mapInPandas(run, "n int, binned binary, y binary, part binary, hash binary")
     return dealt.rdd.map(unpacked).mapPartitions(_joined)
@@ -256,28 +342,23 @@ def _table(block: Block, models: list[Model], active: list[int], growing: _Growi
     """Sums of gradients and rows [place among the active, node of the level, bin, 2] of a block."""
     numeric, starts = frames[block.frame]
     width, nodes = int(starts[-1]), 1 << level
-    flat = block.binned + starts[:-1]
-    own = [m for m, model in enumerate(models) if model.frame == block.frame]
-    mine = {m: i for i, m in enumerate(own)}
+    mine = {m: i for i, m in enumerate(m for m, model in enumerate(models) if model.frame == block.frame)}
     out = np.zeros((len(active), nodes, width, 2), np.int64)
-    masks: dict[tuple, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
     for place, m in enumerate(active):
-        share, left_out = models[m].setting["rows"], models[m].out
-        if (share, left_out) not in masks:
-            taken = np.flatnonzero(models[m].trained(block.part) & _sampled(block.hashes, share, seed, tree))
-            masks[share, left_out] = taken, block.binned[taken], flat[taken]
-        rows, binned, cells = masks[share, left_out]
-        node = _walked(binned, growing.feature[m], growing.bin[m], growing.missing[m], numeric, level) - (nodes - 1)
-        if level:  # others ended in a leaf above
-            rows, cells, node = rows[node >= 0], cells[node >= 0], node[node >= 0]
-        if not len(rows):
-            continue
-        g = np.rint((block.predicted[mine[m], rows] - block.target[rows]) * scale)
-        for at in range(0, len(rows), 2 * ROWS_A_BLOCK):  # sums of whole numbers below 2 ** 53
-            some = slice(at, at + 2 * ROWS_A_BLOCK)
-            cell = (node[some, None] * width + cells[some]).ravel()
-            out[place, :, :, 0] += np.bincount(cell, np.repeat(g[some], flat.shape[1]), nodes * width).astype(np.int64).reshape(nodes, width)
-            out[place, :, :, 1] += np.bincount(cell, minlength=nodes * width).reshape(nodes, width)
+        n, t = block.sums(models[m], tree, seed)
+        g = n * np.rint(block.predicted[mine[m]] * scale).astype(np.int64) - t
+        node = block.node(m, growing, numeric, level, tree).astype(np.intp) - (nodes - 1)
+        kept = np.flatnonzero((n > 0) & (node >= 0))  # others have no row in the sample, or ended in a leaf above
+        n, g, node = n[kept], g[kept], node[kept]
+        for features, code, bins in block.codes:
+            joint = bins.shape[1]
+            cell = node * joint + code[kept]
+            sums = _added_up(cell, g, nodes * joint), _added_up(cell, n, nodes * joint)
+            for f, of in zip(features, bins, strict=True):
+                size = int(starts[f + 1] - starts[f])
+                at = (np.arange(nodes)[:, None] * size + of).ravel()
+                for k, by_code in enumerate(sums):
+                    out[place, :, starts[f] : starts[f + 1], k] = _added_up(at, by_code, nodes * size).reshape(nodes, size)
     return out
 
 
@@ -345,15 +426,14 @@ def _split(table: np.ndarray, scale: float, offered: _Candidates, settings: list
     return out | {"gain": np.where(made, best, 0.0), "left_g": take(left_g), "left_n": take(left_n), "g": total_g, "n": total_n}
 
 
-def _stepped(block: Block, models: list[Model], growing: _Growing, active: list[int], numeric: list[int]) -> Block:
+def _stepped(block: Block, models: list[Model], growing: _Growing, active: list[int], numeric: list[int], tree: int) -> Block:
     """The block after a tree of each active model."""
     own = [m for m, model in enumerate(models) if model.frame == block.frame]
     predicted = block.predicted.copy()
     for i, m in enumerate(own):
         if m in active:
-            node = _walked(block.binned, growing.feature[m], growing.bin[m], growing.missing[m], numeric[block.frame], models[m].setting["depth"])
-            predicted[i] += growing.value[m][node]
-    return Block(block.frame, block.binned, block.target, block.part, block.hashes, predicted)
+            predicted[i] += growing.value[m][block.node(m, growing, numeric[block.frame], models[m].setting["depth"], tree)]
+    return replace(block, predicted=predicted, kept={})
 
 
 def _added(a: dict, b: dict) -> dict:
@@ -369,18 +449,18 @@ def _base(whole: list[tuple[int, int]], scales: Sequence[float], models: Sequenc
 
 
 def _scale(n: int, most: float) -> float:
-    """Steps of gradients so fine that a block's sum is whole within 53 bits, and that of all rows within 63."""
+    """Steps so fine that the sum of gradients of ROWS_A_SUM rows is whole within 53 bits, and that of all rows within 63."""
     bits = math.ceil(math.log2(4 * most + 1))
-    return 2.0 ** min(32, 52 - bits - math.ceil(math.log2(2 * ROWS_A_BLOCK)), 62 - bits - math.ceil(math.log2(n + 1)))
+    return 2.0 ** min(32, 52 - bits - math.ceil(math.log2(ROWS_A_SUM)), 62 - bits - math.ceil(math.log2(n + 1)))
 
 
-def _trained_sums(b: Block, models: Sequence[Model], scales: Sequence[float]) -> dict:
+def _trained_sums(b: Block, models: Sequence[Model]) -> dict:
     """Of each model's training rows in a block: the sum of targets, in steps, and their number."""
-    whole, found = np.rint(b.target * scales[b.frame]).astype(np.int64), {}
+    found = {}
     for m, model in enumerate(models):
         if model.frame == b.frame:
             rows = model.trained(b.part)
-            found[m] = np.array([whole[rows].sum(), rows.sum()])
+            found[m] = np.array([b.whole[rows].sum(), rows.sum()])
     return found
 
 
@@ -389,13 +469,13 @@ def _errors(b: Block, models: Sequence[Model]) -> dict:
     found = {}
     for i, m in enumerate(m for m, model in enumerate(models) if model.frame == b.frame):
         rows = b.part == models[m].out if models[m].out is not None else np.zeros(len(b.part), bool)
-        found[m] = np.array([np.abs(np.maximum(0, b.predicted[i][rows]) - b.target[rows]).sum(), rows.sum()])
+        found[m] = np.array([np.abs(np.maximum(0, b.predicted[i][b.vector[rows]]) - b.whole[rows] / b.scale).sum(), rows.sum()])
     return found
 
 
 def _begun(b: Block, models: Sequence[Model], base: Sequence[float]) -> Block:
     own = [base[m] for m, model in enumerate(models) if model.frame == b.frame]
-    return Block(b.frame, b.binned, b.target, b.part, b.hashes, b.predicted + np.array(own)[:, None])
+    return replace(b, predicted=b.predicted + np.array(own)[:, None], kept={})
 
 
 def _tables(b: Block, asked: tuple) -> dict:
@@ -452,8 +532,8 @@ def fit_all(frames: Sequence[Frame], models: Sequence[Model], seed: int = 42) ->
     scales, rows = [_scale(*k) for k in known], sum(n for n, _ in known)
     parts = max(context.defaultParallelism, math.ceil(rows / ROWS_A_BLOCK))
     own = lambda frame: sum(model.frame == frame for model in models)
-    first = context.union([_blocks(f, i, own(i), max(1, round(parts * known[i][0] / max(1, rows)))) for i, f in enumerate(frames)]).persist(StorageLevel.MEMORY_AND_DISK)
-    sums = _summed(first.map(lambda b: _trained_sums(b, models, scales)))
+    first = context.union([_rows(f, max(1, round(parts * known[i][0] / max(1, rows)))).map(lambda r, i=i: _packed(r, i, own(i), scales[i])) for i, f in enumerate(frames)]).persist(StorageLevel.MEMORY_AND_DISK)
+    sums = _summed(first.map(lambda b: _trained_sums(b, models)))
     base = _base([tuple(sums.get(m, (0, 0))) for m in range(len(models))], scales, models)
     kept = [first, first.map(lambda b: _begun(b, models, base)).persist(StorageLevel.MEMORY_AND_DISK)]
 
@@ -465,7 +545,7 @@ def fit_all(frames: Sequence[Frame], models: Sequence[Model], seed: int = 42) ->
 
     def advance(growing: _Growing, active: list[int], tree: int) -> None:
         numeric = [len(f.bins.numeric) for f in frames]
-        kept.append(_advanced(kept[-1], models, growing, active, numeric).persist(StorageLevel.MEMORY_AND_DISK))
+        kept.append(_advanced(kept[-1], models, growing, active, numeric, tree).persist(StorageLevel.MEMORY_AND_DISK))
         if tree % CUT == CUT - 1:
             kept[-1].checkpoint()
             kept[-1].count()
@@ -478,35 +558,34 @@ def fit_all(frames: Sequence[Frame], models: Sequence[Model], seed: int = 42) ->
     return out, [(float(left[m][0]), int(left[m][1])) if m in left else (0.0, 0) for m in range(len(models))]
 
 
-def _advanced(rdd, models: list[Model], growing: _Growing, active: list[int], numeric: list[int]):
-    return rdd.map(lambda b: _stepped(b, models, growing, active, numeric))
+def _advanced(rdd, models: list[Model], growing: _Growing, active: list[int], numeric: list[int], tree: int):
+    return rdd.map(lambda b: _stepped(b, models, growing, active, numeric, tree))
 
 
 def fit_each(frames: Sequence[Frame], models: Sequence[Model], seed: int = 42, most_rows: int = MOST_ROWS, trees_of: Callable[[Model], bool] = lambda m: True) -> tuple[list[Trees | None], list[tuple[float, int]]]:
     """As fit_all, each model in a task of its own, on a sample of most_rows labelled rows of a frame; all of them where there are no more.
 
-    For searches: a level of a small table costs less than the job that asks for it. The sample is what bounds a task: binned rows, some
-    2 bytes a feature, are shipped to all tasks once. On the same rows both give the same models. trees_of: the models whose trees
+    For searches: a level of a small table costs less than the job that asks for it. The sample is what bounds a task: packed rows, some
+    20 bytes each and 2 a feature for each vector of bins, are shipped to all tasks once. On the same rows both give the same models. trees_of: the models whose trees
     are wanted; of the others only the errors come back.
     """
     frames, models = list(frames), list(models)
     spark = frames[0].df.sparkSession
-    blocks: dict[int, tuple] = {}
+    blocks: dict[int, Block] = {}
     known = _known(frames)
+    scales = [_scale(min(n, most_rows), most) for n, most in known]
     for i, (frame, (n, _)) in enumerate(zip(frames, known, strict=True)):
-        parts = _blocks(frame, i, 0, max(1, math.ceil(min(n, most_rows) / ROWS_A_BLOCK)), most_rows / n if n > most_rows else None).collect()  # most_rows of them, give or take what a hash does
+        parts = _rows(frame, max(1, math.ceil(min(n, most_rows) / ROWS_A_BLOCK)), most_rows / n if n > most_rows else None).collect()  # most_rows of them, give or take what a hash does
         if parts:
-            whole = _glued(parts)
-            blocks[i] = whole.binned.astype(np.int16), whole.target, whole.part, whole.hashes
-    scales = [_scale(min(n, most_rows), most) for n, most in known]
-    shared = spark.sparkContext.broadcast((blocks, [f.bins for f in frames], models, scales))
+            blocks[i] = _packed(_glued(parts), 0, 1, scales[i])
+    shared = spark.sparkContext.broadcast((blocks, [f.bins for f in frames], models))
     wanted = [trees_of(m) for m in models]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        blocks, bins, models, scales = shared.value
+        blocks, bins, models = shared.value
         for batch in batches:
             for m in batch["model"]:
-                tree, error, n = _fit_here(blocks, bins, models[m], scales, seed)
+                tree, error, n = _fit_here(blocks, bins, models[m], seed)
                 yield pd.DataFrame([[m, tree.to_json() if wanted[m] else None, error, n]], columns=["model", "trees", "error", "n"])
 
     # the longest first, one a task
@@ -517,30 +596,30 @@ def fit_each(frames: Sequence[Frame], models: Sequence[Model], seed: int = 42, m
     return [Trees.from_json(t) if (t := found[m]["trees"]) else None for m in range(len(models))], [(found[m]["error"], found[m]["n"]) for m in range(len(models))]
 
 
-def _fit_here(blocks: dict[int, tuple], bins: Sequence[Bins], model: Model, scales: Sequence[float], seed: int) -> tuple[Trees, float, int]:
+def _fit_here(blocks: dict[int, Block], bins: Sequence[Bins], model: Model, seed: int) -> tuple[Trees, float, int]:
     """One model on rows at hand."""
-    one, scale = Model(0, model.setting, model.out), [scales[model.frame]]
+    one = Model(0, model.setting, model.out)
     if model.frame not in blocks:
         return Trees(bins[model.frame], 0.0, model.setting, *(np.full((0, 0), v) for v in (-1, 0, False, 0.0, 0, 0.0))), 0.0, 0
-    binned, target, part, hashes = blocks[model.frame]
-    held = [Block(0, binned.astype(np.int32), target, part, hashes, np.zeros((1, len(target))))]
-    base = _base([tuple(_trained_sums(held[0], [one], scale)[0])], scale, [one])
+    held = [replace(blocks[model.frame], kept={})]
+    scale = [held[0].scale]
+    base = _base([tuple(_trained_sums(held[0], [one])[0])], scale, [one])
     held[0] = _begun(held[0], [one], base)
     numeric = [len(bins[model.frame].numeric)]
 
     def advance(growing: _Growing, active: list[int], tree: int) -> None:
-        held[0] = _stepped(held[0], [one], growing, active, numeric)
+        held[0] = _stepped(held[0], [one], growing, active, numeric, tree)
 
     (tree,) = _grown([bins[model.frame]], [one], base, scale, seed, lambda asked: _tables(held[0], asked), advance)
     error, n = _errors(held[0], [one])[0]
     return tree, float(error), int(n)
 
 
-def _joined(blocks: Iterator[Block]) -> Iterator[Block]:
-    """The blocks of a partition, glued to larger ones."""
-    held: list[Block] = []
-    for b in blocks:
-        held.append(b)
+def _joined(parts: Iterator[Rows]) -> Iterator[Rows]:
+    """The rows of a partition, glued to larger parts."""
+    held: list[Rows] = []
+    for rows in parts:
+        held.append(rows)
         if sum(len(x.target) for x in held) >= ROWS_A_BLOCK:
             yield _glued(held)
             held = []
@@ -548,9 +627,9 @@ def _joined(blocks: Iterator[Block]) -> Iterator[Block]:
         yield _glued(held)
 
 
-def _glued(blocks: list[Block]) -> Block:
-    stack = lambda name, axis=0: np.concatenate([getattr(b, name) for b in blocks], axis=axis)
-    return Block(blocks[0].frame, stack("binned"), stack("target"), stack("part"), stack("hashes"), stack("predicted", 1))
+def _glued(parts: list[Rows]) -> Rows:
+    stack = lambda name: np.concatenate([getattr(r, name) for r in parts])
+    return Rows(stack("binned"), stack("target"), stack("part"), stack("hashes"))
 
 
 def _placed(growing: _Growing, mine: list[int], level: int, best: dict[str, np.ndarray], settings: list[dict]) -> None:

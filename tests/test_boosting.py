@@ -247,3 +247,22 @@ def test_queries_ask_for_the_whole_job(spark, monkeypatch):
     assert len(models) == 20 * 5 + 20 + 1 and models[-1].setting == B.PRESETS["strict"]
     asked.clear()
     assert Q.gbt_gcd(spark, sf).count() == 2 and asked[0][1][0].setting == B.PRESETS["gcd"] and "current_density_A_g" in asked[0][0][0].bins.names
+
+
+def test_copies_cost_no_vectors_and_sums_stay_exact():
+    """A block keeps bins, sides and predictions by vector of bins, not by row; sums by joint codes are those by row."""
+    draw = np.random.default_rng(3)
+    binned = draw.integers(0, 4, (60_000, 6)).astype(np.uint16)
+    target, part, hashes = draw.integers(0, 900, 60_000) + 0.125, np.zeros(60_000, np.int32), draw.integers(0, 2**62, 60_000).astype(np.uint64)
+    block = B._packed(B.Rows(binned, target, part, hashes), 0, 1, 2.0**20)
+    assert block.columns.shape == (6, 4**6) and block.predicted.shape == (1, 4**6) and sorted(f for features, _, _ in block.codes for f in features) == list(range(6))
+    models, growing = [B.Model(0, B.setting_of("lenient", rows=1.0))], B._Growing.blank(1, 7)
+    growing.feature[0, 0], growing.bin[0, 0], growing.missing[0, 0] = 2, 1, True
+    (table,) = B._table(block, models, [0], growing, 1, 0, 42, block.scale, [(6, np.arange(0, 28, 4))])
+    for side, rows in enumerate((binned[:, 2] <= 1, binned[:, 2] > 1)):
+        for f in range(6):
+            for b in range(4):
+                hit = rows & (binned[:, f] == b)
+                assert table[side, 4 * f + b].tolist() == [-int((target[hit] * 2**20).sum()), hit.sum()]
+    large = np.array([2**60, 2**60 + 1, 5, -(2**59) - 3])
+    assert B._added_up(np.array([0, 0, 1, 1]), large, 2).tolist() == [2**61 + 1, 2 - 2**59]
