@@ -74,11 +74,18 @@ def strict_features(df: DataFrame) -> DataFrame:
 
 
 def engineered_features(df: DataFrame) -> DataFrame:
+    """The features of the columns that df has: those of electrodes, of measurements or, for rows of both, all."""
     composition, synthesis = (F.lower(F.coalesce(c, F.lit(""))) for c in ("composition", "synthesis_method"))
-    new = {"layer_category": layer_category(F.col("layer_no")), "measurement_mode": measurement_mode()}
-    new |= {k: composition.rlike(p).cast("int") for k, p in COMPOSITION_FLAGS.items()}
-    new |= {k: synthesis.rlike(p).cast("int") for k, p in SYNTHESIS_FLAGS.items()}
-    new["lif_hcl_etch"] = (synthesis.contains("lif") & synthesis.contains("hcl")).cast("int")
+    new: dict[str, Column] = {}
+    if "layer_no" in df.columns:
+        new["layer_category"] = layer_category(F.col("layer_no"))
+    if "scan_rate_mV_s" in df.columns:
+        new["measurement_mode"] = measurement_mode()
+    if "composition" in df.columns:
+        new |= {k: composition.rlike(p).cast("int") for k, p in COMPOSITION_FLAGS.items()}
+    if "synthesis_method" in df.columns:
+        new |= {k: synthesis.rlike(p).cast("int") for k, p in SYNTHESIS_FLAGS.items()}
+        new["lif_hcl_etch"] = (synthesis.contains("lif") & synthesis.contains("hcl")).cast("int")
     return df.withColumns(new)
 
 
@@ -91,5 +98,5 @@ FEATURE_VIEW = (
 
 
 def feature_view(df: DataFrame, ids: Sequence[str] = ()) -> DataFrame:
-    """ids and the 25 features of normalised lenient rows."""
-    return engineered_features(df).select(*ids, *FEATURE_VIEW)
+    """ids and the 25 features of normalised lenient rows, of which some may be there already."""
+    return df.select(*ids, *FEATURE_VIEW) if set(FEATURE_VIEW) <= set(df.columns) else engineered_features(df).select(*ids, *FEATURE_VIEW)

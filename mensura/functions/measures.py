@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The patterns by which values are read.
+PLAIN = r"^[0-9]*\.?[0-9]+\z"
 NUMBER = r"[-+]?[0-9]*\.?[0-9]+(?:[eE][-+]?[0-9]+)?"
 STRICT_RANGE = r"(?i)([0-9]*\.?[0-9]+)\s*(?:-|–|—|to)\s*([0-9]*\.?[0-9]+)"
 LENIENT_RANGE = r"(?:^|[^a-z0-9.])([0-9]*\.?[0-9]+)\s*-\s*([0-9]*\.?[0-9]+)"
@@ -18,22 +21,36 @@ def _double(c: Column) -> Column:
     return c.try_cast("double")
 
 
+def _once(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is made once, however often f names it; null of null."""
+    return F.when(c.isNotNull(), F.get(F.transform(F.array(c), f), F.lit(0)))
+
+
 def parse_strict(c: Column, ranges: str = "midpoint", bounds: str = "keep") -> Column:
-    """ranges: midpoint or reject; bounds: keep or reject."""
-    text = F.regexp_replace(F.trim(c.cast("string")), ",", "")
-    head = F.regexp_replace(text, r"(?s)\s*(?:±|\+/-).*$", "")
-    low, high = (_double(F.regexp_extract(head, STRICT_RANGE, i)) for i in (1, 2))
-    first = _double(F.regexp_extract(head, NUMBER, 0))
-    out = F.when(head.rlike(STRICT_RANGE), F.lit(None).cast("double") if ranges == "reject" else (low + high) / 2).otherwise(first)
-    return F.when(~F.lower(text).rlike(BOUNDS), out) if bounds == "reject" else out
+    """ranges: midpoint or reject; bounds: keep or reject. Plain numbers need no search."""
+
+    def searched(text: Column) -> Column:
+        head = F.regexp_replace(text, r"(?s)\s*(?:±|\+/-).*$", "")
+        out = _once(head, lambda h: F.when(h.rlike(STRICT_RANGE), middle(h)).otherwise(_double(F.regexp_extract(h, NUMBER, 0))))
+        return F.when(~F.lower(text).rlike(BOUNDS), out) if bounds == "reject" else out
+
+    def middle(head: Column) -> Column:
+        low, high = (_double(F.regexp_extract(head, STRICT_RANGE, i)) for i in (1, 2))
+        return F.lit(None).cast("double") if ranges == "reject" else (low + high) / 2
+
+    return _once(F.trim(c.cast("string")), lambda raw: F.when(raw.rlike(PLAIN), _double(raw)).otherwise(_once(F.regexp_replace(raw, ",", ""), searched)))
 
 
 def parse_lenient(c: Column) -> Column:
-    raw = F.trim(c.cast("string"))
-    text = F.regexp_replace(F.translate(F.lower(raw), "−–—", "---"), HEDGES, "")
-    low, high = (_double(F.regexp_extract(text, LENIENT_RANGE, i)) for i in (1, 2))
-    first = _double(F.regexp_extract(text, LENIENT_FIRST, 1))
-    return F.when(text.rlike(LENIENT_RANGE) & ~raw.contains("±"), (low + high) / 2).otherwise(first)
+    """Plain numbers need no search."""
+
+    def searched(raw: Column) -> Column:
+        text = F.regexp_replace(F.translate(F.lower(raw), "−–—", "---"), HEDGES, "")
+        middle = lambda t: (_double(F.regexp_extract(t, LENIENT_RANGE, 1)) + _double(F.regexp_extract(t, LENIENT_RANGE, 2))) / 2
+        ranged = lambda t: t.contains("-") & t.rlike(LENIENT_RANGE) & ~raw.contains("±")
+        return _once(text, lambda t: F.when(ranged(t), middle(t)).otherwise(_double(F.regexp_extract(t, LENIENT_FIRST, 1))))
+
+    return _once(F.trim(c.cast("string")), lambda raw: F.when(raw.rlike(PLAIN), _double(raw)).otherwise(searched(raw)))
 
 
 def unit_key(c: Column, strip_dot: bool = False) -> Column:
@@ -90,30 +107,36 @@ def flake_size_strict(value: Column, unit: Column) -> Column:
     return F.coalesce(_mixed_size(value), convert_unit(parse_strict(value), unit_key(unit), STRICT["flake_size"][1]))
 
 
-def _converted(df: DataFrame, fields: dict, parse, more) -> DataFrame:
+def _converted(df: DataFrame, fields: dict, kind: Callable[[str], tuple], parse: Callable, more) -> DataFrame:
     """Canonical doubles for the fields that df has: values and units are read once in a projection of their own, then converted.
 
-    fields: field -> (result, rules); parse(field) -> its value; more(values, units) -> further columns by name.
+    fields: field -> (result, rules); parse(value, *kind(field)) -> the number, said once for all fields of a kind, as a projection that says
+    it for each outgrows what the JVM compiles; more(values, units) -> further columns by name.
     """
     own = [f for f in fields if f in df.columns]
-    read = df.withColumns({f"__v_{f}": parse(f) for f in own} | {f"__u_{f}": unit_key(F.col(f"{f}__unit")) for f in own})
-    value, unit = {f: F.col(f"__v_{f}") for f in own}, {f: F.col(f"__u_{f}") for f in own}
+    if not own:
+        return df.withColumns(more({}, {}))
+    kinds = {k: [f for f in own if kind(f) == k] for k in map(kind, own)}
+    numbers = lambda k, some: F.transform(F.array(*(F.col(f).cast("string") for f in some)), lambda c: parse(c, *k))
+    read = df.withColumns({f"__v{i}": numbers(k, some) for i, (k, some) in enumerate(kinds.items())} | {"__u": F.transform(F.array(*(F.col(f"{f}__unit") for f in own)), lambda u: unit_key(u))})
+    value = {f: F.get(f"__v{i}", F.lit(j)) for i, some in enumerate(kinds.values()) for j, f in enumerate(some)}
+    unit = {f: F.get("__u", F.lit(j)) for j, f in enumerate(own)}
     new = {name: convert_unit(value[f], unit[f], rules) for f, (name, rules) in fields.items() if f in own and rules}
-    return read.withColumns(new | more(value, unit)).drop(*(f"__{k}_{f}" for k in "vu" for f in own))
+    return read.withColumns(new | more(value, unit)).drop("__u", *(f"__v{i}" for i in range(len(kinds))))
 
 
 def normalize_strict(df: DataFrame) -> DataFrame:
     """Canonical doubles for the fields that df has."""
 
-    def parse(field: str) -> Column:
+    def kind(field: str) -> tuple:
         target, rate = field == "gravimetric_capacitance", field in ("scan_rate", "current_density")
-        return parse_strict(F.col(field), "reject" if target or rate else "midpoint", "reject" if target else "keep")
+        return "reject" if target or rate else "midpoint", "reject" if target else "keep"
 
     def more(value: dict, unit: dict) -> dict:
         name, rules = STRICT["flake_size"]
         return {name: F.coalesce(_mixed_size(F.col("flake_size")), convert_unit(value["flake_size"], unit["flake_size"], rules))} if "flake_size" in value else {}
 
-    return _converted(df, STRICT, parse, more)
+    return _converted(df, STRICT, kind, parse_strict, more)
 
 
 def concentration_basis(c: Column) -> Column:
@@ -132,7 +155,7 @@ def normalize_lenient(df: DataFrame) -> DataFrame:
             new |= {"h2so4_concentration": concentration(e), "concentration_basis": concentration_basis(e), "electrolyte_is_gel": e.rlike("(?i)pva|gel").cast("int")}
         return new
 
-    return _converted(df, LENIENT | {"current_density": ("", ())}, lambda f: parse_lenient(F.col(f)), more)
+    return _converted(df, LENIENT | {"current_density": ("", ())}, lambda f: (), parse_lenient, more)
 
 
 def parser_examples(spark: SparkSession) -> DataFrame:

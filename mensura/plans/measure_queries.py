@@ -47,14 +47,18 @@ def features_strict(spark, d):
     return FE.strict_features(X.electrodes(spark, d)).select("electrode_id", "layer_class", "material_family", "electrolyte_type", "paper_group", "role")
 
 
+def _prepared(df):
+    return FE.engineered_features(M.normalize_lenient(df))
+
+
 def features_lenient(spark, d):
-    rows = FE.engineered_features(M.normalize_lenient(X.both(spark, d)))
+    rows = X.both(spark, d, _prepared)
     return rows.select(*IDS, "layer_category", "measurement_mode", *FE.COMPOSITION_FLAGS, *FE.SYNTHESIS_FLAGS, "lif_hcl_etch")
 
 
 def feature_view(spark, d):
     """The 25 features of the lenient model."""
-    return FE.feature_view(M.normalize_lenient(X.both(spark, d)), IDS)
+    return FE.feature_view(X.both(spark, d, _prepared), IDS)
 
 
 def parsed_values(spark, d):

@@ -30,7 +30,7 @@ IDS = ["source_file", "electrode_id", "measurement_id"]
 
 def lenient_frames(spark, d) -> dict[str, tuple[DataFrame, list[str], list[str]]]:
     """For each target its labelled rows with the 25 features, less those that tell nothing there; numeric and categorical ones."""
-    rows = stored(E.engineered_features(M.normalize_lenient(X.both(spark, d))).select(*IDS, *E.FEATURE_VIEW, *TARGETS), "features")
+    rows = stored(X.both(spark, d, lambda df: E.engineered_features(M.normalize_lenient(df))).select(*IDS, *E.FEATURE_VIEW, *TARGETS), "features")
     out = {}
     for target in TARGETS:
         own = P.drop_uninformative(rows.where(F.col(target).isNotNull()).select(*IDS, *E.FEATURE_VIEW, target), E.FEATURE_VIEW)
@@ -42,7 +42,7 @@ def condition_frame(spark, d, kind: str) -> tuple[DataFrame, list[str], list[str
     """Strict rows with target and condition, split by paper, with the folds of the training papers (-1: test); descriptors that
     are known often enough, and the condition; the categories."""
     condition, least = CONDITIONS[kind]
-    rows = E.strict_features(M.normalize_strict(X.both(spark, d)))
+    rows = E.strict_features(X.both(spark, d, M.normalize_strict))
     rows = P.condition_subset(rows, CAPACITANCE, condition, [*IDS, "paper_group", *PHYSICAL, *CATEGORICAL])
     rows = S.group_holdout(rows, "paper_group").withColumn("fold", F.when(F.col("split") == "train", S.group_fold(F.col("paper_group"), K)).otherwise(-1))
     rows = stored(rows, f"frame-{kind}")
