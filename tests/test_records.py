@@ -124,3 +124,26 @@ def test_positions_for_one_split_or_many(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
         spark.conf.set("spark.sql.files.openCostInBytes", before[1])
+
+
+def test_papers_nest_as_the_views_do(spark, tmp_path):
+    """Records made of a paper's keys are those of the joined views, also where orders stand twice, under two papers or without items."""
+    from pyspark.sql import functions as F
+
+    from mensura.operators import records as R
+    from mensura.plans import fixtures as X
+    from mensura.plans import record_queries as N
+
+    sf = "/root/testdata/sf0.001"
+    orders, items = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("orders", "lineitem"))
+    some = orders.where("o_orderkey < 90")
+    twice = some.where("o_orderkey % 7 = 0").unionByName(some.where("o_orderkey % 11 = 0").withColumn("o_custkey", F.col("o_custkey") + 1))
+    some.unionByName(twice).write.parquet(f"{tmp_path}/orders.parquet")
+    items.where("l_orderkey < 90 AND l_orderkey % 5 <> 0").write.parquet(f"{tmp_path}/lineitem.parquet")
+    want = R.nest_v2(X.electrodes(spark, str(tmp_path)), X.measurements(spark, str(tmp_path)), N.E_FIELDS, N.M_FIELDS)
+    got = R.shape_v2(X.papers(spark, str(tmp_path)), N.E_FIELDS, N.M_FIELDS)
+    by_paper = lambda df: {r["source_file"]: r.asDict(True) for r in df.select(*sorted(df.columns)).collect()}
+    assert by_paper(got) == by_paper(want) and got.count() == want.count() > 10
+    plan = N.measurement_table(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    at = plan.index("RepartitionByExpression")
+    assert "paper_" not in plan[plan.index("collect_list", plan.rindex("paper_")) :] and at > 0  # no text is made before the last shuffle
