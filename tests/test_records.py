@@ -147,3 +147,32 @@ def test_papers_nest_as_the_views_do(spark, tmp_path):
     plan = N.measurement_table(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
     at = plan.index("RepartitionByExpression")
     assert "paper_" not in plan[plan.index("collect_list", plan.rindex("paper_")) :] and at > 0  # no text is made before the last shuffle
+
+
+def test_records_without_what_is_not_read(spark):
+    """Fields of measurements that a query doesn't read are not made, and all else of the records is as it was; papers are dealt over as many
+    parts as shuffles have."""
+    from mensura.plans import record_queries as N
+
+    def by_paper(df, names=N.M_FIELDS):
+        """Records by paper, measurements with fields of these names, each once: seventh ones repeat the first that they have."""
+        out = {r["source_file"]: r.asDict(True) for r in df.collect()}
+        for m in (m for r in out.values() for e in r["electrodes"] or [] for m in e["measurements"] or []):
+            m["fields"] = [f for i, f in enumerate(m["fields"]) if f["name"] in names and f not in m["fields"][:i]]
+        return out
+
+    sf = "/root/testdata/sf0.001"
+    for names in ((), ("gravimetric_capacitance",)):
+        got = by_paper(N.records_v2(spark, sf, names))
+        assert got == by_paper(N.records_v2(spark, sf), names) and len(got) > 10
+    key = "spark.sql.debug.maxToStringFields"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "10000")  # whole plans
+    try:
+        plans = {n: N.QUERIES[n](spark, sf)._jdf.queryExecution().optimizedPlan().toString() for n in ("catalog_fields", "field_card_v2", "electrode_table_full", "overview_v2", "measurement_table")}
+    finally:
+        spark.conf.set(key, before)
+    assert [n for n in plans if "micrometer-sized" in plans[n]] == ["overview_v2", "measurement_table"]
+    assert [n for n in plans if "mA cm−2" in plans[n]] == ["measurement_table"]
+    dealt = [p[p.index("RepartitionByExpression [o_custkey#") :].split("\n")[0] for p in plans.values()]
+    assert all(d.endswith(", " + spark.conf.get("spark.sql.shuffle.partitions")) for d in dealt)
