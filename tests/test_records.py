@@ -176,3 +176,14 @@ def test_records_without_what_is_not_read(spark):
     assert [n for n in plans if "mA cm−2" in plans[n]] == ["measurement_table"]
     dealt = [p[p.index("RepartitionByExpression [o_custkey#") :].split("\n")[0] for p in plans.values()]
     assert all(d.endswith(", " + spark.conf.get("spark.sql.shuffle.partitions")) for d in dealt)
+
+
+def test_card_takes_fields_before_its_rows(spark):
+    """The fields are looked up in the electrode's row; its map isn't copied to each row of the card, not even for an electrode without one."""
+    from mensura.plans import record_queries as N
+
+    records = N.records_v2(spark, "/root/testdata/sf0.001", ())
+    card = R.field_card_v2(records, [("binder", "c", "t"), ("flake_size", "c", "t")])
+    assert "element_at" not in card._jdf.queryExecution().optimizedPlan().toString().split("Generate explode")[0]
+    bare = spark.createDataFrame([{"source_file": "a.pdf", "electrodes": [{"electrode_id": "E1"}]}], J.schema_v2())
+    assert [tuple(r)[2:4] + (r["value"], r["unit"]) for r in R.field_card_v2(bare, [("binder", "c", "t")]).collect()] == [(0, "binder", "Not reported", "—")]
