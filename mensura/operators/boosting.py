@@ -10,7 +10,8 @@ T(G) = sign(G) * max(|G| - l1, 0), a node of gradient sum G and n rows has the s
 a split gains half the difference of scores less gamma, and is made where that is above zero and both sides have `least` rows. Rows
 without a value go to the side where they gain more. A category is parted one value against the rest.
 
-Rows of a block whose features have the same bins are told apart only by target, fold and hash: their predictions and sides are kept once.
+Rows whose features have the same bins are dealt to one block, hot ones to a run of blocks, and told apart only by target, fold and hash: their
+predictions and sides are kept once. A block's rows are read once a tree, for the sums of its sample by vector and fold; levels read the vectors.
 Tables are not added feature by feature over the rows: features in a row of which few joint values occur share a code, the sums are
 taken by code, and each feature's from those. Both are exact and need no knowledge of other blocks.
 
@@ -34,6 +35,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+from pyspark.serializers import BatchedSerializer, CPickleSerializer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
@@ -55,11 +57,13 @@ GRID = {
 
 BINS = 64  # bins of a numeric feature, beside the one of missing values
 WIDEST = 1_000  # values of a category that have a bin of their own
-ROWS_A_BLOCK = 200_000
+ROWS_A_BLOCK = 500_000
+STATE_BYTES = 64_000_000  # of a block's predictions, one by model and vector
 ROWS_A_SUM = 100_000  # rows whose sum of steps is below 2 ** 53 whatever they are
 JOINT = 1 << 16  # joint values that features share a code for, at most
 CUT = 100  # trees between checkpoints
-MOST_ROWS = 1_000_000  # labelled rows that a model is fitted on within one task
+TASK_BYTES = 256_000_000  # of a frame that is packed for models which each grow within a task; larger frames are left to fit_all
+PIECE = 1 << 15  # rows whose hashes are mixed at a time
 FLAT = 16  # partitions whose tables are added on the driver; more are added by tasks first
 
 
@@ -222,6 +226,33 @@ class Rows:
     hashes: np.ndarray
 
 
+@dataclass
+class Lots:
+    """Rows in the order of their vectors, parts and hashes; a lot are those of one vector and part."""
+
+    whole: np.ndarray  # of each row: its target in steps
+    hashes: np.ndarray
+    start: np.ndarray  # of each lot: its first row
+    part: np.ndarray
+    vector: np.ndarray
+    first: np.ndarray  # of each vector: its first lot
+
+    @property
+    def sizes(self) -> np.ndarray:
+        return np.diff(self.start, append=len(self.whole))
+
+    def sums(self, share: float, seed: int, tree: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of each lot: how many rows a tree takes, and the sum of their targets."""
+        if share >= 1:
+            return self.sizes, np.add.reduceat(self.whole, self.start)
+        taken = np.empty(len(self.whole), np.int64)
+        for at in range(0, len(taken), PIECE):
+            taken[at : at + PIECE] = _sampled(self.hashes[at : at + PIECE], share, seed, tree)
+        n = np.add.reduceat(taken, self.start)
+        taken *= self.whole
+        return n, np.add.reduceat(taken, self.start)
+
+
 @dataclass
 class Block:
     """Some rows of a frame, in the order of their vectors of bins, and what its models predict for each vector so far."""
@@ -230,20 +261,19 @@ class Block:
     scale: float
     columns: np.ndarray  # [feature, vector]
     codes: list[tuple[list[int], np.ndarray, np.ndarray]]  # features, [vector] -> joint value, bins [feature, joint value]
-    vector: np.ndarray  # of each row
-    whole: np.ndarray  # the row's target in steps
-    part: np.ndarray
-    hashes: np.ndarray
+    lots: Lots | None  # the rows; None where sums of the tree at hand are kept
     predicted: np.ndarray  # [model, vector]
     kept: dict = field(default_factory=dict)  # of the tree at hand: sums by sample, nodes by model
 
     def sums(self, model: Model, tree: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
         """Of each vector: how many rows a tree of the model takes, and the sum of their targets."""
-        key = "sums", model.setting["rows"], model.out
+        share = model.setting["rows"]
+        key = "sums", share, model.out
         if self.kept.get(key, (None,))[0] != tree:
-            taken = np.flatnonzero(model.trained(self.part) & _sampled(self.hashes, model.setting["rows"], seed, tree))
-            at, size = self.vector[taken], self.columns.shape[1]
-            self.kept[key] = tree, np.bincount(at, minlength=size), _added_up(at, self.whole[taken], size)
+            if self.kept.get(("lots", share), (None,))[0] != tree:
+                self.kept["lots", share] = tree, *self.lots.sums(share, seed, tree)
+            trained = model.trained(self.lots.part)
+            self.kept[key] = tree, *(np.add.reduceat(np.where(trained, x, 0), self.lots.first) for x in self.kept["lots", share][1:])
         return self.kept[key][1:]
 
     def node(self, m: int, growing: _Growing, numeric: int, level: int, tree: int) -> np.ndarray:
@@ -287,19 +317,38 @@ def _codes(columns: np.ndarray) -> list[tuple[list[int], np.ndarray, np.ndarray]
             runs[-1] = [*runs[-1][0], f], code, first
         else:
             runs.append(([f], *(_joint(columns[f : f + 1]))))
-    return [(features, code.astype(np.intp), columns[features][:, first].astype(np.intp)) for features, code, first in runs]
+    return [(features, code.astype(np.uint16), columns[features][:, first].astype(np.intp)) for features, code, first in runs]
 
 
 def _packed(rows: Rows, frame: int, models: int, scale: float) -> Block:
     code, first = _joint(np.ascontiguousarray(rows.binned.T))
-    order = np.argsort(code, kind="stable")
     columns = np.ascontiguousarray(rows.binned[first].T, np.uint16)
-    whole = np.rint(rows.target[order] * scale).astype(np.int64)
-    return Block(frame, scale, columns, _codes(columns), code[order].astype(np.int32), whole, rows.part[order], rows.hashes[order], np.zeros((models, len(first))))
+    whole = np.rint(rows.target * scale).astype(np.int64)
+    return Block(frame, scale, columns, _codes(columns), _lots(code, rows.part, rows.hashes, whole), np.zeros((models, len(first))))
+
+
+def _lots(vector: np.ndarray, part: np.ndarray, hashes: np.ndarray, whole: np.ndarray) -> Lots:
+    """Of rows whose vectors are numbered from 0 without gaps."""
+    order = np.lexsort((hashes, part, vector))
+    vector, part = vector[order], part[order]
+    start = np.flatnonzero(np.diff(vector, prepend=-1) | (np.diff(part, prepend=part[:1]) != 0))
+    vector = vector[start].astype(np.int32)
+    return Lots(whole[order], hashes[order], start, part[start], vector, np.flatnonzero(np.diff(vector, prepend=-1)))
+
+
+def _merged(blocks: list[Block]) -> Block:
+    """One block of the rows of several of a frame."""
+    columns = np.concatenate([b.columns for b in blocks], axis=1)
+    code, first = _joint(columns)
+    columns = np.ascontiguousarray(columns[:, first])
+    before = np.cumsum([0, *(b.columns.shape[1] for b in blocks)])
+    every = [(code[at + np.repeat(b.lots.vector, b.lots.sizes)], np.repeat(b.lots.part, b.lots.sizes), b.lots.hashes, b.lots.whole) for at, b in zip(before, blocks, strict=False)]
+    return Block(blocks[0].frame, blocks[0].scale, columns, _codes(columns), _lots(*(np.concatenate(x) for x in zip(*every, strict=True))), np.zeros((len(blocks[0].predicted), len(first))))
 
 
 def _rows(frame: Frame, parts: int, share: float | None = None):
-    """An RDD of rows, of a share of the rows where one is given. Rows are dealt by a hash, copies apart from each other, alike each time."""
+    """An RDD of rows, those of a partition together; of a share of the rows where one is given. Rows are dealt by ranges of the hash of their
+    features, so that equal vectors meet, and within it by row, so that a hot vector is parted; alike each time."""
     content = F.xxhash64(*(F.col(f"`{c}`") for c in sorted(frame.df.columns) if c != frame.part))
     rows = frame.df.where(F.col(frame.target).isNotNull())
     rows = rows.select(*frame.bins.columns(), F.col(frame.target).cast("double").alias("_y"), F.col(frame.part).cast("int").alias("_part"), content.alias("_hash"), F.monotonically_increasing_id().alias("_row"))
@@ -317,7 +366,7 @@ def _rows(frame: Frame, parts: int, share: float | None = None):
         read = lambda raw, kind: np.frombuffer(bytes(raw), kind)
         return Rows(read(r["binned"], np.uint16).reshape(r["n"], -1), read(r["y"], np.float64), read(r["part"], np.int32), read(r["hash"], np.uint64))
 
-    dealt = rows.repartition(parts, F.xxhash64("_hash", "_row")).mapInPandas(run, "n int, binned binary, y binary, part binary, hash binary")
+    dealt = rows.repartitionByRange(parts, F.xxhash64(*frame.bins.columns()), F.xxhash64("_hash", "_row")).mapInPandas(run, "n int, binned binary, y binary, part binary, hash binary")
     return dealt.rdd.map(unpacked).mapPartitions(_joined)
 
 
@@ -457,19 +506,21 @@ def _scale(n: int, most: float) -> float:
 def _trained_sums(b: Block, models: Sequence[Model]) -> dict:
     """Of each model's training rows in a block: the sum of targets, in steps, and their number."""
     found = {}
+    whole = np.add.reduceat(b.lots.whole, b.lots.start)
     for m, model in enumerate(models):
         if model.frame == b.frame:
-            rows = model.trained(b.part)
-            found[m] = np.array([b.whole[rows].sum(), rows.sum()])
+            rows = model.trained(b.lots.part)
+            found[m] = np.array([whole[rows].sum(), b.lots.sizes[rows].sum()])
     return found
 
 
 def _errors(b: Block, models: Sequence[Model]) -> dict:
     """Of each model: the sum of absolute errors and the number of the rows of the fold that it leaves out."""
-    found = {}
+    found, sizes = {}, b.lots.sizes
     for i, m in enumerate(m for m, model in enumerate(models) if model.frame == b.frame):
-        rows = b.part == models[m].out if models[m].out is not None else np.zeros(len(b.part), bool)
-        found[m] = np.array([np.abs(np.maximum(0, b.predicted[i][b.vector[rows]]) - b.whole[rows] / b.scale).sum(), rows.sum()])
+        lots = b.lots.part == models[m].out if models[m].out is not None else np.zeros(len(sizes), bool)
+        rows, vector = np.repeat(lots, sizes), np.repeat(b.lots.vector[lots], sizes[lots])
+        found[m] = np.array([np.abs(np.maximum(0, b.predicted[i][vector]) - b.lots.whole[rows] / b.scale).sum(), len(vector)])
     return found
 
 
@@ -478,6 +529,14 @@ def _begun(b: Block, models: Sequence[Model], base: Sequence[float]) -> Block:
     return replace(b, predicted=b.predicted + np.array(own)[:, None], kept={})
 
 
+def _state(b: Block, models: Sequence[Model], tree: int, seed: int) -> tuple[np.ndarray, dict]:
+    """What changes from tree to tree: the predictions, and the sums that the models' next tree takes."""
+    for model in models:
+        if model.frame == b.frame and tree < model.setting["trees"]:
+            b.sums(model, tree, seed)
+    return b.predicted, {k: v for k, v in b.kept.items() if k[0] == "sums"}
+
+
 def _tables(b: Block, asked: tuple) -> dict:
     models, open_, growing, shapes, scales, level, tree, seed = asked
     mine = [m for m in open_ if models[m].frame == b.frame]
@@ -513,12 +572,12 @@ def _grown(bins: Sequence[Bins], models: Sequence[Model], base: Sequence[float],
     return [Trees(bins[model.frame], base[m], model.setting, *(np.array(a) for a in zip(*grown[m], strict=True))) for m, model in enumerate(models)]
 
 
-def _known(frames: Sequence[Frame]) -> list[tuple[int, float]]:
-    """Rows with a target, and the greatest size of a target, of each frame."""
+def _known(frames: Sequence[Frame]) -> list[tuple[int, float, int]]:
+    """Rows with a target, the greatest size of a target, and about how many vectors of features these rows have, of each frame."""
     if any(not f.bins.names for f in frames):
         raise ValueError("no feature has a value")
-    facts = [f.df.where(F.col(f.target).isNotNull()).agg(F.count(F.lit(1)).alias("n"), F.max(F.abs(F.col(f.target).cast("double"))).alias("most")).first() for f in frames]
-    return [(k["n"], k["most"] or 0.0) for k in facts]
+    facts = [f.df.where(F.col(f.target).isNotNull()).agg(F.count(F.lit(1)).alias("n"), F.max(F.abs(F.col(f.target).cast("double"))).alias("most"), F.approx_count_distinct(F.xxhash64(*f.bins.columns())).alias("vectors")).first() for f in frames]
+    return [(k["n"], k["most"] or 0.0, k["vectors"]) for k in facts]
 
 
 def fit_all(frames: Sequence[Frame], models: Sequence[Model], seed: int = 42) -> tuple[list[Trees], list[tuple[float, int]]]:
@@ -529,55 +588,80 @@ def fit_all(frames: Sequence[Frame], models: Sequence[Model], seed: int = 42) ->
     context = spark.sparkContext
     lineage_folder(spark)
     known = _known(frames)
-    scales, rows = [_scale(*k) for k in known], sum(n for n, _ in known)
-    parts = max(context.defaultParallelism, math.ceil(rows / ROWS_A_BLOCK))
-    own = lambda frame: sum(model.frame == frame for model in models)
-    first = context.union([_rows(f, max(1, round(parts * known[i][0] / max(1, rows)))).map(lambda r, i=i: _packed(r, i, own(i), scales[i])) for i, f in enumerate(frames)]).persist(StorageLevel.MEMORY_AND_DISK)
-    sums = _summed(first.map(lambda b: _trained_sums(b, models)))
+    scales = [_scale(n, most) for n, most, _ in known]
+    own = [sum(model.frame == i for model in models) for i in range(len(frames))]
+    parts = [max(math.ceil(n / min(ROWS_A_BLOCK, STATE_BYTES // (8 * max(1, own[i])))), round(context.defaultParallelism * n / max(1, sum(k[0] for k in known)))) for i, (n, *_) in enumerate(known)]
+    blocks = _by_one(context.union([_rows(f, max(1, parts[i])).map(lambda r, i=i: _packed(r, i, own[i], scales[i])) for i, f in enumerate(frames)])).persist(StorageLevel.MEMORY_AND_DISK)
+    sums = _summed(blocks.map(lambda b: _trained_sums(b, models)))
     base = _base([tuple(sums.get(m, (0, 0))) for m in range(len(models))], scales, models)
-    kept = [first, first.map(lambda b: _begun(b, models, base)).persist(StorageLevel.MEMORY_AND_DISK)]
+    vectors = _by_one(blocks.map(lambda b: replace(b, lots=None))).persist(StorageLevel.MEMORY_AND_DISK)
+    numeric = [len(f.bins.numeric) for f in frames]
+    kept = [_by_one(blocks.map(lambda b: _state(_begun(b, models, base), models, 0, seed))).persist(StorageLevel.MEMORY_AND_DISK)]
 
     def tables(asked: tuple) -> dict:
         shared = context.broadcast(asked)
-        out = _summed(kept[-1].map(lambda b: _tables(b, shared.value)))
+        out = _summed(vectors.zip(kept[-1]).map(lambda b: _tables(replace(b[0], predicted=b[1][0], kept=b[1][1]), shared.value)))
         shared.unpersist()
         return out
 
     def advance(growing: _Growing, active: list[int], tree: int) -> None:
-        numeric = [len(f.bins.numeric) for f in frames]
-        kept.append(_advanced(kept[-1], models, growing, active, numeric, tree).persist(StorageLevel.MEMORY_AND_DISK))
+        kept.append(_advanced(blocks.zip(kept[-1]), models, growing, active, numeric, tree, seed).persist(StorageLevel.MEMORY_AND_DISK))
         if tree % CUT == CUT - 1:
             kept[-1].checkpoint()
             kept[-1].count()
-        kept.pop(0).unpersist()  # what the newest is made of stays until that is there
+        if len(kept) > 2:
+            kept.pop(0).unpersist()  # what the newest is made of stays until that is there
 
     out = _grown([f.bins for f in frames], models, base, scales, seed, tables, advance)
-    left = _summed(kept[-1].map(lambda b: _errors(b, models)))
-    for rdd in kept:
+    left = _summed(blocks.zip(kept[-1]).map(lambda b: _errors(replace(b[0], predicted=b[1][0]), models)))
+    for rdd in (*kept, vectors, blocks):
         rdd.unpersist()
     return out, [(float(left[m][0]), int(left[m][1])) if m in left else (0.0, 0) for m in range(len(models))]
 
 
-def _advanced(rdd, models: list[Model], growing: _Growing, active: list[int], numeric: list[int], tree: int):
-    return rdd.map(lambda b: _stepped(b, models, growing, active, numeric, tree))
+def _by_one(rdd):
+    """An RDD whose elements are written one by one, as zip() needs to pair them without writing them anew."""
+    return rdd._reserialize(BatchedSerializer(CPickleSerializer(), 1))
 
 
-def fit_each(frames: Sequence[Frame], models: Sequence[Model], seed: int = 42, most_rows: int = MOST_ROWS, trees_of: Callable[[Model], bool] = lambda m: True) -> tuple[list[Trees | None], list[tuple[float, int]]]:
-    """As fit_all, each model in a task of its own, on a sample of most_rows labelled rows of a frame; all of them where there are no more.
+def _advanced(rdd, models: list[Model], growing: _Growing, active: list[int], numeric: list[int], tree: int, seed: int):
+    return _by_one(rdd.map(lambda b: _state(_stepped(replace(b[0], predicted=b[1][0]), models, growing, active, numeric, tree), models, tree + 1, seed)))
 
-    For searches: a level of a small table costs less than the job that asks for it. The sample is what bounds a task: packed rows, some
-    20 bytes each and 2 a feature for each vector of bins, are shipped to all tasks once. On the same rows both give the same models. trees_of: the models whose trees
-    are wanted; of the others only the errors come back.
+
+def fit_each(frames: Sequence[Frame], models: Sequence[Model], seed: int = 42, most_rows: int | None = None, trees_of: Callable[[Model], bool] = lambda m: True) -> tuple[list[Trees | None], list[tuple[float, int]]]:
+    """As fit_all, on all rows; of frames that a task can hold, each model in a task of its own.
+
+    For searches and folds: a level of a small table costs less than the job that asks for it. Packed rows, some 32 bytes each and 4 a feature
+    for each vector of bins, are shipped to all tasks once; frames that would take more than TASK_BYTES are grown by fit_all. Both give the
+    same models. trees_of: the models whose trees are wanted; of the others only the errors come back. most_rows: only where a caller wants a
+    sample of about so many labelled rows instead; no query does.
     """
     frames, models = list(frames), list(models)
     spark = frames[0].df.sparkSession
-    blocks: dict[int, Block] = {}
     known = _known(frames)
-    scales = [_scale(min(n, most_rows), most) for n, most in known]
-    for i, (frame, (n, _)) in enumerate(zip(frames, known, strict=True)):
-        parts = _rows(frame, max(1, math.ceil(min(n, most_rows) / ROWS_A_BLOCK)), most_rows / n if n > most_rows else None).collect()  # most_rows of them, give or take what a hash does
-        if parts:
-            blocks[i] = _packed(_glued(parts), 0, 1, scales[i])
+    packed = [32 * n + (4 * len(f.bins.names) + 64) * vectors for f, (n, _, vectors) in zip(frames, known, strict=True)]
+    large = [i for i, size in enumerate(packed) if size > TASK_BYTES and most_rows is None]
+    out: list[tuple[Trees | None, tuple[float, int]]] = [(None, (0.0, 0))] * len(models)
+    if apart := [m for m, model in enumerate(models) if model.frame in large]:
+        fitted, errors = fit_all([frames[i] for i in large], [replace(models[m], frame=large.index(models[m].frame)) for m in apart], seed)
+        for m, tree, error in zip(apart, fitted, errors, strict=True):
+            out[m] = tree if trees_of(models[m]) else None, error
+    if rest := [m for m, model in enumerate(models) if model.frame not in large]:
+        for m, found in zip(rest, _in_tasks(spark, frames, [models[m] for m in rest], known, seed, most_rows, trees_of), strict=True):
+            out[m] = found
+    return [t for t, _ in out], [e for _, e in out]
+
+
+def _in_tasks(spark: SparkSession, frames: list[Frame], models: list[Model], known: list[tuple[int, float, int]], seed: int, most_rows: int | None, trees_of: Callable[[Model], bool]) -> list[tuple[Trees | None, tuple[float, int]]]:
+    """Each model with its errors, fitted in a task of its own."""
+    blocks: dict[int, Block] = {}
+    for i in sorted({m.frame for m in models}):
+        n, most, _ = known[i]
+        asked = n if most_rows is None else min(n, most_rows)
+        scale = _scale(asked, most)
+        rows = _rows(frames[i], max(1, math.ceil(asked / ROWS_A_BLOCK)), asked / n if asked < n else None)
+        if parts := rows.map(lambda r, scale=scale: _packed(r, 0, 1, scale)).collect():
+            blocks[i] = _merged(parts)
     shared = spark.sparkContext.broadcast((blocks, [f.bins for f in frames], models))
     wanted = [trees_of(m) for m in models]
 
@@ -593,7 +677,7 @@ def fit_each(frames: Sequence[Frame], models: Sequence[Model], seed: int = 42, m
     tasks = spark.createDataFrame([(i, m) for i, m in enumerate(order)], "place int, model int").repartitionByRange(len(order), "place").select("model")
     found = {r["model"]: r for r in tasks.mapInPandas(run, "model int, trees string, error double, n long").collect()}
     shared.unpersist()
-    return [Trees.from_json(t) if (t := found[m]["trees"]) else None for m in range(len(models))], [(found[m]["error"], found[m]["n"]) for m in range(len(models))]
+    return [(Trees.from_json(t) if (t := found[m]["trees"]) else None, (found[m]["error"], found[m]["n"])) for m in range(len(models))]
 
 
 def _fit_here(blocks: dict[int, Block], bins: Sequence[Bins], model: Model, seed: int) -> tuple[Trees, float, int]:
@@ -616,20 +700,9 @@ def _fit_here(blocks: dict[int, Block], bins: Sequence[Bins], model: Model, seed
 
 
 def _joined(parts: Iterator[Rows]) -> Iterator[Rows]:
-    """The rows of a partition, glued to larger parts."""
-    held: list[Rows] = []
-    for rows in parts:
-        held.append(rows)
-        if sum(len(x.target) for x in held) >= ROWS_A_BLOCK:
-            yield _glued(held)
-            held = []
-    if held:
-        yield _glued(held)
-
-
-def _glued(parts: list[Rows]) -> Rows:
-    stack = lambda name: np.concatenate([getattr(r, name) for r in parts])
-    return Rows(stack("binned"), stack("target"), stack("part"), stack("hashes"))
+    """The rows of a partition, if there are any."""
+    if held := list(parts):
+        yield Rows(*(np.concatenate([getattr(r, name) for r in held]) for name in ("binned", "target", "part", "hashes")))
 
 
 def _placed(growing: _Growing, mine: list[int], level: int, best: dict[str, np.ndarray], settings: list[dict]) -> None:
@@ -722,15 +795,14 @@ def drawn_settings(n: int, seed: int = 42, grid: dict | None = None, preset: str
 
 
 def search(
-    df: DataFrame, bins: Bins, y: str, k: int, group: str, settings: Sequence[dict], fold: str = "fold", papers: Sequence[float] = (1.0,), extra: Sequence[dict] = (), seed: int = 42, most_rows: int = MOST_ROWS
+    df: DataFrame, bins: Bins, y: str, k: int, group: str, settings: Sequence[dict], fold: str = "fold", papers: Sequence[float] = (1.0,), extra: Sequence[dict] = (), seed: int = 42, most_rows: int | None = None
 ) -> tuple[Trees, dict, list[tuple[dict, float, float]], list[Trees]]:
     """The setting of the least mean absolute error over k folds, fitted on all rows whose fold is not negative; with each setting's
     last error and the share of papers it was tried on; and fits of `extra` settings on all rows.
 
     papers: shares of the groups for the rounds of successive halving, the last 1. After a round the better part of the settings goes
     on, as many as make the next round cost what this one did. With (1.0,) all settings are tried on all papers. Models are fitted
-    by fit_each: a table of most_rows labelled rows at most, a model a task; in the last round the fits on all rows go
-    beside those of the folds.
+    by fit_each on all rows (most_rows: on a sample, as there); in the last round the fits on all rows go beside those of the folds.
     """
     rank = F.conv(F.substring(F.md5(F.concat(F.coalesce(F.col(group).cast("string"), F.lit("\0")), F.lit(f":halving:{seed}"))), 1, 8), 16, 10).cast("double") / float(1 << 32)
     left, tried = list(settings), {}

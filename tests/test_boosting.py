@@ -266,3 +266,50 @@ def test_copies_cost_no_vectors_and_sums_stay_exact():
                 assert table[side, 4 * f + b].tolist() == [-int((target[hit] * 2**20).sum()), hit.sum()]
     large = np.array([2**60, 2**60 + 1, 5, -(2**59) - 3])
     assert B._added_up(np.array([0, 0, 1, 1]), large, 2).tolist() == [2**61 + 1, 2 - 2**59]
+
+
+def test_a_large_table_is_fitted_whole(spark, monkeypatch):
+    """More labelled rows than were once sampled: in a task, by levels, and with a vector that most rows share."""
+    n = 1_300_000
+    df = spark.range(n).select(F.when(F.col("id") % 4 == 0, F.col("id") % 50).otherwise(7).cast("double").alias("x"), (F.col("id") % 50 * 3.0).alias("y"), (F.col("id") % 3).cast("int").alias("fold"), "id")
+    df = stored(df, "large")
+    frame, setting = B.Frame(df, B.fit_bins(df, ["x"], []), "y", "fold"), B.setting_of("lenient", trees=2, rows=1.0)
+    models = [B.Model(0, setting), B.Model(0, setting | {"rows": 0.8}, 1)]
+    each, errors = B.fit_each([frame], models)
+    assert each[0].rows[:, 0].tolist() == [n, n] and errors[1][1] == len(range(1, n, 3))
+    assert each[1].rows[0, 0] == pytest.approx(0.8 * (n - errors[1][1]), rel=0.01)
+    monkeypatch.setattr(B, "TASK_BYTES", 10_000_000)
+    called, fit_all = [], B.fit_all
+    monkeypatch.setattr(B, "fit_all", lambda *a: called.append(len(a[1])) or fit_all(*a))
+    levels, level_errors = B.fit_each([frame], models)
+    assert called == [2] and [t.to_json() for t in levels] == [t.to_json() for t in each] and level_errors == [pytest.approx(e) for e in errors]
+    sizes = B._rows(frame, 8).map(lambda r: len(r.target)).collect()
+    assert len(sizes) == 8 and max(sizes) < n / 4  # though one vector has three quarters of the rows
+
+
+@pytest.mark.parametrize("name", ["gbt_by_target"])
+def test_queries_fit_on_all_rows_of_tables_beyond_a_task(spark, monkeypatch, name):
+    """With tables too large for a task, every model of a query is grown on all rows of its frame, as in a task."""
+    for preset in B.PRESETS:
+        monkeypatch.setitem(B.PRESETS, preset, B.PRESETS[preset] | {"trees": 1, "rows": 1.0})
+    monkeypatch.setattr(B, "GRID", B.GRID | {"trees": (1,), "rows": (1.0,)})
+    asked, fit_all = [], B.fit_all
+
+    def spied(frames, models, *more):
+        asked.append((frames, models, *fit_all(frames, models, *more)))
+        return asked[-1][2:]
+
+    monkeypatch.setattr(B, "fit_all", spied)
+    monkeypatch.setattr(B, "TASK_BYTES", 0)
+    assert Q.QUERIES[name](spark, "/root/testdata/sf0.001").count()
+    monkeypatch.setattr(B, "TASK_BYTES", 1 << 40)
+    (frames, models, trees, errors), = asked
+    for i, frame in enumerate(frames):
+        n = {r["part"]: r["n"] for r in frame.df.where(F.col(frame.target).isNotNull()).groupBy(F.col(frame.part).alias("part")).agg(F.count("*").alias("n")).collect()}
+        whole = sum(v for part, v in n.items() if part >= 0)
+        for model, tree, (_, tested) in zip(models, trees, errors, strict=True):
+            if model.frame == i:
+                left = n.get(model.out, 0)
+                assert tree.rows[0, 0] == whole - left > 0 and tested == left
+    each, each_errors = B.fit_each(frames, models)
+    assert [t.to_json() for t in each] == [t.to_json() for t in trees] and each_errors == [pytest.approx(e) for e in errors]
