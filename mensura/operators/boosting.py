@@ -57,14 +57,15 @@ GRID = {
 
 BINS = 64  # bins of a numeric feature, beside the one of missing values
 WIDEST = 1_000  # values of a category that have a bin of their own
-ROWS_A_BLOCK = 500_000
+ROWS_A_BLOCK = 1_000_000
 STATE_BYTES = 64_000_000  # of a block's predictions, one by model and vector
 ROWS_A_SUM = 100_000  # rows whose sum of steps is below 2 ** 53 whatever they are
 JOINT = 1 << 16  # joint values that features share a code for, at most
 CUT = 100  # trees between checkpoints
 TASK_BYTES = 256_000_000  # of a frame that is packed for models which each grow within a task; larger frames are left to fit_all
 PIECE = 1 << 15  # rows whose hashes are mixed at a time
-FLAT = 16  # partitions whose tables are added on the driver; more are added by tasks first
+FLAT = 16  # partitions whose tables are added on the driver; more are added by tasks first,
+FLAT_BYTES = 64_000_000  # unless their tables are no larger in all
 
 
 @dataclass
@@ -489,8 +490,10 @@ def _added(a: dict, b: dict) -> dict:
     return {k: a[k] + b[k] if k in a and k in b else a.get(k, b.get(k)) for k in a.keys() | b.keys()}
 
 
-def _summed(rdd) -> dict:
-    return rdd.fold({}, _added) if rdd.getNumPartitions() <= FLAT else rdd.treeAggregate({}, _added, _added, 2)
+def _summed(rdd, size: int) -> dict:
+    """size: bytes of a partition's sums"""
+    parts = rdd.getNumPartitions()
+    return rdd.fold({}, _added) if parts <= FLAT or parts * size <= FLAT_BYTES else rdd.treeAggregate({}, _added, _added, 2)
 
 
 def _base(whole: list[tuple[int, int]], scales: Sequence[float], models: Sequence[Model]) -> list[float]:
@@ -592,7 +595,7 @@ def fit_all(frames: Sequence[Frame], models: Sequence[Model], seed: int = 42) ->
     own = [sum(model.frame == i for model in models) for i in range(len(frames))]
     parts = [max(math.ceil(n / min(ROWS_A_BLOCK, STATE_BYTES // (8 * max(1, own[i])))), round(context.defaultParallelism * n / max(1, sum(k[0] for k in known)))) for i, (n, *_) in enumerate(known)]
     blocks = _by_one(context.union([_rows(f, max(1, parts[i])).map(lambda r, i=i: _packed(r, i, own[i], scales[i])) for i, f in enumerate(frames)])).persist(StorageLevel.MEMORY_AND_DISK)
-    sums = _summed(blocks.map(lambda b: _trained_sums(b, models)))
+    sums = _summed(blocks.map(lambda b: _trained_sums(b, models)), 16 * len(models))
     base = _base([tuple(sums.get(m, (0, 0))) for m in range(len(models))], scales, models)
     vectors = _by_one(blocks.map(lambda b: replace(b, lots=None))).persist(StorageLevel.MEMORY_AND_DISK)
     numeric = [len(f.bins.numeric) for f in frames]
@@ -600,7 +603,8 @@ def fit_all(frames: Sequence[Frame], models: Sequence[Model], seed: int = 42) ->
 
     def tables(asked: tuple) -> dict:
         shared = context.broadcast(asked)
-        out = _summed(vectors.zip(kept[-1]).map(lambda b: _tables(replace(b[0], predicted=b[1][0], kept=b[1][1]), shared.value)))
+        size = sum(16 * sum(frames[models[m].frame].bins.sizes) << asked[5] for m in asked[1])
+        out = _summed(vectors.zip(kept[-1]).map(lambda b: _tables(replace(b[0], predicted=b[1][0], kept=b[1][1]), shared.value)), size)
         shared.unpersist()
         return out
 
@@ -613,7 +617,7 @@ def fit_all(frames: Sequence[Frame], models: Sequence[Model], seed: int = 42) ->
             kept.pop(0).unpersist()  # what the newest is made of stays until that is there
 
     out = _grown([f.bins for f in frames], models, base, scales, seed, tables, advance)
-    left = _summed(blocks.zip(kept[-1]).map(lambda b: _errors(replace(b[0], predicted=b[1][0]), models)))
+    left = _summed(blocks.zip(kept[-1]).map(lambda b: _errors(replace(b[0], predicted=b[1][0]), models)), 16 * len(models))
     for rdd in (*kept, vectors, blocks):
         rdd.unpersist()
     return out, [(float(left[m][0]), int(left[m][1])) if m in left else (0.0, 0) for m in range(len(models))]
