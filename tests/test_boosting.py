@@ -287,7 +287,7 @@ def test_a_large_table_is_fitted_whole(spark, monkeypatch):
     assert len(sizes) == 8 and max(sizes) < n / 4  # though one vector has three quarters of the rows
 
 
-@pytest.mark.parametrize("name", ["gbt_by_target", "gbt_cv_folds", "gbt_holdout", "gbt_importance", "gbt_permutation", "gbt_shapley"])
+@pytest.mark.parametrize("name", ["gbt_by_target", "gbt_cv_folds", "gbt_final", "gbt_holdout", "gbt_importance", "gbt_permutation", "gbt_shapley"])
 def test_queries_fit_on_all_rows_of_tables_beyond_a_task(spark, monkeypatch, name):
     """With tables too large for a task, every model of a query is grown on all rows of its frame, as in a task."""
     for preset in B.PRESETS:
