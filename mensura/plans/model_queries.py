@@ -50,7 +50,7 @@ def condition_frame(spark, d, kind: str) -> tuple[DataFrame, list[str], list[str
 
 
 def gbt_by_target(spark, d):
-    """Out-of-fold metrics of each target beside the median's: 14 models, a task each."""
+    """Out-of-fold metrics of each target beside the median's: 14 models, a task each, or by levels side by side where a table is too large for a task."""
     frames = lenient_frames(spark, d)
     oof = B.evaluate_frames(frames, {t: k for t, (_, k) in TARGETS.items()}, "source_file", stored, fitter=B.fit_each)
     rows = [G.target_metrics(oof[t], t, t, unit, len(frames[t][1]) + len(frames[t][2])) for t, (unit, _) in TARGETS.items()]
@@ -68,7 +68,7 @@ def gbt_final(spark, d):
 
 def gbt_holdout(spark, d):
     """Test papers, measured by CV: the median, the preset, and the best of twenty drawn settings, searched over folds of the training
-    papers: 121 models, a task each."""
+    papers: 121 models, grown in the same ways."""
     data, numeric, categorical = condition_frame(spark, d, "cv")
     train = data.where("split = 'train'")
     bins = B.fit_bins(train, numeric, categorical)
